@@ -18,6 +18,7 @@ from cityflow.plans.registry import MODEL_FEATURES
 from cityflow.session import pin, scratch
 from cityflow.sources import bindings as b
 from cityflow.sources import civic, economic, quality, sinks, trips, weather
+from cityflow.sources.store import settle, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,17 +31,20 @@ REFRESH_FROM = "2024-01-20"
 COUNTS = ("hour_bucket", "zone_id", "trip_count")
 
 
-def full_mart(spark: SparkSession, sf: str, columns: tuple[str, ...] = mart.MART_COLUMNS) -> DataFrame:
-    t = b.tables(spark, sf)
-    return mart.ml_features(t.trips, t.weather, t.civic_events, t.economics, columns)
+def stored_mart(spark: SparkSession, sf: str) -> DataFrame:
+    """The mart table that reports, features and models read; built once per application."""
+    table = stored(pin(spark), sf, "mart", lambda: ml_features(spark, sf), sinks.write_mart)
+    return table.select(*mart.MART_COLUMNS)
 
 
 def time_mart(spark: SparkSession, sf: str) -> DataFrame:
-    return mart.with_calendar(mart.hourly_counts(b.trips(spark, sf)))
+    return stored_mart(spark, sf).select(*COUNTS, *mart.TIME_COLUMNS)
 
 
 def day_mart(spark: SparkSession, sf: str) -> DataFrame:
-    return mart.with_calendar(mart.hourly_counts(b.day_trips(spark, sf)))
+    """Day-grain counts with calendar columns, stored like the hourly mart."""
+    build = lambda: mart.with_calendar(mart.hourly_counts(b.day_trips(spark, sf)))
+    return stored(pin(spark), sf, "day-mart", build)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -48,6 +52,17 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def shown(query: Query, **types: str) -> Query:
+    """Present dates as midnight timestamps, and the named columns with the given types."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = query(spark, sf)
+        want = {**{c: "timestamp_ntz" for c, t in df.dtypes if t == "date"}, **types}
+        return df.select(*[F.col(c).cast(want[c]).alias(c) if c in want else F.col(c) for c in df.columns])
+
+    return run
+
+
 # ---- sources, sinks, quality --------------------------------------------------
 
 
@@ -204,8 +219,8 @@ def mart_refresh(spark: SparkSession, sf: str) -> DataFrame:
     args = (t.weather, t.civic_events, t.economics, COUNTS + mart.TIME_COLUMNS)
     late = F.col("pickup_dt") >= F.lit(REFRESH_FROM).cast("timestamp_ntz")
     partial = t.trips.filter(~late | (F.col("trip_id") % 2 == 0))
-    sinks.write_mart(mart.ml_features(partial, *args), path)
-    sinks.refresh_mart_days(mart.ml_features(t.trips.filter(late), *args), path)
+    sinks.write_mart(mart.ml_features(partial, *args), path, unit="DD")
+    sinks.refresh_mart(mart.ml_features(t.trips.filter(late), *args), path, unit="DD")
     return sinks.read_mart(spark, path)
 
 
@@ -213,7 +228,8 @@ def mart_refresh(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ml_features(spark: SparkSession, sf: str) -> DataFrame:
-    return full_mart(spark, sf)
+    t = b.tables(spark, sf)
+    return mart.ml_features(t.trips, t.weather, t.civic_events, t.economics)
 
 
 def ml_features_fanout(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,8 +251,8 @@ def with_day_trips(report: Callable) -> Query:
     return lambda spark, sf: report(b.day_trips(spark, sf))
 
 
-def on_mart(report: Callable, columns: tuple[str, ...], *args) -> Query:
-    return lambda spark, sf: report(full_mart(spark, sf, columns), *args)
+def on_mart(report: Callable, *args) -> Query:
+    return lambda spark, sf: report(stored_mart(spark, sf), *args)
 
 
 def top_zone_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,7 +270,7 @@ def zone_name_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def counts_of(spark: SparkSession, sf: str) -> DataFrame:
-    return mart.hourly_counts(b.trips(spark, sf))
+    return stored_mart(spark, sf).select(*COUNTS)
 
 
 def on_counts(operator: Callable) -> Query:
@@ -267,7 +283,7 @@ def fill_economic(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def features_train(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(features.features_train(full_mart(spark, sf)))
+    return rounded(features.features_train(stored_mart(spark, sf)))
 
 
 def features_serve(spark: SparkSession, sf: str) -> DataFrame:
@@ -276,7 +292,7 @@ def features_serve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_nulls(spark: SparkSession, sf: str) -> DataFrame:
-    return features.feature_nulls(features.features_train(full_mart(spark, sf)))
+    return features.feature_nulls(features.features_train(stored_mart(spark, sf)))
 
 
 # ---- requests -----------------------------------------------------------------
@@ -380,13 +396,13 @@ def prediction_interval(spark: SparkSession, sf: str) -> DataFrame:
 
 def interval_calibrated(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _train_test(spark, sf)
-    parts = split.validation_tail(train)
+    parts = settle(split.validation_tail(train), "fit-validation")
     fit = parts.filter("split = 'fit'").drop("split")
     validation = parts.filter("split = 'validation'").drop("split")
     bands = baseline.residual_bands(baseline.baseline_predictions(fit, validation))
     scored = baseline.baseline_predictions(fit, test)
     return rounded(
-        baseline.interval_calibrated(scored.select("hour_bucket", "zone_id", "actual", "prediction"), bands), 4
+        baseline.interval_calibrated(scored.select("hour_bucket", "zone_id", "actual", "prediction"), bands), 8
     )
 
 
@@ -396,7 +412,7 @@ DRIFT_INPUT = ("hour_bucket", *monitoring.DRIFT_COLUMNS, monitoring.TARGET)
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.label_periods(full_mart(spark, sf, DRIFT_INPUT), REFERENCE, CURRENT)
+    return drift.label_periods(stored_mart(spark, sf).select(*DRIFT_INPUT), REFERENCE, CURRENT)
 
 
 def drift_numeric(spark: SparkSession, sf: str) -> DataFrame:
@@ -414,48 +430,44 @@ def drift_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- models -------------------------------------------------------------------
 
-_artifacts: dict[tuple, tuple] = {}
+_fitted: dict[tuple, object] = {}
 
 
-def _matrix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Feature matrix of the hourly mart, split in time; training rows carry fit / validation."""
-    rows = full_mart(spark, sf)
-    parts = split.split_or_fallback(rows)
-    train = parts.filter("split = 'train'").drop("split")
-    medians = features.weather_medians(train)
+def _matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature matrix of the hourly mart; `split` is fit, validation or test, in time order."""
+    parts = settle(split.split_or_fallback(stored_mart(spark, sf)), "parts")
+    train = parts.filter("split = 'train'")
     # Trailing means look back over the split; fills come from the training part only.
-    whole = features.features_train(
-        parts, keep=("hour_bucket", "zone_id", "trip_count", "split"), medians=medians, past_only=True
+    matrix = features.features_train(
+        parts,
+        keep=("hour_bucket", "zone_id", "trip_count", "split"),
+        medians=features.weather_medians(train),
+        past_only=True,
     )
-    matrix = whole.filter("split = 'train'").drop("split")
-    return split.validation_tail(matrix), whole.filter("split = 'test'").drop("split")
+    tail = split.validation_tail(train.select(*COUNTS)).select("hour_bucket", "zone_id", F.col("split").alias("part"))
+    joined = matrix.join(tail, ["hour_bucket", "zone_id"], "left")
+    return joined.withColumn("split", F.coalesce("part", "split")).drop("part")
 
 
 def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The split matrix as stored tables, written once per application."""
-    key = (spark.sparkContext.applicationId, sf, "matrix")
-    if key not in _artifacts:
-        path = scratch(spark, "matrix")
-        for name, part in zip(("train", "test"), _matrix(spark, sf)):
-            sinks.replace(part, f"{path}/{name}")
-        _artifacts[key] = (path,)
-    (path,) = _artifacts[key]
-    return spark.read.parquet(f"{path}/train"), spark.read.parquet(f"{path}/test")
+    """Training rows (fit and validation) and test rows of the stored matrix."""
+    matrix = stored(pin(spark), sf, "matrix", lambda: _matrix(spark, sf))
+    return matrix.filter("split <> 'test'"), matrix.filter("split = 'test'")
 
 
 def _model(spark: SparkSession, sf: str, name: str) -> PipelineModel:
     key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _artifacts:
+    if key not in _fitted:
         train, _ = _stored(spark, sf)
-        _artifacts[key] = (training.fit(name, train.filter("split = 'fit'"), "small"),)
-    return _artifacts[key][0]
+        _fitted[key] = training.fit(name, train.filter("split = 'fit'"), "small")
+    return _fitted[key]
 
 
 def _leaves(spark: SparkSession, sf: str, name: str):
     key = (spark.sparkContext.applicationId, sf, name, "leaves")
-    if key not in _artifacts:
-        _artifacts[key] = (scoring.load_leaves(spark, _model(spark, sf, name), scratch(spark, "nodes")),)
-    return _artifacts[key][0]
+    if key not in _fitted:
+        _fitted[key] = scoring.load_leaves(spark, _model(spark, sf, name), scratch(spark, "nodes"))
+    return _fitted[key]
 
 
 def model_test_predictions(name: str) -> Query:
@@ -557,18 +569,18 @@ def local_waterfall(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "ml_features": ml_features,
-    "ml_features_fanout": ml_features_fanout,
+    "ml_features": shown(ml_features, weather_code="double"),
+    "ml_features_fanout": shown(ml_features_fanout, weather_code="double"),
     "mart_refresh": mart_refresh,
     "table_counts": table_counts,
     "constraint_violations": constraint_violations,
     "generated_weather_flags": generated_weather_flags,
     "weather_code_names": weather_code_names,
     "weather_from_json": weather_from_json,
-    "economic_from_json": economic_from_json,
+    "economic_from_json": shown(economic_from_json),
     "upsert_new_rows": upsert_new_rows,
-    "events_dedup": events_dedup,
-    "civic_events_csv": civic_events_csv,
+    "events_dedup": shown(events_dedup),
+    "civic_events_csv": shown(civic_events_csv),
     "clean_trips_loader": clean_trips(trips.clean_loader),
     "clean_trips_strict": clean_trips(trips.clean_strict),
     "month_file_counts": month_file_counts,
@@ -580,34 +592,42 @@ QUERIES: dict[str, Query] = {
     "weather_impact": with_trips(analytics.weather_impact, "weather", scheme="impact", median_of="trip_distance"),
     "weather_impact_detail": with_trips(analytics.weather_impact, "weather", scheme="detail", median_of="fare_amount"),
     "weather_impact_basic": with_trips(analytics.weather_impact, "weather", scheme="basic", median_of="fare_amount"),
-    "event_deviation": with_trips(analytics.event_deviation, "civic_events"),
+    "event_deviation": shown(with_trips(analytics.event_deviation, "civic_events")),
     "zone_leaderboard": with_trips(analytics.zone_leaderboard, "zones", limit=20),
     "dow_hour_heatmap": with_trips(analytics.dow_hour_heatmap),
     "heatmap_pivot": with_trips(analytics.heatmap_pivot),
-    "event_before_after": with_trips(analytics.event_before_after, "civic_events"),
-    "event_before_after_calendar": with_trips(analytics.event_before_after_calendar, "civic_events"),
-    "monthly_revenue_mom": with_day_trips(analytics.monthly_revenue_mom),
-    "monthly_cumulative": with_day_trips(analytics.monthly_cumulative),
+    "event_before_after": shown(
+        with_trips(analytics.event_before_after, "civic_events"), trips_day_before="double", trips_day_after="double"
+    ),
+    "event_before_after_calendar": shown(
+        with_trips(analytics.event_before_after_calendar, "civic_events"),
+        trips_day_before="double",
+        trips_day_after="double",
+    ),
+    "monthly_revenue_mom": shown(with_day_trips(analytics.monthly_revenue_mom)),
+    "monthly_cumulative": shown(with_day_trips(analytics.monthly_cumulative), prev_month_trips="double"),
     "zone_rain_share": with_trips(analytics.zone_rain_share, "weather", "zones", min_trips=MIN_ZONE_TRIPS),
     "precipitation_buckets": with_trips(analytics.precipitation_buckets, "weather"),
     "weekly_running_total": with_trips(analytics.weekly_running_total),
     "top_od_pairs": with_trips(analytics.top_od_pairs, "zones", min_trips=MIN_OD_TRIPS),
     "hour_context": with_trips(analytics.hour_context, "weather", "civic_events", "economics"),
     "hour_zone_context": with_trips(analytics.hour_zone_context, "zones", "weather", "civic_events", "economics"),
-    "demand_by_hour": on_mart(analytics.demand_by_hour, ("hour_of_day", "trip_count")),
-    "temperature_bins": on_mart(analytics.temperature_bins, ("temperature_f", "trip_count")),
-    "demand_by_weather": on_mart(analytics.demand_by_weather, ("weather_code", "trip_count")),
-    "mart_health": on_mart(monitoring.mart_health, (*COUNTS, "temperature_f", "unemployment_rate")),
-    "data_range": on_mart(analytics.data_range, COUNTS),
-    "zone_hourly_series": on_mart(analytics.zone_hourly_series, COUNTS, ZONE, START, END),
-    "period_slice": on_mart(monitoring.period_slice, DRIFT_INPUT, *CURRENT),
+    "demand_by_hour": on_mart(analytics.demand_by_hour),
+    "temperature_bins": on_mart(analytics.temperature_bins),
+    "demand_by_weather": on_mart(analytics.demand_by_weather),
+    "mart_health": on_mart(monitoring.mart_health),
+    "data_range": on_mart(analytics.data_range),
+    "zone_hourly_series": on_mart(analytics.zone_hourly_series, ZONE, START, END),
+    "period_slice": on_mart(monitoring.period_slice, *CURRENT),
     "top_zone_filter": top_zone_filter,
     "zone_name_lookup": zone_name_lookup,
-    "demand_lags": on_counts(lags.row_lags),
+    "demand_lags": shown(on_counts(lags.row_lags), demand_lag_24h="double", demand_lag_168h="double"),
     "demand_lags_filled": on_counts(lags.row_lags_filled),
-    "demand_lags_calendar": on_counts(lags.calendar_lags),
+    "demand_lags_calendar": shown(
+        on_counts(lags.calendar_lags), demand_lag_24h="double", demand_lag_168h="double"
+    ),
     "rolling_7d": on_counts(lags.rolling_week),
-    "fill_economic": fill_economic,
+    "fill_economic": shown(fill_economic),
     "features_train": features_train,
     "features_serve": features_serve,
     "feature_nulls": feature_nulls,

@@ -5,39 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+ColumnOrName = Column | str
 
-def _trunc(unit: str, ts: Column) -> Column:
+
+def _trunc(unit: str, ts: ColumnOrName) -> Column:
     return F.date_trunc(unit, ts).cast("timestamp_ntz")
 
 
-def hour_bucket(ts: Column) -> Column:
+def hour_bucket(ts: ColumnOrName) -> Column:
     return _trunc("hour", ts)
 
 
-def week_start(ts: Column) -> Column:
+def week_start(ts: ColumnOrName) -> Column:
     """Monday 00:00 of the week."""
     return _trunc("week", ts)
 
 
-def month_start(ts: Column) -> Column:
+def month_start(ts: ColumnOrName) -> Column:
     """First day of the month as a date."""
     return F.trunc(F.to_date(ts), "MM")
 
 
-def hour_of_day(ts: Column) -> Column:
+def hour_of_day(ts: ColumnOrName) -> Column:
     return F.hour(ts)
 
 
-def day_of_week(ts: Column) -> Column:
+def day_of_week(ts: ColumnOrName) -> Column:
     """Sunday is 0."""
     return F.dayofweek(ts) - 1
 
 
-def day_name(ts: Column) -> Column:
+def day_name(ts: ColumnOrName) -> Column:
     return F.date_format(ts, "E")
 
 
-def is_weekend(ts: Column) -> Column:
+def is_weekend(ts: ColumnOrName) -> Column:
     return F.when(F.dayofweek(ts).isin(1, 7), 1).otherwise(0)
 
 

@@ -55,6 +55,6 @@ def interval_calibrated(predictions: DataFrame, bands: DataFrame) -> DataFrame:
     joined = predictions.join(bands, "zone_id", "left")
     return joined.select(
         *predictions.columns,
-        F.greatest(F.lit(0.0), F.round(F.col("prediction") + F.col("q_low"), 6)).alias("interval_low"),
-        F.greatest(F.lit(0.0), F.round(F.col("prediction") + F.col("q_high"), 6)).alias("interval_high"),
+        F.greatest(F.lit(0.0), F.col("prediction") + F.col("q_low")).alias("interval_low"),
+        F.greatest(F.lit(0.0), F.col("prediction") + F.col("q_high")).alias("interval_high"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cityflow.operators.ordered import exact_quantiles, running_counts
+from cityflow.sources.store import settle
 
 PERIODS = ("reference", "current")
 BINS = 10
@@ -39,9 +40,9 @@ def numeric_values(labelled: DataFrame, features: tuple[str, ...]) -> DataFrame:
             )
         ).alias("x"),
     )
-    counts = long.groupBy("period", "x.feature", "x.value").agg(F.count("*").alias("n"))
+    counts = settle(long.groupBy("period", "x.feature", "x.value").agg(F.count("*").alias("n")), "drift-values")
     known = counts.filter(F.col("value").isNotNull())
-    medians = exact_quantiles(known, ["period", "feature"], "value", "n", {"median": 0.5})
+    medians = exact_quantiles(known, ["period", "feature"], "value", "n", {"median": 0.5}, is_stored=True)
     filled = (
         counts.filter(F.col("value").isNull())
         .join(medians, ["period", "feature"], "left")

@@ -30,12 +30,13 @@ def fill_economic(days: DataFrame, economics: DataFrame, columns: tuple[str, ...
     return fill_months(present.join(economics.select("month_start", *columns), "month_start", "left"), columns)
 
 
-def fill_by_month(mart: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Fill indicator columns that were already joined to a mart.
+def fill_by_month(rows: DataFrame, mart: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Fill indicator columns of `rows`, which were joined to `mart` by month.
 
     In time order the fill is a function of the month alone, so it runs on one
-    row per month and is joined back.
+    row per month of the mart and is joined back.
     """
-    keyed = mart.withColumn("month_start", F.trunc(F.to_date("hour_bucket"), "MM"))
-    months = keyed.groupBy("month_start").agg(*[F.max(c).alias(c) for c in columns])
-    return keyed.drop(*columns).join(fill_months(months, columns), "month_start").drop("month_start")
+    month = F.trunc(F.to_date("hour_bucket"), "MM")
+    months = mart.groupBy(month.alias("month_start")).agg(*[F.max(c).alias(c) for c in columns])
+    keyed = rows.drop(*columns).withColumn("month_start", month)
+    return keyed.join(fill_months(months, columns), "month_start").drop("month_start")

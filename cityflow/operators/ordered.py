@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cityflow.sources.store import settle
+
 SAMPLE_ROWS = 2048
 RANGES = 64
 
@@ -33,11 +35,16 @@ def _cuts(folded: DataFrame, value: str) -> Column:
     return sample.select(F.array_distinct(picks).alias("cuts")).scalar()
 
 
-def running_counts(folded: DataFrame, keys: list[str], value: str, counts: list[str]) -> DataFrame:
+def running_counts(
+    folded: DataFrame, keys: list[str], value: str, counts: list[str], is_stored: bool = False
+) -> DataFrame:
     """Add `<count>_upto` (inclusive running sum), `<count>_total` and `next_value` per key.
 
-    `folded` holds one row per (keys, value), without null values.
+    `folded` holds one row per (keys, value), without null values. It is read
+    several times, so it is stored first unless it is a stored table already.
     """
+    if not is_stored:
+        folded = settle(folded, "folded")
     ranged = folded.withColumn("_cuts", _cuts(folded, value)).withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     ).drop("_cuts")
@@ -66,14 +73,16 @@ def running_counts(folded: DataFrame, keys: list[str], value: str, counts: list[
 
 
 def exact_quantiles(
-    folded: DataFrame, keys: list[str], value: str, count: str, quantiles: dict[str, float]
+    folded: DataFrame,
+    keys: list[str],
+    value: str,
+    count: str,
+    quantiles: dict[str, float],
+    is_stored: bool = False,
 ) -> DataFrame:
-    """Interpolated quantiles (PERCENTILE_CONT) per key from (keys, value, count) rows."""
-    counted = (
-        folded.groupBy(*keys, value)
-        .agg(F.sum(count).alias("_n"))
-    )
-    ranked = running_counts(counted, keys, value, ["_n"])
+    """Interpolated quantiles (PERCENTILE_CONT) per key from rows unique in (keys, value)."""
+    counted = folded.select(*keys, value, F.col(count).alias("_n"))
+    ranked = running_counts(counted, keys, value, ["_n"], is_stored)
     first, last = F.col("_n_upto") - F.col("_n"), F.col("_n_upto") - 1
     found = []
     for name, p in quantiles.items():

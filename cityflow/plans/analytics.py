@@ -16,8 +16,9 @@ from cityflow.functions import calendar as cal
 from cityflow.functions import numbers as num
 from cityflow.functions import weather as wx
 from cityflow.operators.ordered import exact_quantiles
+from cityflow.sources.store import settle
 
-PICKUP = F.col("pickup_dt")
+PICKUP = "pickup_dt"
 
 
 def _hour() -> Column:
@@ -77,16 +78,16 @@ def weather_impact(trips: DataFrame, weather: DataFrame, scheme: str, median_of:
         wx.weather_class(F.col("weather_code"), scheme).alias("weather_category"),
     )
     measures = ("fare_amount", "trip_distance")
-    per_value = (
+    per_value = settle(
         trips.groupBy(_hour(), F.col(median_of).alias("value"))
         .agg(F.count("trip_id").alias("n"), F.count("*").alias("rows"), *num.sums(*measures))
         .join(classes, "hour_bucket")
         .groupBy("weather_category", "value")
-        .agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), *num.resums(*measures))
-    )
-    medians = exact_quantiles(
-        per_value.filter(F.col("value").isNotNull()), ["weather_category"], "value", "rows", {"median": 0.5}
+        .agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), *num.resums(*measures)),
+        "weather-values",
     )
+    known = per_value.filter(F.col("value").isNotNull())
+    medians = exact_quantiles(known, ["weather_category"], "value", "rows", {"median": 0.5}, is_stored=True)
     totals = per_value.groupBy("weather_category").agg(F.sum("n").alias("total_trips"), *num.resums(*measures))
     return (
         totals.join(medians, "weather_category", "left")

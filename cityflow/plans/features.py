@@ -84,7 +84,7 @@ def features_train(
     fills = (weather_medians(mart) if medians is None else medians).scalar()
     rows = demand_history(mart, past_only).withColumn("_m", fills)
     rows = rows.withColumns({c: F.coalesce(c, F.col(f"_m.{c}"), F.lit(0.0)) for c in WEATHER_NUMBERS})
-    rows = fill_by_month(rows.drop("_m"), ECONOMIC_COLUMNS)
+    rows = fill_by_month(rows.drop("_m"), mart, ECONOMIC_COLUMNS)
     recent, week = F.col("demand_recent_avg"), F.col("demand_rolling_7d_avg")
     if past_only:
         start = overall_mean(mart)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cityflow.functions import calendar as cal
 from cityflow.functions import weather as wx
 from cityflow.session import pin
+from cityflow.sources.store import stored
 
 
 @dataclass(frozen=True)
@@ -149,11 +150,13 @@ def economics(spark: SparkSession) -> DataFrame:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The star with its dimensions loaded as tables, as the ingest jobs leave them."""
+    pin(spark)
     return Tables(
         trips(spark, sf_dir),
-        zones(spark, sf_dir),
-        weather(spark, sf_dir),
-        civic_events(spark, sf_dir),
+        stored(spark, sf_dir, "zones", lambda: zones(spark, sf_dir)),
+        stored(spark, sf_dir, "weather", lambda: weather(spark, sf_dir)),
+        stored(spark, sf_dir, "civic-events", lambda: civic_events(spark, sf_dir)),
         economics(spark),
     )
 

@@ -33,37 +33,39 @@ def upsert_new_rows(new: DataFrame, path: str, key: list[str]) -> None:
     append(absent_rows(new, spark.read.parquet(path), key), path)
 
 
-def write_mart(mart: DataFrame, path: str) -> None:
-    """Mart table by date, rows of a file ordered by zone for row-group skipping."""
-    dated = mart.withColumn("mart_date", F.to_date("hour_bucket"))
+def write_mart(mart: DataFrame, path: str, unit: str = "MM", mode: str = "static") -> None:
+    """Mart table with one folder per calendar unit, rows ordered by zone for row-group skipping.
+
+    A month of one row per hour and zone is a file of sensible size and bounds
+    what meets in one task. ``mode="dynamic"`` replaces only the units that
+    occur in `mart` and leaves all others untouched.
+    """
+    dated = mart.withColumn("mart_unit", F.to_date(F.date_trunc(unit, "hour_bucket")))
     (
-        dated.repartition("mart_date")
-        .sortWithinPartitions("mart_date", "zone_id", "hour_bucket")
+        dated.repartition("mart_unit")
+        .sortWithinPartitions("mart_unit", "zone_id", "hour_bucket")
         .write.mode("overwrite")
-        .partitionBy("mart_date")
+        .option("partitionOverwriteMode", mode)
+        .partitionBy("mart_unit")
         .parquet(path)
     )
 
 
-def refresh_mart_days(mart: DataFrame, path: str) -> None:
-    """Replace only the dates that occur in `mart`; all other dates stay untouched."""
-    dated = mart.withColumn("mart_date", F.to_date("hour_bucket"))
-    (
-        dated.repartition("mart_date")
-        .sortWithinPartitions("mart_date", "zone_id", "hour_bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("mart_date")
-        .parquet(path)
-    )
+def refresh_mart(mart: DataFrame, path: str, unit: str = "MM") -> None:
+    """Replace the touched calendar units of a stored mart."""
+    write_mart(mart, path, unit, "dynamic")
 
 
-def read_mart(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Read [start, end) of a stored mart; the dates prune partitions."""
+def read_mart(
+    spark: SparkSession, path: str, start: str | None = None, end: str | None = None, unit: str = "MM"
+) -> DataFrame:
+    """Read [start, end) of a stored mart; the bounds prune folders."""
     mart = spark.read.parquet(path)
-    h, d = F.col("hour_bucket"), F.col("mart_date")
+    h, u = F.col("hour_bucket"), F.col("mart_unit")
     if start:
-        mart = mart.filter((h >= F.lit(start).cast("timestamp_ntz")) & (d >= F.to_date(F.lit(start))))
+        first = F.lit(start).cast("timestamp_ntz")
+        mart = mart.filter((h >= first) & (u >= F.to_date(F.date_trunc(unit, first))))
     if end:
-        mart = mart.filter((h < F.lit(end).cast("timestamp_ntz")) & (d <= F.to_date(F.lit(end))))
-    return mart.drop("mart_date")
+        last = F.lit(end).cast("timestamp_ntz")
+        mart = mart.filter((h < last) & (u <= F.to_date(last)))
+    return mart.drop("mart_unit")
