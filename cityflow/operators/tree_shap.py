@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_LEAVES = 2_000_000
-CELLS_PER_CHUNK = 4_000_000
+CELLS_PER_CHUNK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,9 @@ def attributions(leaves: Leaves, x: np.ndarray) -> np.ndarray:
     nodes, weights = (nodes + 1) / 2, weights / 2
     out = np.zeros((len(x), leaves.n_features))
     step = max(1, CELLS_PER_CHUNK // (n_leaves * depth))
-    target = leaves.feature.ravel()
+    # Adds the cells of a feature up, whatever leaf they belong to.
+    gather = np.zeros((n_leaves * depth, leaves.n_features))
+    gather[np.arange(n_leaves * depth), leaves.feature.ravel()] = 1.0
     for start in range(0, len(x), step):
         part = x[start : start + step][:, leaves.feature]
         passed = (part > leaves.low) & (part <= leaves.high)
@@ -95,9 +97,7 @@ def attributions(leaves: Leaves, x: np.ndarray) -> np.ndarray:
             factor = leaves.cover * (1 - t) + passed * t
             inner += w * factor.prod(axis=2, keepdims=True) / factor
         phi = leaves.value[:, None] * (passed - leaves.cover) * inner
-        flat = phi.reshape(len(phi), -1)
-        for j in np.unique(target):
-            out[start : start + step, j] = flat[:, target == j].sum(axis=1)
+        out[start : start + step] = phi.reshape(len(phi), -1) @ gather
     return out
 
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cityflow.functions import calendar as cal
 from cityflow.functions import weather as wx
@@ -15,17 +16,45 @@ from cityflow.sources.store import stored
 
 @dataclass(frozen=True)
 class Tables:
-    """The star: one fact and four dimensions, each with at most one row per key."""
+    """The star: one fact and four dimensions, each with at most one row per key.
 
-    trips: DataFrame
-    zones: DataFrame
-    weather: DataFrame
-    civic_events: DataFrame
-    economics: DataFrame
+    The dimensions are loaded as stored tables on first use, as the ingest jobs
+    leave them, so the planner knows their size.
+    """
+
+    spark: SparkSession
+    sf_dir: str
+
+    @property
+    def trips(self) -> DataFrame:
+        return trips(self.spark, self.sf_dir)
+
+    @property
+    def zones(self) -> DataFrame:
+        return stored(self.spark, self.sf_dir, "zones", lambda: zones(self.spark, self.sf_dir))
+
+    @property
+    def weather(self) -> DataFrame:
+        return stored(self.spark, self.sf_dir, "weather", lambda: weather(self.spark, self.sf_dir))
+
+    @property
+    def civic_events(self) -> DataFrame:
+        return stored(self.spark, self.sf_dir, "civic-events", lambda: civic_events(self.spark, self.sf_dir))
+
+    @property
+    def economics(self) -> DataFrame:
+        return economics(self.spark)
+
+
+_schemas: dict[str, StructType] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return pin(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A benchmark table; its schema is inferred once per path."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return pin(spark).read.schema(_schemas[path]).parquet(path)
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,15 +179,7 @@ def economics(spark: SparkSession) -> DataFrame:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The star with its dimensions loaded as tables, as the ingest jobs leave them."""
-    pin(spark)
-    return Tables(
-        trips(spark, sf_dir),
-        stored(spark, sf_dir, "zones", lambda: zones(spark, sf_dir)),
-        stored(spark, sf_dir, "weather", lambda: weather(spark, sf_dir)),
-        stored(spark, sf_dir, "civic-events", lambda: civic_events(spark, sf_dir)),
-        economics(spark),
-    )
+    return Tables(pin(spark), sf_dir)
 
 
 def day_trips(spark: SparkSession, sf_dir: str) -> DataFrame:

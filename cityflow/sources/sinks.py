@@ -20,11 +20,9 @@ def absent_rows(new: DataFrame, existing: DataFrame, key: list[str]) -> DataFram
     Of several new rows with a key the least one is kept, folded map-side.
     """
     rest = [c for c in new.columns if c not in key]
-    unseen = new.join(existing.select(*key), key, "left_anti")
-    if not rest:
-        return unseen.distinct()
-    picked = unseen.groupBy(*key).agg(F.min(F.struct(*rest)).alias("r"))
-    return picked.select(*key, *[F.col(f"r.{c}").alias(c) for c in rest]).select(*new.columns)
+    picked = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("r")) if rest else new.distinct()
+    unseen = picked.join(existing.select(*key), key, "left_anti")
+    return unseen.select(*[F.col(c) if c in key else F.col(f"r.{c}").alias(c) for c in new.columns])
 
 
 def upsert_new_rows(new: DataFrame, path: str, key: list[str]) -> None:

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from cityflow.session import scratch
 
-_paths: dict[tuple[str, str, str], str] = {}
+_tables: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def settle(rows: DataFrame, name: str = "settled") -> DataFrame:
@@ -33,12 +34,13 @@ def stored(
 ) -> DataFrame:
     """The table `name` derived from `source`, built once per application."""
     key = (spark.sparkContext.applicationId, source, name)
-    if key not in _paths:
+    if key not in _tables:
         path = scratch(spark, name)
         rows = build()
         if write:
             write(rows, path)
         else:
             rows.write.parquet(path)
-        _paths[key] = path
-    return spark.read.parquet(_paths[key])
+        _tables[key] = (path, spark.read.parquet(path).schema)
+    path, schema = _tables[key]
+    return spark.read.schema(schema).parquet(path)
