@@ -169,24 +169,27 @@ def brute_force(nodes: pd.DataFrame, weight: dict, x: np.ndarray, n: int) -> np.
 
 
 @pytest.mark.parametrize("name", ["random_forest", "boosted_a"])
-def test_attributions(spark, trained, tmp_path, name):
+def test_attributions_add_up(spark, trained, tmp_path, name):
     runs, test = trained
     model = next(r.fitted for r in runs if r.model == name)
-    path = str(tmp_path / "nodes")
-    leaves = scoring.load_leaves(spark, model, path)
+    leaves = scoring.load_leaves(spark, model, str(tmp_path / "nodes"))
     rows = scoring.explained(test.orderBy("hour_bucket").limit(40), model, leaves).collect()
     for r in rows:
         assert sum(r.contributions) + r.base_value == pytest.approx(r.raw_prediction, rel=1e-9)
-    stage = model.stages[-1]
+
+
+@pytest.mark.parametrize("name,small", [("random_forest", {"numTrees": 3}), ("boosted_a", {"maxIter": 3})])
+def test_attributions_equal_brute_force(spark, matrix, tmp_path, name, small):
+    model = training.fit(name, matrix, "small", maxDepth=3, **small)
+    path = str(tmp_path / "nodes")
+    leaves = scoring.load_leaves(spark, model, path)
     nodes = tree_shap.model_nodes(spark, path)
-    nodes = nodes[nodes.treeID < 3]
-    each = 1 / stage.getNumTrees if name == "random_forest" else None
-    weight = {i: each or w for i, w in enumerate(stage.treeWeights)}
-    part = tree_shap.leaf_paths(nodes, 24, weight)
-    for r in rows[:3]:
+    stage = model.stages[-1]
+    weight = {i: 1 / 3 if name == "random_forest" else w for i, w in enumerate(stage.treeWeights)}
+    for r in matrix.limit(5).collect():
         x = np.array([float(r[c]) for c in MODEL_FEATURES])
         want = brute_force(nodes, weight, x, 24)
-        assert tree_shap.attributions(part, x[None, :])[0] == pytest.approx(want, abs=1e-9)
+        assert tree_shap.attributions(leaves, x[None, :])[0] == pytest.approx(want, abs=1e-9)
 
 
 def test_reports_on_attributions(spark, trained, tmp_path):
