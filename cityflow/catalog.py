@@ -187,7 +187,7 @@ def clean_trips(rule: Callable) -> Query:
 
 def systematic_sample(spark: SparkSession, sf: str) -> DataFrame:
     cleaned = trips.clean_for_sample(b.raw_trips(spark, sf), extra=("trip_id",))
-    return sampling.every_nth(cleaned, "trip_id", 6, block_rows=4096)
+    return sampling.every_nth(cleaned, "trip_id", 6)
 
 
 def random_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,6 +255,13 @@ def on_mart(report: Callable, *args) -> Query:
     return lambda spark, sf: report(stored_mart(spark, sf), *args)
 
 
+def ml_features_lags(spark: SparkSession, sf: str) -> DataFrame:
+    """The mart variant with row lags, in which unknown weather leaves the flags empty."""
+    t = b.tables(spark, sf)
+    rows = mart.ml_features(t.trips, t.weather, t.civic_events, t.economics, unknown_weather=None)
+    return lags.row_lags(rows)
+
+
 def top_zone_filter(spark: SparkSession, sf: str) -> DataFrame:
     chosen = b.zones(spark, sf).filter(F.col("borough").isin("ASIA", "EUROPE"))
     return analytics.top_zone_filter(time_mart(spark, sf), chosen)
@@ -328,6 +335,18 @@ def request_rows(spark: SparkSession, sf: str) -> DataFrame:
     return requests.request_rows(checked.filter("accepted"))
 
 
+def safe_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers with gaps, NaN and infinities made safe to show."""
+    e, v = F.col("event_id"), F.col("value") / 7
+    dirty = (
+        F.when(e % 10 == 0, float("nan"))
+        .when(e % 10 == 1, float("inf"))
+        .when(e % 10 == 2, float("-inf"))
+        .when(e % 10 != 3, v)
+    )
+    return b.read(spark, sf, "events").select("event_id", num.safe_float(dirty).alias("shown"))
+
+
 # ---- splits, baseline, metrics ------------------------------------------------
 
 
@@ -571,6 +590,14 @@ def local_waterfall(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "ml_features": shown(ml_features, weather_code="double"),
     "ml_features_fanout": shown(ml_features_fanout, weather_code="double"),
+    "ml_features_lags": shown(
+        ml_features_lags,
+        weather_code="double",
+        is_raining="double",
+        is_snowing="double",
+        demand_lag_24h="double",
+        demand_lag_168h="double",
+    ),
     "mart_refresh": mart_refresh,
     "table_counts": table_counts,
     "constraint_violations": constraint_violations,
@@ -633,6 +660,7 @@ QUERIES: dict[str, Query] = {
     "feature_nulls": feature_nulls,
     "validate_requests": validate_requests,
     "request_rows": request_rows,
+    "safe_numbers": safe_numbers,
     "temporal_split": temporal_split,
     "fallback_split": fallback_split,
     "validation_tail": validation_tail,

@@ -16,12 +16,13 @@ from pyspark.sql.window import Window as W
 
 from cityflow.sources.store import settle
 
-SAMPLE_ROWS = 2048
-RANGES = 64
+SAMPLE_ROWS = 4096
+STEP = 16
+RANGES = STEP * STEP
 
 
 def _cuts(folded: DataFrame, value: str) -> Column:
-    """Ascending cut points as one array of at most RANGES - 1 doubles."""
+    """Ascending cut points as one array of RANGES - 1 doubles."""
     sample = (
         folded.select(F.col(value).cast("double").alias("v"))
         .orderBy(F.xxhash64("v"), "v")
@@ -32,7 +33,20 @@ def _cuts(folded: DataFrame, value: str) -> Column:
         F.sequence(F.lit(1), F.lit(RANGES - 1)),
         lambda i: F.get("vs", F.floor(i * F.size("vs") / RANGES).cast("int")),
     )
-    return sample.select(F.array_distinct(picks).alias("cuts")).scalar()
+    return sample.select(picks.alias("cuts")).scalar()
+
+
+def with_range(folded: DataFrame, value: str) -> DataFrame:
+    """Add `_range`, the number of cut points below the value.
+
+    Every STEP-th cut is tried first, then the STEP cuts after the last one below.
+    """
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))
+    cut = folded.withColumn("_cuts", _cuts(folded, value))
+    coarse = F.filter("_cuts", lambda _, i: i % STEP == STEP - 1)
+    cut = cut.withColumn("_coarse", below(coarse) * STEP)
+    fine = F.slice("_cuts", F.col("_coarse") + 1, STEP)
+    return cut.withColumn("_range", F.col("_coarse") + below(fine)).drop("_cuts", "_coarse")
 
 
 def running_counts(
@@ -45,9 +59,7 @@ def running_counts(
     """
     if not is_stored:
         folded = settle(folded, "folded")
-    ranged = folded.withColumn("_cuts", _cuts(folded, value)).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    ).drop("_cuts")
+    ranged = with_range(folded, value)
     by_range = ranged.groupBy(*keys, "_range").agg(
         F.min(value).alias("_first"), *[F.sum(c).alias(f"_{c}") for c in counts]
     )

@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_LEAVES = 2_000_000
+MAX_LEAF_CELLS = 16_000_000  # leaves x path length; 32 bytes each when shipped
+CELLS_PER_LEAF_BLOCK = 30_000
 CELLS_PER_CHUNK = 1_000_000
+LOOKUP_DEPTH = 6
 
 
 @dataclass(frozen=True)
@@ -67,10 +69,10 @@ def leaf_paths(nodes: pd.DataFrame, n_features: int, tree_weight: dict[int, floa
             down, up = left[node], right[node]
             stack.append((down, {**tests, j: (low, min(high, cut), z * count[down] / count[node])}))
             stack.append((up, {**tests, j: (max(low, cut), high, z * count[up] / count[node])}))
-    if len(paths) > MAX_LEAVES:
-        raise ValueError(f"{len(paths)} leaves exceed the bound of {MAX_LEAVES} for a shipped model")
     depth = max(1, max(len(tests) for tests, _ in paths))
     shape = (len(paths), depth)
+    if len(paths) * depth > MAX_LEAF_CELLS:
+        raise ValueError(f"{shape} leaf cells exceed the bound of {MAX_LEAF_CELLS} for a shipped model")
     feature, cover = np.zeros(shape, dtype=np.int64), np.ones(shape)
     low, high = np.full(shape, -np.inf), np.full(shape, np.inf)
     for i, (tests, _) in enumerate(paths):
@@ -79,25 +81,46 @@ def leaf_paths(nodes: pd.DataFrame, n_features: int, tree_weight: dict[int, floa
     return Leaves(feature, low, high, cover, np.array([v for _, v in paths]), n_features)
 
 
+def _shares(value: np.ndarray, cover: np.ndarray, passed: np.ndarray) -> np.ndarray:
+    """The formula above for every cell of `passed`; the last axis runs over a path's features."""
+    depth = cover.shape[-1]
+    nodes, weights = np.polynomial.legendre.leggauss((depth + 1) // 2)
+    inner = np.zeros(np.broadcast_shapes(cover.shape, passed.shape))
+    for t, w in zip((nodes + 1) / 2, weights / 2):
+        factor = cover * (1 - t) + passed * t
+        inner += w * factor.prod(axis=-1, keepdims=True) / factor
+    return value * (passed - cover) * inner
+
+
 def attributions(leaves: Leaves, x: np.ndarray) -> np.ndarray:
-    """(rows, features) Shapley values; they add up to prediction - base."""
+    """(rows, features) Shapley values; they add up to prediction - base.
+
+    A leaf only sees which of its d features pass, so for short paths the 2^d
+    outcomes are worked out once and looked up. Leaves and rows are taken in
+    blocks to bound memory.
+    """
     n_leaves, depth = leaves.feature.shape
-    nodes, weights = np.polynomial.legendre.leggauss((depth + 1) // 2)
-    nodes, weights = (nodes + 1) / 2, weights / 2
     out = np.zeros((len(x), leaves.n_features))
-    step = max(1, CELLS_PER_CHUNK // (n_leaves * depth))
-    # Adds the cells of a feature up, whatever leaf they belong to.
-    gather = np.zeros((n_leaves * depth, leaves.n_features))
-    gather[np.arange(n_leaves * depth), leaves.feature.ravel()] = 1.0
-    for start in range(0, len(x), step):
-        part = x[start : start + step][:, leaves.feature]
-        passed = (part > leaves.low) & (part <= leaves.high)
-        inner = np.zeros(part.shape)
-        for t, w in zip(nodes, weights):
-            factor = leaves.cover * (1 - t) + passed * t
-            inner += w * factor.prod(axis=2, keepdims=True) / factor
-        phi = leaves.value[:, None] * (passed - leaves.cover) * inner
-        out[start : start + step] = phi.reshape(len(phi), -1) @ gather
+    outcomes = 2**depth
+    by_lookup = depth <= LOOKUP_DEPTH and len(x) > outcomes
+    bits = (np.arange(outcomes)[:, None] >> np.arange(depth) & 1) if by_lookup else None
+    block = max(1, CELLS_PER_LEAF_BLOCK // depth)
+    for a in range(0, n_leaves, block):
+        feature, low, high = (v[a : a + block] for v in (leaves.feature, leaves.low, leaves.high))
+        cover, value = leaves.cover[a : a + block], leaves.value[a : a + block]
+        n = len(feature)
+        # Adds the cells of a feature up, whatever leaf they belong to.
+        gather = np.zeros((n * depth, leaves.n_features))
+        gather[np.arange(n * depth), feature.ravel()] = 1.0
+        if by_lookup:
+            table = _shares(value[:, None, None], cover[:, None, :], bits[None]).reshape(n * outcomes, depth)
+            first, place = np.arange(n) * outcomes, 1 << np.arange(depth)
+        step = max(1, CELLS_PER_CHUNK // (n * depth))
+        for r in range(0, len(x), step):
+            part = x[r : r + step][:, feature]
+            passed = (part > low) & (part <= high)
+            phi = table[first + passed @ place] if by_lookup else _shares(value[:, None], cover, passed)
+            out[r : r + step] += phi.reshape(len(phi), -1) @ gather
     return out
 
 

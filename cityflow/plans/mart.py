@@ -81,24 +81,16 @@ def ml_features(
     economics: DataFrame,
     columns: tuple[str, ...] = MART_COLUMNS,
     event_rows: str = "per_day",
+    unknown_weather: int | None = 0,
 ) -> DataFrame:
     """Build the mart; only dimensions that supply a requested column are joined.
 
     ``event_rows="per_day"`` keeps one row per (hour, zone). ``"as_listed"``
     repeats a row for every differing event of its day, as a plain left join of
-    the trips with the event list would.
+    the trips with the event list would. ``unknown_weather`` is the value of the
+    rain and snow flags in hours without an observation.
     """
-    return decorate(with_calendar(hourly_counts(trips)), weather, events, economics, columns, event_rows)
-
-
-def decorate(
-    mart: DataFrame,
-    weather: DataFrame,
-    events: DataFrame,
-    economics: DataFrame,
-    columns: tuple[str, ...] = MART_COLUMNS,
-    event_rows: str = "per_day",
-) -> DataFrame:
+    mart = with_calendar(hourly_counts(trips))
     wanted = set(columns)
     if wanted & set(WEATHER_COLUMNS):
         code = F.col("weather_code")
@@ -110,8 +102,8 @@ def decorate(
         )
         mart = (
             mart.join(obs, "hour_bucket", "left")
-            .withColumn("is_raining", F.coalesce("_rain", F.lit(0)))
-            .withColumn("is_snowing", F.coalesce("_snow", F.lit(0)))
+            .withColumn("is_raining", F.coalesce("_rain", F.lit(unknown_weather)))
+            .withColumn("is_snowing", F.coalesce("_snow", F.lit(unknown_weather)))
             .drop("_rain", "_snow")
         )
     if event_rows == "as_listed" or wanted & set(EVENT_COLUMNS):

@@ -46,16 +46,23 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def request_rows(accepted: DataFrame, keep: tuple[str, ...] = ("request_id",)) -> DataFrame:
-    """Model input rows of accepted requests; history and indicators are unknown and sent as 0."""
+def request_rows(
+    accepted: DataFrame, keep: tuple[str, ...] = ("request_id",), monday_first: bool = False
+) -> DataFrame:
+    """Model input rows of accepted requests; history and indicators are unknown and sent as 0.
+
+    The mart counts weekdays from Sunday = 0 and requests do too, so that a model
+    meets the numbers it was trained on. ``monday_first`` counts from Monday = 0.
+    """
     h, code = F.col("request_dt"), F.col("weather_code")
+    weekday = F.weekday(h) if monday_first else cal.day_of_week(h)
     zero = ("demand_lag_24h", "demand_lag_168h", "unemployment_rate", "gas_price_avg", "consumer_sentiment")
     return accepted.select(
         *keep,
         "zone_id",
         "request_dt",
         cal.hour_of_day(h).alias("hour_of_day"),
-        cal.day_of_week(h).alias("day_of_week"),
+        weekday.alias("day_of_week"),
         F.month(h).alias("month"),
         cal.is_weekend(h).alias("is_weekend"),
         "temperature_f",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +34,15 @@ TYPES = {
 }
 
 
-def first_existing(paths: list[str]) -> str | None:
-    """The primary path, or the first fallback that exists on this file system."""
-    return next((p for p in paths if os.path.exists(p)), None)
+def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
+    """The primary path, or the first fallback that exists on its file system."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def exists(name: str) -> bool:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(hadoop).exists(path)
+
+    return next((p for p in paths if exists(p)), None)
 
 
 def listed(spark: SparkSession, rows: tuple) -> DataFrame:

@@ -306,13 +306,16 @@ def event_report(joined: str) -> str:
         {PCT('after - trips', 'trips', 1)} AS pct_change_next_day FROM ({joined})"""
 
 
-MART_COLUMNS = """hour_bucket, zone_id, trip_count, hour_of_day, day_of_week, month, is_weekend, temperature_f, feels_like_f,
-    precipitation_mm, windspeed_mph, humidity_pct, weather_code, is_raining, is_snowing, has_major_event, event_attendance,
-    unemployment_rate, gas_price_avg, consumer_sentiment"""
-
 ORACLES: dict[str, str] = {
     "ml_features": over("mart", "SELECT * FROM mart"),
     "ml_features_fanout": over("trips weather_hourly civic_fanout economic", mart_sql("civic_fanout")),
+    "ml_features_lags": over(
+        "mart weather_hourly",
+        f"""SELECT m.* EXCLUDE (is_raining, is_snowing), CAST(w.is_raining AS INTEGER) AS is_raining,
+        CAST(w.is_snowing AS INTEGER) AS is_snowing, lag(trip_count, 24) OVER {ZONE_ROWS.format(frame='')} AS demand_lag_24h,
+        lag(trip_count, 168) OVER {ZONE_ROWS.format(frame='')} AS demand_lag_168h
+        FROM mart m LEFT JOIN weather_hourly w ON hour_bucket = obs_dt""",
+    ),
     "mart_refresh": over(
         "mart", "SELECT hour_bucket, zone_id, trip_count, hour_of_day, day_of_week, month, is_weekend FROM mart"
     ),
@@ -632,6 +635,7 @@ ORACLES: dict[str, str] = {
     ),
     "validate_requests": over("checked", "SELECT *, errors = '' AS accepted FROM checked"),
     "request_rows": over("request_rows", "SELECT * FROM request_rows"),
+    "safe_numbers": f"""SELECT event_id, CASE WHEN event_id % 10 < 4 THEN 0 ELSE {R('value / 7', 4)} END AS shown FROM events""",
     "temporal_split": over(
         "train test",
         """SELECT hour_bucket, zone_id, trip_count, 'train' AS split FROM train UNION ALL
@@ -706,6 +710,9 @@ ORACLES: dict[str, str] = {
 SHOWN = {
     "ml_features": {"weather_code": "DOUBLE"},
     "ml_features_fanout": {"weather_code": "DOUBLE"},
+    "ml_features_lags": {
+        c: "DOUBLE" for c in ("weather_code", "is_raining", "is_snowing", "demand_lag_24h", "demand_lag_168h")
+    },
     "economic_from_json": {"month_start": "TIMESTAMP"},
     "events_dedup": {"event_date": "TIMESTAMP"},
     "civic_events_csv": {"event_date": "TIMESTAMP"},

@@ -122,11 +122,11 @@ def test_user_events_lose_against_built_in_ones(spark, tmp_path):
     assert (rows["Street Fair"].est_attendance, rows["Street Fair"].is_major) == (0, False)
 
 
-def test_first_existing(tmp_path):
+def test_first_existing(spark, tmp_path):
     there = tmp_path / "sample.csv"
     there.write_text("x")
-    assert civic.first_existing([str(tmp_path / "none.csv"), str(there)]) == str(there)
-    assert civic.first_existing([str(tmp_path / "none.csv")]) is None
+    assert civic.first_existing(spark, [str(tmp_path / "none.csv"), str(there)]) == str(there)
+    assert civic.first_existing(spark, [str(tmp_path / "none.csv")]) is None
 
 
 def test_upsert_keeps_stored_rows(spark, tmp_path):

@@ -45,18 +45,12 @@ def test_running_counts_match_brute_force(spark, skewed):
 
 
 def test_a_hot_key_is_cut_into_many_ranges(spark, skewed):
-    table = folded(spark, skewed)
-    cuts = ordered._cuts(table, "v")
-    ranges = (
-        table.withColumn("c", cuts)
-        .withColumn("r", F.size(F.filter("c", lambda c: c < F.col("v"))))
-        .filter("k = 'hot'")
-        .groupBy("r")
-        .count()
-        .collect()
-    )
+    ranged = ordered.with_range(folded(spark, skewed), "v")
+    ranges = ranged.filter("k = 'hot'").groupBy("_range").agg(F.count("*").alias("n"), F.min("v"), F.max("v")).collect()
     assert len(ranges) > ordered.RANGES / 2
-    assert max(r["count"] for r in ranges) < 0.1 * sum(r["count"] for r in ranges)
+    assert max(r.n for r in ranges) < 0.05 * sum(r.n for r in ranges)
+    ranges.sort(key=lambda r: r._range)
+    assert all(a[3] < b[2] for a, b in zip(ranges, ranges[1:]))
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
