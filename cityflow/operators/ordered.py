@@ -22,18 +22,17 @@ RANGES = STEP * STEP
 
 
 def _cuts(folded: DataFrame, value: str) -> Column:
-    """Ascending cut points as one array of RANGES - 1 doubles."""
+    """RANGES - 1 ascending cut points, `all` of them and every STEP-th as `coarse`."""
     sample = (
         folded.select(F.col(value).cast("double").alias("v"))
         .orderBy(F.xxhash64("v"), "v")
         .limit(SAMPLE_ROWS)
         .agg(F.array_sort(F.collect_list("v")).alias("vs"))
     )
-    picks = F.transform(
-        F.sequence(F.lit(1), F.lit(RANGES - 1)),
-        lambda i: F.get("vs", F.floor(i * F.size("vs") / RANGES).cast("int")),
-    )
-    return sample.select(picks.alias("cuts")).scalar()
+    pick = lambda i: F.get("vs", F.floor(i * F.size("vs") / RANGES).cast("int"))
+    every = F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), pick)
+    coarse = F.transform(F.sequence(F.lit(STEP), F.lit(RANGES - 1), F.lit(STEP)), pick)
+    return sample.select(F.struct(every.alias("all"), coarse.alias("coarse"))).scalar()
 
 
 def with_range(folded: DataFrame, value: str) -> DataFrame:
@@ -43,9 +42,8 @@ def with_range(folded: DataFrame, value: str) -> DataFrame:
     """
     below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))
     cut = folded.withColumn("_cuts", _cuts(folded, value))
-    coarse = F.filter("_cuts", lambda _, i: i % STEP == STEP - 1)
-    cut = cut.withColumn("_coarse", below(coarse) * STEP)
-    fine = F.slice("_cuts", F.col("_coarse") + 1, STEP)
+    cut = cut.withColumn("_coarse", below(F.col("_cuts.coarse")) * STEP)
+    fine = F.slice("_cuts.all", F.col("_coarse") + 1, STEP)
     return cut.withColumn("_range", F.col("_coarse") + below(fine)).drop("_cuts", "_coarse")
 
 

@@ -1,0 +1,12 @@
+"""Measured size checks for join sides."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+BROADCAST_ROWS = 1_000_000
+
+
+def is_small(side: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether the frame has at most `rows` rows; counting stops right after that."""
+    return side.limit(rows + 1).count() <= rows

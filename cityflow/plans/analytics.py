@@ -2,7 +2,7 @@
 
 Every report folds the trips to its join keys before a dimension is joined, so
 what meets the dimension is bounded by calendar x zones, and a hot key is
-folded map-side. Windows without a partition key only ever run over frames
+folded map-side; the weather classes are the one exception, see there. Windows without a partition key only ever run over frames
 with one row per day, month or report line.
 """
 
@@ -16,6 +16,7 @@ from cityflow.functions import calendar as cal
 from cityflow.functions import numbers as num
 from cityflow.functions import weather as wx
 from cityflow.operators.ordered import exact_quantiles
+from cityflow.operators.sizes import BROADCAST_ROWS, is_small
 from cityflow.sources.store import settle
 
 PICKUP = "pickup_dt"
@@ -67,25 +68,34 @@ def grand_totals(trips: DataFrame) -> DataFrame:
     )
 
 
-def weather_impact(trips: DataFrame, weather: DataFrame, scheme: str, median_of: str) -> DataFrame:
+def weather_impact(
+    trips: DataFrame, weather: DataFrame, scheme: str, median_of: str, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Trips, mean fare and distance, exact median and share per weather class.
 
-    The median is taken from value counts per hour, so the class is attached to
-    (hour, value) pairs and never to single trips.
+    The median needs value counts per class. An hourly table that is measured to
+    be small is broadcast, so trips fold map-side to (class, value). A larger
+    one meets trips folded to (hour, value), which no hot hour can unbalance.
     """
     classes = weather.select(
         F.col("obs_dt").alias("hour_bucket"),
         wx.weather_class(F.col("weather_code"), scheme).alias("weather_category"),
     )
     measures = ("fare_amount", "trip_distance")
-    per_value = settle(
-        trips.groupBy(_hour(), F.col(median_of).alias("value"))
-        .agg(F.count("trip_id").alias("n"), F.count("*").alias("rows"), *num.sums(*measures))
-        .join(classes, "hour_bucket")
-        .groupBy("weather_category", "value")
-        .agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), *num.resums(*measures)),
-        "weather-values",
-    )
+    folds = (F.count("trip_id").alias("n"), F.count("*").alias("rows"), *num.sums(*measures))
+    value = F.col(median_of).alias("value")
+    if is_small(classes, broadcast_rows):
+        hourly = trips.withColumn("hour_bucket", _hour())
+        per_value = hourly.join(F.broadcast(classes), "hour_bucket").groupBy("weather_category", value).agg(*folds)
+    else:
+        per_value = (
+            trips.groupBy(_hour(), value)
+            .agg(*folds)
+            .join(classes, "hour_bucket")
+            .groupBy("weather_category", "value")
+            .agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), *num.resums(*measures))
+        )
+    per_value = settle(per_value, "weather-values")
     known = per_value.filter(F.col("value").isNotNull())
     medians = exact_quantiles(known, ["weather_category"], "value", "rows", {"median": 0.5}, is_stored=True)
     totals = per_value.groupBy("weather_category").agg(F.sum("n").alias("total_trips"), *num.resums(*measures))

@@ -94,8 +94,9 @@ def test_refresh_touches_only_its_units(spark, sf, star, tmp_path):
     assert "mart_unit" in plan_of(part).split("PartitionFilters")[1]
 
 
-def test_median_survives_a_hot_class(spark):
-    """One weather class holds nearly all trips; the answer equals the native percentile."""
+@pytest.mark.parametrize("broadcast_rows", [1000, 3])
+def test_median_survives_a_hot_class(spark, broadcast_rows):
+    """One weather class holds nearly all trips; both join orders equal the native percentile."""
     trips = spark.range(20_000).select(
         F.col("id").alias("trip_id"),
         (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.when(F.col("id") % 50 == 0, F.col("id") % 24).otherwise(3).cast("int"))).alias("pickup_dt"),
@@ -105,7 +106,7 @@ def test_median_survives_a_hot_class(spark):
         (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("obs_dt"),
         F.when(F.col("id") == 3, 61).otherwise(0).cast("int").alias("weather_code"),
     )
-    got = analytics.weather_impact(trips, weather, "impact", "trip_distance").collect()
+    got = analytics.weather_impact(trips, weather, "impact", "trip_distance", broadcast_rows).collect()
     joined = trips.join(weather, F.date_trunc("hour", "pickup_dt").cast("timestamp_ntz") == F.col("obs_dt"))
     want = {
         r[0]: (r[1], r[2])
