@@ -306,6 +306,11 @@ def feature_nulls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prediction_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """The landed table of requests."""
+    return stored(pin(spark), sf, "requests", lambda: derived_requests(spark, sf))
+
+
+def derived_requests(spark: SparkSession, sf: str) -> DataFrame:
     """One request per event; some miss fields, some break the ranges."""
     e = F.col("event_id")
     codes = F.array(*[F.lit(c) for c in (61, 0, 1, 2, 51, 3, 71, 95)])

@@ -141,13 +141,22 @@ def model_nodes(spark: SparkSession, path: str) -> pd.DataFrame:
     return rows.toPandas()
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal rows out to all cores where fewer input files than cores would leave some idle.
+
+    Attributions cost far more than moving a row; inputs of many files stay where they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def explain(rows: DataFrame, leaves: Leaves, vector: str = "features", out: str = "contributions") -> DataFrame:
     """Add an array column with one contribution per feature and the constant base value."""
     # The code travels with the job; executors need numpy and pandas only.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     arrays = (leaves.feature, leaves.low, leaves.high, leaves.cover, leaves.value, leaves.n_features)
     shipped = rows.sparkSession.sparkContext.broadcast(arrays)
-    flat = rows.withColumn("_x", vector_to_array(vector)).drop(vector)
+    flat = spread(rows).withColumn("_x", vector_to_array(vector)).drop(vector)
     schema = flat.drop("_x").schema.add(out, T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cityflow.functions import calendar as cal
@@ -26,23 +28,27 @@ def validate_requests(requests: DataFrame) -> DataFrame:
 
     A row is accepted when `errors` is empty.
     """
-    typed = requests
-    for name, (kind, _, _, default) in RULES.items():
-        given = F.col(name).cast(kind) if name in requests.columns else F.lit(None).cast(kind)
-        typed = typed.withColumn(name, given if default is None else F.coalesce(given, F.lit(default)))
-    major = F.col("has_major_event") if "has_major_event" in requests.columns else F.lit(None)
-    typed = typed.withColumn("has_major_event", F.coalesce(major.cast("boolean"), F.lit(False)))
-    when = F.col("request_dt") if "request_dt" in requests.columns else F.lit(None).cast("timestamp_ntz")
-    typed = typed.withColumn("request_dt", cal.hour_bucket(when))
-    failed = [F.when(F.col("request_dt").isNull(), "request_dt")]
+
+    def given(name: str, kind: str) -> Column:
+        return F.col(name).cast(kind) if name in requests.columns else F.lit(None).cast(kind)
+
+    fields = {
+        name: given(name, kind) if default is None else F.coalesce(given(name, kind), F.lit(default))
+        for name, (kind, _, _, default) in RULES.items()
+    }
+    fields["has_major_event"] = F.coalesce(given("has_major_event", "boolean"), F.lit(False))
+    fields["request_dt"] = cal.hour_bucket(given("request_dt", "timestamp_ntz"))
+    typed = requests.withColumns(fields)
+    bad = {"request_dt": F.col("request_dt").isNull()}
     for name, (_, low, high, _) in RULES.items():
         value = F.col(name)
-        bad = value.isNull() | (value < low)
-        if high is not None:
-            bad = bad | (value > high)
-        failed.append(F.when(bad, name))
-    return typed.withColumn("errors", F.array_compact(F.array(*failed))).withColumn(
-        "accepted", F.size("errors") == 0
+        bad[name] = value.isNull() | (value < low) | (F.lit(False) if high is None else value > high)
+    # Plain booleans, so that filtering on `accepted` never builds the list.
+    return typed.withColumns(
+        {
+            "errors": F.array_compact(F.array(*[F.when(b, name) for name, b in bad.items()])),
+            "accepted": ~reduce(lambda a, b: a | b, bad.values()),
+        }
     )
 
 

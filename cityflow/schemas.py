@@ -1,12 +1,7 @@
-"""Declared schemas of the raw tables. Timestamps are wall clock without a zone."""
+"""Declared schemas and rules of the loaded tables. Timestamps are wall clock without a zone."""
 
 from __future__ import annotations
 
-TRIPS = (
-    "trip_id BIGINT, pickup_dt TIMESTAMP_NTZ, dropoff_dt TIMESTAMP_NTZ, pickup_zone INT, "
-    "dropoff_zone INT, passenger_cnt INT, trip_distance DOUBLE, fare_amount DOUBLE, "
-    "total_amount DOUBLE, payment_type INT"
-)
 WEATHER = (
     "obs_dt TIMESTAMP_NTZ, temperature_f DOUBLE, feels_like_f DOUBLE, precipitation_mm DOUBLE, "
     "windspeed_mph DOUBLE, humidity_pct DOUBLE, weather_code INT"
@@ -19,7 +14,6 @@ ECONOMICS = (
     "month_start DATE, unemployment_rate DOUBLE, consumer_sentiment DOUBLE, "
     "gas_price_avg DOUBLE, cpi DOUBLE"
 )
-ZONES = "zone_id INT, zone_name STRING, borough STRING, service_zone STRING"
 
 # Columns that must be present, the unique key, per table.
 NOT_NULL = {

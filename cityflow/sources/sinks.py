@@ -34,13 +34,13 @@ def upsert_new_rows(new: DataFrame, path: str, key: list[str]) -> None:
 def write_mart(mart: DataFrame, path: str, unit: str = "MM", mode: str = "static") -> None:
     """Mart table with one folder per calendar unit, rows ordered by zone for row-group skipping.
 
-    A month of one row per hour and zone is a file of sensible size and bounds
-    what meets in one task. ``mode="dynamic"`` replaces only the units that
-    occur in `mart` and leaves all others untouched.
+    Rows of a unit are brought together; adaptive execution splits a unit that
+    is larger than its target size. ``mode="dynamic"`` replaces only the units
+    that occur in `mart` and leaves all others untouched.
     """
     dated = mart.withColumn("mart_unit", F.to_date(F.date_trunc(unit, "hour_bucket")))
     (
-        dated.repartition("mart_unit")
+        dated.hint("rebalance", F.col("mart_unit"))
         .sortWithinPartitions("mart_unit", "zone_id", "hour_bucket")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", mode)

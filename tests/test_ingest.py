@@ -3,6 +3,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from cityflow import schemas
 from cityflow.sources import civic, economic, quality, sinks, trips, weather
 
 RAW = (
@@ -88,6 +89,16 @@ def test_weather_document(spark):
     assert {"temperature_f", "feels_like_f", "precipitation_mm", "windspeed_mph", "humidity_pct"} <= set(parsed.columns)
 
 
+def test_readers_return_the_declared_columns(spark):
+    docs = spark.createDataFrame([("UNRATE", '{"observations": []}')], "series STRING, body STRING")
+    for got, ddl in (
+        (weather.parse_weather(spark.createDataFrame([(WEATHER,)], "body STRING")), schemas.WEATHER),
+        (economic.align_series(economic.parse_observations(docs)), schemas.ECONOMICS),
+        (civic.build_events(spark), schemas.EVENTS),
+    ):
+        assert got.dtypes == spark.createDataFrame([], ddl).dtypes
+
+
 def test_economic_documents(spark):
     docs = spark.createDataFrame(
         [
