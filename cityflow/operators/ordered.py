@@ -3,7 +3,8 @@
 Values are first folded to (key, value, count), which collapses repeats
 map-side. The folded rows are then cut into value ranges; running counts are
 the sum over the ranges before (a frame of a few rows per key) plus a window
-inside one range. The cuts come from the rows with the smallest hashes - a
+inside one range. A folded frame that is measured to be small skips the
+cutting: one window per key does. The cuts come from the rows with the smallest hashes - a
 uniform sample of fixed size that is the same on every evaluation - so a key
 that holds most of the rows is spread over all ranges.
 """
@@ -14,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cityflow.operators.sizes import is_small
 from cityflow.sources.store import settle
 
+SMALL_ROWS = 500_000
 SAMPLE_ROWS = 4096
 STEP = 16
 RANGES = STEP * STEP
@@ -48,7 +51,12 @@ def with_range(folded: DataFrame, value: str) -> DataFrame:
 
 
 def running_counts(
-    folded: DataFrame, keys: list[str], value: str, counts: list[str], is_stored: bool = False
+    folded: DataFrame,
+    keys: list[str],
+    value: str,
+    counts: list[str],
+    is_stored: bool = False,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Add `<count>_upto` (inclusive running sum), `<count>_total` and `next_value` per key.
 
@@ -57,6 +65,18 @@ def running_counts(
     """
     if not is_stored:
         folded = settle(folded, "folded")
+    if is_small(folded, small_rows):
+        by_value = W.partitionBy(*keys).orderBy(value)
+        so_far = by_value.rowsBetween(W.unboundedPreceding, W.currentRow)
+        whole = by_value.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        return folded.select(
+            *keys,
+            value,
+            *counts,
+            *[F.sum(c).over(so_far).alias(f"{c}_upto") for c in counts],
+            *[F.sum(c).over(whole).alias(f"{c}_total") for c in counts],
+            F.lead(value).over(by_value).alias("next_value"),
+        )
     ranged = with_range(folded, value)
     by_range = ranged.groupBy(*keys, "_range").agg(
         F.min(value).alias("_first"), *[F.sum(c).alias(f"_{c}") for c in counts]
@@ -89,10 +109,11 @@ def exact_quantiles(
     count: str,
     quantiles: dict[str, float],
     is_stored: bool = False,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Interpolated quantiles (PERCENTILE_CONT) per key from rows unique in (keys, value)."""
     counted = folded.select(*keys, value, F.col(count).alias("_n"))
-    ranked = running_counts(counted, keys, value, ["_n"], is_stored)
+    ranked = running_counts(counted, keys, value, ["_n"], is_stored, small_rows)
     first, last = F.col("_n_upto") - F.col("_n"), F.col("_n_upto") - 1
     found = []
     for name, p in quantiles.items():

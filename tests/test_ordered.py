@@ -24,17 +24,20 @@ def skewed():
     return rows
 
 
-def test_quantiles_match_brute_force(spark, skewed):
+@pytest.mark.parametrize("small_rows", [0, 100_000])
+def test_quantiles_match_brute_force(spark, skewed, small_rows):
     probs = {"q10": 0.1, "median": 0.5, "q90": 0.9, "low": 0.0, "high": 1.0}
-    got = {r.k: r for r in ordered.exact_quantiles(folded(spark, skewed), ["k"], "v", "n", probs).collect()}
+    found = ordered.exact_quantiles(folded(spark, skewed), ["k"], "v", "n", probs, small_rows=small_rows)
+    got = {r.k: r for r in found.collect()}
     for key in {k for k, _ in skewed}:
         values = [v for k, v in skewed if k == key]
         for name, p in probs.items():
             assert got[key][name] == pytest.approx(np.quantile(values, p), rel=1e-12)
 
 
-def test_running_counts_match_brute_force(spark, skewed):
-    rows = ordered.running_counts(folded(spark, skewed), ["k"], "v", ["n"]).collect()
+@pytest.mark.parametrize("small_rows", [0, 100_000])
+def test_running_counts_match_brute_force(spark, skewed, small_rows):
+    rows = ordered.running_counts(folded(spark, skewed), ["k"], "v", ["n"], small_rows=small_rows).collect()
     for key in {k for k, _ in skewed}:
         values = np.array(sorted(v for k, v in skewed if k == key))
         mine = sorted((r for r in rows if r.k == key), key=lambda r: r.v)
@@ -56,7 +59,8 @@ def test_a_hot_key_is_cut_into_many_ranges(spark, skewed):
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(values=st.lists(st.integers(-5, 5).map(float), min_size=1, max_size=40), p=st.floats(0, 1))
 def test_any_quantile(spark, values, p):
-    got = ordered.exact_quantiles(folded(spark, [("a", v) for v in values]), ["k"], "v", "n", {"q": p}).first()
+    rows = folded(spark, [("a", v) for v in values])
+    got = ordered.exact_quantiles(rows, ["k"], "v", "n", {"q": p}, small_rows=0).first()
     assert got.q == pytest.approx(np.quantile(values, p), abs=1e-9)
 
 
