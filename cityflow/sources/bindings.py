@@ -156,7 +156,7 @@ def civic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def civic_events_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same list with a second, smaller event on one of the dates."""
-    base = civic_events(spark, sf_dir)
+    base = tables(spark, sf_dir).civic_events
     extra = base.filter(F.col("event_name") == "EVENT_10").select(
         "event_date",
         F.lit("EXTRA").alias("event_name"),

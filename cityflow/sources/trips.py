@@ -32,11 +32,18 @@ TYPES = {
     "total_amount": "double",
     "payment_type": "bigint",
 }
+# Months of the default load, file name pattern, and valid ranges (fixed values).
+MONTHS = ("2024-01", "2024-02", "2024-03", "2024-04", "2024-05", "2024-06")
+FILE_NAME = "yellow_tripdata_{month}.parquet"
 VALID_ZONES = (1, 263)
 VALID_FARE = (0, 500)
 VALID_DISTANCE = (0, 100)
 
 
+def month_paths(folder: str, months: tuple[str, ...] = MONTHS) -> list[str]:
+    return [f"{folder.rstrip('/')}/{FILE_NAME.format(month=m)}" for m in months]
+
+
 def scan_months(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Union of monthly files, mapped columns only, with the file each row came from.
 

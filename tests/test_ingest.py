@@ -59,11 +59,11 @@ def test_loader_rule(raw):
 
 
 def test_month_files_with_changing_types(spark, raw, tmp_path):
-    raw.write.parquet(f"{tmp_path}/m1")
-    raw.withColumn("passenger_count", F.col("passenger_count").cast("double")).drop("payment_type").write.parquet(
-        f"{tmp_path}/m2"
-    )
-    loaded = trips.scan_months(spark, [f"{tmp_path}/m1", f"{tmp_path}/m2"])
+    first, second = trips.month_paths(str(tmp_path), ("2024-01", "2024-02"))
+    assert first.endswith("/yellow_tripdata_2024-01.parquet")
+    raw.write.parquet(first)
+    raw.withColumn("passenger_count", F.col("passenger_count").cast("double")).drop("payment_type").write.parquet(second)
+    loaded = trips.scan_months(spark, [first, second])
     assert loaded.count() == 20
     assert dict(loaded.dtypes)["passenger_cnt"] == "bigint"
     counts = trips.rows_per_file(loaded).collect()

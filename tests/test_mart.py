@@ -123,5 +123,25 @@ def test_sums_do_not_depend_on_partitions(spark, sf, star):
     assert one == many
 
 
-def test_catalog_keys_have_callables():
-    assert all(callable(q) for q in catalog.QUERIES.values())
+def test_top_zones(spark, star):
+    from cityflow.sources.zones import TOP_ZONES, top_zones
+
+    counts = mart.hourly_counts(star.trips).withColumn("zone_id", F.col("zone_id") + 155)
+    got = analytics.top_zone_filter(counts, top_zones(spark))
+    assert {r.zone_id for r in got.select("zone_id").distinct().collect()} == {z for z in TOP_ZONES if 155 <= z < 180}
+
+
+@pytest.mark.parametrize(
+    "key", ["ml_features", "weather_impact", "top_od_pairs", "hour_zone_context", "features_train", "drift_numeric"]
+)
+def test_shuffled_joins_give_the_same_rows(spark, sf, key):
+    """With broadcasting off every join shuffles; the rows stay the same."""
+    want = sorted(map(str, catalog.QUERIES[key](spark, sf).collect()))
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in names:
+        spark.conf.set(name, "-1")
+    try:
+        assert sorted(map(str, catalog.QUERIES[key](spark, sf).collect())) == want
+    finally:
+        for name in names:
+            spark.conf.unset(name)

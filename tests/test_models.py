@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cityflow.operators import baseline, drift, metrics, split, tree_shap
 from cityflow.plans import features, requests, scoring, training
 from cityflow.plans.registry import MODEL_FEATURES
+from cityflow.sources.zones import named_zones
 
 
 def measured(spark, actual, predicted):
@@ -242,11 +243,18 @@ def test_missing_columns_take_defaults(spark):
     assert r.request_dt == datetime(2024, 6, 15, 18)
 
 
+def test_weekday_conventions(spark):
+    accepted = requests.validate_requests(spark.createDataFrame([REQUEST], REQUEST_SCHEMA))
+    saturday = (requests.request_rows(accepted), requests.request_rows(accepted, monday_first=True))
+    assert [r.first().day_of_week for r in saturday] == [6, 5]
+    assert [r.first().is_weekend for r in saturday] == [1, 1]
+
+
 def test_scoring(spark, trained, tmp_path):
     runs, _ = trained
     model = next(r.fitted for r in runs if r.model == "boosted_a")
     leaves = scoring.load_leaves(spark, model, str(tmp_path / "n"))
-    zones = spark.createDataFrame([(161, "Midtown Center")], "zone_id INT, zone_name STRING")
+    zones = named_zones(spark)
     asked = spark.createDataFrame(
         [REQUEST, {**REQUEST, "request_id": 2, "zone_id": 99}, {**REQUEST, "request_id": 3, "zone_id": 0}], REQUEST_SCHEMA
     )

@@ -11,7 +11,10 @@ def con(sf):
 
 @pytest.mark.parametrize("key", sorted(entry.oracle_sql()))
 def test_query_equals_oracle(spark, sf, con, key):
-    got = entry.queries()[key](spark, sf).toPandas()
+    df = entry.queries()[key](spark, sf)
+    got = df.toPandas()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     want = con.execute(entry.oracle_sql()[key]).df()
     assert differences(canonical(got), canonical(want)) == ""
 
