@@ -14,7 +14,6 @@ from cityflow.functions import numbers as num
 from cityflow.functions import weather as wx
 from cityflow.operators import baseline, drift, fill, lags, metrics, sampling, split
 from cityflow.plans import analytics, features, mart, monitoring, requests, scoring, training
-from cityflow.plans.registry import MODEL_FEATURES
 from cityflow.session import pin, scratch
 from cityflow.sources import bindings as b
 from cityflow.sources import civic, economic, quality, sinks, trips, weather
@@ -196,20 +195,18 @@ def random_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def month_file_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Monthly trip files are written, scanned together, cleaned, and counted per file."""
-    path = scratch(spark, "months")
-    raw = b.raw_trips(spark, sf).drop("trip_id")
-    weekly = raw.withColumn("part", F.floor((F.dayofmonth("tpep_pickup_datetime") - 1) / 10))
-    weekly.write.partitionBy("part").parquet(path)
-    loaded = trips.scan_months(spark, [f"{path}/part={i}" for i in range(3)])
-    cleaned = loaded.filter((F.col("fare_amount") > 0) & (F.col("trip_distance") > 0)).dropna(
-        subset=["pickup_dt", "dropoff_dt", "pickup_zone"]
-    )
-    return (
-        cleaned.groupBy(F.regexp_extract("source_file", r"part=(\d+)", 1).cast("int").alias("part"))
-        .agg(F.count("*").alias("n_rows"))
-        .orderBy("part")
-    )
+    """Loaded rows per delivery; every ten days of pickups count as one delivery."""
+    part = F.floor((F.dayofmonth("tpep_pickup_datetime") - 1) / 10).cast("int")
+    raw = b.raw_trips(spark, sf).withColumn("source_file", part)
+    counts = trips.rows_per_file(trips.clean_loader(raw, extra=("source_file",)))
+    return counts.withColumnsRenamed({"source_file": "part", "rows": "n_rows"})
+
+
+def loaded_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows a bulk load of all trip files adds, summed over the files."""
+    raw = b.raw_trips(spark, sf, F.col("_metadata.file_path").alias("source_file"))
+    counts = trips.rows_per_file(trips.clean_loader(raw, extra=("source_file",)))
+    return counts.agg(F.sum("rows").alias("loaded_rows"))
 
 
 def mart_refresh(spark: SparkSession, sf: str) -> DataFrame:
@@ -616,6 +613,7 @@ QUERIES: dict[str, Query] = {
     "clean_trips_loader": clean_trips(trips.clean_loader),
     "clean_trips_strict": clean_trips(trips.clean_strict),
     "month_file_counts": month_file_counts,
+    "loaded_rows": loaded_rows,
     "systematic_sample": systematic_sample,
     "random_sample": random_sample,
     "hourly_zone_demand": with_trips(analytics.hourly_zone_demand),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -76,7 +76,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_trips(spark: SparkSession, sf_dir: str, *extra: Column) -> DataFrame:
     """Trips as they arrive in a monthly file: vendor column names, holes and outliers."""
     eid = F.col("event_id")
     kind = F.col("event_type")
@@ -91,6 +91,7 @@ def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value") - 5).alias("fare_amount"),
         F.round(F.col("value") * 1.2, 2).alias("total_amount"),
         F.when(kind == "purchase", 1).when(kind == "signup", 2).cast("int").alias("payment_type"),
+        *extra,
     )
 
 

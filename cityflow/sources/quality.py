@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityflow.schemas import NOT_NULL, UNIQUE_KEY
@@ -17,6 +17,12 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).orderBy("table_name")
 
 
+def table_listing(spark: SparkSession) -> DataFrame:
+    """Names of the tables and views the session knows."""
+    names = [(t.name, t.tableType) for t in spark.catalog.listTables()]
+    return spark.createDataFrame(names, "table_name STRING, table_type STRING").orderBy("table_name")
+
+
 def constraint_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """Null values in required columns and surplus rows per unique key, one line per rule."""
     parts = []

@@ -385,6 +385,9 @@ ORACLES: dict[str, str] = {
         """SELECT CAST((day(pickup_dt) - 1) // 10 AS INTEGER) AS part, count(*) AS n_rows FROM raw_trips
         WHERE fare_amount > 0 AND trip_distance > 0 GROUP BY 1""",
     ),
+    "loaded_rows": over(
+        "raw_trips", "SELECT count(*) AS loaded_rows FROM raw_trips WHERE fare_amount > 0 AND trip_distance > 0"
+    ),
     "systematic_sample": over(
         "raw_trips",
         f"""SELECT * EXCLUDE (rn) FROM (SELECT trip_id, pickup_dt, dropoff_dt, pickup_zone,

@@ -149,6 +149,13 @@ def test_upsert_keeps_stored_rows(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "old"), (2, "old"), (3, "a")]
 
 
+def test_table_listing(spark):
+    spark.range(1).createOrReplaceTempView("listed_view")
+    names = [r.table_name for r in quality.table_listing(spark).collect()]
+    assert "listed_view" in names
+    spark.catalog.dropTempView("listed_view")
+
+
 def test_constraints(spark):
     zones = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "zone_id INT, zone_name STRING")
     got = {r.rule: r.violations for r in quality.constraint_violations({"zones": zones}).collect()}

@@ -97,13 +97,16 @@ def test_refresh_touches_only_its_units(spark, sf, star, tmp_path):
 @pytest.mark.parametrize("broadcast_rows", [1000, 3])
 def test_median_survives_a_hot_class(spark, broadcast_rows):
     """One weather class holds nearly all trips; both join orders equal the native percentile."""
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    hour = F.when(F.col("id") % 50 == 0, F.col("id") % 24).otherwise(3).cast("int")
     trips = spark.range(20_000).select(
         F.col("id").alias("trip_id"),
-        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.when(F.col("id") % 50 == 0, F.col("id") % 24).otherwise(3).cast("int"))).alias("pickup_dt"),
-        (F.xxhash64("id") % 5000).cast("double").alias("d"),
-    ).select("trip_id", "pickup_dt", F.abs(F.col("d") / 100).alias("trip_distance"), F.lit(9.5).alias("fare_amount"))
+        (start + F.make_dt_interval(hours=hour)).alias("pickup_dt"),
+        (F.abs(F.xxhash64("id") % 5000) / 100).alias("trip_distance"),
+        F.lit(9.5).alias("fare_amount"),
+    )
     weather = spark.range(24).select(
-        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("obs_dt"),
+        (start + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("obs_dt"),
         F.when(F.col("id") == 3, 61).otherwise(0).cast("int").alias("weather_code"),
     )
     got = analytics.weather_impact(trips, weather, "impact", "trip_distance", broadcast_rows).collect()

@@ -72,7 +72,8 @@ def synthetic(spark, make_mart):
 
 def test_split_has_no_leak(synthetic):
     parts = split.temporal_split(synthetic, 2)
-    b = {r.split: r for r in parts.groupBy("split").agg(F.min("hour_bucket").alias("lo"), F.max("hour_bucket").alias("hi"), F.count("*").alias("n")).collect()}
+    bounds = (F.min("hour_bucket").alias("lo"), F.max("hour_bucket").alias("hi"), F.count("*").alias("n"))
+    b = {r.split: r for r in parts.groupBy("split").agg(*bounds).collect()}
     assert b["train"].hi < b["test"].lo
     assert b["train"].n + b["test"].n == synthetic.count()
     assert 0.4 < b["test"].n / synthetic.count() < 0.6
