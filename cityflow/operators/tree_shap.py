@@ -147,7 +147,8 @@ def spread(rows: DataFrame) -> DataFrame:
     Attributions cost far more than moving a row; inputs of many files stay where they are.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    # Only the number of files is fetched, not their names.
+    return rows.repartition(cores) if len(rows._jdf.inputFiles()) < cores else rows
 
 
 def explain(rows: DataFrame, leaves: Leaves, vector: str = "features", out: str = "contributions") -> DataFrame:

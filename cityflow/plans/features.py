@@ -79,8 +79,11 @@ def features_train(
 
     ``medians`` may come from another part of the data (fit on train, apply to
     test). ``past_only`` keeps the row's own demand out of the trailing means;
-    without it the means include the current row.
+    without it the means include the current row. A mart without indicator
+    columns gets empty ones, which the fill turns into 0.0.
     """
+    absent = [c for c in ECONOMIC_COLUMNS if c not in mart.columns]
+    mart = mart.withColumns({c: F.lit(None).cast("double") for c in absent})
     fills = (weather_medians(mart) if medians is None else medians).scalar()
     rows = demand_history(mart, past_only).withColumn("_m", fills)
     rows = rows.withColumns({c: F.coalesce(c, F.col(f"_m.{c}"), F.lit(0.0)) for c in WEATHER_NUMBERS})

@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+# A reduce task should get about this much of a full shuffle, within a sane number of tasks.
+SHUFFLE_BYTES = 128 * 1024**2
+MAX_SHUFFLE_PARTITIONS = 20_000
 
 
 def get_session(app: str = "cityflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,6 +33,19 @@ def pin(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(table: DataFrame) -> int:
+    """Raise the session's shuffle partitions to what a full shuffle of the table needs.
+
+    The size comes from file statistics. Adaptive execution merges the partitions
+    that smaller shuffles leave nearly empty, so the setting is never lowered.
+    """
+    conf = table.sparkSession.conf
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = max(int(conf.get("spark.sql.shuffle.partitions")), min(MAX_SHUFFLE_PARTITIONS, -(-size // SHUFFLE_BYTES)))
+    conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that the cluster names in ``spark.checkpoint.dir``.
 

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from cityflow.functions import calendar as cal
 from cityflow.functions import weather as wx
-from cityflow.session import pin
+from cityflow.session import pin, size_shuffles
 from cityflow.sources.store import stored
 
 
@@ -50,11 +50,13 @@ _schemas: dict[str, StructType] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A benchmark table; its schema is inferred once per path."""
+    """A benchmark table; its schema is inferred once per path, and shuffles are sized for it."""
     path = f"{sf_dir}/{name}.parquet"
     if path not in _schemas:
         _schemas[path] = spark.read.parquet(path).schema
-    return pin(spark).read.schema(_schemas[path]).parquet(path)
+    table = pin(spark).read.schema(_schemas[path]).parquet(path)
+    size_shuffles(table)
+    return table
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:

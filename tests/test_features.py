@@ -81,6 +81,13 @@ def test_train_fills(make_mart):
     assert got[3].demand_rolling_7d_avg == 25.0
 
 
+def test_absent_indicators_become_zero(make_mart):
+    rows = [mart_row(DRY + timedelta(hours=i)) for i in range(3)]
+    bare = make_mart(rows).drop("unemployment_rate", "gas_price_avg")
+    got = features.features_train(bare).collect()
+    assert {(r.unemployment_rate, r.gas_price_avg, r.consumer_sentiment) for r in got} == {(0.0, 0.0, 76.0)}
+
+
 def test_past_only_keeps_the_target_out(make_mart):
     rows = [mart_row(DRY + timedelta(hours=i), trip_count=10 * (i + 1)) for i in range(5)]
     got = features.features_train(make_mart(rows), past_only=True).orderBy("hour_bucket").collect()

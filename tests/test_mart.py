@@ -148,3 +148,19 @@ def test_shuffled_joins_give_the_same_rows(spark, sf, key):
     finally:
         for name in names:
             spark.conf.unset(name)
+
+
+def test_shuffles_are_sized_and_never_shrunk(spark, sf, monkeypatch):
+    from cityflow import session
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    table = b.read(spark, sf, "events")
+    try:
+        assert session.size_shuffles(table) == int(before)
+        monkeypatch.setattr(session, "SHUFFLE_BYTES", 10_000)
+        wide = session.size_shuffles(table)
+        assert int(before) < wide <= session.MAX_SHUFFLE_PARTITIONS
+        monkeypatch.setattr(session, "SHUFFLE_BYTES", 1)
+        assert session.size_shuffles(table) == session.MAX_SHUFFLE_PARTITIONS
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
