@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cityflow.llm import binids, language, packing, pieces, simhash, vectors
+from cityflow.llm import binids, language, packing, personal, pieces, simhash, syncmers, vectors
 from cityflow.llm.common import table
 from cityflow.session import pin
 
@@ -21,6 +21,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(pin(spark), sf_dir), WORDS)
 
 
+def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edit_prints(table(pin(spark), sf_dir))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(pin(spark), sf_dir), radius=2, words=3)
     return found.select("doc_id", simhash.hex_print("print").alias("fingerprint"), "component_id")
@@ -34,12 +38,25 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binids.token_file_rows(table(pin(spark), sf_dir), WORDS)
 
 
+def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.span_digests(table(pin(spark), sf_dir))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(table(pin(spark), sf_dir))
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_pieces, op2_packing, op4_simhash, op6_vectors, op8_token_files, op10_language)
+    f.__name__: f for f in (
+        op1_pieces,
+        op2_packing,
+        op3_syncmers,
+        op4_simhash,
+        op6_vectors,
+        op8_token_files,
+        op9_personal,
+        op10_language,
+    )
 }
 
 ORACLES: dict[str, str] = {}
