@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cityflow.llm import binids, language, packing, personal, pieces, simhash, syncmers, vectors
+from cityflow.llm import binids, language, packing, personal, pieces, simhash, suffixes, syncmers, vectors
 from cityflow.llm.common import table
 from cityflow.session import pin
 
@@ -30,6 +30,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print("print").alias("fingerprint"), "component_id")
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeat_digests(table(pin(spark), sf_dir), length=400)
+
+
 def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(pin(spark), sf_dir, "embeddings"), threshold=0.93)
 
@@ -52,6 +56,7 @@ QUERIES = {
         op2_packing,
         op3_syncmers,
         op4_simhash,
+        op5_suffixes,
         op6_vectors,
         op8_token_files,
         op9_personal,
