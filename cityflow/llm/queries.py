@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cityflow.llm import binids, language, packing, personal, pieces, simhash, suffixes, syncmers, vectors
+from cityflow.llm import binids, language, lines, packing, personal, pieces, simhash, suffixes, syncmers, vectors
 from cityflow.llm.common import table
 from cityflow.session import pin
 
@@ -38,6 +38,10 @@ def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(pin(spark), sf_dir, "embeddings"), threshold=0.93)
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(table(pin(spark), sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binids.token_file_rows(table(pin(spark), sf_dir), WORDS)
 
@@ -58,6 +62,7 @@ QUERIES = {
         op4_simhash,
         op5_suffixes,
         op6_vectors,
+        op7_lines,
         op8_token_files,
         op9_personal,
         op10_language,
