@@ -42,31 +42,30 @@ def topic_key(terms: np.ndarray) -> int:
     return int(mixed[0].min()) << 31 | int(mixed[1].min())
 
 
+ENCODED = "doc_id long, topic long, n long, ids binary, terms array<int>, df array<long>"
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """A row for each document, and one more for the task: in how many of its documents each id occurs."""
+    table = chunks.word_table(tokenizer)
+    total, docs = np.zeros(max(len(table.is_end), end_id + 1), np.int64), 0
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+    names = [c.split()[0] for c in ENCODED.split(", ")]
     for batch in batches:
         keys, words = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
         for part in chunks.strides(words):
-            ids = chunks.word_table(tokenizer).encode(words[part])
-            columns = [
-                pa.array(keys[part], pa.int64()),
-                pa.array([topic_key(x) for x in ids], pa.int64()),
-                pa.array([len(x) + 1 for x in ids], pa.int64()),
-                pa.array([squeeze(np.append(x, end_id)) for x in ids], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "topic", "n", "ids"])
-
-
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one task: in how many documents each id occurs."""
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for data in batch.column(0):
-            terms = np.unique(unsqueeze(data.as_py()))
-            if terms[-1] >= len(total):
-                total = np.concatenate([total, np.zeros(int(terms[-1]) + 1 - len(total), np.int64)])
-            total[terms] += 1
-    terms = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(total[terms], pa.int64())], ["term", "df"])
+            ids = [np.append(x, np.int32(end_id)) for x in table.texts(words[part])]
+            terms = [np.unique(x) for x in ids]
+            for t in terms:
+                total[t] += 1
+            none = [None] * len(ids)
+            columns = (keys[part], map(topic_key, terms), map(len, ids), map(squeeze, ids), none, none)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+            docs += len(ids)
+    if docs:
+        some = np.flatnonzero(total)
+        columns = ([None], [None], [docs], [None], [some.tolist()], [total[some].tolist()])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
 class Shard:
@@ -197,17 +196,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     Broadcast: one float per id of the vocabulary, whose size is fixed.
     """
     spark = docs.sparkSession
-    encoded = settle(
-        texts(docs).mapInArrow(lambda it: _encoded(it, tokenizer, end_id), "doc_id long, topic long, n long, ids binary"),
-        "packing-ids",
-    )
+    rows = settle(texts(docs).mapInArrow(lambda it: _encoded(it, tokenizer, end_id), ENCODED), "packing-ids")
+    encoded = rows.where("ids is not null").select("doc_id", "topic", "n", "ids")
     n_docs, n_ids = encoded.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    counts = encoded.select("ids").mapInArrow(_term_counts, "term long, df long")
-    counts = counts.groupBy("term").agg(F.sum("df").alias("df")).collect()
-    df = np.zeros(max([end_id, *(r.term for r in counts)]) + 1)
-    df[[r.term for r in counts]] = [r.df for r in counts]
+    counts = rows.where("ids is null").select(F.inline(F.arrays_zip("terms", "df")))
+    counts = counts.groupBy("terms").agg(F.sum("df").alias("df")).collect()  # at most the vocabulary
+    df = np.zeros(max([end_id, *(r.terms for r in counts)]) + 1)
+    df[[r.terms for r in counts]] = [r.df for r in counts]
     idf = spark.sparkContext.broadcast(np.log1p((n_docs - df + 0.5) / (df + 0.5)))
     mean_length = n_ids / max(n_docs, 1)
     dealt = encoded.repartitionByRange(parts_for(encoded, n_ids, TASK_IDS), "topic", "doc_id")
-    rows = dealt.sortWithinPartitions("topic", "doc_id").select("doc_id", "ids")
-    return rows.mapInArrow(lambda it: _packed(it, idf.value, mean_length), PIECE)
+    dealt = dealt.sortWithinPartitions("topic", "doc_id").select("doc_id", "ids")
+    return dealt.mapInArrow(lambda it: _packed(it, idf.value, mean_length), PIECE)

@@ -29,19 +29,13 @@ def check_model(path: str) -> None:
         raise ValueError("the model's normaliser changes text across chunks")
 
 
-def encode(batch: list[str], model: str) -> list:
-    """Ids of each text, without the end id. A literal U+2581 is the library's own sign for a space."""
-    marked = [" " + t.replace("▁", " ") if t else "" for t in batch]
-    return chunks.piece_table(model).encode(marked)
-
-
 def _parts(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[tuple[list, list[list[int]], list[str]]]:
     """Keys, ids with the end id, and decoded texts of a few megabytes of text at a time."""
     processor = chunks.piece_processor(model)
     for batch in batches:
         keys, words = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
         for part in chunks.strides(words):
-            ids = [x.tolist() + [END] for x in encode(words[part], model)]
+            ids = [x.tolist() + [END] for x in chunks.piece_table(model).texts(words[part])]
             yield keys[part], ids, [processor.decode(x) for x in ids]
 
 
