@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cityflow.llm.chunks import ChunkTable, strides
+from cityflow.llm.chunks import ChunkTable, Ids, flat_ids, strides
+from cityflow.llm.common import ship, texts
 
 #: Ranks of a profile.
 RANKS = 400
@@ -28,9 +29,9 @@ class Grams:
     def __init__(self):
         self.code_of: list[int] = []
         self.id_of: dict[int, int] = {}
-        self.table = ChunkTable(LETTERS, self._segment)
+        self.table = ChunkTable(self._segment)
 
-    def _segment(self, words: list[str]) -> list[list[int]]:
+    def _segment(self, words: list[str]) -> Ids:
         out = []
         for word in words:
             points = [32, *map(ord, word), 32]
@@ -44,11 +45,12 @@ class Grams:
                     self.code_of.append(code)
                 ids.append(self.id_of[code])
             out.append(ids)
-        return out
+        return flat_ids(out)
 
     def counts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, counts) of each text's n-grams."""
-        for ids in self.table.encode([t.lower() for t in texts]):
+        words = pa.array([LETTERS.findall(t.lower()) for t in texts], pa.list_(pa.string()))
+        for ids in self.table.encode(words):
             count = np.bincount(ids, minlength=1)
             some = np.flatnonzero(count)
             yield some, count[some]
@@ -118,7 +120,7 @@ def _predict(batches: Iterator[pa.RecordBatch], known: dict[str, list[int]], ran
                 best.append(langs[i])
                 score.append(1 - far[i] / (ranks * len(top)))
         out = [*batch.columns[:-1], pa.array(best, pa.string()), pa.array(score, pa.float64())]
-        yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:-1], "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:-1], "_lang", "_score"])
 
 
 def identify(docs: DataFrame, known: dict[str, list[int]], ranks: int = RANKS) -> DataFrame:
@@ -129,8 +131,21 @@ def identify(docs: DataFrame, known: dict[str, list[int]], ranks: int = RANKS) -
     or nothing was learned. Equal distances go to the first language in order of names. Broadcast
     with the task: ``ranks`` numbers per language.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(lambda it: _predict(it, known, ranks), "doc_id long, lang_pred string, score double")
+    rows = texts(docs).mapInArrow(lambda it: _predict(it, known, ranks), "doc_id long, _lang string, _score double")
+    return rows.withColumnsRenamed({"_lang": "lang_pred", "_score": "score"})
+
+
+def keep_known(docs: DataFrame, known: dict[str, list[int]], least: float, ranks: int = RANKS) -> DataFrame:
+    """The rows, with all their columns, whose language is known with a score of at least ``least``.
+
+    Texts that are null, hold no letter, or are far from every profile go. No shuffle: whole rows
+    pass through the prediction.
+    """
+    ship(docs.sparkSession)
+    rows = docs.withColumn("_read", F.col("text").cast("string"))
+    schema = rows.drop("_read").schema.add("_lang", "string").add("_score", "double")
+    found = rows.mapInArrow(lambda it: _predict(it, known, ranks), schema)
+    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).drop("_lang", "_score")
 
 
 def held_out(name: str = "doc_id"):
@@ -140,6 +155,7 @@ def held_out(name: str = "doc_id"):
 
 def learn(docs: DataFrame, ranks: int = RANKS) -> dict[str, list[int]]:
     """Profiles from all labelled documents that are not held out."""
+    ship(docs.sparkSession)
     rows = docs.where(~held_out()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
     return profiles(rows, ranks)
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cityflow.llm.common import settle, texts
+from cityflow.llm.common import settle
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -160,17 +160,17 @@ def _proposed(kind: int) -> Column:
     return F.transform(F.array_distinct(F.concat(f"b{kind}", f"w{kind}")), lambda s: _features(kind, s))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, found): valid base spans (start, kind, end), and all candidates with features and label.
+def candidates(docs: DataFrame, *kept: str) -> DataFrame:
+    """(doc_id, base, found) and kept columns: valid base spans (start, kind, end), and all candidates with features and label.
 
     Candidates are what base patterns and generators propose, valid or not; their label says
     whether the same span of the same kind is a valid base match.
     """
-    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    found = [spans(F.col("text"), p[k]).alias(f"{name}{i}") for name, p in (("b", BASE), ("w", WIDE)) for i, k in enumerate(KINDS)]
-    rows = texts(docs).select("doc_id", text).select("doc_id", *found)
+    rows = docs.select(*kept, F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    found = [spans(F.col("_text"), p[k]).alias(f"{name}{i}") for name, p in (("b", BASE), ("w", WIDE)) for i, k in enumerate(KINDS)]
+    rows = rows.select(*kept, F.col("_id").alias("doc_id"), *found)
     rows = rows.withColumn("base", F.sort_array(F.concat(*[_valid(i) for i in range(len(KINDS))])))
-    rows = rows.select("doc_id", "base", F.concat(*[_proposed(i) for i in range(len(KINDS))]).alias("found"))
+    rows = rows.select(*kept, "doc_id", "base", F.concat(*[_proposed(i) for i in range(len(KINDS))]).alias("found"))
     label = lambda c: F.array_contains("base", _span(c, c["kind"]))
     return rows.withColumn("found", F.transform("found", lambda c: F.struct(c.alias("c"), label(c).alias("label"))))
 
@@ -230,21 +230,41 @@ def fit(found: DataFrame) -> Model:
     return Model(" + ".join(trees), thresholds)
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, spans) of every row: sorted arrays of (start, kind, end), kind counting in KINDS.
+def find(docs: DataFrame, *kept: str) -> DataFrame:
+    """(doc_id, base, spans) of every row: sorted arrays of (start, kind, end), kind counting in KINDS; kept columns stay beside them.
 
     Generators with high recall propose overlapping spans, valid base matches among them; boosted
     trees score them by format and context; a kind's spans at or above its calibrated threshold
     are taken unless they overlap a base span. Base spans always stay. Whole texts are read;
     null texts are empty; repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
-    rows = settle(candidates(docs), "personal-candidates")
+    rows = settle(candidates(docs, *kept), "personal-candidates")
     model = fit(rows)
     bars = "array(" + ",".join(f"{'double(\"inf\")' if math.isinf(t) else f'{t:.6f}D'}" for t in model.thresholds) + ")"
     taken = F.expr(f"filter(found, x -> {model.score} >= get({bars}, x.c.kind))")
     clear = F.filter(taken, lambda x: ~F.exists("base", lambda b: (b["start"] < x["c"]["end"]) & (x["c"]["start"] < b["end"])))
     more = F.transform(clear, lambda x: _span(x["c"], x["c"]["kind"]))
-    return rows.select("doc_id", "base", F.sort_array(F.array_distinct(F.concat("base", more))).alias("spans"))
+    return rows.select(*kept, "doc_id", "base", F.sort_array(F.array_distinct(F.concat("base", more))).alias("spans"))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The documents with each span in ``text`` replaced by its kind in brackets; overlapping spans count as the first of them.
+
+    All other columns and all rows stay; a null text stays null.
+    """
+    rows = find(docs.withColumn("_row", F.struct(*docs.columns)), "_row").select("_row", "spans")
+    text = F.col("_row.text").cast("string")
+    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.get(marks, s["kind"]))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text)))
+    clean = F.when(F.size("spans") == 0, text).otherwise(F.aggregate("spans", begin, step, rest))
+    return rows.select(*[clean.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def listed(name: str) -> Column:
