@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cityflow.functions import calendar as cal
 from cityflow.functions import numbers as num
 from cityflow.functions import weather as wx
-from cityflow.operators import baseline, drift, fill, lags, metrics, sampling, split
+from cityflow.operators import baseline, drift, fill, lags, metrics, ordered, sampling, split
 from cityflow.plans import analytics, features, mart, monitoring, requests, scoring, training
 from cityflow.session import pin, scratch
 from cityflow.sources import bindings as b
@@ -41,8 +41,14 @@ def time_mart(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def day_mart(spark: SparkSession, sf: str) -> DataFrame:
-    """Day-grain counts with calendar columns, stored like the hourly mart."""
-    build = lambda: mart.with_calendar(mart.hourly_counts(b.day_trips(spark, sf)))
+    """The mart of the day-grain trips over 80 months, all columns, stored like the hourly mart."""
+
+    def build() -> DataFrame:
+        days = stored(pin(spark), sf, "days", lambda: b.days(spark, sf))
+        return mart.ml_features(
+            b.day_trips(spark, sf), b.weather_of(days), b.events_of(days), b.monthly_series(spark, sf)
+        )
+
     return stored(pin(spark), sf, "day-mart", build)
 
 
@@ -87,6 +93,7 @@ def constraint_violations(spark: SparkSession, sf: str) -> DataFrame:
             "zones": t.zones,
             "weather": t.weather,
             "civic_events": b.civic_events_fanout(spark, sf).drop("event_name").withColumn("event_name", F.col("event_type")),
+            "economics": b.monthly_series(spark, sf).unionByName(b.monthly_series(spark, sf).where("month_start < '1993-01-01'")),
         }
     )
 
@@ -194,33 +201,96 @@ def random_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.seeded_sample(rows, "trip_id", 2000)
 
 
+_landed: dict[tuple[str, str], list[str]] = {}
+
+
+def landed_files(spark: SparkSession, sf: str) -> list[str]:
+    """Three deliveries of ten days each, under vendor file names and with numeric types that differ; written once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _landed:
+        folder, part = scratch(pin(spark), "landing"), F.floor((F.dayofmonth("tpep_pickup_datetime") - 1) / 10)
+        paths = trips.month_paths(folder, ("2024-01", "2024-02", "2024-03", "2024-04"))
+        for i, path in enumerate(paths):
+            kind = ("int", "bigint", "double", "int")[i]
+            rows = b.raw_trips(spark, sf).where(part == i)
+            rows.withColumns({c: F.col(c).cast(kind) for c in ("PULocationID", "passenger_count")}).write.parquet(path)
+        _landed[key] = paths
+    return _landed[key]
+
+
 def month_file_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Loaded rows per delivery; every ten days of pickups count as one delivery."""
-    part = F.floor((F.dayofmonth("tpep_pickup_datetime") - 1) / 10).cast("int")
-    raw = b.raw_trips(spark, sf).withColumn("source_file", part)
+    """Loaded rows of each landed file."""
+    raw = trips.scan_months(spark, landed_files(spark, sf))
     counts = trips.rows_per_file(trips.clean_loader(raw, extra=("source_file",)))
-    return counts.withColumnsRenamed({"source_file": "part", "rows": "n_rows"})
+    return counts.withColumnsRenamed({"rows": "n_rows"})
 
 
 def loaded_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows a bulk load of all trip files adds, summed over the files."""
-    raw = b.raw_trips(spark, sf, F.col("_metadata.file_path").alias("source_file"))
-    counts = trips.rows_per_file(trips.clean_loader(raw, extra=("source_file",)))
-    return counts.agg(F.sum("rows").alias("loaded_rows"))
+    """Rows a bulk load of all landed files adds."""
+    raw = trips.scan_months(spark, landed_files(spark, sf))
+    return trips.clean_loader(raw, extra=("source_file",)).agg(F.count("*").alias("loaded_rows"))
+
+
+_stale: dict[tuple[str, str], str] = {}
+
+
+def stale_mart(spark: SparkSession, sf: str) -> str:
+    """A stored mart whose last days miss half their trips; written once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _stale:
+        _stale[key] = scratch(pin(spark), "stale-mart")
+        t = b.tables(spark, sf)
+        late = F.col("pickup_dt") >= F.lit(REFRESH_FROM).cast("timestamp_ntz")
+        partial = t.trips.filter(~late | (F.col("trip_id") % 2 == 0))
+        rows = mart.ml_features(partial, t.weather, t.civic_events, t.economics)
+        sinks.write_mart(rows, _stale[key], unit="DD")
+    return _stale[key]
 
 
 def mart_refresh(spark: SparkSession, sf: str) -> DataFrame:
-    """A stored mart whose last days are stale is refreshed by date and read back."""
-    path = scratch(spark, "mart")
-    t = b.tables(spark, sf)
-    args = (t.weather, t.civic_events, t.economics, COUNTS + mart.TIME_COLUMNS)
-    late = F.col("pickup_dt") >= F.lit(REFRESH_FROM).cast("timestamp_ntz")
-    partial = t.trips.filter(~late | (F.col("trip_id") % 2 == 0))
-    sinks.write_mart(mart.ml_features(partial, *args), path, unit="DD")
-    sinks.refresh_mart(mart.ml_features(t.trips.filter(late), *args), path, unit="DD")
+    """The stale days of a stored mart are built anew, all columns, and the mart is read back."""
+    path, t = stale_mart(spark, sf), b.tables(spark, sf)
+    late = t.trips.filter(F.col("pickup_dt") >= F.lit(REFRESH_FROM).cast("timestamp_ntz"))
+    sinks.refresh_mart(mart.ml_features(late, t.weather, t.civic_events, t.economics), path, unit="DD")
     return sinks.read_mart(spark, path)
 
 
+def amount_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums and means of amounts with four decimals, some of them missing, NaN, infinite or too large."""
+    e = F.col("event_id")
+    amount = (
+        F.when(e % 50 == 0, float("nan"))
+        .when(e % 50 == 1, float("inf"))
+        .when(e % 50 == 2, 1e300)
+        .when(e % 50 != 3, (e * 7919 % 1000003).cast("double") / 10000)
+    )
+    rows = b.read(spark, sf, "events").select("event_type", amount.alias("total_amount"))
+    found = rows.groupBy("event_type").agg(
+        F.count("*").alias("n_rows"), num.unusable("total_amount").alias("n_unusable"), *num.sums("total_amount")
+    )
+    return found.select(
+        "event_type", "n_rows", "n_unusable", F.col("total_amount_n").alias("n_amounts"),
+        num.total_of("total_amount", 4).alias("total"), num.mean_of("total_amount", 4).alias("mean"),
+    )
+
+
+def _dropoffs(spark: SparkSession, sf: str) -> DataFrame:
+    return trips.rename_known(b.raw_trips(spark, sf)).where("fare_amount is not null")
+
+
+def dropoff_fare_median(spark: SparkSession, sf: str) -> DataFrame:
+    """Median fare of raw trips by drop-off zone; trips without a zone are a group of their own."""
+    folded = _dropoffs(spark, sf).groupBy("dropoff_zone", "fare_amount").agg(F.count("*").alias("n"))
+    found = ordered.exact_quantiles(folded, ["dropoff_zone"], "fare_amount", "n", {"median": 0.5})
+    return found.select("dropoff_zone", F.round("median", 4).alias("median_fare"))
+
+
+def residual_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Deciles of the baseline's residuals by zone."""
+    rows = baseline.baseline_predictions(*_train_test(spark, sf))
+    return rounded(baseline.residual_bands(rows), 4)
+
+
 # ---- mart and reports ---------------------------------------------------------
 
 
@@ -244,8 +314,8 @@ def with_trips(report: Callable, *dimensions: str, **options) -> Query:
     return run
 
 
-def with_day_trips(report: Callable) -> Query:
-    return lambda spark, sf: report(b.day_trips(spark, sf))
+def with_months(report: Callable) -> Query:
+    return lambda spark, sf: report(b.month_amounts(spark, sf))
 
 
 def on_mart(report: Callable, *args) -> Query:
@@ -282,7 +352,7 @@ def on_counts(operator: Callable) -> Query:
 
 
 def fill_economic(spark: SparkSession, sf: str) -> DataFrame:
-    days = b.day_trips(spark, sf).select(cal.month_start(F.col("pickup_dt")).alias("month_start"))
+    days = b.read(spark, sf, "orders").select(cal.month_start(F.col("o_orderdate")).alias("month_start"))
     return fill.fill_economic(days, b.monthly_series(spark, sf), mart.ECONOMIC_COLUMNS)
 
 
@@ -361,12 +431,12 @@ def fallback_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def validation_tail(spark: SparkSession, sf: str) -> DataFrame:
-    train = split.temporal_split(day_mart(spark, sf)).filter("split = 'train'")
+    train = split.temporal_split(day_mart(spark, sf).select(*COUNTS)).filter("split = 'train'")
     return split.validation_tail(train.drop("split")).select(*COUNTS, "split")
 
 
 def _train_test(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    parts = split.temporal_split(day_mart(spark, sf))
+    parts = split.temporal_split(day_mart(spark, sf).select(*COUNTS, *mart.TIME_COLUMNS))
     return parts.filter("split = 'train'").drop("split"), parts.filter("split = 'test'").drop("split")
 
 
@@ -455,19 +525,19 @@ _fitted: dict[tuple, object] = {}
 
 
 def _matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Feature matrix of the hourly mart; `split` is fit, validation or test, in time order."""
-    parts = settle(split.split_or_fallback(stored_mart(spark, sf)), "parts")
-    train = parts.filter("split = 'train'")
-    # Trailing means look back over the split; fills come from the training part only.
-    matrix = features.features_train(
-        parts,
-        keep=("hour_bucket", "zone_id", "trip_count", "split"),
-        medians=features.weather_medians(train),
-        past_only=True,
+    """Feature matrix of the day mart; `split` is fit, validation or test (two months), in time order.
+
+    Trailing means look back over the split; every fill comes from the training part only.
+    """
+    parts = split.three_parts(day_mart(spark, sf))
+    return features.features_train(
+        parts, keep=(*COUNTS, "split"), fitted_on=parts.filter("split <> 'test'"), past_only=True
     )
-    tail = split.validation_tail(train.select(*COUNTS)).select("hour_bucket", "zone_id", F.col("split").alias("part"))
-    joined = matrix.join(tail, ["hour_bucket", "zone_id"], "left")
-    return joined.withColumn("split", F.coalesce("part", "split")).drop("part")
+
+
+def features_fit_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """The matrix that models are fitted on, with its split."""
+    return rounded(_matrix(spark, sf))
 
 
 def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -600,7 +670,7 @@ QUERIES: dict[str, Query] = {
         demand_lag_24h="double",
         demand_lag_168h="double",
     ),
-    "mart_refresh": mart_refresh,
+    "mart_refresh": shown(mart_refresh, weather_code="double"),
     "table_counts": table_counts,
     "constraint_violations": constraint_violations,
     "generated_weather_flags": generated_weather_flags,
@@ -614,6 +684,9 @@ QUERIES: dict[str, Query] = {
     "clean_trips_strict": clean_trips(trips.clean_strict),
     "month_file_counts": month_file_counts,
     "loaded_rows": loaded_rows,
+    "amount_quality": amount_quality,
+    "dropoff_fare_median": dropoff_fare_median,
+    "residual_quantiles": residual_quantiles,
     "systematic_sample": systematic_sample,
     "random_sample": random_sample,
     "hourly_zone_demand": with_trips(analytics.hourly_zone_demand),
@@ -634,8 +707,8 @@ QUERIES: dict[str, Query] = {
         trips_day_before="double",
         trips_day_after="double",
     ),
-    "monthly_revenue_mom": shown(with_day_trips(analytics.monthly_revenue_mom)),
-    "monthly_cumulative": shown(with_day_trips(analytics.monthly_cumulative), prev_month_trips="double"),
+    "monthly_revenue_mom": shown(with_months(analytics.monthly_revenue_mom)),
+    "monthly_cumulative": shown(with_months(analytics.monthly_cumulative), prev_month_trips="double"),
     "zone_rain_share": with_trips(analytics.zone_rain_share, "weather", "zones", min_trips=MIN_ZONE_TRIPS),
     "precipitation_buckets": with_trips(analytics.precipitation_buckets, "weather"),
     "weekly_running_total": with_trips(analytics.weekly_running_total),
@@ -659,6 +732,7 @@ QUERIES: dict[str, Query] = {
     "rolling_7d": on_counts(lags.rolling_week),
     "fill_economic": shown(fill_economic),
     "features_train": features_train,
+    "features_fit_apply": features_fit_apply,
     "features_serve": features_serve,
     "feature_nulls": feature_nulls,
     "validate_requests": validate_requests,

@@ -1,8 +1,8 @@
 """Order-independent sums, guarded ratios and the rounding rules.
 
 Sums of doubles depend on the order in which partitions arrive. Amounts are
-therefore summed as whole units (cents, 1/10000 mile) in BIGINT: exact,
-associative, and still primitive arithmetic inside generated code.
+therefore summed as whole units of 1/10000 in BIGINT: exact, associative,
+and still primitive arithmetic inside generated code. Only results are rounded.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Decimal digits kept by the exact sums.
-SCALE = {"fare_amount": 2, "total_amount": 2, "trip_distance": 4}
+SCALE = {"fare_amount": 4, "total_amount": 4, "trip_distance": 4}
 
 
 def units(name: str) -> Column:
+    """Whole units; null for NaN, infinities and amounts beyond BIGINT, which ``unusable`` counts."""
     return F.rint(F.col(name) * float(10 ** SCALE[name])).try_cast("bigint")
 
 
@@ -23,10 +24,15 @@ def sums(*names: str) -> list[Column]:
     out = []
     for name in names:
         out.append(F.sum(units(name)).alias(f"{name}_units"))
-        out.append(F.count(name).alias(f"{name}_n"))
+        out.append(F.count(units(name)).alias(f"{name}_n"))
     return out
 
 
+def unusable(name: str) -> Column:
+    """Rows with an amount that neither sums nor counts take."""
+    return F.count(F.when(F.col(name).isNotNull() & units(name).isNull(), 1))
+
+
 def resums(*names: str) -> list[Column]:
     """Add up the partial sums of a finer grouping."""
     out = []

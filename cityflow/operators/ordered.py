@@ -3,96 +3,85 @@
 Values are first folded to (key, value, count), which collapses repeats
 map-side. The folded rows are then cut into value ranges; running counts are
 the sum over the ranges before (a frame of a few rows per key) plus a window
-inside one range. A folded frame that is measured to be small skips the
-cutting: one window per key does. The cuts come from the rows with the smallest hashes - a
-uniform sample of fixed size that is the same on every evaluation - so a key
-that holds most of the rows is spread over all ranges.
+inside one range. The cuts come from the rows with the smallest hashes of key
+and value - a uniform sample that is the same on every evaluation - so a key
+that holds most of the rows, or a value that many keys share, is spread over
+all ranges. Nothing runs before the result is asked for, null keys are keys
+like any other, and every size takes the same path.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cityflow.operators.sizes import is_small
-from cityflow.sources.store import settle
+LEAST_RANGES = 256
+#: Sampled rows for each range.
+SAMPLED = 16
+
 
-SMALL_ROWS = 500_000
-SAMPLE_ROWS = 4096
-STEP = 16
-RANGES = STEP * STEP
+def ranges_of(rows: DataFrame) -> int:
+    """Value ranges: as many as the session shuffles into, but never few."""
+    return max(LEAST_RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _cuts(folded: DataFrame, value: str) -> Column:
-    """RANGES - 1 ascending cut points, `all` of them and every STEP-th as `coarse`."""
+def _cuts(folded: DataFrame, keys: list[str], value: str, ranges: int, step: int) -> Column:
+    """ranges - 1 ascending cut points, `all` of them and every step-th as `coarse`."""
     sample = (
-        folded.select(F.col(value).cast("double").alias("v"))
-        .orderBy(F.xxhash64("v"), "v")
-        .limit(SAMPLE_ROWS)
+        folded.select(F.col(value).cast("double").alias("v"), F.xxhash64(*keys, value).alias("h"))
+        .where("v is not null")
+        .orderBy("h", "v")
+        .limit(SAMPLED * ranges)
         .agg(F.array_sort(F.collect_list("v")).alias("vs"))
     )
-    pick = lambda i: F.get("vs", F.floor(i * F.size("vs") / RANGES).cast("int"))
-    every = F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), pick)
-    coarse = F.transform(F.sequence(F.lit(STEP), F.lit(RANGES - 1), F.lit(STEP)), pick)
+    pick = lambda i: F.get("vs", F.floor(i * F.size("vs") / ranges).cast("int"))
+    every = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), pick)
+    coarse = F.transform(F.sequence(F.lit(step), F.lit(ranges - 1), F.lit(step)), pick)
     return sample.select(F.struct(every.alias("all"), coarse.alias("coarse"))).scalar()
 
 
-def with_range(folded: DataFrame, value: str) -> DataFrame:
-    """Add `_range`, the number of cut points below the value.
+def with_range(folded: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Add `_range`, the number of cut points below the value; -1 for a null value.
 
-    Every STEP-th cut is tried first, then the STEP cuts after the last one below.
+    Every step-th cut is tried first, then the cuts after the last one below.
     """
-    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))
-    cut = folded.withColumn("_cuts", _cuts(folded, value))
-    cut = cut.withColumn("_coarse", below(F.col("_cuts.coarse")) * STEP)
-    fine = F.slice("_cuts.all", F.col("_coarse") + 1, STEP)
-    return cut.withColumn("_range", F.col("_coarse") + below(fine)).drop("_cuts", "_coarse")
-
-
-def running_counts(
-    folded: DataFrame,
-    keys: list[str],
-    value: str,
-    counts: list[str],
-    is_stored: bool = False,
-    small_rows: int = SMALL_ROWS,
-) -> DataFrame:
+    ranges = ranges_of(folded)
+    step = max(1, int(ranges**0.5))
+    at = F.col(value).cast("double")
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < at))
+    cut = folded.withColumn("_cuts", _cuts(folded, keys, value, ranges, step))
+    cut = cut.withColumn("_coarse", below(F.col("_cuts.coarse")) * step)
+    fine = F.slice("_cuts.all", F.col("_coarse") + 1, step)
+    inside = F.col("_coarse") + below(fine)
+    return cut.withColumn("_range", F.when(at.isNull(), -1).otherwise(inside)).drop("_cuts", "_coarse")
+
+
+def running_counts(folded: DataFrame, keys: list[str], value: str, counts: list[str]) -> DataFrame:
     """Add `<count>_upto` (inclusive running sum), `<count>_total` and `next_value` per key.
 
-    `folded` holds one row per (keys, value), without null values. It is read
-    several times, so it is stored first unless it is a stored table already.
+    `folded` holds one row per (keys, value), without null values; keys may be null.
     """
-    if not is_stored:
-        folded = settle(folded, "folded")
-    if is_small(folded, small_rows):
-        by_value = W.partitionBy(*keys).orderBy(value)
-        so_far = by_value.rowsBetween(W.unboundedPreceding, W.currentRow)
-        whole = by_value.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        return folded.select(
-            *keys,
-            value,
-            *counts,
-            *[F.sum(c).over(so_far).alias(f"{c}_upto") for c in counts],
-            *[F.sum(c).over(whole).alias(f"{c}_total") for c in counts],
-            F.lead(value).over(by_value).alias("next_value"),
-        )
-    ranged = with_range(folded, value)
+    ranged = with_range(folded, keys, value)
     by_range = ranged.groupBy(*keys, "_range").agg(
         F.min(value).alias("_first"), *[F.sum(c).alias(f"_{c}") for c in counts]
     )
-    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ordered = W.partitionBy(*keys).orderBy("_range")
+    earlier = ordered.rowsBetween(W.unboundedPreceding, -1)
+    whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     offsets = by_range.select(
-        *keys,
-        "_range",
-        F.lead("_first").over(W.partitionBy(*keys).orderBy("_range")).alias("_next_first"),
+        *[F.col(k).alias(f"_of_{k}") for k in keys],
+        F.col("_range").alias("_at"),
+        F.lead("_first").over(ordered).alias("_next_first"),
         *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}_before") for c in counts],
         *[F.sum(f"_{c}").over(whole).alias(f"{c}_total") for c in counts],
     )
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.col("_range") == F.col("_at"))
     inside = W.partitionBy(*keys, "_range").orderBy(value)
     so_far = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    return ranged.join(offsets, [*keys, "_range"]).select(
+    return ranged.join(offsets, same).select(
         *keys,
         value,
         *counts,
@@ -103,53 +92,41 @@ def running_counts(
 
 
 def exact_quantiles(
-    folded: DataFrame,
-    keys: list[str],
-    value: str,
-    count: str,
-    quantiles: dict[str, float],
-    is_stored: bool = False,
-    small_rows: int = SMALL_ROWS,
+    folded: DataFrame, keys: list[str], value: str, count: str, quantiles: dict[str, float]
 ) -> DataFrame:
     """Interpolated quantiles (PERCENTILE_CONT) per key from rows unique in (keys, value)."""
     counted = folded.select(*keys, value, F.col(count).alias("_n"))
-    ranked = running_counts(counted, keys, value, ["_n"], is_stored, small_rows)
+    ranked = running_counts(counted, keys, value, ["_n"])
     first, last = F.col("_n_upto") - F.col("_n"), F.col("_n_upto") - 1
-    found = []
-    for name, p in quantiles.items():
-        place = (F.col("_n_total") - 1).cast("double") * p
-        for side, index in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            found.append(F.max(F.when(index.between(first, last), F.col(value))).alias(f"_{name}_{side}"))
+    place = {name: (F.col("_n_total") - 1).cast("double") * p for name, p in quantiles.items()}
+    found = [
+        F.max(F.when(index.between(first, last), F.col(value))).alias(f"_{name}_{side}")
+        for name in quantiles
+        for side, index in (("lo", F.floor(place[name])), ("hi", F.ceil(place[name])))
+    ]
     out = ranked.groupBy(*keys).agg(F.max("_n_total").alias("_n_total"), *found)
-    return out.select(
-        *keys,
-        *[
-            (
-                F.col(f"_{name}_lo")
-                + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo"))
-                * (
-                    (F.col("_n_total") - 1).cast("double") * p
-                    - F.floor((F.col("_n_total") - 1).cast("double") * p)
-                )
-            ).alias(name)
-            for name, p in quantiles.items()
-        ],
-    )
 
+    def between(name: str) -> Column:
+        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        return (low + (high - low) * (place[name] - F.floor(place[name]))).alias(name)
+
+    return out.select(*keys, *[between(name) for name in quantiles])
 
-def with_position(rows: DataFrame, block: Column, order: list[str], name: str = "position") -> DataFrame:
-    """Zero-based position in the total order (block, *order).
 
-    `block` must grow with the wanted order and bound the rows that share one
-    value; only rows of one block meet in a task.
+def with_position(rows: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Zero-based position in the order of some columns, of which the first is a number; nulls come first.
+
+    The first column is cut into value ranges, so only rows of one range meet in a task.
     """
-    blocked = rows.withColumn("_block", block)
-    sizes = blocked.groupBy("_block").agg(F.count("*").alias("_size"))
-    earlier = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("_block", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
-    inside = W.partitionBy("_block").orderBy(*order)
+    blocked = with_range(rows, order, order[0])
+    sizes = blocked.groupBy("_range").agg(F.count("*").alias("_size"))  # one row for each range
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(
+        F.col("_range").alias("_at"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start")
+    )
+    inside = W.partitionBy("_range").orderBy(*order)
     return (
-        blocked.join(starts, "_block")
+        blocked.join(starts, F.col("_range") == F.col("_at"))
         .withColumn(name, F.col("_start") + F.row_number().over(inside) - 1)
-        .drop("_block", "_start")
+        .drop("_range", "_at", "_start")
     )

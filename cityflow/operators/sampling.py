@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 from cityflow.operators.ordered import with_position
 
 
-def every_nth(rows: DataFrame, key: str, n: int, block_rows: int = 250_000) -> DataFrame:
-    """Every n-th row in the order of a unique integer key, starting with the first.
-
-    Blocks of `block_rows` consecutive keys bound what meets in one task.
-    """
-    placed = with_position(rows, F.expr(f"`{key}` div {block_rows}"), [key], "_position")
+def every_nth(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """Every n-th row in the order of a unique integer key, starting with the first; null keys come first."""
+    placed = with_position(rows, [key], "_position")
     return placed.filter(F.col("_position") % n == 0).drop("_position")
 
 

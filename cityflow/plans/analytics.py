@@ -16,8 +16,6 @@ from cityflow.functions import calendar as cal
 from cityflow.functions import numbers as num
 from cityflow.functions import weather as wx
 from cityflow.operators.ordered import exact_quantiles
-from cityflow.operators.sizes import BROADCAST_ROWS, is_small
-from cityflow.sources.store import settle
 
 PICKUP = "pickup_dt"
 
@@ -62,20 +60,18 @@ def hourly_city_demand(trips: DataFrame) -> DataFrame:
 
 
 def grand_totals(trips: DataFrame) -> DataFrame:
-    return hourly_city_demand(trips).agg(
-        F.sum("trip_count").alias("total_trips"),
-        F.round(F.sum((F.rint(F.col("revenue") * 100)).cast("bigint")) / 100.0, 2).alias("total_revenue"),
-    )
+    totals = trips.agg(F.count("*").alias("total_trips"), *num.sums("total_amount"))
+    return totals.select("total_trips", num.total_of("total_amount").alias("total_revenue"))
 
 
 def weather_impact(
-    trips: DataFrame, weather: DataFrame, scheme: str, median_of: str, broadcast_rows: int = BROADCAST_ROWS
+    trips: DataFrame, weather: DataFrame, scheme: str, median_of: str
 ) -> DataFrame:
     """Trips, mean fare and distance, exact median and share per weather class.
 
-    The median needs value counts per class. An hourly table that is measured to
-    be small is broadcast, so trips fold map-side to (class, value). A larger
-    one meets trips folded to (hour, value), which no hot hour can unbalance.
+    The median needs value counts per class. Hours are bounded by the calendar, so
+    the planner broadcasts them by their measured bytes and trips fold map-side to
+    (class, value); where it does not, adaptive execution splits a hot hour.
     """
     classes = weather.select(
         F.col("obs_dt").alias("hour_bucket"),
@@ -84,20 +80,10 @@ def weather_impact(
     measures = ("fare_amount", "trip_distance")
     folds = (F.count("trip_id").alias("n"), F.count("*").alias("rows"), *num.sums(*measures))
     value = F.col(median_of).alias("value")
-    if is_small(classes, broadcast_rows):
-        hourly = trips.withColumn("hour_bucket", _hour())
-        per_value = hourly.join(F.broadcast(classes), "hour_bucket").groupBy("weather_category", value).agg(*folds)
-    else:
-        per_value = (
-            trips.groupBy(_hour(), value)
-            .agg(*folds)
-            .join(classes, "hour_bucket")
-            .groupBy("weather_category", "value")
-            .agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), *num.resums(*measures))
-        )
-    per_value = settle(per_value, "weather-values")
+    hourly = trips.withColumn("hour_bucket", _hour())
+    per_value = hourly.join(classes, "hour_bucket").groupBy("weather_category", value).agg(*folds)
     known = per_value.filter(F.col("value").isNotNull())
-    medians = exact_quantiles(known, ["weather_category"], "value", "rows", {"median": 0.5}, is_stored=True)
+    medians = exact_quantiles(known, ["weather_category"], "value", "rows", {"median": 0.5})
     totals = per_value.groupBy("weather_category").agg(F.sum("n").alias("total_trips"), *num.resums(*measures))
     return (
         totals.join(medians, "weather_category", "left")
@@ -237,6 +223,9 @@ def event_before_after_calendar(trips: DataFrame, events: DataFrame) -> DataFram
 
 
 def _monthly(trips: DataFrame, *measures: str) -> DataFrame:
+    """Sums by month, of trips or of trips already folded to months (with column `month`)."""
+    if "month" in trips.columns:
+        return trips.groupBy("month").agg(F.sum("trips").alias("trips"), *num.resums(*measures))
     return trips.groupBy(cal.month_start(PICKUP).alias("month")).agg(
         F.count("*").alias("trips"), *num.sums(*measures)
     )
@@ -244,7 +233,7 @@ def _monthly(trips: DataFrame, *measures: str) -> DataFrame:
 
 def monthly_revenue_mom(trips: DataFrame) -> DataFrame:
     """Monthly revenue and growth; a mean fare is added where trips carry fares."""
-    measures = tuple(c for c in ("total_amount", "fare_amount") if c in trips.columns)
+    measures = tuple(c for c in ("total_amount", "fare_amount") if {c, f"{c}_units"} & set(trips.columns))
     w = W.orderBy("month")
     fares = [num.mean_of("fare_amount").alias("avg_fare")] if "fare_amount" in measures else []
     return (
@@ -265,7 +254,7 @@ def monthly_cumulative(trips: DataFrame) -> DataFrame:
             F.col("trips").alias("monthly_trips"),
             num.total_of("total_amount").alias("monthly_revenue"),
             F.sum("trips").over(w).alias("cumulative_trips"),
-            F.round(F.sum("total_amount_units").over(w).cast("double") / 100.0, 2).alias("cumulative_revenue"),
+            F.round(F.sum("total_amount_units").over(w).cast("double") / float(10 ** num.SCALE["total_amount"]), 2).alias("cumulative_revenue"),
             F.lag("trips").over(w).alias("prev_month_trips"),
         )
         .withColumn(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cityflow.functions import calendar as cal
 from cityflow.functions import numbers as num
-from cityflow.operators.fill import fill_by_month
+from cityflow.operators.fill import fill_by_month, first_known, months_of
 from cityflow.operators.lags import demand_history, overall_mean
 from cityflow.operators.ordered import exact_quantiles
 from cityflow.plans.mart import ECONOMIC_COLUMNS
@@ -69,28 +69,35 @@ def _shared(rows: DataFrame, keep: tuple[str, ...], demand: dict[str, Column]) -
     return rows.select(*[c for c in keep if c not in MODEL_FEATURES], *matrix)
 
 
+def _with_indicators(mart: DataFrame) -> DataFrame:
+    absent = [c for c in ECONOMIC_COLUMNS if c not in mart.columns]
+    return mart.withColumns({c: F.lit(None).cast("double") for c in absent})
+
+
 def features_train(
     mart: DataFrame,
     keep: tuple[str, ...] = ("hour_bucket", "zone_id", "trip_count"),
-    medians: DataFrame | None = None,
+    fitted_on: DataFrame | None = None,
     past_only: bool = False,
 ) -> DataFrame:
     """Feature matrix of mart rows.
 
-    ``medians`` may come from another part of the data (fit on train, apply to
-    test). ``past_only`` keeps the row's own demand out of the trailing means;
-    without it the means include the current row. A mart without indicator
-    columns gets empty ones, which the fill turns into 0.0.
+    Every fill (weather medians, the mean demand that starts a zone, indicators of
+    months before the first known one) comes from ``fitted_on``, the training part;
+    by default from all rows. ``past_only`` keeps the row's own demand out of the
+    trailing means; without it the means include the current row. A mart without
+    indicator columns gets empty ones, which the fill turns into 0.0.
     """
-    absent = [c for c in ECONOMIC_COLUMNS if c not in mart.columns]
-    mart = mart.withColumns({c: F.lit(None).cast("double") for c in absent})
-    fills = (weather_medians(mart) if medians is None else medians).scalar()
-    rows = demand_history(mart, past_only).withColumn("_m", fills)
+    mart = _with_indicators(mart)
+    source = mart if fitted_on is None else _with_indicators(fitted_on)
+    rows = demand_history(mart, past_only).withColumn("_m", weather_medians(source).scalar())
     rows = rows.withColumns({c: F.coalesce(c, F.col(f"_m.{c}"), F.lit(0.0)) for c in WEATHER_NUMBERS})
-    rows = fill_by_month(rows.drop("_m"), mart, ECONOMIC_COLUMNS)
+    months = months_of(source, ECONOMIC_COLUMNS)
+    first = months.agg(first_known(months, ECONOMIC_COLUMNS).alias("f")).scalar()
+    rows = fill_by_month(rows.drop("_m"), mart, ECONOMIC_COLUMNS, first)
     recent, week = F.col("demand_recent_avg"), F.col("demand_rolling_7d_avg")
     if past_only:
-        start = overall_mean(mart)
+        start = overall_mean(source)
         recent, week = F.coalesce(recent, start), F.coalesce(week, start)
     demand = {
         f"demand_lag_{n}h": F.coalesce(

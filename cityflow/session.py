@@ -7,9 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A reduce task should get about this much of a full shuffle, within a sane number of tasks.
+# A reduce task should get about this much of a full shuffle.
 SHUFFLE_BYTES = 128 * 1024**2
-MAX_SHUFFLE_PARTITIONS = 20_000
 
 
 def get_session(app: str = "cityflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,7 +40,7 @@ def size_shuffles(table: DataFrame) -> int:
     """
     conf = table.sparkSession.conf
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = max(int(conf.get("spark.sql.shuffle.partitions")), min(MAX_SHUFFLE_PARTITIONS, -(-size // SHUFFLE_BYTES)))
+    wanted = max(int(conf.get("spark.sql.shuffle.partitions")), -(-size // SHUFFLE_BYTES))
     conf.set("spark.sql.shuffle.partitions", str(wanted))
     return wanted
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cityflow.functions import calendar as cal
+from cityflow.functions import numbers as num
 from cityflow.functions import weather as wx
-from cityflow.session import pin, size_shuffles
+from cityflow.session import pin
 from cityflow.sources.store import stored
 
 
@@ -50,13 +51,11 @@ _schemas: dict[str, StructType] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A benchmark table; its schema is inferred once per path, and shuffles are sized for it."""
+    """A benchmark table; its schema is inferred once per path."""
     path = f"{sf_dir}/{name}.parquet"
     if path not in _schemas:
         _schemas[path] = spark.read.parquet(path).schema
-    table = pin(spark).read.schema(_schemas[path]).parquet(path)
-    size_shuffles(table)
-    return table
+    return pin(spark).read.schema(_schemas[path]).parquet(path)
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,13 +119,23 @@ def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of the day-grain trips, numbered from 1992."""
+    day = F.col("o_orderdate").cast("date")
+    rows = read(spark, sf_dir, "orders").select(day.cast("timestamp_ntz").alias("h")).distinct()
+    return rows.withColumn("hx", F.datediff(F.to_date("h"), F.lit("1992-01-01").cast("date")))
+
+
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per observed hour; some hours are missing on purpose."""
+    return weather_of(hours(spark, sf_dir))
+
+
+def weather_of(times: DataFrame) -> DataFrame:
+    """One row per observed time; some are missing on purpose."""
     hx = F.col("hx")
     codes = F.array(*[F.lit(c) for c in (61, 0, 1, 2, 51, 3, 71, 95)])
     return (
-        hours(spark, sf_dir)
-        .filter(hx % 97 != 0)
+        times.filter(hx % 97 != 0)
         .select(
             F.col("h").alias("obs_dt"),
             (F.lit(30.0) + (hx * 7 % 600).cast("double") / 10).alias("temperature_f"),
@@ -142,10 +151,13 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def civic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_of(hours(spark, sf_dir))
+
+
+def events_of(times: DataFrame) -> DataFrame:
     hx = F.col("hx")
     return (
-        hours(spark, sf_dir)
-        .filter(hx % 120 == 0)
+        times.filter(hx % 120 == 0)
         .select(
             F.to_date("h").alias("event_date"),
             F.concat(F.lit("EVENT_"), F.floor(hx / 24).cast("string")).alias("event_name"),
@@ -200,6 +212,18 @@ def day_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def month_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day-grain trips folded to (customer, month) before the customers are checked: no join moves a trip."""
+    folded = (
+        read(spark, sf_dir, "orders")
+        .withColumnRenamed("o_totalprice", "total_amount")
+        .groupBy("o_custkey", cal.month_start(F.col("o_orderdate")).alias("month"))
+        .agg(F.count("*").alias("trips"), *num.sums("total_amount"))
+    )
+    known = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    return folded.join(known, "o_custkey", "left_semi").drop("o_custkey")
+
+
 def monthly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly indicator table over the order months: some months and some values are missing."""
     m = F.year("month_start") * 12 + F.month("month_start")

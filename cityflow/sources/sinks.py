@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +40,10 @@ def write_mart(mart: DataFrame, path: str, unit: str = "MM", mode: str = "static
     is larger than its target size. ``mode="dynamic"`` replaces only the units
     that occur in `mart` and leaves all others untouched.
     """
-    dated = mart.withColumn("mart_unit", F.to_date(F.date_trunc(unit, "hour_bucket")))
+    _write_units(mart.withColumn("mart_unit", F.to_date(F.date_trunc(unit, "hour_bucket"))), path, mode)
+
+
+def _write_units(dated: DataFrame, path: str, mode: str) -> None:
     (
         dated.hint("rebalance", F.col("mart_unit"))
         .sortWithinPartitions("mart_unit", "zone_id", "hour_bucket")
@@ -49,16 +54,28 @@ def write_mart(mart: DataFrame, path: str, unit: str = "MM", mode: str = "static
     )
 
 
-def refresh_mart(mart: DataFrame, path: str, unit: str = "MM") -> None:
-    """Replace the touched calendar units of a stored mart."""
-    write_mart(mart, path, unit, "dynamic")
+def refresh_mart(mart: DataFrame, path: str, unit: str = "MM", units: list[date] | None = None) -> None:
+    """Replace the touched calendar units of a stored mart: those with rows in `mart`, and those listed.
+
+    A listed unit without any row left is replaced by one empty row, which ``read_mart`` passes over.
+    """
+    if units:
+        listed = mart.sparkSession.createDataFrame([(u,) for u in units], "mart_unit DATE")
+        there = mart.select(F.to_date(F.date_trunc(unit, "hour_bucket")).alias("mart_unit")).distinct()
+        emptied = listed.join(there, "mart_unit", "left_anti").select(
+            *[F.lit(None).cast(t).alias(c) for c, t in mart.dtypes], "mart_unit"
+        )
+        dated = mart.withColumn("mart_unit", F.to_date(F.date_trunc(unit, "hour_bucket"))).unionByName(emptied)
+        _write_units(dated, path, "dynamic")
+    else:
+        write_mart(mart, path, unit, "dynamic")
 
 
 def read_mart(
     spark: SparkSession, path: str, start: str | None = None, end: str | None = None, unit: str = "MM"
 ) -> DataFrame:
     """Read [start, end) of a stored mart; the bounds prune folders."""
-    mart = spark.read.parquet(path)
+    mart = spark.read.parquet(path).where("hour_bucket is not null")
     h, u = F.col("hour_bucket"), F.col("mart_unit")
     if start:
         first = F.lit(start).cast("timestamp_ntz")

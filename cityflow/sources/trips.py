@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cityflow.functions.numbers import clip
 
@@ -32,33 +34,37 @@ TYPES = {
     "total_amount": "double",
     "payment_type": "bigint",
 }
-# Months of the default load, file name pattern, and valid ranges (fixed values).
-MONTHS = ("2024-01", "2024-02", "2024-03", "2024-04", "2024-05", "2024-06")
+# File name pattern and valid ranges (fixed values).
 FILE_NAME = "yellow_tripdata_{month}.parquet"
 VALID_ZONES = (1, 263)
 VALID_FARE = (0, 500)
 VALID_DISTANCE = (0, 100)
 
 
-def month_paths(folder: str, months: tuple[str, ...] = MONTHS) -> list[str]:
+def month_paths(folder: str, months: tuple[str, ...]) -> list[str]:
     return [f"{folder.rstrip('/')}/{FILE_NAME.format(month=m)}" for m in months]
 
 
 def scan_months(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Union of monthly files, mapped columns only, with the file each row came from.
+    """Monthly files, mapped columns only, with the name of the file each row came from.
 
-    Vendor files change numeric types between months, so every file keeps its
-    own scan and is cast before the union.
+    Vendor files change numeric types between months. Files of one footer schema share a scan,
+    which is cast before the union, so the plan grows with the number of schemas and not of files.
     """
-    def one(path: str) -> DataFrame:
-        raw = spark.read.parquet(path)
+    by_schema: dict[str, list[str]] = {}
+    for path in paths:
+        by_schema.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
+
+    def scan(schema: str, group: list[str]) -> DataFrame:
+        raw = spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*group)
         kept = [c for c in COLUMN_MAP if c in raw.columns]
+        file = F.regexp_extract("_metadata.file_path", r"([^/]+\.parquet)(?:/[^/]*)?$", 1)
         return raw.select(
-            *[F.col(c).cast(TYPES[COLUMN_MAP[c]]).alias(COLUMN_MAP[c]) for c in kept],
-            F.col("_metadata.file_path").alias("source_file"),
+            *[F.col(c).cast(TYPES[COLUMN_MAP[c]]).alias(COLUMN_MAP[c]) for c in kept], file.alias("source_file")
         )
 
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(one, paths))
+    scans = [scan(schema, group) for schema, group in by_schema.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
 def rename_known(raw: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:

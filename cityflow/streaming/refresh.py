@@ -41,7 +41,7 @@ def refresh_touched(
     touched = [r[0] for r in stored.filter(F.col("batch") == batch_id).select("pickup_month").distinct().collect()]
     if touched:
         rows = stored.filter(F.col("pickup_month").isin(touched)).drop("batch", "pickup_month")
-        sinks.refresh_mart(build(rows), mart_path)
+        sinks.refresh_mart(build(rows), mart_path, units=touched)
 
 
 def start(

@@ -12,15 +12,15 @@ def R(expr: str, n: int) -> str:
 
 
 def AVG_MONEY(c: str) -> str:
-    return R(f"sum(CAST(round({c}*100) AS BIGINT))::DOUBLE / (count({c})*100)::DOUBLE", 2)
+    return R(f"sum(CAST({c} AS DECIMAL(18,4)))::DOUBLE / count({c})", 2)
 
 
 def AVG_MILES(c: str) -> str:
-    return R(f"sum(CAST(round({c}*10000) AS BIGINT))::DOUBLE / (count({c})*10000)::DOUBLE", 2)
+    return R(f"sum(CAST({c} AS DECIMAL(18,4)))::DOUBLE / count({c})", 2)
 
 
 def SUM_MONEY(c: str) -> str:
-    return R(f"sum(CAST(round({c}*100) AS BIGINT))::DOUBLE / 100", 2)
+    return R(f"sum(CAST({c} AS DECIMAL(18,4)))", 2)
 
 
 def PCT(part: str, whole: str, n: int) -> str:
@@ -195,7 +195,7 @@ def weather_impact(mid: str, rest: str, median: str) -> str:
 
 DAILY = "SELECT CAST(pickup_dt AS DATE) AS trip_date, count(*) AS daily_trips FROM trips GROUP BY 1"
 MONTHLY = f"""SELECT CAST(date_trunc('month', pickup_dt) AS DATE) AS month, count(*) AS trips,
-    {SUM_MONEY('total_amount')} AS revenue, sum(CAST(round(total_amount*100) AS BIGINT)) AS cents
+    {SUM_MONEY('total_amount')} AS revenue, sum(CAST(total_amount AS DECIMAL(18,4))) AS amount
     FROM day_trips GROUP BY 1"""
 CLEAN_TAIL = """CAST(coalesce(dropoff_zone, 0) AS {z}) AS dropoff_zone, {p} AS passenger_cnt, trip_distance, fare_amount,
     total_amount, CAST(coalesce(payment_type, 0) AS {t}) AS payment_type"""
@@ -227,6 +227,45 @@ TRAIN_FEATURES = f"""SELECT hour_bucket, zone_id, trip_count, {TRIG}, {FLAGS}, {
     coalesce(unemployment_rate, 0) AS unemployment_rate, coalesce(gas_price_avg, 0) AS gas_price_avg,
     coalesce(consumer_sentiment, 0) AS consumer_sentiment FROM lagged"""
 
+DAYS = """SELECT DISTINCT CAST(o_orderdate AS TIMESTAMP) AS h, CAST(datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS hx
+    FROM orders"""
+DAY_WEATHER = VIEWS["weather_hourly"].replace("FROM hours", "FROM days")
+DAY_EVENTS = VIEWS["civic_events"].replace("FROM hours", "FROM days")
+DAY_MART = f"""SELECT d.hour_bucket, d.zone_id, d.trip_count, d.hour_of_day, d.day_of_week, d.month, d.is_weekend,
+    w.temperature_f, w.feels_like_f, w.precipitation_mm, w.windspeed_mph, w.humidity_pct,
+    coalesce(CAST(w.is_raining AS INTEGER), 0) AS is_raining, coalesce(CAST(w.is_snowing AS INTEGER), 0) AS is_snowing,
+    coalesce(CAST(e.is_major AS INTEGER), 0) AS has_major_event, CAST(coalesce(e.est_attendance, 0) AS BIGINT) AS event_attendance,
+    ec.unemployment_rate, ec.gas_price_avg, ec.consumer_sentiment
+    FROM day_counts d LEFT JOIN day_weather w ON d.hour_bucket = w.obs_dt
+    LEFT JOIN day_events e ON CAST(d.hour_bucket AS DATE) = e.event_date
+    LEFT JOIN monthly_series ec ON CAST(date_trunc('month', d.hour_bucket) AS DATE) = ec.month_start"""
+PARTED = """SELECT m.*, CASE WHEN hour_bucket > cutoff THEN 'test' WHEN row_number() OVER (PARTITION BY hour_bucket > cutoff
+    ORDER BY hour_bucket, zone_id) - 1 < floor((count(*) OVER (PARTITION BY hour_bucket > cutoff)) * CAST(0.9 AS DOUBLE))
+    THEN 'fit' ELSE 'validation' END AS split FROM day_mart m, split_point"""
+MONTH_VALUES = """SELECT CAST(date_trunc('month', hour_bucket) AS DATE) AS month_start, bool_or(split <> 'test') AS trained,
+    max(unemployment_rate) AS unemployment_rate, max(gas_price_avg) AS gas_price_avg, max(consumer_sentiment) AS consumer_sentiment
+    FROM parted GROUP BY 1"""
+KNOWN_MONTHS = "SELECT month_start, {} FROM month_values".format(
+    ", ".join(
+        f"""coalesce(last_value({c} IGNORE NULLS) OVER (ORDER BY month_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+        (SELECT min_by({c}, month_start) FROM month_values WHERE trained AND {c} IS NOT NULL), 0) AS {c}"""
+        for c in ("unemployment_rate", "gas_price_avg", "consumer_sentiment")
+    )
+)
+FIT_FILLED = "SELECT p.* EXCLUDE ({cols}, unemployment_rate, gas_price_avg, consumer_sentiment), {fills}, k.unemployment_rate, k.gas_price_avg, k.consumer_sentiment FROM parted p JOIN known_months k ON k.month_start = CAST(date_trunc('month', p.hour_bucket) AS DATE)".format(
+    cols=", ".join(WX),
+    fills=", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM parted WHERE split <> 'test'), 0) AS {c}" for c in WX),
+)
+FIT_LAGGED = f"""SELECT *, lag(trip_count, 24) OVER {ZONE_ROWS.format(frame='')} AS l24,
+    lag(trip_count, 168) OVER {ZONE_ROWS.format(frame='')} AS l168,
+    coalesce(avg(trip_count) OVER {ZONE_ROWS.format(frame='ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING')}, s) AS m24,
+    coalesce(avg(trip_count) OVER {ZONE_ROWS.format(frame='ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING')}, s) AS m168
+    FROM filled, (SELECT avg(trip_count) AS s FROM parted WHERE split <> 'test')"""
+FIT_VIEWS = dict(
+    days=DAYS, day_weather=DAY_WEATHER, day_events=DAY_EVENTS, day_mart=DAY_MART, parted=PARTED, month_values=MONTH_VALUES,
+    known_months=KNOWN_MONTHS, filled=FIT_FILLED, lagged=FIT_LAGGED,
+)
+
 DRIFT_NUMERIC = (
     "hour_of_day", "day_of_week", "month", "is_weekend", "temperature_f", "precipitation_mm", "windspeed_mph",
     "humidity_pct", "is_raining", "is_snowing", "has_major_event", "event_attendance", "trip_count",
@@ -316,9 +355,7 @@ ORACLES: dict[str, str] = {
         lag(trip_count, 168) OVER {ZONE_ROWS.format(frame='')} AS demand_lag_168h
         FROM mart m LEFT JOIN weather_hourly w ON hour_bucket = obs_dt""",
     ),
-    "mart_refresh": over(
-        "mart", "SELECT hour_bucket, zone_id, trip_count, hour_of_day, day_of_week, month, is_weekend FROM mart"
-    ),
+    "mart_refresh": over("mart", "SELECT * FROM mart"),
     "table_counts": over(
         "trips zones weather_hourly civic_events economic",
         """SELECT 'taxi_trips' AS table_name, count(*) AS n_rows FROM trips UNION ALL SELECT 'taxi_zones', count(*) FROM zones
@@ -326,17 +363,19 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'economic_indicators', count(*) FROM economic""",
     ),
     "constraint_violations": over(
-        "raw_trips zones weather_hourly civic_fanout",
+        "raw_trips zones weather_hourly civic_fanout monthly_series",
         " UNION ALL ".join(
             (
                 violations("trips", "halved", ("trip_id", "pickup_dt", "dropoff_dt", "pickup_zone"), "trip_id"),
                 violations("zones", "zones", ("zone_id",), "zone_id"),
                 violations("weather", "weather_hourly", ("obs_dt",), "obs_dt"),
                 violations("civic_events", "typed", ("event_date",), "event_date, event_name"),
+                violations("economics", "doubled", ("month_start",), "month_start"),
             )
         ),
         halved="SELECT * REPLACE (trip_id // 2 AS trip_id) FROM raw_trips",
         typed="SELECT * REPLACE (event_type AS event_name) FROM civic_fanout",
+        doubled="SELECT * FROM monthly_series UNION ALL SELECT * FROM monthly_series WHERE month_start < DATE '1993-01-01'",
     ),
     "generated_weather_flags": over(
         "weather_hourly", "SELECT obs_dt, weather_code, is_raining, is_snowing FROM weather_hourly"
@@ -382,12 +421,26 @@ ORACLES: dict[str, str] = {
     ),
     "month_file_counts": over(
         "raw_trips",
-        """SELECT CAST((day(pickup_dt) - 1) // 10 AS INTEGER) AS part, count(*) AS n_rows FROM raw_trips
-        WHERE fare_amount > 0 AND trip_distance > 0 GROUP BY 1""",
+        """SELECT 'yellow_tripdata_2024-0' || CAST((day(pickup_dt) - 1) // 10 + 1 AS VARCHAR) || '.parquet' AS source_file,
+        count(*) AS n_rows FROM raw_trips WHERE fare_amount > 0 AND trip_distance > 0 GROUP BY 1""",
     ),
     "loaded_rows": over(
         "raw_trips", "SELECT count(*) AS loaded_rows FROM raw_trips WHERE fare_amount > 0 AND trip_distance > 0"
     ),
+    "amount_quality": f"""SELECT event_type, count(*) AS n_rows, count(*) FILTER (WHERE event_id % 50 < 3) AS n_unusable,
+        count(*) FILTER (WHERE event_id % 50 > 3) AS n_amounts,
+        {R("sum(CAST((event_id * 7919 % 1000003) AS DECIMAL(18,4)) / 10000) FILTER (WHERE event_id % 50 > 3)", 4)} AS total,
+        {R("avg((event_id * 7919 % 1000003)::DOUBLE / 10000) FILTER (WHERE event_id % 50 > 3)", 4)} AS mean FROM events GROUP BY 1""",
+    "dropoff_fare_median": over(
+        "raw_trips",
+        f"""SELECT dropoff_zone, {R('quantile_cont(fare_amount, 0.5)', 4)} AS median_fare FROM raw_trips
+        WHERE fare_amount IS NOT NULL GROUP BY 1""",
+    ),
+    "residual_quantiles": over(
+        "baseline",
+        f"""SELECT zone_id, {R('quantile_cont(residual, 0.1)', 4)} AS q_low, {R('quantile_cont(residual, 0.9)', 4)} AS q_high
+        FROM (SELECT zone_id, {R('trip_count - prediction', 6)} AS residual FROM baseline) GROUP BY 1""",
+    ),
     "systematic_sample": over(
         "raw_trips",
         f"""SELECT * EXCLUDE (rn) FROM (SELECT trip_id, pickup_dt, dropoff_dt, pickup_zone,
@@ -431,7 +484,7 @@ ORACLES: dict[str, str] = {
         f"""SELECT zone_name, borough, count(trip_id) AS trip_count, {SUM_MONEY('total_amount')} AS total_revenue,
         {AVG_MONEY('fare_amount')} AS avg_fare, {AVG_MILES('trip_distance')} AS avg_distance,
         CAST(dense_rank() OVER (ORDER BY count(trip_id) DESC) AS INTEGER) AS demand_rank,
-        CAST(dense_rank() OVER (ORDER BY sum(CAST(round(total_amount*100) AS BIGINT)) DESC) AS INTEGER) AS revenue_rank
+        CAST(dense_rank() OVER (ORDER BY sum(CAST(total_amount AS DECIMAL(18,4))) DESC) AS INTEGER) AS revenue_rank
         FROM trips JOIN zones ON pickup_zone = zone_id GROUP BY 1, 2 ORDER BY demand_rank, zone_name, borough LIMIT 20""",
     ),
     "dow_hour_heatmap": over(
@@ -478,7 +531,7 @@ ORACLES: dict[str, str] = {
         "day_trips",
         f"""SELECT month, trips AS monthly_trips, revenue AS monthly_revenue,
         CAST(sum(trips) OVER (ORDER BY month) AS BIGINT) AS cumulative_trips,
-        {R('(sum(cents) OVER (ORDER BY month))::DOUBLE / 100', 2)} AS cumulative_revenue,
+        {R('sum(amount) OVER (ORDER BY month)', 2)} AS cumulative_revenue,
         lag(trips) OVER (ORDER BY month) AS prev_month_trips,
         {PCT('trips - lag(trips) OVER (ORDER BY month)', 'lag(trips) OVER (ORDER BY month)', 1)} AS mom_trip_growth_pct
         FROM monthly""",
@@ -615,6 +668,11 @@ ORACLES: dict[str, str] = {
         LEFT JOIN monthly_series USING (month_start)""",
     ),
     "features_train": over("mart", TRAIN_FEATURES, filled=FILLED, lagged=LAGGED),
+    "features_fit_apply": over(
+        "day_counts split_point monthly_series",
+        TRAIN_FEATURES.replace("SELECT hour_bucket, zone_id, trip_count,", "SELECT hour_bucket, zone_id, trip_count, split,"),
+        **FIT_VIEWS,
+    ),
     "features_serve": over(
         "request_rows",
         f"""SELECT request_id, {TRIG}, {FLAGS}, {', '.join(f'{R(c, 6)} AS {c}' for c in WX)},
