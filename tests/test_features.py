@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cityflow.operators import fill, lags
 from cityflow.plans import features
-from cityflow.plans.registry import MODEL_FEATURES, REGISTRY, feature_catalog
+from cityflow.plans.registry import MODEL_FEATURES, feature_catalog
 
 DRY = datetime(2024, 6, 15, 17)
 RAINY = datetime(2024, 3, 10, 8)
@@ -117,11 +117,31 @@ def test_month_fill(spark):
     assert [(r.a, r.b) for r in rows] == [(2.0, 0.0)] * 3
 
 
-def test_registry(spark):
-    names = [f.name for f in REGISTRY]
-    assert len(names) == len(set(names)) == feature_catalog(spark).count()
-    assert {f.kind for f in REGISTRY} <= {"numeric", "binary", "cyclical", "categorical"}
-    assert [f.name for f in REGISTRY if f.nullable] == ["demand_lag_24h", "demand_lag_168h"]
+def test_catalogue_is_read_off_the_matrix(make_mart):
+    matrix = features.features_train(make_mart([mart_row(DRY + timedelta(hours=i), trip_count=i) for i in range(30)]))
+    rows = {r.feature: r for r in feature_catalog(matrix).collect()}
+    assert sorted(rows, key=lambda f: rows[f].place) == list(MODEL_FEATURES)
+    assert rows["is_rush_hour"].is_flag and not rows["temperature_f"].is_flag
+    assert rows["temperature_f"].low == rows["temperature_f"].high == 78.5 and all(r.n_null == 0 for r in rows.values())
+
+
+def test_fills_come_from_the_training_part(make_mart):
+    """Test demand and test weather may change as they like: training rows stay as they are."""
+    START = DRY.replace(day=29, hour=8)  # the test part begins with July
+
+    def matrix(factor):
+        rows = [
+            mart_row(START + timedelta(hours=i), trip_count=(i + 1) * (factor if i >= 40 else 1),
+                     temperature_f=None if i % 3 else 50.0 + i * (factor if i >= 40 else 1),
+                     gas_price_avg=None if i < 40 else 3.0 * factor)
+            for i in range(60)
+        ]
+        mart = make_mart(rows)
+        late = F.col("hour_bucket") >= F.lit(START + timedelta(hours=40))
+        found = features.features_train(mart, fitted_on=mart.where(~late), past_only=True)
+        return [tuple(r) for r in found.where(~late).orderBy("hour_bucket").collect()]
+
+    assert matrix(1) == matrix(100)
 
 
 def test_align(spark):

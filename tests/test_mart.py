@@ -94,8 +94,7 @@ def test_refresh_touches_only_its_units(spark, sf, star, tmp_path):
     assert "mart_unit" in plan_of(part).split("PartitionFilters")[1]
 
 
-@pytest.mark.parametrize("broadcast_rows", [1000, 3])
-def test_median_survives_a_hot_class(spark, broadcast_rows):
+def test_median_survives_a_hot_class(spark):
     """One weather class holds nearly all trips; both join orders equal the native percentile."""
     start = F.lit("2024-01-01").cast("timestamp_ntz")
     hour = F.when(F.col("id") % 50 == 0, F.col("id") % 24).otherwise(3).cast("int")
@@ -109,7 +108,7 @@ def test_median_survives_a_hot_class(spark, broadcast_rows):
         (start + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("obs_dt"),
         F.when(F.col("id") == 3, 61).otherwise(0).cast("int").alias("weather_code"),
     )
-    got = analytics.weather_impact(trips, weather, "impact", "trip_distance", broadcast_rows).collect()
+    got = analytics.weather_impact(trips, weather, "impact", "trip_distance").collect()
     joined = trips.join(weather, F.date_trunc("hour", "pickup_dt").cast("timestamp_ntz") == F.col("obs_dt"))
     want = {
         r[0]: (r[1], r[2])
@@ -159,8 +158,8 @@ def test_shuffles_are_sized_and_never_shrunk(spark, sf, monkeypatch):
         assert session.size_shuffles(table) == int(before)
         monkeypatch.setattr(session, "SHUFFLE_BYTES", 10_000)
         wide = session.size_shuffles(table)
-        assert int(before) < wide <= session.MAX_SHUFFLE_PARTITIONS
+        assert int(before) < wide
         monkeypatch.setattr(session, "SHUFFLE_BYTES", 1)
-        assert session.size_shuffles(table) == session.MAX_SHUFFLE_PARTITIONS
+        assert session.size_shuffles(table) > wide
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)

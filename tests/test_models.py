@@ -87,10 +87,20 @@ def test_tails_are_positional(spark, synthetic):
     assert tail.filter("split = 'validation'").agg(F.min("hour_bucket")).first()[0] > last_fit
 
 
-def test_fallback_for_a_short_test_part(make_mart):
-    mart = make_mart([mart_row(datetime(2024, 1, 1) + timedelta(hours=i)) for i in range(50)])
-    parts = split.split_or_fallback(mart, min_test_rows=100)
+def test_positional_split_is_a_choice_and_keeps_null_hours(make_mart):
+    rows = [mart_row(datetime(2024, 1, 1) + timedelta(hours=i // 2), zone_id=i % 2) for i in range(49)]
+    mart = make_mart([*rows, {**rows[0], "hour_bucket": None}])
+    parts = split.fallback_split(mart)
     assert {r.split: r["count"] for r in parts.groupBy("split").count().collect()} == {"train": 40, "test": 10}
+    assert parts.where("hour_bucket is null").first().split == "train"
+    assert split.fallback_split(mart.where("false")).count() == 0
+
+
+def test_splits_do_not_shuffle_the_mart(make_mart):
+    mart = make_mart([mart_row(datetime(2024, 1, 1) + timedelta(hours=i)) for i in range(50)])
+    plan = split.validation_tail(mart)._jdf.queryExecution().optimizedPlan().toString()
+    main = plan.split("scalar-subquery")[0]
+    assert "Join" not in main and "Window" not in main
 
 
 def test_baseline_falls_back_to_the_mean(make_mart):

@@ -16,18 +16,18 @@ def folded(spark, rows):
 
 @pytest.fixture(scope="module")
 def skewed():
-    """One key with most rows and many values, one constant key, one tiny key."""
+    """One key with most rows and many values, one constant key, one tiny key, and rows without a key."""
     rng = random.Random(7)
     rows = [("hot", round(rng.lognormvariate(3, 2), 3)) for _ in range(6000)]
     rows += [("flat", 5.0)] * 900 + [("tiny", 1.0), ("tiny", 4.0)]
     rows += [("mixed", float(rng.randint(-50, 50))) for _ in range(999)]
+    rows += [(None, float(rng.randint(0, 9))) for _ in range(77)]
     return rows
 
 
-@pytest.mark.parametrize("small_rows", [0, 100_000])
-def test_quantiles_match_brute_force(spark, skewed, small_rows):
+def test_quantiles_match_brute_force(spark, skewed):
     probs = {"q10": 0.1, "median": 0.5, "q90": 0.9, "low": 0.0, "high": 1.0}
-    found = ordered.exact_quantiles(folded(spark, skewed), ["k"], "v", "n", probs, small_rows=small_rows)
+    found = ordered.exact_quantiles(folded(spark, skewed), ["k"], "v", "n", probs)
     got = {r.k: r for r in found.collect()}
     for key in {k for k, _ in skewed}:
         values = [v for k, v in skewed if k == key]
@@ -35,9 +35,8 @@ def test_quantiles_match_brute_force(spark, skewed, small_rows):
             assert got[key][name] == pytest.approx(np.quantile(values, p), rel=1e-12)
 
 
-@pytest.mark.parametrize("small_rows", [0, 100_000])
-def test_running_counts_match_brute_force(spark, skewed, small_rows):
-    rows = ordered.running_counts(folded(spark, skewed), ["k"], "v", ["n"], small_rows=small_rows).collect()
+def test_running_counts_match_brute_force(spark, skewed):
+    rows = ordered.running_counts(folded(spark, skewed), ["k"], "v", ["n"]).collect()
     for key in {k for k, _ in skewed}:
         values = np.array(sorted(v for k, v in skewed if k == key))
         mine = sorted((r for r in rows if r.k == key), key=lambda r: r.v)
@@ -48,9 +47,9 @@ def test_running_counts_match_brute_force(spark, skewed, small_rows):
 
 
 def test_a_hot_key_is_cut_into_many_ranges(spark, skewed):
-    ranged = ordered.with_range(folded(spark, skewed), "v")
+    ranged = ordered.with_range(folded(spark, skewed), ["k"], "v")
     ranges = ranged.filter("k = 'hot'").groupBy("_range").agg(F.count("*").alias("n"), F.min("v"), F.max("v")).collect()
-    assert len(ranges) > ordered.RANGES / 2
+    assert len(ranges) > ordered.LEAST_RANGES / 2
     assert max(r.n for r in ranges) < 0.05 * sum(r.n for r in ranges)
     ranges.sort(key=lambda r: r._range)
     assert all(a[3] < b[2] for a, b in zip(ranges, ranges[1:]))
@@ -60,18 +59,40 @@ def test_a_hot_key_is_cut_into_many_ranges(spark, skewed):
 @given(values=st.lists(st.integers(-5, 5).map(float), min_size=1, max_size=40), p=st.floats(0, 1))
 def test_any_quantile(spark, values, p):
     rows = folded(spark, [("a", v) for v in values])
-    got = ordered.exact_quantiles(rows, ["k"], "v", "n", {"q": p}, small_rows=0).first()
+    got = ordered.exact_quantiles(rows, ["k"], "v", "n", {"q": p}).first()
     assert got.q == pytest.approx(np.quantile(values, p), abs=1e-9)
 
 
-@pytest.mark.parametrize("block", [1, 7, 10_000])
-def test_every_nth(spark, block):
-    keys = sorted(random.Random(3).sample(range(5000), 400))
+def test_values_that_many_keys_share_are_spread(spark):
+    shared = spark.range(300 * 400).select((F.col("id") % 300).alias("k"), (F.floor(F.col("id") / 300) * 1.0).alias("v"))
+    sizes = [r["count"] for r in ordered.with_range(shared, ["k"], "v").groupBy("_range").count().collect()]
+    assert max(sizes) < 0.05 * sum(sizes)
+
+
+def test_nothing_runs_before_the_result_is_asked_for(spark, skewed):
+    frame = folded(spark, skewed)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build-only", "no jobs")
+    ordered.exact_quantiles(frame, ["k"], "v", "n", {"q": 0.5})
+    ordered.with_position(frame, ["v"])
+    assert not tracker.getJobIdsForGroup("build-only")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("spacing", [1, 7, 10**15])
+def test_every_nth(spark, spacing):
+    keys = [k * spacing for k in sorted(random.Random(3).sample(range(5000), 400))]
     rows = spark.createDataFrame([(k,) for k in keys], "id BIGINT").repartition(5)
-    got = sorted(r.id for r in sampling.every_nth(rows, "id", 6, block).collect())
+    got = sorted(r.id for r in sampling.every_nth(rows, "id", 6).collect())
     assert got == keys[::6]
 
 
+def test_every_row_counts_those_without_a_key_first(spark):
+    rows = spark.createDataFrame([(None,), (4,), (2,)], "id BIGINT")
+    assert sampling.every_nth(rows, "id", 1).count() == 3
+    assert {r.id for r in sampling.every_nth(rows, "id", 2).collect()} == {None, 4}
+
+
 def test_seeded_sample_does_not_depend_on_partitions(spark):
     ids = spark.range(3000)
     one = {r.id for r in sampling.seeded_sample(ids.repartition(1), "id", 200).collect()}
