@@ -17,7 +17,7 @@ from cityflow.session import scratch
 
 #: Bytes of text that go to one file, and ids that go to one frame of it.
 FILE_BYTES = 32 * 1024**2
-FRAME_IDS = 1_000_000
+FRAME_IDS = 1 << 18
 
 # A file is a row of frames. A frame: this header, doc ids, whether a doc id is there, ids of each
 # document, word offset of each block, words, escaped values. Numbers are little-endian; one byte,
@@ -65,7 +65,7 @@ def _frames(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> I
     for batch in batches:
         own, words = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
         for part in chunks.strides(words):
-            for key, found in zip(own[part], chunks.word_table(tokenizer).encode(words[part])):
+            for key, found in zip(own[part], chunks.word_table(tokenizer).texts(words[part])):
                 keys.append(key)
                 ids.append(np.append(found, end_id).astype(np.uint64))
                 held += len(ids[-1])

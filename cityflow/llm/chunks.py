@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 from cityflow.llm.rolling import Rolling
 
 #: Chunks a worker remembers, about 50 bytes each; beyond it the table starts anew. Bounds memory, not results.
-CHUNKS = 2_000_000
+CHUNKS = 1_200_000
 #: Characters of text segmented at once.
-STRIDE = 4_000_000
+STRIDE = 2_000_000
 
 Ids = tuple[np.ndarray, np.ndarray]  # how many ids each chunk has; all ids
 
@@ -28,7 +28,7 @@ def flat_ids(found: Sequence[Sequence[int]]) -> Ids:
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Runs of values, one behind the other."""
-    ends = np.cumsum(lengths)
+    ends = np.cumsum(lengths, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
     return values[np.repeat(starts - ends + lengths, lengths) + np.arange(total)]
 
@@ -42,7 +42,7 @@ class ChunkTable:
 
     def clear(self) -> None:
         self.low, self.high = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     @staticmethod
     def digests(chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +103,8 @@ class ChunkTable:
         size = lengths[at]
         flat = gather(ids, (np.cumsum(lengths) - lengths)[at], size)
         ends = np.append(0, np.cumsum(size))[offsets - offsets[0]]
+        del found, at
+        pa.default_memory_pool().release_unused()  # two workers share an executor with the JVM
         return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 

@@ -18,14 +18,8 @@ PAD = int(SLOTS.max())
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
-    """Bits that each value needs."""
-    out, rest = np.zeros(values.shape, np.uint8), values.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        high = rest >> np.uint64(step)
-        more = high > 0
-        out += (more * step).astype(np.uint8)
-        rest = np.where(more, high, rest)
-    return out + (rest > 0)
+    """Bits that each value needs, or one more where a value of over 53 bits rounds up."""
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
 def _selectors(width: np.ndarray) -> np.ndarray:
@@ -47,7 +41,7 @@ def _selectors(width: np.ndarray) -> np.ndarray:
     chosen = np.zeros((width.shape[0], n), np.uint8)
     for selector in sorted(range(1, 16), key=lambda s: SLOTS[s]):
         fits = reach(int(SLOTS[selector]))[:, :n] <= WIDTH[selector]
-        chosen[fits] = selector
+        np.copyto(chosen, np.uint8(selector), where=fits)
     return chosen
 
 
@@ -71,16 +65,18 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         going = at < size[lane]
         lane, at = lane[going], at[going]
     row, col = np.nonzero(begins)
-    selector = chosen[row, col]
+    selector, place, flat = chosen[row, col], row * grid.shape[1] + col, grid.reshape(-1)
     words = selector.astype(np.uint64)
     for s in np.unique(selector):
         own = np.flatnonzero(selector == s)
         if s == 0:
             words[own] |= np.arange(len(own), dtype=np.uint64) << np.uint64(4)
         elif WIDTH[s]:
+            held, at = words[own], place[own]
             for j in range(SLOTS[s]):
-                words[own] |= grid[row[own], col[own] + j] << np.uint64(4 + j * WIDTH[s])
-    escaped = grid[row[selector == 0], col[selector == 0]]
+                held |= flat[at + j] << np.uint64(4 + j * WIDTH[s])
+            words[own] = held
+    escaped = flat[place[selector == 0]]
     offsets = np.searchsorted(row, np.arange(blocks)).astype(np.uint32)
     return words, offsets, escaped
 
@@ -101,9 +97,9 @@ def decode(words: np.ndarray, offsets: np.ndarray, escaped: np.ndarray, n: int)
         if s == 0:
             out[place[own]] = escaped[(words[own] >> np.uint64(4)).astype(np.int64)]
         elif WIDTH[s]:
-            mask = np.uint64((1 << int(WIDTH[s])) - 1)
+            mask, held, to, end = np.uint64((1 << int(WIDTH[s])) - 1), words[own], place[own], limit[own]
             for j in range(SLOTS[s]):
-                value, to = (words[own] >> np.uint64(4 + j * WIDTH[s])) & mask, place[own] + j
-                inside = to < limit[own]
-                out[to[inside]] = value[inside]
+                inside = to + j < end  # all but the last word of a block
+                value = (held >> np.uint64(4 + j * WIDTH[s])) & mask
+                out[(to + j)[inside]] = value[inside]
     return out
