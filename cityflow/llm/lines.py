@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,20 +110,36 @@ def _codes(lines: list[str], width: int, fill: int) -> np.ndarray:
     return out
 
 
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """Two lines without what they share at both ends, the shorter one first; their distance is the same."""
+    if len(a) > len(b):
+        a, b = b, a
+    begin = len(os.path.commonprefix((a, b)))
+    a, b = a[begin:], b[begin:]
+    end = len(os.path.commonprefix((a[::-1], b[::-1])))
+    return a[: len(a) - end], b[: len(b) - end]
+
+
 def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
     """Whether a[i] and b[i] are at most ``edits`` edits apart, by a bit-parallel edit distance on a band.
 
-    All pairs advance together, a column at a time. Only cells at most ``edits`` off the diagonal are kept,
-    one bit each for a vertical step up or down, so a column is a few operations on one word per pair
-    (Myers' recurrences in Hyyro's banded form: the band moves down with the column). The score is followed
-    along the band's lower edge and then up the last column.
+    All pairs advance together, a column at a time, over what is left between their common ends. Only
+    cells at most ``edits`` off the diagonal are kept, one bit each for a vertical step up or down, so a
+    column is a few operations on one word per pair (Myers' recurrences in Hyyro's banded form: the band
+    moves down with the column). The score is followed along the band's lower edge and then up the last
+    column; a pair leaves as soon as no cell of its band can end within the distance.
     """
-    if not a:
-        return np.zeros(0, bool)
-    swap = [len(x) > len(y) for x, y in zip(a, b)]
-    a, b = [y if s else x for x, y, s in zip(a, b, swap)], [x if s else y for x, y, s in zip(a, b, swap)]
-    m, n = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    result = n - m <= edits
+    trimmed = [_trimmed(x, y) for x, y in zip(a, b)]
+    a, b = [x for x, _ in trimmed], [y for _, y in trimmed]
+    m, n = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    result = n <= edits
+    rest = np.flatnonzero((n - m <= edits) & ~result)
+    if len(rest):
+        result[rest] = _banded([a[i] for i in rest], [b[i] for i in rest], m[rest], n[rest], edits)
+    return result
+
+
+def _banded(a: list[str], b: list[str], m: np.ndarray, n: np.ndarray, edits: int) -> np.ndarray:
     band = 2 * edits + 1
     one, top, full = np.uint64(1), np.uint64(1 << (band - 1)), np.uint64((1 << band) - 1)
     width = int(n.max()) + band
@@ -133,14 +150,9 @@ def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
     # bit i of a column's steps is the row i of the next column's band; in column 0 each step below row 0 adds one
     up, down = np.full(len(a), full & ~np.uint64((1 << edits) - 1)), np.zeros(len(a), np.uint64)
     score = np.full(len(a), edits)  # of the lowest cell of the band
-    final = np.zeros(len(a), np.int64)
-    live = np.flatnonzero(result)
-    done = live[n[live] == 0]
-    final[done] = m[done]
-    live = live[n[live] > 0]
+    final = np.full(len(a), edits + 1)
+    live = np.arange(len(a))
     for c in range(int(n.max())):
-        if not len(live):
-            break
         equal = np.zeros(len(live), np.uint64)
         for i in range(band):
             equal |= (rows[live, c + i] == cols[live, c]).astype(np.uint64) << np.uint64(i)
@@ -161,64 +173,60 @@ def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
                 step = ((up[ended] & bit) > 0).astype(int) - ((down[ended] & bit) > 0).astype(int)
                 value -= np.where(k < climb, step, 0)
             final[ended] = value
-            live = live[n[live] > c + 1]
-    return result & (final <= edits)
-
-
-def _unit_links(rows: list[tuple], edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the unit's lines within the distance; at least one of a pair has the segment as its own."""
-    left, right = [r for r in rows if r[0] == "own"], rows
-    lines = sorted({r[1] for r in rows})
-    place = {x: i for i, x in enumerate(lines)}
-    ids = np.zeros(len(lines), np.int64)
-    for r in rows:
-        ids[place[r[1]]] = r[2]
-
-    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        seen: set[tuple[str, str]] = set()
-        held: list[tuple[str, str]] = []
-        for x in left:
-            for y in right:
-                # a unit of two blocks compares the one with the other, a unit of one with itself
-                if x[1] != y[1] and (x[3] != y[3] or x[4]) and abs(len(x[1]) - len(y[1])) <= edits:
-                    pair = (x[1], y[1]) if x[1] < y[1] else (y[1], x[1])
-                    if pair not in seen:
-                        seen.add(pair)
-                        held.append(pair)
-                if len(held) == PAIRS:
-                    yield check(held)
-                    held = []
-        if held:
-            yield check(held)
-
-    def check(held: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
-        near = within([p[0] for p in held], [p[1] for p in held], edits)
-        good = [p for p, ok in zip(held, near) if ok]
-        return np.array([place[x] for x, _ in good], np.int64), np.array([place[y] for _, y in good], np.int64)
-
-    root = _roots(len(lines), pairs())
-    linked = np.flatnonzero(root != np.arange(len(lines)))
-    return ids[linked], ids[root[linked]]
+        # cells of a column differ by one from row to row, and scores along a diagonal never fall
+        live = live[(n[live] > c + 1) & (score[live] - 2 * edits <= edits)]
+        if not len(live):
+            break
+    return final <= edits
+
+
+def _unit_pairs(rows: list[tuple], edits: int) -> Iterator[tuple[str, str, int, int]]:
+    """Pairs (text, text, id, id) of a unit that share its key; at least one of a pair has the segment as its own."""
+    seen: set[tuple[int, int]] = set()
+    for own, x, i, block, single in rows:
+        if not own:
+            continue
+        for _, y, j, other, _ in rows:
+            # a unit of two blocks compares the one with the other, a unit of one with itself
+            if i != j and (block != other or single) and abs(len(x) - len(y)) <= edits and (min(i, j), max(i, j)) not in seen:
+                seen.add((min(i, j), max(i, j)))
+                yield x, y, i, j
 
 
 def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by (key, low, high); each unit is verified when it is whole."""
+    """Rows come ordered by (key, low, high). Pairs of whole units are verified some thousands at a time; of the
+    links found together only a spanning forest is returned."""
     held: list[tuple] = []
+    pairs: list[tuple[str, str, int, int]] = []
     last = None
 
-    def unit() -> pa.RecordBatch:
-        a, b = _unit_links(held, edits)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def check() -> pa.RecordBatch:
+        near = within([p[0] for p in pairs], [p[1] for p in pairs], edits)
+        found = np.array([p[2:] for p, ok in zip(pairs, near) if ok], np.int64).reshape(-1, 2)
+        ids, place = np.unique(found, return_inverse=True)
+        place = place.reshape(-1, 2)
+        root = _roots(len(ids), iter([(place[:, 0], place[:, 1])]))
+        linked = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[root[linked]])], ["a", "b"])
+
+    def unit() -> Iterator[pa.RecordBatch]:
+        for pair in _unit_pairs(held, edits):
+            pairs.append(pair)
+            if len(pairs) == PAIRS:
+                yield check()
+                pairs.clear()
 
     for batch in batches:
         for key, low, high, block, own, line, text in zip(*(c.to_pylist() for c in batch.columns)):
             if held and (key, low, high) != last:
-                yield unit()
-                held = []
+                yield from unit()
+                held.clear()
             last = (key, low, high)
-            held.append(("own" if own else "probe", text, line, block, low == high))
+            held.append((own, text, line, block, low == high))
     if held:
-        yield unit()
+        yield from unit()
+    if pairs:
+        yield check()
 
 
 def line_links(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
