@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from cityflow.functions import calendar as cal
 from cityflow.functions import numbers as num
@@ -546,57 +547,114 @@ def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return matrix.filter("split <> 'test'"), matrix.filter("split = 'test'")
 
 
-def _model(spark: SparkSession, sf: str, name: str) -> PipelineModel:
-    key = (spark.sparkContext.applicationId, sf, name)
+def _once(spark: SparkSession, sf: str, name: str, build: Callable):
+    """What takes long to fit, kept for the application and the preset in use."""
+    key = (spark.sparkContext.applicationId, sf, training.preset_of(spark), name)
     if key not in _fitted:
-        train, _ = _stored(spark, sf)
-        _fitted[key] = training.fit(name, train.filter("split = 'fit'"), "small")
+        _fitted[key] = build()
     return _fitted[key]
 
 
+def _model(spark: SparkSession, sf: str, name: str) -> PipelineModel:
+    """A fitted model; `early_stopping` is boosting with patience, `tuned` the best trial's settings."""
+    train, _ = _stored(spark, sf)
+    preset = training.preset_of(spark)
+
+    def build() -> PipelineModel:
+        if name == "early_stopping":
+            return training.fit_early_stopping(train, preset=preset)
+        if name == "tuned":
+            return training.fit(TUNED, train.filter("split = 'fit'"), preset, **_trials(spark, sf)[0][1])
+        return training.fit(name, train.filter("split = 'fit'"), preset)
+
+    return _once(spark, sf, name, build)
+
+
 def _leaves(spark: SparkSession, sf: str, name: str):
-    key = (spark.sparkContext.applicationId, sf, name, "leaves")
-    if key not in _fitted:
-        _fitted[key] = scoring.load_leaves(spark, _model(spark, sf, name), scratch(spark, "nodes"))
-    return _fitted[key]
+    return _once(
+        spark, sf, f"{name}-leaves", lambda: scoring.load_leaves(spark, _model(spark, sf, name), scratch(spark, "nodes"))
+    )
 
 
 def model_test_predictions(name: str) -> Query:
     """Fit a model on the training part and predict the test part."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        train, test = _stored(spark, sf)
-        model = training.fit(name, train.filter("split = 'fit'"), "small")
-        return training.predictions(model, test).select("hour_bucket", "zone_id", "actual", "prediction")
+        found = training.predictions(_model(spark, sf, name), _stored(spark, sf)[1])
+        return found.select("hour_bucket", "zone_id", "actual", "prediction")
 
     return run
 
 
-def early_stopping(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = _stored(spark, sf)
-    model = training.fit_early_stopping(train, preset="small")
-    return training.predictions(model, test).select("hour_bucket", "zone_id", "actual", "prediction")
+def predicted_rows(name: str) -> Query:
+    """The rows that a model predicts, and whether each prediction is a number of trips."""
 
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        found = model_test_predictions(name)(spark, sf)
+        return found.select("hour_bucket", "zone_id", "actual", (F.col("prediction") >= 0).alias("non_negative"))
 
-def hyperparameter_search(spark: SparkSession, sf: str) -> DataFrame:
+    return run
+
+
+TUNED = "boosted_a"
+
+
+def _trials(spark: SparkSession, sf: str) -> list[tuple[float, dict]]:
+    """All trials of the search over the published space; the small preset draws fewer, with fewer rounds each."""
+    preset = training.preset_of(spark)
+    space = training.SPACE if preset == "full" else training.SPACE | {"maxIter": (3, 6, "int"), "maxDepth": (2, 4, "int")}
     train, _ = _stored(spark, sf)
-    space = {**training.SPACE, "maxIter": (3, 6, "int"), "maxDepth": (2, 4, "int"), "stepSize": (0.1, 0.3, "log")}
-    space.pop("minInstancesPerNode")
-    done = training.tune(train, trials=2, space=space)
+    return _once(spark, sf, "trials", lambda: training.tune(train, training.TRIALS[preset], space, TUNED))
+
+
+def hyperparameter_search(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(
-        [(i, float(r), {k: str(v) for k, v in s.items()}) for i, (r, s) in enumerate(done)],
+        [(i, float(r), {k: str(v) for k, v in s.items()}) for i, (r, s) in enumerate(_trials(spark, sf))],
         "place INT, rmse DOUBLE, params MAP<STRING, STRING>",
     )
 
 
+def search_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """The search draws every parameter in each trial, and lists trials in order of their error."""
+    rows = hyperparameter_search(spark, sf)
+    ahead = F.lag("rmse").over(W.orderBy("place"))
+    return rows.select("place", (F.size("params") == len(training.SPACE)).alias("all_drawn"), F.coalesce(ahead <= F.col("rmse"), F.lit(True)).alias("in_order"))
+
+
+RUNS = ("linear", "random_forest", "random_forest_deep", "boosted_a", "boosted_b")
+
+
+def _runs(spark: SparkSession, sf: str) -> list:
+    """The baseline and every model, fitted, timed and measured on the same test part."""
+
+    def build() -> list:
+        train, test = _stored(spark, sf)
+        days = day_mart(spark, sf).select(*COUNTS, "hour_of_day", "day_of_week")
+        parts = split.temporal_split(days)
+        plain = [parts.filter(f"split = '{p}'").drop("split") for p in ("train", "test")]
+        return [training.baseline_run(*plain), *training.train_all(train, test, RUNS, training.preset_of(spark))]
+
+    return _once(spark, sf, "runs", build)
+
+
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Train, measure, log, keep the best model as an artifact and load it again."""
-    train, test = _stored(spark, sf)
-    runs = training.train_all(train, test, ("linear", "random_forest"), "small")
-    path = scratch(spark, "artifact")
-    training.save_artifact(spark, path, training.best_run(runs), runs)
-    _, meta = training.load_artifact(spark, path)
-    return training.run_log(spark, runs).withColumn("best", F.col("model") == meta["best_model"])
+    """Train, measure, append the runs to the stored log, keep the best model as an artifact and load it again."""
+    runs, path = _runs(spark, sf), scratch(spark, "artifact")
+    training.save_artifact(spark, path, training.best_run(runs, excluded=("historical_average",)), runs)
+    _, about = training.load_artifact(spark, path)
+    log = f"{path}/log"
+    training.append_runs(spark, runs[:1], log)
+    training.append_runs(spark, runs[1:], log)
+    return spark.read.parquet(log).withColumn("best", F.col("model") == about["model"])
+
+
+def run_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every run is logged once, with its error and time; one model is best, and never the baseline."""
+    return run_log(spark, sf).select(
+        "model", (F.col("rmse") > 0).alias("measured"), (F.col("train_s") >= 0).alias("timed"),
+        (F.col("best") & (F.col("model") == "historical_average")).alias("baseline_best"),
+        F.sum(F.col("best").cast("int")).over(W.partitionBy()).alias("n_best"),
+    )
 
 
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
@@ -649,16 +707,60 @@ def dependence_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def local_waterfall(spark: SparkSession, sf: str) -> DataFrame:
-    """The first test hour of one zone at 17 h."""
+    """The first test row of one zone on a Friday (weekday 5), at the hour that day-grain rows have."""
     _, test = _stored(spark, sf)
-    row = (
-        test.filter((F.col("zone_id") == ZONE) & (F.hour("hour_bucket") == 17)).orderBy("hour_bucket").limit(1)
-    )
+    chosen = (F.col("zone_id") == ZONE) & (F.hour("hour_bucket") == 0) & (cal.day_of_week(F.col("hour_bucket")) == 5)
+    row = test.filter(chosen).orderBy("hour_bucket").limit(1)
     return scoring.local_waterfall(
         scoring.explained(row, _model(spark, sf, "boosted_a"), _leaves(spark, sf, "boosted_a"))
     )
 
 
+# ---- facts about the keys above that SQL can state ------------------------------
+
+
+def importance_facts(spark: SparkSession, sf: str) -> DataFrame:
+    parts = {"feature_importance": feature_importance, "global_importance": global_importance}
+    rows = [
+        q(spark, sf).agg(F.lit(k).alias("report"), F.count("*").alias("n_rows"), F.countDistinct("feature").alias("n_features"))
+        for k, q in parts.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def forecast_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return forecast_vs_actual(spark, sf).select("hour_bucket", "actual", F.col("prediction").isNotNull().alias("forecast"))
+
+
+def scored_requests(spark: SparkSession, sf: str) -> DataFrame:
+    low, high = F.get("confidence_interval", F.lit(0)), F.get("confidence_interval", F.lit(1))
+    return batch_scoring(spark, sf).select(
+        "request_id", "zone_name", F.size("top_factors").alias("n_factors"),
+        ((low >= 0) & (low <= high) & (low <= F.col("predicted_trips"))).alias("banded"),
+    )
+
+
+def attribution_gaps(name: str) -> Query:
+    """Contributions and base value add up to the prediction, for every test row."""
+    return lambda spark, sf: tree_attributions(name)(spark, sf).select(
+        "hour_bucket", "zone_id", F.size("contributions").alias("n_features"), (F.col("gap") == 0).alias("adds_up")
+    )
+
+
+def dependence_values(spark: SparkSession, sf: str) -> DataFrame:
+    found = dependence_data(spark, sf)
+    return found.select("hour_bucket", "zone_id", F.round("value", 6).alias("value"), F.col("shap_value").isNotNull().alias("explained"))
+
+
+def dependence_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return dependence_bins(spark, sf).select(F.col("bin").cast("double").alias("bin"), "n")
+
+
+def waterfall_facts(spark: SparkSession, sf: str) -> DataFrame:
+    keys = local_waterfall(spark, sf).groupBy("hour_bucket", "zone_id")
+    return keys.agg(F.count("*").alias("n_lines"), F.countDistinct("feature").alias("n_features"))
+
+
 QUERIES: dict[str, Query] = {
     "ml_features": shown(ml_features, weather_code="double"),
     "ml_features_fanout": shown(ml_features_fanout, weather_code="double"),
@@ -756,7 +858,8 @@ QUERIES: dict[str, Query] = {
     "boosted_a": model_test_predictions("boosted_a"),
     "boosted_b": model_test_predictions("boosted_b"),
     "linear_regression": model_test_predictions("linear"),
-    "early_stopping": early_stopping,
+    "early_stopping": model_test_predictions("early_stopping"),
+    "tuned_model": model_test_predictions("tuned"),
     "hyperparameter_search": hyperparameter_search,
     "run_log": run_log,
     "feature_importance": feature_importance,
@@ -768,4 +871,26 @@ QUERIES: dict[str, Query] = {
     "dependence_data": dependence_data,
     "dependence_bins": dependence_bins,
     "local_waterfall": local_waterfall,
+    **{
+        f"{key}_rows": predicted_rows(name)
+        for key, name in (
+            ("random_forest", "random_forest"),
+            ("random_forest_deep", "random_forest_deep"),
+            ("boosted_a", "boosted_a"),
+            ("boosted_b", "boosted_b"),
+            ("linear_regression", "linear"),
+            ("early_stopping", "early_stopping"),
+            ("tuned_model", "tuned"),
+        )
+    },
+    "search_facts": search_facts,
+    "run_facts": run_facts,
+    "importance_facts": importance_facts,
+    "forecast_rows": forecast_rows,
+    "scored_requests": scored_requests,
+    "tree_attribution_gaps": attribution_gaps("boosted_a"),
+    "forest_attribution_gaps": attribution_gaps("random_forest"),
+    "dependence_values": dependence_values,
+    "dependence_counts": dependence_counts,
+    "waterfall_facts": waterfall_facts,
 }

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_LEAF_CELLS = 16_000_000  # leaves x path length; 32 bytes each when shipped
+CELLS_PER_SHIPMENT = 4_000_000  # leaves x path length of one broadcast; 32 bytes each
 CELLS_PER_LEAF_BLOCK = 30_000
 CELLS_PER_CHUNK = 1_000_000
 LOOKUP_DEPTH = 6
@@ -71,8 +71,6 @@ def leaf_paths(nodes: pd.DataFrame, n_features: int, tree_weight: dict[int, floa
             stack.append((up, {**tests, j: (max(low, cut), high, z * count[up] / count[node])}))
     depth = max(1, max(len(tests) for tests, _ in paths))
     shape = (len(paths), depth)
-    if len(paths) * depth > MAX_LEAF_CELLS:
-        raise ValueError(f"{shape} leaf cells exceed the bound of {MAX_LEAF_CELLS} for a shipped model")
     feature, cover = np.zeros(shape, dtype=np.int64), np.ones(shape)
     low, high = np.full(shape, -np.inf), np.full(shape, np.inf)
     for i, (tests, _) in enumerate(paths):
@@ -102,16 +100,16 @@ def attributions(leaves: Leaves, x: np.ndarray) -> np.ndarray:
     n_leaves, depth = leaves.feature.shape
     out = np.zeros((len(x), leaves.n_features))
     outcomes = 2**depth
-    by_lookup = depth <= LOOKUP_DEPTH and len(x) > outcomes
+    by_lookup = depth <= LOOKUP_DEPTH  # a property of the model: digits don't depend on how rows are batched
     bits = (np.arange(outcomes)[:, None] >> np.arange(depth) & 1) if by_lookup else None
     block = max(1, CELLS_PER_LEAF_BLOCK // depth)
     for a in range(0, n_leaves, block):
         feature, low, high = (v[a : a + block] for v in (leaves.feature, leaves.low, leaves.high))
         cover, value = leaves.cover[a : a + block], leaves.value[a : a + block]
         n = len(feature)
-        # Adds the cells of a feature up, whatever leaf they belong to.
-        gather = np.zeros((n * depth, leaves.n_features))
-        gather[np.arange(n * depth), feature.ravel()] = 1.0
+        # The cells of a feature, whatever leaf they belong to, are added up side by side, row by row.
+        by_feature = np.argsort(feature.ravel(), kind="stable")
+        present, starts = np.unique(feature.ravel()[by_feature], return_index=True)
         if by_lookup:
             table = _shares(value[:, None, None], cover[:, None, :], bits[None]).reshape(n * outcomes, depth)
             first, place = np.arange(n) * outcomes, 1 << np.arange(depth)
@@ -120,7 +118,7 @@ def attributions(leaves: Leaves, x: np.ndarray) -> np.ndarray:
             part = x[r : r + step][:, feature]
             passed = (part > low) & (part <= high)
             phi = table[first + passed @ place] if by_lookup else _shares(value[:, None], cover, passed)
-            out[r : r + step] += phi.reshape(len(phi), -1) @ gather
+            out[r : r + step, present] += np.add.reduceat(phi.reshape(len(phi), -1)[:, by_feature], starts, axis=1)
     return out
 
 
@@ -141,30 +139,38 @@ def model_nodes(spark: SparkSession, path: str) -> pd.DataFrame:
     return rows.toPandas()
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Deal rows out to all cores where fewer input files than cores would leave some idle.
-
-    Attributions cost far more than moving a row; inputs of many files stay where they are.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    # Only the number of files is fetched, not their names.
-    return rows.repartition(cores) if len(rows._jdf.inputFiles()) < cores else rows
+def shipments(leaves: Leaves) -> list[tuple]:
+    """The leaf table in pieces of a bounded size; contributions of the pieces add up."""
+    n, depth = leaves.feature.shape
+    step = max(1, CELLS_PER_SHIPMENT // max(depth, 1))
+    whole = (leaves.feature, leaves.low, leaves.high, leaves.cover, leaves.value)
+    return [tuple(v[a : a + step] for v in whole) for a in range(0, n, step)]
 
 
 def explain(rows: DataFrame, leaves: Leaves, vector: str = "features", out: str = "contributions") -> DataFrame:
-    """Add an array column with one contribution per feature and the constant base value."""
+    """Add an array column with one contribution per feature and the constant base value.
+
+    A model of any size is shipped in pieces, and a worker holds one piece at a time. Attributions
+    cost far more than moving a row, so rows are dealt out to as many tasks as the session shuffles into.
+    """
+    spark = rows.sparkSession
     # The code travels with the job; executors need numpy and pandas only.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    arrays = (leaves.feature, leaves.low, leaves.high, leaves.cover, leaves.value, leaves.n_features)
-    shipped = rows.sparkSession.sparkContext.broadcast(arrays)
-    flat = spread(rows).withColumn("_x", vector_to_array(vector)).drop(vector)
+    shipped = [spark.sparkContext.broadcast(piece) for piece in shipments(leaves)]
+    n_features, single = leaves.n_features, len(shipped) == 1
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    flat = rows.repartition(tasks).withColumn("_x", vector_to_array(vector)).drop(vector)
     schema = flat.drop("_x").schema.add(out, T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Leaves(*shipped.value)
         for batch in batches:
-            x = np.stack(batch.pop("_x").to_numpy()) if len(batch) else np.empty((0, model.n_features))
-            batch[out] = list(attributions(model, x))
+            x = np.stack(batch.pop("_x").to_numpy()) if len(batch) else np.empty((0, n_features))
+            total = np.zeros((len(x), n_features))
+            for piece in shipped:
+                total += attributions(Leaves(*piece.value, n_features), x)
+                if not single:
+                    del piece._value  # read again from the worker's file when needed
+            batch[out] = list(total)
             yield batch
 
     return flat.mapInPandas(run, schema).withColumn("base_value", F.lit(leaves.base))

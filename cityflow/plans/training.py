@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 import random
 import time
@@ -10,18 +9,21 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cityflow.operators import metrics
+from cityflow.operators.baseline import baseline_predictions
 from cityflow.plans.registry import MODEL_FEATURES
 
 SEED = 42
 VERSION = "1.0.0"
 
+# Session setting that picks the preset of the registered model keys.
+PRESET_SETTING = "cityflow.models.preset"
+
 # Model settings (fixed values): the published ones, and a small set for quick runs.
 PRESETS = {
     "full": {
@@ -37,8 +39,14 @@ PRESETS = {
         "boosted_b": dict(maxIter=8, maxDepth=5, stepSize=0.2, subsamplingRate=0.8, featureSubsetStrategy="0.8"),
     },
 }
-TRIALS = 50
-EARLY_STOP_TOLERANCE = 0.01
+# Trials of the search, and rounds without a better validation error after which boosting stops (fixed values).
+TRIALS = {"full": 50, "small": 4}
+PATIENCE = 30
+
+
+def preset_of(spark: SparkSession) -> str:
+    """The preset that the session asks for: full are the published settings, small the default."""
+    return spark.conf.get(PRESET_SETTING, "small")
 
 
 def estimator(name: str, preset: str = "full", **overrides):
@@ -66,16 +74,36 @@ def fit(name: str, train: DataFrame, preset: str = "full", **overrides) -> Pipel
     return pipeline(name, preset, **overrides).fit(train)
 
 
-def fit_early_stopping(labelled: DataFrame, name: str = "boosted_a", preset: str = "full", **overrides) -> PipelineModel:
-    """Boosting that stops once the `validation` part of `split` no longer improves."""
-    marked = labelled.withColumn("_validation", F.col("split") == "validation")
-    return fit(
-        name,
-        marked,
-        preset,
-        validationIndicatorCol="_validation",
-        **{"validationTol": EARLY_STOP_TOLERANCE, **overrides},
-    )
+def patient_rounds(errors: list[float], patience: int = PATIENCE) -> int:
+    """Rounds to keep: up to the best error seen before it stayed the best for `patience` rounds."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def validation_errors(model: PipelineModel, validation: DataFrame) -> list[float]:
+    """Mean squared error on the validation part after each boosting round."""
+    rows = model.stages[0].transform(validation)
+    return model.stages[-1].evaluateEachIteration(rows, "squared")
+
+
+def fit_early_stopping(
+    labelled: DataFrame, name: str = "boosted_a", preset: str = "full", patience: int = PATIENCE, **overrides
+) -> PipelineModel:
+    """Boosting on the `fit` part of `split`, cut back to the rounds that patience on the `validation` part keeps.
+
+    Rounds build on each other, so the first ones of a seeded fit are the fit of so many rounds.
+    """
+    fitting, validation = (labelled.filter(F.col("split") == part) for part in ("fit", "validation"))
+    whole = fit(name, fitting, preset, **overrides)
+    kept = patient_rounds(validation_errors(whole, validation), patience)
+    if kept == whole.stages[-1].getNumTrees:
+        return whole
+    return fit(name, fitting, preset, **{**overrides, "maxIter": kept})
 
 
 def predictions(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -115,20 +143,20 @@ def candidates(trials: int, space: dict = SPACE, seed: int = SEED) -> list[dict]
 
 
 def tune(
-    labelled: DataFrame, trials: int = TRIALS, space: dict = SPACE, name: str = "boosted_a", parallel: int = 4
+    labelled: DataFrame, trials: int, space: dict = SPACE, name: str = "boosted_a", parallel: int = 4
 ) -> list[tuple[float, dict]]:
-    """(validation rmse, settings) of every trial, best first.
+    """(validation rmse, settings) of every trial, best first; the rounds are those that patience keeps.
 
     Trials are independent Spark jobs; a few run side by side. They are scored
     on the temporal validation part, never on shuffled folds.
     """
     train = labelled.filter(F.col("split") == "fit").persist()
     validation = labelled.filter(F.col("split") == "validation").persist()
-    scorer = RegressionEvaluator(labelCol="trip_count", metricName="rmse")
     try:
         def trial(settings: dict) -> tuple[float, dict]:
-            model = fit(name, train, **settings)
-            return scorer.evaluate(model.transform(validation)), settings
+            errors = validation_errors(fit(name, train, **settings), validation)
+            kept = patient_rounds(errors)
+            return math.sqrt(errors[kept - 1]), {**settings, "maxIter": kept}
 
         with ThreadPoolExecutor(parallel) as pool:
             done = list(pool.map(trial, candidates(trials, space)))
@@ -138,6 +166,12 @@ def tune(
     return sorted(done, key=lambda r: r[0])
 
 
+def fit_tuned(labelled: DataFrame, trials: int, name: str = "boosted_a", space: dict = SPACE) -> PipelineModel:
+    """The model fitted with the settings of the best trial."""
+    best = tune(labelled, trials, space, name)[0][1]
+    return fit(name, labelled.filter(F.col("split") == "fit"), **best)
+
+
 # ---- runs -------------------------------------------------------------------
 
 
@@ -179,7 +213,7 @@ def train_all(
 
 
 def run_log(spark: SparkSession, runs: list[Run]) -> DataFrame:
-    """One row per run: settings, metrics and fitting time. Append it to a runs table."""
+    """One row per run: settings, metrics and fitting time."""
     return spark.createDataFrame(
         [
             (
@@ -194,32 +228,39 @@ def run_log(spark: SparkSession, runs: list[Run]) -> DataFrame:
     )
 
 
+def append_runs(spark: SparkSession, runs: list[Run], path: str) -> None:
+    """Add the runs to the table at the path."""
+    run_log(spark, runs).coalesce(1).write.mode("append").parquet(path)
+
+
+def baseline_run(train: DataFrame, test: DataFrame) -> Run:
+    """The historical average as a run of its own, timed like the models."""
+    started = time.monotonic()
+    measured = metrics.regression_metrics(baseline_predictions(train, test)).first().asDict()
+    return Run("historical_average", {}, measured, round(time.monotonic() - started, 1), None)
+
+
 def best_run(runs: list[Run], excluded: tuple[str, ...] = ()) -> Run:
     return min((r for r in runs if r.model not in excluded), key=lambda r: r.metrics["rmse"])
 
 
 # ---- artifacts --------------------------------------------------------------
 
+ARTIFACT = "model STRING, version STRING, inputs ARRAY<STRING>, scores MAP<STRING, DOUBLE>"
+
 
 def save_artifact(spark: SparkSession, path: str, best: Run, runs: list[Run]) -> None:
-    """The fitted pipeline and a one-row metadata table."""
+    """The fitted pipeline, a one-row table that describes it, and the runs it was chosen from."""
     best.fitted.write().overwrite().save(f"{path}/model")
-    meta = {
-        "best_model": best.model,
-        "model_version": VERSION,
-        "feature_count": len(MODEL_FEATURES),
-        "feature_names": list(MODEL_FEATURES),
-        "metrics": best.metrics,
-        "all_results": {r.model: r.metrics for r in runs},
-    }
-    spark.createDataFrame([(json.dumps(meta),)], "metadata STRING").coalesce(1).write.mode("overwrite").json(
-        f"{path}/metadata"
-    )
+    scores = {k: float(v) for k, v in best.metrics.items()}
+    row = spark.createDataFrame([(best.model, VERSION, list(MODEL_FEATURES), scores)], ARTIFACT)
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+    run_log(spark, runs).coalesce(1).write.mode("overwrite").parquet(f"{path}/runs")
 
 
-def load_artifact(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
-    meta = spark.read.schema("metadata STRING").json(f"{path}/metadata").first()
-    return PipelineModel.load(f"{path}/model"), json.loads(meta["metadata"])
+def load_artifact(spark: SparkSession, path: str) -> tuple[PipelineModel, Row]:
+    """The fitted pipeline and its description."""
+    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/about").first()
 
 
 def feature_importance(spark: SparkSession, model: PipelineModel, top: int = 15) -> DataFrame:

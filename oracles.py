@@ -673,6 +673,44 @@ ORACLES: dict[str, str] = {
         TRAIN_FEATURES.replace("SELECT hour_bucket, zone_id, trip_count,", "SELECT hour_bucket, zone_id, trip_count, split,"),
         **FIT_VIEWS,
     ),
+    **{
+        f"{key}_rows": over("test", "SELECT hour_bucket, zone_id, trip_count AS actual, TRUE AS non_negative FROM test")
+        for key in (
+            "random_forest", "random_forest_deep", "boosted_a", "boosted_b", "linear_regression", "early_stopping", "tuned_model",
+        )
+    },
+    "search_facts": "SELECT CAST(i AS INTEGER) AS place, TRUE AS all_drawn, TRUE AS in_order FROM range(4) t(i)",
+    "run_facts": """SELECT unnest(['historical_average', 'linear', 'random_forest', 'random_forest_deep', 'boosted_a', 'boosted_b']) AS model,
+        TRUE AS measured, TRUE AS timed, FALSE AS baseline_best, CAST(1 AS BIGINT) AS n_best""",
+    "importance_facts": "SELECT unnest(['feature_importance', 'global_importance']) AS report, CAST(15 AS BIGINT) AS n_rows, CAST(15 AS BIGINT) AS n_features",
+    "forecast_rows": over(
+        "test",
+        """SELECT hour_bucket, trip_count AS actual, TRUE AS forecast FROM test WHERE zone_id = 5
+        ORDER BY hour_bucket LIMIT 336""",
+    ),
+    "scored_requests": over(
+        "request_rows zones",
+        """SELECT request_id, zone_name, 5 AS n_factors, TRUE AS banded FROM request_rows LEFT JOIN zones USING (zone_id)""",
+    ),
+    **{
+        f"{key}_gaps": over("test", "SELECT hour_bucket, zone_id, 24 AS n_features, TRUE AS adds_up FROM test")
+        for key in ("tree_attribution", "forest_attribution")
+    },
+    "dependence_values": over(
+        "day_counts split_point monthly_series",
+        f"SELECT hour_bucket, zone_id, {R('temperature_f', 6)} AS value, TRUE AS explained FROM filled WHERE split = 'test'",
+        **FIT_VIEWS,
+    ),
+    "dependence_counts": over(
+        "day_counts split_point monthly_series",
+        "SELECT floor(temperature_f / 5) * 5 AS bin, count(*) AS n FROM filled WHERE split = 'test' GROUP BY 1",
+        **FIT_VIEWS,
+    ),
+    "waterfall_facts": over(
+        "test",
+        """SELECT hour_bucket, zone_id, CAST(10 AS BIGINT) AS n_lines, CAST(10 AS BIGINT) AS n_features FROM test
+        WHERE zone_id = 5 AND day_of_week = 5 AND hour_of_day = 0 ORDER BY hour_bucket LIMIT 1""",
+    ),
     "features_serve": over(
         "request_rows",
         f"""SELECT request_id, {TRIG}, {FLAGS}, {', '.join(f'{R(c, 6)} AS {c}' for c in WX)},

@@ -140,7 +140,7 @@ def test_training_end_to_end(spark, trained, tmp_path):
     assert all(r.rmse >= r.mae > 0 and r.train_s >= 0 for r in log)
     training.save_artifact(spark, str(tmp_path / "a"), best, runs)
     model, meta = training.load_artifact(spark, str(tmp_path / "a"))
-    assert meta["best_model"] == best.model and tuple(meta["feature_names"]) == MODEL_FEATURES
+    assert meta["model"] == best.model and tuple(meta["inputs"]) == MODEL_FEATURES and meta["scores"]["rmse"] > 0
     again = [r.prediction for r in training.predictions(model, test).select("prediction").limit(5).collect()]
     assert again == [r.prediction for r in training.predictions(best.fitted, test).select("prediction").limit(5).collect()]
     assert min(again) >= 0
@@ -204,6 +204,27 @@ def test_attributions_equal_brute_force(spark, matrix, tmp_path, name, small):
         assert tree_shap.attributions(leaves, x[None, :])[0] == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("depth", [3, 9])
+def test_digits_do_not_depend_on_batches_or_pieces(spark, trained, tmp_path, monkeypatch, depth):
+    runs, test = trained
+    train = test.withColumn("trip_count", F.col("trip_count") + F.rand(1) * 5)
+    model = training.fit("random_forest", train, "small", maxDepth=depth, numTrees=4)
+    leaves = scoring.load_leaves(spark, model, str(tmp_path / "nodes"))
+    x = np.random.default_rng(0).normal(size=(300, len(MODEL_FEATURES))) * 20
+    whole = tree_shap.attributions(leaves, x)
+    assert (np.concatenate([tree_shap.attributions(leaves, x[i : i + 1]) for i in range(300)]) == whole).all()
+    monkeypatch.setattr(tree_shap, "CELLS_PER_SHIPMENT", 200)
+    assert len(tree_shap.shipments(leaves)) > 1
+    rows = scoring.explained(test.limit(50), model, leaves).select("contributions", "base_value", "raw_prediction").collect()
+    assert all(sum(r.contributions) + r.base_value == pytest.approx(r.raw_prediction, abs=1e-6) for r in rows)
+
+
+def test_patience():
+    assert training.patient_rounds([5, 4, 3, 3.5, 3.4], patience=2) == 3
+    assert training.patient_rounds([5, 4, 4.5, 4.4, 1], patience=2) == 2
+    assert training.patient_rounds([5, 4, 3]) == 3
+
+
 def test_reports_on_attributions(spark, trained, tmp_path):
     runs, test = trained
     model = next(r.fitted for r in runs if r.model == "boosted_a")
