@@ -213,7 +213,7 @@ def test_digits_do_not_depend_on_batches_or_pieces(spark, trained, tmp_path, mon
     x = np.random.default_rng(0).normal(size=(300, len(MODEL_FEATURES))) * 20
     whole = tree_shap.attributions(leaves, x)
     assert (np.concatenate([tree_shap.attributions(leaves, x[i : i + 1]) for i in range(300)]) == whole).all()
-    monkeypatch.setattr(tree_shap, "CELLS_PER_SHIPMENT", 200)
+    monkeypatch.setattr(tree_shap, "CELLS_PER_SHIPMENT", 20)
     assert len(tree_shap.shipments(leaves)) > 1
     rows = scoring.explained(test.limit(50), model, leaves).select("contributions", "base_value", "raw_prediction").collect()
     assert all(sum(r.contributions) + r.base_value == pytest.approx(r.raw_prediction, abs=1e-6) for r in rows)
