@@ -37,6 +37,9 @@ MART_COLUMNS = (
 
 
 def hourly_counts(trips: DataFrame) -> DataFrame:
+    """Trips per hour and zone, from trips or from counts that are already folded."""
+    if "trip_count" in trips.columns:
+        return trips.groupBy("hour_bucket", "zone_id").agg(F.sum("trip_count").alias("trip_count"))
     return trips.groupBy(
         cal.hour_bucket(F.col("pickup_dt")).alias("hour_bucket"),
         F.col("pickup_zone").alias("zone_id"),

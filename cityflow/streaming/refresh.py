@@ -1,14 +1,17 @@
 """Incremental form of the load-and-refresh job.
 
-New trip files are picked up by a file stream. Each micro-batch is cleaned,
-appended to the trips table, and the months it touches are rebuilt in the mart;
-other months stay as they are. A batch that is run again after a failure
+New trip files are picked up by a file stream. Each micro-batch is cleaned and
+appended to the trips table; its counts per hour and zone go to a table of
+counts. The months it touches are rebuilt in the mart from counts alone, so the
+cost of a batch follows its own size and the calendar, not the trips of the
+past. Other months stay as they are. A batch that is run again after a failure
 replaces its own rows, so a retry changes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,54 +19,77 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from cityflow.functions import calendar as cal
+from cityflow.plans.mart import hourly_counts
 from cityflow.sources import sinks
 from cityflow.sources.trips import clean_loader
 
 
 def append_batch(trips: DataFrame, batch_id: int, path: str) -> None:
-    """Write a batch below its own folder, by pickup month; a retry overwrites it."""
+    """Write a batch's trips and its counts below folders of its own, by pickup month; a retry overwrites them."""
     month = cal.month_start(F.col("pickup_dt"))
+    _write(trips.withColumns({"batch": F.lit(batch_id), "pickup_month": month}), f"{path}/trips")
+    counts = hourly_counts(trips).withColumn("pickup_month", cal.month_start(F.col("hour_bucket")))
+    _write(counts.withColumn("batch", F.lit(batch_id)), f"{path}/counts")
+
+
+def _write(rows: DataFrame, path: str) -> None:
     (
-        trips.withColumns({"batch": F.lit(batch_id), "pickup_month": month})
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch", "pickup_month")
+        .partitionBy("pickup_month", "batch")
         .parquet(path)
     )
 
 
 def refresh_touched(
-    spark: SparkSession, trips_path: str, mart_path: str, batch_id: int, build: Callable[[DataFrame], DataFrame]
+    spark: SparkSession,
+    path: str,
+    mart_path: str,
+    batch_id: int,
+    build: Callable[[DataFrame], DataFrame],
+    days_before: int = 0,
 ) -> None:
-    """Rebuild the months in which the batch has trips; only their folders are read."""
-    stored = spark.read.parquet(trips_path)
+    """Rebuild the months in which the batch has trips from the counts of these months.
+
+    ``build`` turns folded counts into mart rows. Where these look back (lags, trailing means),
+    ``days_before`` days ahead of each month are read too and left out of what is written.
+    """
+    stored = spark.read.parquet(f"{path}/counts")
     # At most one value per calendar month, taken from folder names.
     touched = [r[0] for r in stored.filter(F.col("batch") == batch_id).select("pickup_month").distinct().collect()]
-    if touched:
-        rows = stored.filter(F.col("pickup_month").isin(touched)).drop("batch", "pickup_month")
-        sinks.refresh_mart(build(rows), mart_path, units=touched)
+    if not touched:
+        return
+    day, month = F.to_date("hour_bucket"), F.col("pickup_month")
+    wanted = month.isin(touched)
+    for first in touched if days_before else ():
+        begin = first - timedelta(days=days_before)
+        wanted |= (month >= F.trunc(F.lit(begin), "MM")) & (month < F.lit(first)) & (day >= F.lit(begin))
+    counts = stored.filter(wanted).groupBy("hour_bucket", "zone_id").agg(F.sum("trip_count").alias("trip_count"))
+    built = build(counts).filter(cal.month_start(F.col("hour_bucket")).isin(touched))
+    sinks.refresh_mart(built, mart_path, units=touched)
 
 
 def start(
     spark: SparkSession,
     landing: str,
     schema: StructType,
-    trips_path: str,
+    path: str,
     mart_path: str,
     checkpoint: str,
     build: Callable[[DataFrame], DataFrame],
     clean: Callable[[DataFrame], DataFrame] = clean_loader,
     files_per_batch: int = 100,
+    days_before: int = 0,
 ) -> StreamingQuery:
     """Process all files that have landed since the last run, then stop.
 
-    `build` turns trips into mart rows, for example `ml_features` with its
+    `build` turns counts per hour and zone into mart rows, for example `ml_features` with its
     dimensions bound.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        append_batch(clean(batch), batch_id, trips_path)
-        refresh_touched(batch.sparkSession, trips_path, mart_path, batch_id, build)
+        append_batch(clean(batch), batch_id, path)
+        refresh_touched(batch.sparkSession, path, mart_path, batch_id, build, days_before)
 
     return (
         spark.readStream.schema(schema)

@@ -1,6 +1,9 @@
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
+from cityflow.operators import lags
 from cityflow.plans import mart
 from cityflow.sources import bindings as b
 from cityflow.sources import sinks
@@ -38,7 +41,32 @@ def test_a_retried_batch_changes_nothing(spark, raw, tmp_path):
         refresh.append_batch(cleaned, 0, trips)
         refresh.refresh_touched(spark, trips, table, 0, mart.hourly_counts)
     assert sinks.read_mart(spark, table).agg(F.sum("trip_count")).first()[0] == cleaned.count()
-    assert spark.read.parquet(trips).count() == cleaned.count()
+    assert spark.read.parquet(f"{trips}/trips").count() == cleaned.count()
+
+
+def test_lags_look_back_over_the_month(spark, raw, tmp_path):
+    trips, table = str(tmp_path / "trips"), str(tmp_path / "mart")
+    cleaned = clean_loader(raw)
+    build = lambda counts: lags.calendar_lags(mart.hourly_counts(counts))
+    whole = build(cleaned)
+    february = F.col("hour_bucket") >= F.lit("2024-02-01").cast("timestamp_ntz")
+    january = F.col("pickup_dt") < F.lit("2024-02-01").cast("timestamp_ntz")
+    for i, part in enumerate((january, ~january)):
+        refresh.append_batch(cleaned.filter(part), i, trips)
+        refresh.refresh_touched(spark, trips, table, i, build, days_before=8)
+    got = sinks.read_mart(spark, table).select(whole.columns)
+    assert got.exceptAll(whole).count() == 0 and whole.exceptAll(got).count() == 0
+    assert got.where(february & F.col("demand_lag_168h").isNotNull()).count() > 0
+
+
+def test_a_unit_without_rows_is_emptied(spark, raw, tmp_path):
+    table = str(tmp_path / "mart")
+    counts = mart.hourly_counts(clean_loader(raw))
+    sinks.write_mart(counts, table)
+    january = F.col("hour_bucket") < F.lit("2024-02-01").cast("timestamp_ntz")
+    sinks.refresh_mart(counts.where("false"), table, units=[date(2024, 1, 1)])
+    left = sinks.read_mart(spark, table)
+    assert left.where(january).count() == 0 and left.count() == counts.where(~january).count()
 
 
 def test_untouched_months_are_not_rewritten(spark, raw, tmp_path):
