@@ -69,4 +69,21 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+# The other operators need tokenizers, 64-bit hashes, fitted models or edit distances over all lines, which the
+# SQL of the comparison can't say; their tests hold plain versions against them.
+ORACLES: dict[str, str] = {
+    "op6_vectors": """WITH RECURSIVE sound AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+              AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        pairs AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM sound a JOIN sound b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+        reach AS (SELECT x, y FROM pairs UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x),
+        least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+        links AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(g.y, vec_id)) AS component_id,
+            vec_id <= coalesce(g.y, vec_id) AS kept
+        FROM embeddings LEFT JOIN links l ON l.x = vec_id LEFT JOIN least_of g ON g.x = vec_id""",
+}

@@ -121,6 +121,19 @@ def test_vectors(spark):
     assert vectors.near_vectors(frame.where("false")).count() == 0
 
 
+def test_vectors_equal_their_sql(spark):
+    duckdb, queries = pytest.importorskip("duckdb"), pytest.importorskip("cityflow.llm.queries")
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=6) * 0.25 + (i % 2)).tolist(), i % 3 if i % 10 else None) for i in range(90)]
+    rows += [(100, [0.0] * 6, 1), (101, [float("nan")] * 6, 1), (102, None, 1), (103, [float("inf")] * 6, 1)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INTEGER)")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", rows)
+    want = Counter(con.execute(queries.ORACLES["op6_vectors"]).fetchall())
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert Counter(map(tuple, vectors.near_vectors(frame).collect())) == want and any(r[1] > 3 for r in want)
+
+
 def test_vector_tiles_lose_nothing(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, (rng.normal(size=8) * 0.2 + (i % 3)).tolist(), 0) for i in range(200)]
