@@ -58,7 +58,8 @@ def _running(lengths: Column) -> Column:
     blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / step).cast("int")), lambda b: F.slice(lengths, b * step + 1, step))
     inner = F.transform(blocks, plain)
     bases = plain(F.transform(inner, lambda x: F.element_at(x, -1)))
-    shifted = F.zip_with(inner, F.slice(bases, 1, F.size(blocks)), lambda xs, b: F.transform(F.slice(xs, 1, F.size(xs) - 1), lambda x: x + b))
+    shift = lambda xs, b: F.transform(F.slice(xs, 1, F.size(xs) - 1), lambda x: x + b)
+    shifted = F.zip_with(inner, F.slice(bases, 1, F.size(blocks)), shift)
     return F.concat(F.flatten(shifted), F.array(F.element_at(bases, -1)))
 
 
@@ -166,7 +167,8 @@ def candidates(docs: DataFrame, *kept: str) -> DataFrame:
     Candidates are what base patterns and generators propose, valid or not; their label says
     whether the same span of the same kind is a valid base match.
     """
-    rows = docs.select(*kept, F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(*kept, F.col("doc_id").cast("long").alias("_id"), text.alias("_text"))
     found = [spans(F.col("_text"), p[k]).alias(f"{name}{i}") for name, p in (("b", BASE), ("w", WIDE)) for i, k in enumerate(KINDS)]
     rows = rows.select(*kept, F.col("_id").alias("doc_id"), *found)
     rows = rows.withColumn("base", F.sort_array(F.concat(*[_valid(i) for i in range(len(KINDS))])))

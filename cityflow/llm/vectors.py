@@ -60,11 +60,11 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
 
     def unit() -> pa.RecordBatch:
         _, low, high = last
-        own = [np.array([r[1] for r in held if r[0] == part], np.int64) for part in (low, high)]
-        mult = [np.array([r[2] for r in held if r[0] == part], np.int64) for part in (low, high)]
-        a, b = (Tile(np.array([r[3] for r in held if r[0] == part], np.float64).reshape(len(o), -1)) if len(o) else None for part, o in zip((low, high), own))
+        sides = [[r[1:] for r in held if r[0] == part] for part in (low, high)]
+        own, mult = ([np.array([r[i] for r in side], np.int64) for side in sides] for i in (0, 1))
         nodes, counts, roots = [], [], []
-        if a and b:
+        if all(sides):
+            a, b = (Tile(np.array([r[2] for r in side], np.float64)) for side in sides)
             x, y = a.links(b, threshold)
             if low == high:
                 x, y = x[x != y], y[x != y]
@@ -121,7 +121,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     tiles = tiles.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     tiles = tiles.select("kind", "own", "node", "copies", "embedding", other)
-    units = tiles.select("kind", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "copies", "embedding")
+    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    units = tiles.select("kind", low, high, "own", "node", "copies", "embedding")
     dealt = units.repartition("kind", "low", "high").sortWithinPartitions("kind", "low", "high")
     found = settle(dealt.mapInArrow(lambda it: _tile_pairs(it, threshold), "node long, n long, root long"), "vector-links")
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "vector-groups")
@@ -129,7 +130,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     named = (
         nodes.join(groups.withColumnRenamed("node", "_g"), F.col("node") == F.col("_g"), "left")
         .join(counts, F.col("node") == F.col("_node"), "left")
-        .select("label", "embedding", "first", (F.col("copies") - 1 + F.coalesce("_n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+        .withColumn("n_links", F.col("copies") - 1 + F.coalesce("_n", F.lit(0)))
+        .select("label", "embedding", "first", "n_links", F.coalesce("component", "node").alias("component"))
     )
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = settle(named.join(least, "component").select("label", "embedding", "n_links", "component_id"), "vector-ids")
