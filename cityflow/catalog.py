@@ -618,7 +618,8 @@ def search_facts(spark: SparkSession, sf: str) -> DataFrame:
     """The search draws every parameter in each trial, and lists trials in order of their error."""
     rows = hyperparameter_search(spark, sf)
     ahead = F.lag("rmse").over(W.orderBy("place"))
-    return rows.select("place", (F.size("params") == len(training.SPACE)).alias("all_drawn"), F.coalesce(ahead <= F.col("rmse"), F.lit(True)).alias("in_order"))
+    in_order = F.coalesce(ahead <= F.col("rmse"), F.lit(True))
+    return rows.select("place", (F.size("params") == len(training.SPACE)).alias("all_drawn"), in_order.alias("in_order"))
 
 
 RUNS = ("linear", "random_forest", "random_forest_deep", "boosted_a", "boosted_b")
