@@ -17,8 +17,16 @@ from cityflow.session import scratch
 _shipped: dict[str, tempfile.TemporaryDirectory] = {}
 
 
+#: Rows of an Arrow batch at most. Rows hold whole texts, and a task keeps several batches in and outside the JVM.
+ARROW_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Hand this package's files to the executors' Python workers, once for each application."""
+    """Hand this package's files to the executors' Python workers, once for each application, and keep the
+    session's Arrow batches small."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= ARROW_ROWS:
+        spark.conf.set(_BATCH, str(ARROW_ROWS))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -42,6 +50,13 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of the table has them."""
+    taken = {c.lower() for c in docs.columns}
+    longest = max(map(len, taken), default=0)
+    return [n if n.lower() not in taken else n + "_" * (longest + 1) for n in names]
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write the rows once to the folder all executors share and go on from the files.
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cityflow.llm.chunks import ChunkTable, Ids, flat_ids, strides
 from cityflow.llm.common import ship, texts
@@ -18,6 +19,8 @@ from cityflow.llm.common import ship, texts
 RANKS = 400
 FOLDS = 5
 UNKNOWN = "und"
+#: Words whose n-grams a worker remembers.
+WORDS = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
 _STEP = 1 << 21  # above every code point
 
@@ -29,7 +32,7 @@ class Grams:
     def __init__(self):
         self.code_of: list[int] = []
         self.id_of: dict[int, int] = {}
-        self.table = ChunkTable(self._segment)
+        self.table = ChunkTable(self._segment, WORDS)
 
     def _segment(self, words: list[str]) -> Ids:
         out = []
@@ -96,7 +99,14 @@ def profiles(labelled: DataFrame, ranks: int = RANKS) -> dict[str, list[int]]:
     return found
 
 
-def _predict(batches: Iterator[pa.RecordBatch], known: dict[str, list[int]], ranks: int) -> Iterator[pa.RecordBatch]:
+def _predict(
+    batches: Iterator[pa.RecordBatch],
+    known: dict[str, list[int]],
+    ranks: int,
+    kept: int,
+    added: Sequence[str] = ("lang_pred", "score"),
+) -> Iterator[pa.RecordBatch]:
+    """The first ``kept`` columns with the prediction for the text in the last one."""
     own, langs = grams(), sorted(known)
     ladder = np.zeros((len(langs), 0), np.int64)
     place = [{g: i for i, g in enumerate(known[lang])} for lang in langs]
@@ -119,8 +129,8 @@ def _predict(batches: Iterator[pa.RecordBatch], known: dict[str, list[int]], ran
                 i = int(far.argmin())
                 best.append(langs[i])
                 score.append(1 - far[i] / (ranks * len(top)))
-        out = [*batch.columns[:-1], pa.array(best, pa.string()), pa.array(score, pa.float64())]
-        yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:-1], "_lang", "_score"])
+        out = [*batch.columns[:kept], pa.array(best, pa.string()), pa.array(score, pa.float64())]
+        yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:kept], *added])
 
 
 def identify(docs: DataFrame, known: dict[str, list[int]], ranks: int = RANKS) -> DataFrame:
@@ -131,8 +141,9 @@ def identify(docs: DataFrame, known: dict[str, list[int]], ranks: int = RANKS) -
     or nothing was learned. Equal distances go to the first language in order of names. Broadcast
     with the task: ``ranks`` numbers per language.
     """
-    rows = texts(docs).mapInArrow(lambda it: _predict(it, known, ranks), "doc_id long, _lang string, _score double")
-    return rows.withColumnsRenamed({"_lang": "lang_pred", "_score": "score"})
+    return texts(docs).mapInArrow(
+        lambda it: _predict(it, known, ranks, 1), "doc_id long, lang_pred string, score double"
+    )
 
 
 def keep_known(docs: DataFrame, known: dict[str, list[int]], least: float, ranks: int = RANKS) -> DataFrame:
@@ -142,10 +153,15 @@ def keep_known(docs: DataFrame, known: dict[str, list[int]], least: float, ranks
     pass through the prediction.
     """
     ship(docs.sparkSession)
-    rows = docs.withColumn("_read", F.col("text").cast("string"))
-    schema = rows.drop("_read").schema.add("_lang", "string").add("_score", "double")
-    found = rows.mapInArrow(lambda it: _predict(it, known, ranks), schema)
-    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).drop("_lang", "_score")
+    # plain names inside: those of the table may be any
+    order = [c for c in docs.columns if c != "text"] + ["text"]
+    inner = {c: f"c{i}" for i, c in enumerate(order)}
+    value = lambda c: F.col(f"`{c}`").cast("string") if c == "text" else F.col(f"`{c}`")
+    rows = docs.select(*[value(c).alias(n) for c, n in inner.items()])
+    schema = T.StructType([*rows.schema, T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = rows.mapInArrow(lambda it: _predict(it, known, ranks, len(order), ("lang", "score")), schema)
+    found = found.where((F.col("lang") != UNKNOWN) & (F.col("score") >= least))
+    return found.select(*[F.col(inner[c]).alias(c) for c in docs.columns])
 
 
 def held_out(name: str = "doc_id"):

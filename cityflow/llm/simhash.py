@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFra
 SHARDS = 6
 #: Bits by which SimHashes of pairs of similarity 0.8 differ at most: 3.6 standard deviations above their mean.
 WIDE = 20
-_ROW = "doc_id long, t1 long, t2 long, print long, shingles binary, shards array<long>"
+_ROW = "doc_id long, t1 long, t2 long, print long, shards array<long>"
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -218,18 +218,27 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 def _shingled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     odd = [np.uint64(int(m) * 2 + 1) for m in np.random.default_rng(4).integers(1, 2**62, SHARDS)]
     for batch in batches:
-        sets = [shingle_set(t, words) for t in batch.column(3).to_pylist()]
-        prints = [fingerprint(t, words) for t in batch.column(3).to_pylist()]
-        shards = []
-        for s in sets:
-            x = s.astype(np.uint64) + np.uint64(1)
+        prints, shards = [], []
+        for text in batch.column(3).to_pylist():
+            prints.append(fingerprint(text, words))
+            x = shingle_set(text, words).astype(np.uint64) + np.uint64(1)
             x ^= x << np.uint64(32)
             shards.append([int((x * m >> np.uint64(20)).min()) * SHARDS + i if len(x) else i for i, m in enumerate(odd)])
-        columns = [*batch.columns[:3], pa.array(prints, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-        columns.append(pa.array(shards, pa.list_(pa.int64())))
+        columns = [*batch.columns[:3], pa.array(prints, pa.int64()), pa.array(shards, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _ROW.split(", ")])
 
 
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(node, print, shingles) of texts, copies in a batch once."""
+    for batch in batches:
+        nodes, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+        found = batch.column(1).take(pa.array(first)).to_pylist()
+        prints = [fingerprint(t, words) for t in found]
+        sets = [shingle_set(t, words).tobytes() for t in found]
+        columns = [pa.array(nodes), pa.array(prints, pa.int64()), pa.array(sets, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "print", "shingles"])
+
+
 def _similar(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """Rows come ordered by (shard, tree, block); each unit is searched and verified when it is whole."""
     held: list[tuple] = []
@@ -258,8 +267,8 @@ def _similar(batches: Iterator[pa.RecordBatch], radius: int, similarity: float)
             if not len(others):
                 continue
             mark[local[p]] = True
-            ends = np.cumsum(size[others])
-            common = np.diff(np.append(0, np.cumsum(mark[np.concatenate([local[o] for o in others])])[ends - 1] if ends[-1] else ends * 0), prepend=0)[1:]
+            hits = np.append(0, np.cumsum(mark[np.concatenate([local[o] for o in others])]))
+            common = np.diff(hits[np.append(0, np.cumsum(size[others]))])
             mark[local[p]] = False
             union = size[others] + size[p] - common
             for r in np.unique(root[others[common >= similarity * union]]):
@@ -293,14 +302,17 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     text = F.coalesce("text", F.lit(""))
     keyed = texts(docs).select("doc_id", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(9), text).alias("t2"), text.alias("text"))
     rows = settle(keyed.mapInArrow(lambda it: _shingled(it, words), _ROW), "similar-rows")
-    nodes = settle(rows.groupBy("t1", "t2").agg(F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "similar-nodes")
-    node = nodes.select("t1", "t2", "node")
-    wide = rows.dropDuplicates(["t1", "t2"]).join(node, ["t1", "t2"])
-    shards = wide.select("node", F.explode("shards").alias("shard"))
+    distinct = rows.select("t1", "t2").distinct()
+    node = settle(distinct.withColumn("node", F.monotonically_increasing_id()), "similar-nodes")
+    shards = rows.join(node, ["t1", "t2"]).select("node", F.explode("shards").alias("shard")).distinct()
     sizes = shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
     parts = sizes.select("shard", F.greatest(F.lit(1), (F.col("n") / SHARD).cast("long")).alias("parts"))
     shared = settle(shards.join(parts, "shard"), "similar-shards")
-    wanted = wide.join(shared.select("node").distinct(), "node", "left_semi").select("node", "print", "shingles")
+    # whole shingle sets only of texts that share a shard
+    wanted = node.join(shared.select("node").distinct(), "node", "left_semi")
+    sets = keyed.join(wanted, ["t1", "t2"]).select("node", "text")
+    sets = sets.mapInArrow(lambda it: _sets(it, words), "node long, print long, shingles binary")
+    wanted = settle(sets, "similar-sets").dropDuplicates(["node"])
     cut = shared.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")))
     cut = cut.select("shard", "own", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     units = cut.select("shard", F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("block"), "own", "node")
@@ -320,8 +332,11 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     """
     groups = similar_documents(docs, words, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
-    first = groups.groupBy("group").agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.t1").alias("_t1"), F.col("f.t2").alias("_t2"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    here = docs.withColumn("_own", F.col("doc_id").cast("long")).withColumn("_a", F.xxhash64(text)).withColumn("_b", F.xxhash64(F.lit(9), text))
-    match = F.col("_a").eqNullSafe(F.col("_t1")) & F.col("_b").eqNullSafe(F.col("_t2")) & F.col("_own").eqNullSafe(F.col("_id"))
-    return here.join(first, match, "left_semi").dropDuplicates(["_a", "_b", "_own"]).drop("_a", "_b", "_own")
+    first = groups.groupBy("group").agg(F.min(order).alias("f")).select("f.doc_id", "f.t1", "f.t2")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # no name of the table meets one used here
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    keys = {"id": F.col("row.doc_id").cast("long"), "a": F.xxhash64(text), "b": F.xxhash64(F.lit(9), text)}
+    here = docs.select(row.alias("row")).withColumns(keys)
+    match = F.col("a").eqNullSafe(F.col("t1")) & F.col("b").eqNullSafe(F.col("t2")) & F.col("id").eqNullSafe(F.col("doc_id"))
+    kept = here.join(first, match, "left_semi").dropDuplicates(["a", "b", "id"])
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
