@@ -21,6 +21,8 @@ UNIT = 256
 #: Bits of the filter that keeps lines without any candidate out of the shuffle of texts: 8 MB, a fixed size.
 FILTER_BITS = 1 << 26
 PAIRS = 4096
+#: Documents of the sample that finds hot keys, lines of a key that make it hot there, and parts of a hot key.
+SAMPLE, HOT, SPREAD = 4096, 64, 512
 
 
 def line_id(line: str) -> int:
@@ -229,6 +231,35 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Record
         yield check()
 
 
+def all_entries(rows: DataFrame, edits: int, shortest: int) -> DataFrame:
+    return rows.mapInArrow(lambda it: _entries(it, edits, shortest), "key long, line long, own boolean")
+
+
+def hot_keys(rows: DataFrame, edits: int, shortest: int) -> list[int]:
+    """Keys that many lines share, as a sample of some thousand documents shows.
+
+    The list only decides how entries are dealt out; with any list the result is the same.
+    """
+    step = max(1, rows.count() // SAMPLE)
+    some = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(step)) == 0)
+    counts = all_entries(some, edits, shortest).groupBy("key").agg(F.countDistinct("line").alias("n"))
+    return [r.key for r in counts.where(F.col("n") >= HOT).select("key").collect()]
+
+
+def shared_entries(rows: DataFrame, edits: int, shortest: int) -> DataFrame:
+    """(key, line, own) of keys that different lines share, one of them with a segment of its own.
+
+    Entries meet by key. Those of a hot key, which is shared for certain, are spread by line and all go on.
+    """
+    hot = hot_keys(rows, edits, shortest)
+    entries = all_entries(rows, edits, shortest).withColumn("hot", F.col("key").isin(hot) if hot else F.lit(False))
+    entries = entries.withColumn("part", F.when(F.col("hot"), F.pmod("line", F.lit(SPREAD))).otherwise(0))
+    meet = Window.partitionBy("key", "part")
+    lo, hi, own = F.min("line").over(meet), F.max("line").over(meet), F.max("own").over(meet)
+    marked = entries.repartition("key", "part").select("key", "line", "own", "hot", lo.alias("lo"), hi.alias("hi"), own.alias("any"))
+    return marked.where("hot or (lo <> hi and any)").groupBy("key", "line").agg(F.max("own").alias("own"))
+
+
 def line_links(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """Links (a, b) between ids of different lines at most ``edits`` edits apart, enough to connect all of them.
 
@@ -237,14 +268,7 @@ def line_links(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) ->
     many lines share is cut into blocks, each pair of which is a unit of its own.
     """
     rows = texts(docs).select("text")
-    entries = rows.mapInArrow(lambda it: _entries(it, edits, shortest), "key long, line long, own boolean")
-    by_key = Window.partitionBy("key")
-    entries = (
-        entries.repartition("key")
-        .select("key", "line", "own", F.min("line").over(by_key).alias("lo"), F.max("line").over(by_key).alias("hi"), F.max("own").over(by_key).alias("any"))
-        .where("lo <> hi and any")
-    )
-    shared = settle(entries.groupBy("key", "line").agg(F.max("own").alias("own")), "line-candidates")
+    shared = settle(shared_entries(rows, edits, shortest), "line-candidates")
     blocks = shared.groupBy("key").agg(F.greatest(F.lit(1), F.round(F.count("*") / UNIT).cast("long")).alias("blocks"))
     text = settle(candidate_texts(rows, shared, shortest), "line-texts")
     units = shared.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")))
@@ -301,8 +325,11 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST
     return gone.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("gone"))
 
 
-def drop_repeats(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
-    """The documents with ``text`` cut to its first lines, and columns ``n_lines``, ``gone`` (numbers of dropped lines).
+def drop_repeats(
+    docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, added: tuple[str, str] = ("n_lines", "gone")
+) -> DataFrame:
+    """The documents with ``text`` cut to its first lines, and two added columns: how many lines there
+    were, and the numbers of dropped lines.
 
     Lines of at least ``shortest`` code points that are at most ``edits`` edits apart are linked;
     of what links connect, the line that comes first by (doc_id, text, line number) stays, also
@@ -311,18 +338,20 @@ def drop_repeats(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST)
     repeat both doc_id and text are one document and are cut alike; a null doc_id comes first. All
     other columns are kept; an empty table gives no rows.
     """
-    found = repeated_lines(docs, edits, shortest).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("gone").alias("_gone"))
-    here = docs.withColumn("_own", F.xxhash64(F.col("text").cast("string")))
-    joined = here.join(found, here["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left")
-    split = F.split(F.col("text").cast("string"), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.element_at(F.transform(F.array(split), lambda xs: F.transform(kept, lambda i: F.get(xs, i))), 1), "\n")
+    found = repeated_lines(docs, edits, shortest).withColumnsRenamed({"doc_id": "id", "mark": "key"})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # no name of the table meets one used here
+    here = docs.select(row.alias("row")).withColumn("text", F.col("row.text").cast("string"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("key"))
+    split = F.split("text", "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
+    pick = lambda xs: F.transform(kept, lambda i: F.get(xs, i))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
+        F.array_join(F.element_at(F.transform(F.array(split), pick), 1), "\n")
     )
     n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(split)), F.lit(0))
-    names = [c for c in docs.columns]
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in names]
-    return joined.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.array_sort("_gone"), F.expr("cast(array() as array<int>)")).alias("gone"))
+    gone = F.coalesce(F.array_sort("gone"), F.expr("cast(array() as array<int>)"))
+    columns = [(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    return here.join(found, same, "left").select(*columns, n_lines.alias(added[0]), gone.alias(added[1]))
 
 
 def line_digests(docs: DataFrame) -> DataFrame:

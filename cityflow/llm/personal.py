@@ -254,7 +254,9 @@ def redact(docs: DataFrame) -> DataFrame:
 
     All other columns and all rows stay; a null text stays null.
     """
-    rows = find(docs.withColumn("_row", F.struct(*docs.columns)), "_row").select("_row", "spans")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # no name of the table meets one used here
+    whole = docs.select(row.alias("_row")).select("_row", "_row.doc_id", "_row.text")
+    rows = find(whole, "_row").select("_row", "spans")
     text = F.col("_row.text").cast("string")
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityflow.llm import language, lines, packing, personal, simhash
-from cityflow.llm.common import settle, table
+from cityflow.llm.common import settle, table, unused
 from cityflow.session import pin
 
 #: Below this score a text is in none of the learned languages; texts of one, even very short ones, are far above.
@@ -28,9 +28,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stood before, here or elsewhere; one that held nothing else goes."""
-    cut = lines.drop_repeats(docs.select(*docs.columns))
-    left = cut.where((F.size("gone") == 0) | (F.trim(F.regexp_replace("text", r"\s", " ")) != ""))
-    return _with_size(left.select(*docs.columns))
+    n_lines, gone = unused(docs, "n_lines", "gone")
+    cut = lines.drop_repeats(docs, added=(n_lines, gone))
+    left = cut.where((F.size(gone) == 0) | (F.trim(F.regexp_replace("text", r"\s", " ")) != ""))
+    return _with_size(left.drop(n_lines, gone))
 
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 
 # Names that operators use inside; a table may have them too.
-SCHEMA = "doc_id long, text string, lang string, node string, component string, n long, line int, print double, `_text` string, n_chars long"
+SCHEMA = "doc_id long, text string, lang string, node string, component string, n long, line int, print double, `_text` string, n_chars long, "
+SCHEMA += "gone string, n_lines int, `_lang` int, `_row` string, row string, id string, a int, key string, base string, `a.b` int"
+CLASH = ("g", 7, 8, "r", "s", "i", 9, "k", "b", None)
 LONG = "Das ist ein sehr langer Text ohne Ende, number 5 of many. "
 
 
@@ -26,7 +28,7 @@ def make_rows():
     texts += ["Write to a.b@c.example.org or +1 (212) 555-0101, 10.0.0.255 or 4111 1111 1111 1111. Not 4111 1111 1111 1112, 300.1.1.1"]
     texts += [line(30) for _ in range(12)]
     rows = [(i * 3, t) for i, t in enumerate(texts)] + [(None, "a null id"), (9, base + "\n" + texts[3].split("\n")[-1]), (200, base.lower())]
-    return [(k, t, ("en", "fr", None)[i % 3], "x", "y", 1, 2, 0.5, "z", len(t or "")) for i, (k, t) in enumerate(rows)]
+    return [(k, t, ("en", "fr", None)[i % 3], "x", "y", 1, 2, 0.5, "z", len(t or ""), *CLASH) for i, (k, t) in enumerate(rows)]
 
 
 @pytest.fixture(scope="session")

@@ -186,10 +186,12 @@ def test_lines(spark, rows, empty, monkeypatch):
     docs = spark.createDataFrame(every, "doc_id long, text string").withColumn("line", F.lit(1)).withColumn("at", F.lit("q"))
     ordered = sorted(every, key=lambda r: (r[0] is not None, r[0]))
     want = {k: g for (k, _), g in zip(ordered, brute.dropped_lines(ordered))}
-    for unit in (256, 4):
+    for unit, hot in ((256, 64), (4, 2)):
         monkeypatch.setattr(lines, "UNIT", unit)
+        monkeypatch.setattr(lines, "HOT", hot)
         got = lines.drop_repeats(docs).collect()
         assert {r.doc_id: r.gone for r in got} == want and len(got) == len(every)
+    assert lines.hot_keys(docs.select("text"), 2, 20)
     texts = dict(every)
     for r in got:
         kept = None if texts[r.doc_id] is None else "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in r.gone)
