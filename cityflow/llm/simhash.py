@@ -78,7 +78,7 @@ class BKTree:
         """(probe, node) places at a distance of at most radius, level by level; only edges whose
         key differs from the probe's distance by at most the radius are followed."""
         probe, node = np.arange(len(probes)), np.zeros(len(probes), np.int64)
-        while len(probe):
+        while len(probe) and len(self.points):
             far = np.bitwise_count(probes[probe] ^ self.points[node]).astype(np.int64)
             near = far <= radius
             yield probe[near], node[near]

@@ -30,6 +30,7 @@ def test_bk_tree_finds_what_a_scan_finds():
     points = np.unique(rng.integers(0, 2**16, 300).astype(np.uint64))
     points = rng.permutation(points)
     tree = simhash.BKTree(points)
+    assert not list(simhash.BKTree(points[:0]).within(points, 2))
     for radius in (0, 2, 5):
         got = sorted((int(p), int(n)) for probe, node in tree.within(points, radius) for p, n in zip(probe, node))
         far = np.bitwise_count(points[:, None] ^ points[None, :])
