@@ -188,6 +188,20 @@ def civic_events_csv(spark: SparkSession, sf: str) -> DataFrame:
     return civic.read_csv(spark, path)
 
 
+def malformed_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of an event file that are no numbers and no flags."""
+    path = scratch(spark, "events-malformed")
+    b.civic_events_fanout(spark, sf).select(
+        F.col("event_date").cast("string").alias("event_date"),
+        "event_name",
+        "event_type",
+        "borough",
+        F.when(F.col("is_major"), F.col("est_attendance").cast("string")).otherwise("many").alias("est_attendance"),
+        F.when(F.col("event_type") == "sports", "maybe").otherwise("true").alias("is_major"),
+    ).write.option("header", True).csv(path)
+    return civic.malformed(spark, path)
+
+
 def clean_trips(rule: Callable) -> Query:
     return lambda spark, sf: rule(b.raw_trips(spark, sf), extra=("trip_id",))
 
@@ -783,6 +797,7 @@ QUERIES: dict[str, Query] = {
     "upsert_new_rows": upsert_new_rows,
     "events_dedup": shown(events_dedup),
     "civic_events_csv": shown(civic_events_csv),
+    "malformed_events": malformed_events,
     "clean_trips_loader": clean_trips(trips.clean_loader),
     "clean_trips_strict": clean_trips(trips.clean_strict),
     "month_file_counts": month_file_counts,

@@ -68,6 +68,18 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return with_defaults(spark.read.option("header", True).option("escape", '"').csv(path))
 
 
+def malformed(spark: SparkSession, path: str) -> DataFrame:
+    """(field, value, n): what the file holds and ``read_csv`` can't read, so that no default hides it."""
+    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    fields = [
+        F.when(F.col(c).try_cast(t).isNull(), F.struct(F.lit(c).alias("field"), F.col(c).alias("value")))
+        for c, t in TYPES.items()
+        if c in raw.columns
+    ]
+    bad = raw.select(F.explode(F.array(*fields)).alias("x")).where("x.value is not null")
+    return bad.groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
+
+
 def combine(sources: list[DataFrame]) -> DataFrame:
     """Union in priority order; of repeats of a (date, name) the earliest source wins.
 

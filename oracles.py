@@ -427,6 +427,11 @@ ORACLES: dict[str, str] = {
     "loaded_rows": over(
         "raw_trips", "SELECT count(*) AS loaded_rows FROM raw_trips WHERE fare_amount > 0 AND trip_distance > 0"
     ),
+    "malformed_events": over(
+        "civic_fanout",
+        """SELECT 'est_attendance' AS field, 'many' AS value, count(*) AS n FROM civic_fanout WHERE NOT is_major HAVING count(*) > 0
+        UNION ALL SELECT 'is_major', 'maybe', count(*) FROM civic_fanout WHERE event_type = 'sports' HAVING count(*) > 0""",
+    ),
     "amount_quality": f"""SELECT event_type, count(*) AS n_rows, count(*) FILTER (WHERE event_id % 50 < 3) AS n_unusable,
         count(*) FILTER (WHERE event_id % 50 > 3) AS n_amounts,
         {R("sum(CAST((event_id * 7919 % 1000003) AS DECIMAL(18,4)) / 10000) FILTER (WHERE event_id % 50 > 3)", 4)} AS total,
