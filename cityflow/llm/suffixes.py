@@ -59,7 +59,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
     names = [c.split()[0] for c in _OCCURRENCE.split(", ")]
     step = (1 << BLOCK_BITS) - length
     for batch in batches:
-        t1, t2, words = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        t1, t2, words = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+        once = np.unique(np.stack([t1, t2]), axis=1, return_index=True)[1]  # copies have the same places
+        t1, t2, words = t1[once], t2[once], words.take(pa.array(once)).to_pylist()
         for part in strides(words, step // 2):
             raw = [w.encode("utf-8", "surrogatepass") for w in words[part]]
             size = np.array([len(r) for r in raw])
@@ -165,7 +167,8 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         previous, following = factors(np.concatenate(parts), length)
         repeated = np.maximum(previous, following) >= length
         found = [_intervals(repeated[b : b + run]) for b, (_, _, run, _) in zip(begins, held)]
-        columns = [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array(found, pa.list_(pa.int32()))]
+        keys = [pa.array([h[i] for h in held], pa.int64()) for i in (0, 1)]
+        columns = [*keys, pa.array(found, pa.list_(pa.int32()))]
         return pa.RecordBatch.from_arrays(columns, ["anchor", "ctx", "starts"])
 
     for batch in batches:
@@ -232,8 +235,10 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     place = F.xxhash64("t1", "t2", "at")
     # 1. anchors that occur at more than one place; copies of a text are the same places
     seen = rows.select("anchor", place.alias("p")).groupBy("anchor").agg(F.min("p").alias("a"), F.max("p").alias("b"))
-    again = rows.join(seen.where("a <> b").select("anchor"), "anchor", "left_semi").distinct()
-    again = settle(again, "suffix-repeats")
+    seen = settle(seen.where("a <> b").select("anchor"), "suffix-seen")
+    # both sides are read from files and nothing stands above, so adaptive execution can split the join's hot anchors
+    again = settle(rows.join(seen, "anchor", "left_semi"), "suffix-candidates")
+    again = settle(again.distinct(), "suffix-repeats")
     # 2. equal surroundings are one class; a class with several places is repeated throughout
     classes = again.groupBy("anchor", "ctx").agg(F.min(place).alias("p"), F.count("*").alias("places"))
     classes = settle(classes, "suffix-classes")
@@ -242,7 +247,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     # 3. one stretch of bytes for each class of an anchor with different surroundings
     picked = classes.join(mixed.select("anchor", hot), "anchor").select("anchor", "ctx", "p", "hot")
     stretch = F.struct("anchor", "ctx", "at", "run", "hot")
-    wanted = again.withColumn("p", place).join(picked, ["anchor", "ctx", "p"]).groupBy("t1", "t2").agg(F.collect_list(stretch).alias("wanted"))
+    wanted = again.withColumn("p", place).join(picked, ["anchor", "ctx", "p"])
+    wanted = wanted.groupBy("t1", "t2").agg(F.collect_list(stretch).alias("wanted"))
     sources = keyed.select("t1", "t2", "text").dropDuplicates(["t1", "t2"]).join(wanted, ["t1", "t2"]).select("text", "wanted")
     bytes_ = sources.mapInArrow(lambda it: _stretches(it, length), f"{_KEYS}, run int, hot boolean, data binary")
     bytes_ = settle(bytes_, "suffix-stretches")
@@ -265,7 +271,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     begin, end = F.col("at") + F.col("edge"), F.col("at") + F.get("starts", F.col("i") + 1) - 1 + length
     spans = pieces.groupBy("t1", "t2").agg(F.collect_list(F.struct(begin.alias("begin"), end.alias("end"))).alias("spans"))
     none = F.lit(None).cast("array<struct<begin:bigint,end:bigint>>").alias("spans")
-    return spans.select("t1", "t2", F.lit(False).alias("whole"), "spans").union(copies.select("t1", "t2", F.lit(True).alias("whole"), none))
+    whole = copies.select("t1", "t2", F.lit(True).alias("whole"), none)
+    return spans.select("t1", "t2", F.lit(False).alias("whole"), "spans").union(whole)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
