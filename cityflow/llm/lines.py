@@ -256,7 +256,7 @@ def shared_entries(rows: DataFrame, edits: int, shortest: int) -> DataFrame:
     entries = entries.withColumn("part", F.when(F.col("hot"), F.pmod("line", F.lit(SPREAD))).otherwise(0))
     meet = Window.partitionBy("key", "part")
     lo, hi, own = F.min("line").over(meet), F.max("line").over(meet), F.max("own").over(meet)
-    marked = entries.repartition("key", "part").select("key", "line", "own", "hot", lo.alias("lo"), hi.alias("hi"), own.alias("any"))
+    marked = entries.select("key", "line", "own", "hot", lo.alias("lo"), hi.alias("hi"), own.alias("any"))
     return marked.where("hot or (lo <> hi and any)").groupBy("key", "line").agg(F.max("own").alias("own"))
 
 
