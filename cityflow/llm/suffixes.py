@@ -265,6 +265,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     # 5. back to every place
     verdicts = classes.join(some, ["anchor", "ctx"], "left").where("places > 1 or starts is not null")
     verdicts = verdicts.select("anchor", "ctx", F.when(F.col("places") <= 1, F.col("starts")).alias("starts"))
+    verdicts = settle(verdicts, "suffix-verdicts")  # plain on both sides again: a hot class can be split
     at = again.join(verdicts, ["anchor", "ctx"]).join(copies, ["t1", "t2"], "left_anti")
     starts = F.coalesce("starts", F.array(F.lit(0), F.col("run")))
     pieces = at.select("t1", "t2", "at", F.posexplode(starts).alias("i", "edge"), starts.alias("starts")).where("i % 2 = 0")
