@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cityflow.llm.common import components, settle, texts
 from cityflow.llm.simhash import _roots
 
-#: Edits between lines that count as the same, and code points that a line must have to be compared.
+#: Edits between lines that count as the same, and code points from which a line may have all of them.
 EDITS, SHORTEST = 2, 20
 #: Lines that share a segment and are verified in one unit, on average.
 UNIT = 256
@@ -40,18 +40,21 @@ def segments(n: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def keys(line: str, edits: int) -> list[tuple[int, bool]]:
+def keys(line: str, edits: int, lengths: range | None = None) -> list[tuple[int, bool]]:
     """(key, own): hashes of the line's own segments, and of its substrings that can equal a segment of a line
     up to ``edits`` shorter or as long.
 
     If two lines are within the distance, a segment of the shorter one stands unchanged in the longer one, and
     some such segment i is moved by at most i places from the left end, and as few from the right end as
-    segments remain: only those places are probed. A key also holds the segment's number and the length.
+    segments remain: only those places are probed. A key also holds the segment's number and the length. With ``lengths``
+    the shorter line has one of these.
     """
     points = line.encode("utf-32-le", "surrogatepass")
     n, digest, out = len(line), xxhash.xxh64_intdigest, []
     for shorter in range(min(edits, n - edits - 1) + 1):
         length = n - shorter
+        if lengths is not None and length not in lengths:
+            continue
         for i, (begin, size) in enumerate(segments(length, edits)):
             first = max(begin - i, begin + shorter - (edits - i), 0)
             last = min(begin + i, begin + shorter + (edits - i), n - size)
@@ -61,18 +64,38 @@ def keys(line: str, edits: int) -> list[tuple[int, bool]]:
     return out
 
 
-def _compared(line: str, shortest: int) -> bool:
-    return len(line) >= shortest
+def _compared(line: str, shortest: int, short: bool) -> bool:
+    """Whether equal lines count as the same: short lines that are not blank do if ``short`` is set."""
+    return len(line) >= shortest or (short and not line.isspace() and line != "")
+
+
+def allowed(n: int, edits: int, shortest: int) -> int:
+    """Edits that a pair may have whose shorter line has n code points: below ``shortest`` in proportion."""
+    return edits if n >= shortest else n * edits // shortest
+
+
+def _graded(line: str, edits: int, shortest: int, short: bool) -> list[tuple[int, bool]]:
+    """Keys by which the line meets others. Pairs with fewer allowed edits have longer segments and keys of their own:
+    a key's number, length * (edits + 1) + segment, lies in another range for each number of edits, since that grows with the length."""
+    if not short:
+        return keys(line, edits)
+    n, out = len(line), []
+    for most in range(1, edits + 1):
+        from_ = -(-most * shortest // edits)
+        lengths = range(from_, n + 1 if most == edits else -(-(most + 1) * shortest // edits))
+        if n - most < lengths.stop and n >= from_:
+            out += keys(line, most, lengths)
+    return out
 
 
-def _entries(batches: Iterator[pa.RecordBatch], edits: int, shortest: int) -> Iterator[pa.RecordBatch]:
+def _entries(batches: Iterator[pa.RecordBatch], edits: int, shortest: int, short: bool) -> Iterator[pa.RecordBatch]:
     """(key, line, own) of the lines of each batch, equal lines once."""
     for batch in batches:
-        lines = {x for t in batch.column(0) for x in (t.as_py() or "").split("\n") if _compared(x, shortest)}
+        lines = {x for t in batch.column(0) for x in (t.as_py() or "").split("\n") if _compared(x, shortest, short)}
         rows: list[tuple] = []
         for line in lines:
             i = line_id(line)
-            rows += [(key, i, own) for key, own in keys(line, edits)]
+            rows += [(key, i, own) for key, own in _graded(line, edits, shortest, short)]
             if len(rows) > 200_000:
                 yield _entry_batch(rows)
                 rows = []
@@ -90,13 +113,13 @@ def _filter_bit(i: int) -> int:
     return xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42) % FILTER_BITS
 
 
-def _wanted(batches: Iterator[pa.RecordBatch], bits: np.ndarray, shortest: int) -> Iterator[pa.RecordBatch]:
+def _wanted(batches: Iterator[pa.RecordBatch], bits: np.ndarray, shortest: int, short: bool) -> Iterator[pa.RecordBatch]:
     """(line, text) of lines whose bit is set, equal lines of a batch once."""
     for batch in batches:
         found = {}
         for t in batch.column(0):
             for x in (t.as_py() or "").split("\n"):
-                if _compared(x, shortest):
+                if _compared(x, shortest, short):
                     i = line_id(x)
                     h = _filter_bit(i)
                     if bits[h >> 3] >> (h & 7) & 1:
@@ -182,7 +205,7 @@ def _banded(a: list[str], b: list[str], m: np.ndarray, n: np.ndarray, edits: int
     return final <= edits
 
 
-def _unit_pairs(rows: list[tuple], edits: int) -> Iterator[tuple[str, str, int, int]]:
+def _unit_pairs(rows: list[tuple], edits: int, shortest: int) -> Iterator[tuple[str, str, int, int]]:
     """Pairs (text, text, id, id) of a unit that share its key; at least one of a pair has the segment as its own."""
     seen: set[tuple[int, int]] = set()
     for own, x, i, block, single in rows:
@@ -190,12 +213,13 @@ def _unit_pairs(rows: list[tuple], edits: int) -> Iterator[tuple[str, str, int,
             continue
         for _, y, j, other, _ in rows:
             # a unit of two blocks compares the one with the other, a unit of one with itself
-            if i != j and (block != other or single) and abs(len(x) - len(y)) <= edits and (min(i, j), max(i, j)) not in seen:
+            most = allowed(min(len(x), len(y)), edits, shortest)
+            if i != j and (block != other or single) and abs(len(x) - len(y)) <= most and (min(i, j), max(i, j)) not in seen:
                 seen.add((min(i, j), max(i, j)))
                 yield x, y, i, j
 
 
-def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], edits: int, shortest: int) -> Iterator[pa.RecordBatch]:
     """Rows come ordered by (key, low, high). Pairs of whole units are verified some thousands at a time; of the
     links found together only a spanning forest is returned."""
     held: list[tuple] = []
@@ -203,8 +227,10 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Record
     last = None
 
     def check() -> pa.RecordBatch:
-        near = within([p[0] for p in pairs], [p[1] for p in pairs], edits)
-        found = np.array([p[2:] for p, ok in zip(pairs, near) if ok], np.int64).reshape(-1, 2)
+        most = [allowed(min(len(p[0]), len(p[1])), edits, shortest) for p in pairs]
+        kinds = [(e, [p for p, m in zip(pairs, most) if m == e]) for e in set(most)]
+        near = [(some, within([p[0] for p in some], [p[1] for p in some], e)) for e, some in kinds]
+        found = np.array([p[2:] for some, good in near for p, ok in zip(some, good) if ok], np.int64).reshape(-1, 2)
         ids, place = np.unique(found, return_inverse=True)
         place = place.reshape(-1, 2)
         root = _roots(len(ids), iter([(place[:, 0], place[:, 1])]))
@@ -212,7 +238,7 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Record
         return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[root[linked]])], ["a", "b"])
 
     def unit() -> Iterator[pa.RecordBatch]:
-        for pair in _unit_pairs(held, edits):
+        for pair in _unit_pairs(held, edits, shortest):
             pairs.append(pair)
             if len(pairs) == PAIRS:
                 yield check()
@@ -231,28 +257,28 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Record
         yield check()
 
 
-def all_entries(rows: DataFrame, edits: int, shortest: int) -> DataFrame:
-    return rows.mapInArrow(lambda it: _entries(it, edits, shortest), "key long, line long, own boolean")
+def all_entries(rows: DataFrame, edits: int, shortest: int, short: bool = False) -> DataFrame:
+    return rows.mapInArrow(lambda it: _entries(it, edits, shortest, short), "key long, line long, own boolean")
 
 
-def hot_keys(rows: DataFrame, edits: int, shortest: int) -> list[int]:
+def hot_keys(rows: DataFrame, edits: int, shortest: int, short: bool = False) -> list[int]:
     """Keys that many lines share, as a sample of some thousand documents shows.
 
     The list only decides how entries are dealt out; with any list the result is the same.
     """
     step = max(1, rows.count() // SAMPLE)
     some = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(step)) == 0)
-    counts = all_entries(some, edits, shortest).groupBy("key").agg(F.countDistinct("line").alias("n"))
+    counts = all_entries(some, edits, shortest, short).groupBy("key").agg(F.countDistinct("line").alias("n"))
     return [r.key for r in counts.where(F.col("n") >= HOT).select("key").collect()]
 
 
-def shared_entries(rows: DataFrame, edits: int, shortest: int) -> DataFrame:
+def shared_entries(rows: DataFrame, edits: int, shortest: int, short: bool = False) -> DataFrame:
     """(key, line, own) of keys that different lines share, one of them with a segment of its own.
 
     Entries meet by key. Those of a hot key, which is shared for certain, are spread by line and all go on.
     """
-    hot = hot_keys(rows, edits, shortest)
-    entries = all_entries(rows, edits, shortest).withColumn("hot", F.col("key").isin(hot) if hot else F.lit(False))
+    hot = hot_keys(rows, edits, shortest, short)
+    entries = all_entries(rows, edits, shortest, short).withColumn("hot", F.col("key").isin(hot) if hot else F.lit(False))
     entries = entries.withColumn("part", F.when(F.col("hot"), F.pmod("line", F.lit(SPREAD))).otherwise(0))
     meet = Window.partitionBy("key", "part")
     lo, hi, own = F.min("line").over(meet), F.max("line").over(meet), F.max("own").over(meet)
@@ -260,7 +286,7 @@ def shared_entries(rows: DataFrame, edits: int, shortest: int) -> DataFrame:
     return marked.where("hot or (lo <> hi and any)").groupBy("key", "line").agg(F.max("own").alias("own"))
 
 
-def line_links(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def line_links(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, short: bool = False) -> DataFrame:
     """Links (a, b) between ids of different lines at most ``edits`` edits apart, enough to connect all of them.
 
     Each distinct line gives the keys of its segments and probes. Keys that different lines share, one of them
@@ -268,18 +294,18 @@ def line_links(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) ->
     many lines share is cut into blocks, each pair of which is a unit of its own.
     """
     rows = texts(docs).select("text")
-    shared = settle(shared_entries(rows, edits, shortest), "line-candidates")
+    shared = settle(shared_entries(rows, edits, shortest, short), "line-candidates")
     blocks = shared.groupBy("key").agg(F.greatest(F.lit(1), F.round(F.count("*") / UNIT).cast("long")).alias("blocks"))
-    text = settle(candidate_texts(rows, shared, shortest), "line-texts")
+    text = settle(candidate_texts(rows, shared, shortest, short), "line-texts")
     units = shared.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")))
     units = units.select("key", "line", "own", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     units = units.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "own", "line")
     units = units.join(text, "line").select("key", "low", "high", "block", "own", "line", "text")
     dealt = units.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(lambda it: _verify(it, edits), "a long, b long")
+    return dealt.mapInArrow(lambda it: _verify(it, edits, shortest), "a long, b long")
 
 
-def candidate_texts(rows: DataFrame, shared: DataFrame, shortest: int) -> DataFrame:
+def candidate_texts(rows: DataFrame, shared: DataFrame, shortest: int, short: bool = False) -> DataFrame:
     """(line, text) of candidate lines. A bit filter of a fixed size spares most other lines the shuffle."""
     lines = shared.select("line").distinct()
     bit = F.pmod(F.xxhash64("line"), F.lit(FILTER_BITS))
@@ -290,31 +316,31 @@ def candidate_texts(rows: DataFrame, shared: DataFrame, shortest: int) -> DataFr
         at = r.page * 4096
         bits[at : at + len(page)] = page
     shipped = rows.sparkSession.sparkContext.broadcast(bits)
-    found = rows.mapInArrow(lambda it: _wanted(it, shipped.value, shortest), "line long, text string")
+    found = rows.mapInArrow(lambda it: _wanted(it, shipped.value, shortest, short), "line long, text string")
     return found.join(lines, "line", "left_semi").distinct()
 
 
-def _places(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch], shortest: int, short: bool) -> Iterator[pa.RecordBatch]:
     """(doc_id, mark, at, line) of every line that is compared."""
     for batch in batches:
         rows = []
         for key, mark, text in zip(*(c.to_pylist() for c in batch.columns)):
-            rows += [(key, mark, at, line_id(x)) for at, x in enumerate(text.split("\n")) if _compared(x, shortest)]
+            rows += [(key, mark, at, line_id(x)) for at, x in enumerate(text.split("\n")) if _compared(x, shortest, short)]
         if rows:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "mark", "at", "line"])
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, short: bool = False) -> DataFrame:
     """(doc_id, mark, gone) of documents with lines to drop: their numbers, from 0.
 
     A class holds the lines that links connect; its first line in order of (doc_id, text hash, line)
     stays wherever it stands first, all others go. Null ids come first.
     """
-    links = settle(line_links(docs, edits, shortest), "line-links")
+    links = settle(line_links(docs, edits, shortest, short), "line-links")
     classes = components(links, "line-classes")
     marked = texts(docs).where("text is not null").select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    places = marked.mapInArrow(lambda it: _places(it, shortest), "doc_id long, mark long, at int, line long")
+    places = marked.mapInArrow(lambda it: _places(it, shortest, short), "doc_id long, mark long, at int, line long")
     places = settle(places, "line-places")
     own = F.struct("doc_id", "mark", "at")
     lines = places.groupBy("line").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
@@ -326,19 +352,21 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST
 
 
 def drop_repeats(
-    docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, added: tuple[str, str] = ("n_lines", "gone")
+    docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, added: tuple[str, str] = ("n_lines", "gone"), short: bool = False
 ) -> DataFrame:
     """The documents with ``text`` cut to its first lines, and two added columns: how many lines there
     were, and the numbers of dropped lines.
 
     Lines of at least ``shortest`` code points that are at most ``edits`` edits apart are linked;
     of what links connect, the line that comes first by (doc_id, text, line number) stays, also
-    within one document. Shorter lines always stay. Lines are split at line feeds and compared as
+    within one document. Shorter lines always stay, unless ``short`` is set: then equal lines that
+    are not blank are linked at any length, and others by edits in proportion to the shorter line's
+    length, rounded down (by default one edit from 10 code points on). Lines are split at line feeds and compared as
     they are. A null text stays null and has no lines; an empty one has one empty line. Rows that
     repeat both doc_id and text are one document and are cut alike; a null doc_id comes first. All
     other columns are kept; an empty table gives no rows.
     """
-    found = repeated_lines(docs, edits, shortest).withColumnsRenamed({"doc_id": "id", "mark": "key"})
+    found = repeated_lines(docs, edits, shortest, short).withColumnsRenamed({"doc_id": "id", "mark": "key"})
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # no name of the table meets one used here
     here = docs.select(row.alias("row")).withColumn("text", F.col("row.text").cast("string"))
     same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("key"))
@@ -356,7 +384,7 @@ def drop_repeats(
 
 def line_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, dropped, kept_sha256) of every row; dropped lists line numbers, comma-joined."""
-    rows = drop_repeats(docs.select("doc_id", "text"))
+    rows = drop_repeats(docs.select("doc_id", "text"), short=True)
     return rows.select(
         F.col("doc_id").cast("long"),
         F.col("n_lines").cast("long"),

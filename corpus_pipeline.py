@@ -29,7 +29,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stood before, here or elsewhere; one that held nothing else goes."""
     n_lines, gone = unused(docs, "n_lines", "gone")
-    cut = lines.drop_repeats(docs, added=(n_lines, gone))
+    cut = lines.drop_repeats(docs, added=(n_lines, gone), short=True)
     left = cut.where((F.size(gone) == 0) | (F.trim(F.regexp_replace("text", r"\s", " ")) != ""))
     return _with_size(left.drop(n_lines, gone))
 

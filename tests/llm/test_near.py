@@ -204,3 +204,31 @@ def test_line_digest_columns(docs):
     got = lines.line_digests(docs)
     assert got.columns == ["doc_id", "n_lines", "n_dropped", "dropped", "kept_sha256"]
     assert got.count() == docs.count()
+
+
+def test_short_lines(spark):
+    rng = random.Random(12)
+    texts = ["Ietzte.\nJa.\nk\n\n \t", "Ja.\nNee\nk\n\n \t", "Ietzte.\nIetzta.\nSeite 12\nSeite 13"]
+    texts += ["Stteen Erachtz.", "Stteen Erachtz", "Stteen Erach.", "x" * 19, "x" * 20, "x" * 21, "x" * 22, "y" * 9, "y" * 10, "y" * 11]
+    for _ in range(60):
+        line = [rng.choice("ab") for _ in range(rng.randrange(7, 24))]
+        texts.append("".join(line))
+        line[rng.randrange(len(line))] = rng.choice(["", "c", "ab"])
+        texts.append("".join(line) + "\n" + "q" * rng.randrange(4))
+    every = list(enumerate(texts))
+    split = sorted({x for t in texts for x in t.split("\n") if x.strip()})
+    most = lambda a, b: min(2, min(len(a), len(b)) // 10)
+    near = [(a, b) for i, a in enumerate(split) for b in split[:i] if abs(len(a) - len(b)) <= 2 and brute.edits(a, b) <= most(a, b)]
+    assert {most(a, b) for a, b in near} == {1, 2}
+    of, seen, want = brute.groups(split, near), set(), {}
+    for k, t in every:
+        want[k] = []
+        for i, x in enumerate(t.split("\n")):
+            if x in of:
+                want[k] += [i] * (of[x] in seen)
+                seen.add(of[x])
+    assert want[0] == [] and want[1] == [0, 2] and want[2] == [0] and want[4] == [0] and want[5] == []
+    docs = spark.createDataFrame(every, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.gone for r in lines.drop_repeats(docs, short=True).collect()} == want
+    got = {r.doc_id: r.dropped for r in lines.line_digests(docs).collect()}
+    assert got == {k: ",".join(map(str, g)) for k, g in want.items()}
