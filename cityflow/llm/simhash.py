@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cityflow.llm.common import components, settle, texts
@@ -198,33 +199,47 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFra
 
 
 # Similar documents: SimHash candidates at a wide radius inside shards of documents that share a min-hash, each
-# verified by the similarity of whole shingle sets.
+# verified by the similarity of whole shingle sets. What these miss, a prefix join finds between the groups so far.
 
-#: Min-hashes of a document, each a shard: a pair of similarity 0.8 misses all of them once in 15,000.
+#: Min-hashes of a document, each a shard.
 SHARDS = 6
-#: Bits by which SimHashes of pairs of similarity 0.8 differ at most: 3.6 standard deviations above their mean.
+#: Bits by which SimHashes of distinct shingles may differ in the shards; the prefix join needs no radius.
 WIDE = 20
-_ROW = "doc_id long, t1 long, t2 long, print long, shards array<long>"
+_ROW = "doc_id long, t1 long, t2 long, size long, shards array<long>"
+#: One shared shingle more is asked of longer prefixes for so many shingles of a set.
+MORE = 20
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted hashes of a text's distinct word shingles, in 32 bits."""
+    """Sorted hashes of a text's distinct word shingles, in 64 bits."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     words = min(words, len(tokens))
     shingles = {b" ".join(tokens[i : i + words]) for i in range(len(tokens) - words + 1)} if tokens else set()
-    return np.unique(np.fromiter(map(xxhash.xxh32_intdigest, shingles), np.uint32, len(shingles)))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles)))
+
+
+def set_print(hashes: np.ndarray) -> int:
+    """SimHash of a shingle set, each shingle once, so that it estimates the similarity of sets."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 8192):
+        ones += np.unpackbits(hashes[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """So many first shingles, in any order that all sets share, of which similar sets have one in common."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     odd = [np.uint64(int(m) * 2 + 1) for m in np.random.default_rng(4).integers(1, 2**62, SHARDS)]
     for batch in batches:
-        prints, shards = [], []
+        sizes, shards = [], []
         for text in batch.column(3).to_pylist():
-            prints.append(fingerprint(text, words))
-            x = shingle_set(text, words).astype(np.uint64) + np.uint64(1)
-            x ^= x << np.uint64(32)
+            x = shingle_set(text, words)
+            sizes.append(len(x))
             shards.append([int((x * m >> np.uint64(20)).min()) * SHARDS + i if len(x) else i for i, m in enumerate(odd)])
-        columns = [*batch.columns[:3], pa.array(prints, pa.int64()), pa.array(shards, pa.list_(pa.int64()))]
+        columns = [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(shards, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _ROW.split(", ")])
 
 
@@ -233,12 +248,34 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
     for batch in batches:
         nodes, first = np.unique(batch.column(0).to_numpy(), return_index=True)
         found = batch.column(1).take(pa.array(first)).to_pylist()
-        prints = [fingerprint(t, words) for t in found]
-        sets = [shingle_set(t, words).tobytes() for t in found]
-        columns = [pa.array(nodes), pa.array(prints, pa.int64()), pa.array(sets, pa.binary())]
+        sets = [shingle_set(t, words) for t in found]
+        columns = [pa.array(nodes), pa.array(map(set_print, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["node", "print", "shingles"])
 
 
+def _least(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(key, t1): the prefix of each text's shingles in order of their hashes, copies in a batch once.
+
+    Prefixes that are k longer than ``prefix_size`` have k shingles more in common.
+    """
+    for batch in batches:
+        marks, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+        for mark, text in zip(marks.tolist(), batch.column(1).take(pa.array(first)).to_pylist()):
+            x = shingle_set(text, words)
+            x = x[: prefix_size(len(x), similarity) + max(1, len(x) // MORE) - 1].view(np.int64)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), mark))], ["key", "t1"])
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, group): every shingle of each set."""
+    for batch in batches:
+        for node, group, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            x = np.frombuffer(raw, np.int64)
+            columns = [x, np.full(len(x), node, np.int64), np.full(len(x), group, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "group"])
+
+
 def _similar(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """Rows come ordered by (shard, tree, block); each unit is searched and verified when it is whole."""
     held: list[tuple] = []
@@ -250,9 +287,9 @@ def _similar(batches: Iterator[pa.RecordBatch], radius: int, similarity: float)
         ids = sorted(nodes)
         own = np.array([nodes[i][0] for i in ids])
         prints = np.array([nodes[i][2] for i in ids], np.int64).view(np.uint64)
-        sets = [np.frombuffer(nodes[i][3], np.uint32) for i in ids]
+        sets = [np.frombuffer(nodes[i][3], np.uint64) for i in ids]
         size = np.array([len(s) for s in sets])
-        every = np.unique(np.concatenate(sets)) if size.any() else np.zeros(0, np.uint32)
+        every = np.unique(np.concatenate(sets)) if size.any() else np.zeros(0, np.uint64)
         local = [np.searchsorted(every, s) for s in sets]
         in_tree, probes = np.flatnonzero(own == low), np.flatnonzero(own == high)
         distinct, place = np.unique(prints[in_tree], return_inverse=True)
@@ -294,34 +331,92 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
     Two texts are linked if their sets of ``words``-word shingles (lowered A-Z, split at ASCII
     white space; a shorter text is one shingle) have a Jaccard similarity of at least
-    ``similarity``. Candidates are texts that share one of six min-hashes and whose SimHashes a
-    BK-tree finds within a wide radius; a pair at the threshold is missed about once in 5,000.
-    Texts without words are all alike. t1 and t2 are a 128-bit key of the text; equal texts are
+    ``similarity``. Candidates are first texts that share one of six min-hashes and whose SimHashes
+    a BK-tree finds within a wide radius, then, between the groups that these links give, all texts
+    that share a shingle of their prefixes; such a join of similar sets loses no pair. Texts without words are all alike. t1 and t2 are a 128-bit key of the text; equal texts are
     one node, so copies never meet as pairs. Large shards are cut into trees and blocks of probes.
     """
     text = F.coalesce("text", F.lit(""))
     keyed = texts(docs).select("doc_id", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(9), text).alias("t2"), text.alias("text"))
     rows = settle(keyed.mapInArrow(lambda it: _shingled(it, words), _ROW), "similar-rows")
-    distinct = rows.select("t1", "t2").distinct()
+    distinct = rows.select("t1", "t2", "size").distinct()
     node = settle(distinct.withColumn("node", F.monotonically_increasing_id()), "similar-nodes")
     shards = rows.join(node, ["t1", "t2"]).select("node", F.explode("shards").alias("shard")).distinct()
-    sizes = shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    parts = sizes.select("shard", F.greatest(F.lit(1), (F.col("n") / SHARD).cast("long")).alias("parts"))
-    shared = settle(shards.join(parts, "shard"), "similar-shards")
-    # whole shingle sets only of texts that share a shard
-    wanted = node.join(shared.select("node").distinct(), "node", "left_semi")
+    shared = settle(_parts(shards), "similar-shards")
+    meeting = settle(_meeting(keyed.select("t1", "text"), node, words, similarity), "similar-meeting")
+    # whole shingle sets only of texts that share a shard or a shingle of their prefixes
+    wanted = node.join(shared.select("node").union(meeting.select("node")).distinct(), "node", "left_semi")
     sets = keyed.join(wanted, ["t1", "t2"]).select("node", "text")
     sets = sets.mapInArrow(lambda it: _sets(it, words), "node long, print long, shingles binary")
-    wanted = settle(sets, "similar-sets").dropDuplicates(["node"])
+    sets = settle(sets, "similar-sets")  # copies may repeat
+    found = settle(_unit_similar(shared, sets, WIDE, similarity), "similar-links")
+    groups = components(found, "similar-groups").withColumnsRenamed({"node": "_node", "component": "_group"})
+    grouped = settle(node.join(groups, F.col("node") == F.col("_node"), "left").select("node", "size", F.coalesce("_group", "node").alias("group")), "similar-grouped")
+    rest = settle(_parts(_prefixes(meeting, grouped, sets, similarity)), "similar-prefixes")
+    more = settle(_unit_similar(rest, sets, BITS, similarity), "similar-rest")
+    groups = components(found.union(more), "similar-all").withColumnsRenamed({"node": "_node", "component": "_group"})
+    named = node.join(groups, F.col("node") == F.col("_node"), "left").select("t1", "t2", F.coalesce("_group", "node").alias("group"))
+    return rows.select("doc_id", "t1", "t2").join(named, ["t1", "t2"]).select("doc_id", "t1", "t2", "group")
+
+
+def _parts(shards: DataFrame) -> DataFrame:
+    """(shard, node, parts) of shards with several nodes; a large one is cut into parts."""
+    sizes = shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+    parts = sizes.select("shard", F.greatest(F.lit(1), (F.col("n") / SHARD).cast("long")).alias("parts"))
+    return shards.join(parts, "shard").select("shard", "node", "parts")
+
+
+def _unit_similar(shared: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) of verified pairs, shard by shard; those of a cut shard in units of two parts."""
     cut = shared.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")))
     cut = cut.select("shard", "own", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     units = cut.select("shard", F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("block"), "own", "node")
-    units = units.join(wanted, "node").select("shard", "tree", "block", "own", "node", "print", "shingles")
+    here = sets.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    units = units.join(here, "node").select("shard", "tree", "block", "own", "node", "print", "shingles")
     dealt = units.repartition("shard", "tree", "block").sortWithinPartitions("shard", "tree", "block")
-    found = settle(dealt.mapInArrow(lambda it: _similar(it, WIDE, similarity), "a long, b long"), "similar-links")
-    groups = components(found, "similar-groups").withColumnsRenamed({"node": "_node", "component": "_group"})
-    named = node.join(groups, F.col("node") == F.col("_node"), "left").select("t1", "t2", F.coalesce("_group", "node").alias("group"))
-    return rows.select("doc_id", "t1", "t2").join(named, ["t1", "t2"]).select("doc_id", "t1", "t2", "group")
+    return dealt.mapInArrow(lambda it: _similar(it, radius, similarity), "a long, b long")
+
+
+def _meeting(texts_: DataFrame, node: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(key, node) of shingles that stand in the prefixes, by hash, of different texts; nodes with enough of them."""
+    least = settle(texts_.mapInArrow(lambda it: _least(it, words, similarity), "key long, t1 long"), "similar-least")
+    bounds = least.groupBy("key").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).where("lo <> hi").select("key")
+    met = settle(least.join(bounds, "key").distinct().join(node, "t1").select("key", "node", "size"), "similar-met")
+    return met.join(_enough(met, similarity, "node", "size"), "node", "left_semi").select("key", "node")
+
+
+def _enough(met: DataFrame, similarity: float, *by: str) -> DataFrame:
+    """Nodes that share as many shingles of their prefixes as they must with any similar text, which may be the smaller."""
+    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("size") * similarity - 1e-9) / MORE))
+    return met.groupBy(*by).agg(F.count("*").alias("met")).where(F.col("met") >= need).drop("met")
+
+
+def _prefixes(meeting: DataFrame, grouped: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(shard, node): shingles by which similar texts of different groups meet.
+
+    Texts that meet one of another group in the order of hashes are ordered anew: shingles of one group
+    alone come first, which can't be shared with another, and the rarest of the others next. Of
+    shingles that stand in the prefixes of the same texts one is enough.
+    """
+    several = F.min("group") != F.max("group")
+    here = meeting.join(grouped, "node")
+    keys = here.groupBy("key").agg(several.alias("several")).where("several").select("key")
+    some = settle(_enough(here.join(keys, "key"), similarity, "node", "group", "size"), "similar-some")
+    own = settle(sets.join(some, "node").dropDuplicates(["node"]).select("node", "group", "shingles"), "similar-own")
+    members = own.mapInArrow(_members, "key long, node long, group long")
+    counts = members.groupBy("key").agg(several.alias("several"), F.count("*").alias("n")).where("several").select("key", "n")
+    met = settle(members.join(counts, "key"), "similar-common")
+    # shingles of one group alone fill a prefix first
+    alone = met.groupBy("node").agg(F.count("*").alias("common")).join(some.select("node", "size"), "node")
+    prefix = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    room = alone.select("node", (prefix - F.col("size") + F.col("common")).alias("room")).where("room > 0")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "key"))
+    met = met.join(room, "node").withColumn("place", place).where("place <= room")
+    met = settle(met.select(F.col("key").alias("shard"), "node", "group"), "similar-first")
+    code = F.xxhash64("node", F.lit(11))
+    alike = met.groupBy("shard").agg(several.alias("several"), F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(code).alias("y"))
+    one = alike.where("several").groupBy("n", "x", "y").agg(F.min("shard").alias("shard")).select("shard")
+    return met.join(one, "shard").select("shard", "node")
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -92,6 +92,29 @@ def test_similar_documents_keep_one(planted, empty, monkeypatch):
     assert simhash.keep_first(empty).count() == 0
 
 
+def test_similar_documents_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(8):  # equal sets but for few, of unequal repetition
+        body, phrase = words(300), words(10)
+        texts += [" ".join(body + phrase), " ".join(body + phrase * 30)]
+    passage = words(60)
+    for i in range(20):  # what shares a passage is not alike, and what is alike stands beside it
+        one = words(30 + i) + passage
+        texts += [" ".join(one), " ".join(words(1) + one[1:])]
+    short = [words(8) for _ in range(40)]
+    texts += [" ".join(x) for x in short] + [" ".join(x + words(1)) for x in short]
+    sets = [brute.shingles(t) for t in texts]
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if brute.similar(a, b)]
+    of = brute.groups(range(len(texts)), near)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for radius in (20, -1):  # also where SimHashes find nothing
+        monkeypatch.setattr(simhash, "WIDE", radius)
+        assert {r.doc_id for r in simhash.keep_first(frame).collect()} == {*of.values()}
+    assert len({*of.values()}) < len(texts) - 60
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 16))
