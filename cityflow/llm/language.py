@@ -19,6 +19,8 @@ from cityflow.llm.common import ship, texts
 RANKS = 400
 FOLDS = 5
 UNKNOWN = "und"
+#: Quantile of the scores of held-out documents and the share of it that a text must reach, and the least bar of all.
+LOW, SHARE, FLOOR = 0.01, 0.65, 0.15
 #: Words whose n-grams a worker remembers.
 WORDS = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -146,8 +148,32 @@ def identify(docs: DataFrame, known: dict[str, list[int]], ranks: int = RANKS) -
     )
 
 
-def keep_known(docs: DataFrame, known: dict[str, list[int]], least: float, ranks: int = RANKS) -> DataFrame:
-    """The rows, with all their columns, whose language is known with a score of at least ``least``.
+def least_scores(docs: DataFrame, known: dict[str, list[int]], ranks: int = RANKS) -> dict[str, float]:
+    """The score that a text must have to be taken as in a language: a share of a low quantile of the scores of all
+    held-out documents that are labelled with it and predicted so.
+
+    A language without such documents takes the lowest bar of the others; none is under ``FLOOR``. The
+    driver receives counts of scores in thousandths, by language.
+    """
+    ship(docs.sparkSession)
+    rows = docs.where(held_out()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    rows = rows.where("lang is not null and text is not null")
+    found = rows.mapInArrow(lambda it: _predict(it, known, ranks, 1), "lang string, lang_pred string, score double")
+    found = found.where("lang = lang_pred and score > 0").groupBy("lang", F.floor(F.col("score") * 1000).alias("at"))
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in found.agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r.lang, []).append((r.at, r.n))
+    bars = {}
+    for lang, held in counts.items():
+        at, n = np.array(sorted(held)).T
+        low = at[np.searchsorted(np.cumsum(n), LOW * n.sum(), side="right")] / 1000
+        bars[lang] = max(FLOOR, float(SHARE * low))
+    return {lang: bars.get(lang, min(bars.values(), default=FLOOR)) for lang in known}
+
+
+def keep_known(docs: DataFrame, known: dict[str, list[int]], least: float | dict[str, float], ranks: int = RANKS) -> DataFrame:
+    """The rows, with all their columns, whose language is known with a score of at least ``least``, one number or
+    one for each language.
 
     Texts that are null, hold no letter, or are far from every profile go. No shuffle: whole rows
     pass through the prediction.
@@ -160,7 +186,9 @@ def keep_known(docs: DataFrame, known: dict[str, list[int]], least: float, ranks
     rows = docs.select(*[value(c).alias(n) for c, n in inner.items()])
     schema = T.StructType([*rows.schema, T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
     found = rows.mapInArrow(lambda it: _predict(it, known, ranks, len(order), ("lang", "score")), schema)
-    found = found.where((F.col("lang") != UNKNOWN) & (F.col("score") >= least))
+    bars = least if isinstance(least, dict) else dict.fromkeys(known, least)
+    bar = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(x)) for lang, x in bars.items()], F.lit(0.0))
+    found = found.where((F.col("lang") != UNKNOWN) & (F.col("score") >= bar))
     return found.select(*[F.col(inner[c]).alias(c) for c in docs.columns])
 
 

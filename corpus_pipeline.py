@@ -10,9 +10,6 @@ from cityflow.llm import language, lines, packing, personal, simhash
 from cityflow.llm.common import settle, table, unused
 from cityflow.session import pin
 
-#: Below this score a text is in none of the learned languages; texts of one, even very short ones, are far above.
-LEAST_SCORE = 0.15
-
 
 def _with_size(docs: DataFrame) -> DataFrame:
     """n_chars, where the table has it, follows the text."""
@@ -22,8 +19,10 @@ def _with_size(docs: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a learned language; null texts and texts without letters go."""
-    return language.keep_known(docs, language.learn(docs), LEAST_SCORE)
+    """Documents whose text is in a learned language, by bars from held-out documents; null texts and texts without
+    letters go."""
+    known = language.learn(docs)
+    return language.keep_known(docs, known, language.least_scores(docs, known))
 
 
 def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
