@@ -1,7 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import mart_row
+from martrows import mart_row
 from pyspark.sql import functions as F
 
 from cityflow.operators import fill, lags

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import mart_row
+from martrows import mart_row
 from pyspark.sql import functions as F
 
 from cityflow.operators import baseline, drift, metrics, split, tree_shap
