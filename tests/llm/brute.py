@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -120,3 +123,72 @@ def personal(text):
 
 def listed(found):
     return ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in found)
+
+
+def counted_words(rows, shortest=5, least=3, one_in=97):
+    found = Counter()
+    for key, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if h % one_in == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            found[run] += 1
+    return {w: n for w, n in found.items() if len(w) >= shortest and n >= least}
+
+
+def spelling_variants(counts):
+    near = {w: [x for x in counts if abs(len(w) - len(x)) <= 1 and edits(w, x) == 1] for w in counts}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best is not None and counts[best] >= 2 * counts[w] else None
+    out = {}
+    for w in counts:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, counts[w], len(near[w]), counts.get(form[w]))
+    return out
+
+
+def clusters(rows, k, rounds, dims, salt="2"):
+    kept = [(key, [math.floor(256 * float(x)) for x in v]) for key, v in rows if v and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    digest = lambda r: (hashlib.sha256(f"{salt}:{r[0]}".encode()).hexdigest(), r[1])
+    centroids = [v for _, v in sorted((r for r in kept if r[0] is not None), key=digest)[:k]]
+    nearest = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c)), i) for i, c in enumerate(centroids))
+    for _ in range(rounds):
+        of = [nearest(v)[1] for _, v in kept]
+        for i in range(len(centroids)):
+            own = [v for (_, v), c in zip(kept, of) if c == i]
+            if own:
+                centroids[i] = [sum(column) // len(own) for column in zip(*own)]
+    found = [(key, *nearest(v)[::-1]) for key, v in kept]
+    own = Counter()
+    for _, c, d in found:
+        own[c] += d
+    name = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return [(key, c, d, own[c], sum(own.values()), name[c]) for key, c, d in found]
+
+
+def leaked(rows, items, size=10):
+    """(n_words, n_hit, items, spans of hit words) of every text, by looking for each window at each place."""
+    spoken = lambda t: [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))]
+    lowered = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    windows = []
+    for item, text in items:
+        own = [lowered(text)[a:b] for a, b in spoken(text)]
+        for at in range(max(1, len(own) - size + 1) if own else 0):
+            windows.append((item, own[at : at + size]))
+    out = []
+    for _, text in rows:
+        at = spoken(text)
+        own, hit, found = [lowered(text)[a:b] for a, b in at], set(), set()
+        for item, window in windows:
+            for i in range(len(own) - len(window) + 1):
+                if own[i : i + len(window)] == window:
+                    hit.update(range(i, i + len(window)))
+                    found.update([] if item is None else [str(item)])
+        spans = [(at[i][0], at[next(j for j in range(i, len(own) + 1) if j not in hit) - 1][1]) for i in sorted(hit) if i - 1 not in hit]
+        out.append((len(own), len(hit), sorted(found), spans))
+    return out
