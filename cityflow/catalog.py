@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,6 +15,7 @@ from cityflow.functions import calendar as cal
 from cityflow.functions import numbers as num
 from cityflow.functions import weather as wx
 from cityflow.operators import baseline, drift, fill, lags, metrics, ordered, sampling, split
+from cityflow.operators.boosting import Boosted
 from cityflow.plans import analytics, features, mart, monitoring, requests, scoring, training
 from cityflow.session import pin, scratch
 from cityflow.sources import bindings as b
@@ -569,17 +571,25 @@ def _once(spark: SparkSession, sf: str, name: str, build: Callable):
     return _fitted[key]
 
 
-def _model(spark: SparkSession, sf: str, name: str) -> PipelineModel:
-    """A fitted model; `early_stopping` is boosting with patience, `tuned` the best trial's settings."""
+def _model(spark: SparkSession, sf: str, name: str) -> PipelineModel | Boosted:
+    """A fitted model; `early_stopping` is boosting with patience, `tuned` the best trial."""
+    return _timed(spark, sf, name)[0]
+
+
+def _timed(spark: SparkSession, sf: str, name: str) -> tuple[PipelineModel | Boosted, float]:
+    """The model and the seconds that its fit took; fitted once, for its own key and the run table."""
     train, _ = _stored(spark, sf)
     preset = training.preset_of(spark)
 
-    def build() -> PipelineModel:
+    def build() -> tuple[PipelineModel | Boosted, float]:
+        started = time.monotonic()
         if name == "early_stopping":
-            return training.fit_early_stopping(train, preset=preset)
-        if name == "tuned":
-            return training.fit(TUNED, train.filter("split = 'fit'"), preset, **_trials(spark, sf)[0][1])
-        return training.fit(name, train.filter("split = 'fit'"), preset)
+            model = training.fit_early_stopping(train, preset=preset)
+        elif name == "tuned":
+            model = _trials(spark, sf)[1]
+        else:
+            model = training.fit(name, train.filter("split = 'fit'"), preset)
+        return model, time.monotonic() - started
 
     return _once(spark, sf, name, build)
 
@@ -610,44 +620,52 @@ def predicted_rows(name: str) -> Query:
     return run
 
 
-TUNED = "boosted_a"
+# The search space of the small preset.
+SMALL_SPACE = training.SPACE | {"rounds": (3, 6, "int"), "depth": (2, 4, "int")}
 
 
-def _trials(spark: SparkSession, sf: str) -> list[tuple[float, dict]]:
-    """All trials of the search over the published space; the small preset draws fewer, with fewer rounds each."""
-    preset = training.preset_of(spark)
-    space = training.SPACE if preset == "full" else training.SPACE | {"maxIter": (3, 6, "int"), "maxDepth": (2, 4, "int")}
+def _trials(spark: SparkSession, sf: str) -> tuple[list[training.Trial], Boosted]:
+    """All trials of the search, best first, and the best model; the small preset has fewer rounds."""
+    space = training.SPACE if training.preset_of(spark) == "full" else SMALL_SPACE
     train, _ = _stored(spark, sf)
-    return _once(spark, sf, "trials", lambda: training.tune(train, training.TRIALS[preset], space, TUNED))
+    return _once(spark, sf, "trials", lambda: training.tune(train, space=space))
 
 
 def hyperparameter_search(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(
-        [(i, float(r), {k: str(v) for k, v in s.items()}) for i, (r, s) in enumerate(_trials(spark, sf))],
-        "place INT, rmse DOUBLE, params MAP<STRING, STRING>",
+        [
+            (i, float(t.rmse), {k: str(v) for k, v in t.drawn.items()}, t.kept, t.run)
+            for i, t in enumerate(_trials(spark, sf)[0])
+        ],
+        "place INT, rmse DOUBLE, params MAP<STRING, STRING>, kept_rounds INT, run_rounds INT",
     )
 
 
 def search_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """The search draws every parameter in each trial, and lists trials in order of their error."""
+    """The search draws every parameter in each trial, lists trials in order of their error, and never runs more rounds
+    than drawn, nor more than patience after the best one."""
     rows = hyperparameter_search(spark, sf)
     ahead = F.lag("rmse").over(W.orderBy("place"))
     in_order = F.coalesce(ahead <= F.col("rmse"), F.lit(True))
-    return rows.select("place", (F.size("params") == len(training.SPACE)).alias("all_drawn"), in_order.alias("in_order"))
+    drawn = F.col("params")["rounds"].cast("int")
+    patient = F.col("run_rounds") == F.least(drawn, F.col("kept_rounds") + training.PATIENCE)
+    all_drawn = F.size("params") == len(training.SPACE)
+    return rows.select("place", all_drawn.alias("all_drawn"), in_order.alias("in_order"), patient.alias("patient"))
 
 
-RUNS = ("linear", "random_forest", "random_forest_deep", "boosted_a", "boosted_b")
+RUNS = ("linear", "random_forest", "random_forest_deep", "boosted_a", "boosted_b", "early_stopping")
 
 
 def _runs(spark: SparkSession, sf: str) -> list:
     """The baseline and every model, fitted, timed and measured on the same test part."""
 
     def build() -> list:
-        train, test = _stored(spark, sf)
+        _, test = _stored(spark, sf)
         days = day_mart(spark, sf).select(*COUNTS, "hour_of_day", "day_of_week")
         parts = split.temporal_split(days)
         plain = [parts.filter(f"split = '{p}'").drop("split") for p in ("train", "test")]
-        return [training.baseline_run(*plain), *training.train_all(train, test, RUNS, training.preset_of(spark))]
+        fitted = [training.measured(name, *_timed(spark, sf, name), test) for name in RUNS]
+        return [training.baseline_run(*plain), *fitted]
 
     return _once(spark, sf, "runs", build)
 

@@ -9,8 +9,9 @@ value function, the Shapley value of feature j is
 
 because the Shapley weight |S|! (d - 1 - |S|)! / d! is the integral of
 t^|S| (1 - t)^(d - 1 - |S|). The integrand has degree d - 1, so Gauss-Legendre
-with ceil(d / 2) nodes is exact. Rows stay in their partitions; what travels is
-the leaf table, whose size depends on the model and not on the data.
+with ceil(d / 2) nodes is exact. Paths are built by joins over the node table, level by
+level, and packed into blocks of leaves. Rows stay in their partitions; what travels
+are the blocks, whose number depends on the model and not on the data.
 """
 
 from __future__ import annotations
@@ -21,16 +22,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CELLS_PER_SHIPMENT = 4_000_000  # leaves x path length of one broadcast; 32 bytes each
+from cityflow.session import remove, scratch
+
+CELLS_PER_BLOCK = 1_000_000  # leaves x path length of one broadcast; 32 bytes each
 CELLS_PER_LEAF_BLOCK = 30_000
 CELLS_PER_CHUNK = 1_000_000
 LOOKUP_DEPTH = 6
+LEVELS_PER_TABLE = 4  # joins between two written tables of paths
 
 
 @dataclass(frozen=True)
@@ -44,39 +48,117 @@ class Leaves:
     value: np.ndarray  # (leaves,) weighted leaf value
     n_features: int
 
-    @property
-    def base(self) -> float:
-        """Expected prediction when no feature is known."""
-        return float((self.value * self.cover.prod(axis=1)).sum())
-
-
-def leaf_paths(nodes: pd.DataFrame, n_features: int, tree_weight: dict[int, float]) -> Leaves:
-    """Leaf table from the node rows of a saved model (one row per node)."""
-    paths = []
-    for tree, frame in nodes.groupby("treeID"):
-        by_id = frame.set_index("id")
-        left, right = by_id["leftChild"].to_dict(), by_id["rightChild"].to_dict()
-        count, split_on = by_id["cover"].to_dict(), by_id["feature"].to_dict()
-        threshold, value = by_id["threshold"].to_dict(), by_id["prediction"].to_dict()
-        stack = [(0, {})]
-        while stack:
-            node, tests = stack.pop()
-            if left[node] < 0:
-                paths.append((tests, value[node] * tree_weight[tree]))
-                continue
-            j, cut = split_on[node], threshold[node]
-            low, high, z = tests.get(j, (-np.inf, np.inf, 1.0))
-            down, up = left[node], right[node]
-            stack.append((down, {**tests, j: (low, min(high, cut), z * count[down] / count[node])}))
-            stack.append((up, {**tests, j: (max(low, cut), high, z * count[up] / count[node])}))
-    depth = max(1, max(len(tests) for tests, _ in paths))
-    shape = (len(paths), depth)
-    feature, cover = np.zeros(shape, dtype=np.int64), np.ones(shape)
-    low, high = np.full(shape, -np.inf), np.full(shape, np.inf)
-    for i, (tests, _) in enumerate(paths):
-        for k, (j, (a, b, z)) in enumerate(tests.items()):
-            feature[i, k], low[i, k], high[i, k], cover[i, k] = j, a, b, z
-    return Leaves(feature, low, high, cover, np.array([v for _, v in paths]), n_features)
+
+@dataclass
+class Explainer:
+    """The leaves of an ensemble in broadcast blocks, and the expected prediction when no feature is known."""
+
+    blocks: list[Broadcast]
+    n_features: int
+    base: float
+
+    def pieces(self) -> Iterator[Leaves]:
+        for block in self.blocks:
+            yield Leaves(*block.value, self.n_features)
+
+    def release(self) -> None:
+        for block in self.blocks:
+            block.destroy()
+
+
+def leaf_paths(nodes: DataFrame, weights: dict[int, float]) -> DataFrame:
+    """(treeID, id, value, tests) of every leaf: its weighted value, and one test (feature, low, high, cover) for each
+    feature on its path, passed when low < x <= high.
+
+    One join of nodes and their children, and then one join for each level, which lengthens all
+    open paths by their next test. Every few levels the paths are written.
+    """
+    spark, files = nodes.sparkSession, []
+
+    def kept(rows: DataFrame) -> DataFrame:
+        files.append(scratch(spark, "leaf-paths"))
+        rows.write.parquet(files[-1])
+        return spark.read.parquet(files[-1])
+
+    share = spark.createDataFrame([(int(t), float(w)) for t, w in weights.items()], "treeID int, weight double")
+    value = (F.col("prediction") * F.col("weight")).alias("value")
+    every = nodes.join(share, "treeID").select("treeID", "id", "leftChild", "rightChild", "feature", "threshold", "cover", value)
+    inner = F.col("leftChild") >= 0
+    side = lambda child, low, high: F.struct(
+        F.col(child).alias("child"), low.cast("double").alias("low"), high.cast("double").alias("high")
+    )
+    sides = F.array(
+        side("leftChild", F.lit("-Infinity"), F.col("threshold")), side("rightChild", F.col("threshold"), F.lit("Infinity"))
+    )
+    below = every.where(inner).select("treeID", F.col("id").alias("parent"), "feature", F.col("cover").alias("whole"), F.explode(sides).alias("s"))
+    child = every.select("treeID", F.col("id").alias("s_child"), "value", "cover", inner.alias("is_inner"))
+    below = below.withColumn("s_child", F.col("s.child")).join(child, ["treeID", "s_child"])
+    test = F.struct("feature", F.col("s.low").alias("low"), F.col("s.high").alias("high"), (F.col("cover") / F.col("whole")).alias("cover"))
+    below = kept(below.select("treeID", "parent", "s_child", "is_inner", F.col("value").alias("v"), test.alias("test")))
+    none = F.slice(F.array(F.struct(F.lit(0).alias("feature"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), F.lit(1.0).alias("cover"))), 1, 0)
+    paths = every.where("id = 0").select("treeID", "id", "value", inner.alias("is_open"), none.alias("tests"))
+    while True:
+        for _ in range(LEVELS_PER_TABLE):
+            at = (paths["treeID"] == below["treeID"]) & (paths["id"] == below["parent"])
+            further = F.when(F.col("test").isNull(), F.col("tests")).otherwise(F.concat("tests", F.array("test")))
+            paths = paths.join(below, at, "left").select(
+                paths["treeID"], F.coalesce("s_child", "id").alias("id"), F.coalesce("v", "value").alias("value"),
+                F.coalesce("is_inner", F.lit(False)).alias("is_open"), further.alias("tests"),
+            )
+        paths = kept(paths)
+        if paths.where("is_open").isEmpty():
+            break
+        remove(spark, files.pop(-2)) if len(files) > 2 else None
+    of = lambda f: F.filter("tests", lambda t: t["feature"] == f)
+    merged = F.transform(
+        F.array_distinct(F.transform("tests", lambda t: t["feature"])),
+        lambda f: F.struct(
+            f.alias("feature"),
+            F.array_max(F.transform(of(f), lambda t: t["low"])).alias("low"),
+            F.array_min(F.transform(of(f), lambda t: t["high"])).alias("high"),
+            F.aggregate(of(f), F.lit(1.0), lambda z, t: z * t["cover"]).alias("cover"),
+        ),
+    )
+    return paths.select("treeID", "id", "value", merged.alias("tests"))
+
+
+def _packed(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """Leaves as arrays of equal path length, so many to a row that it has a bounded size."""
+    for batch in batches:
+        step = max(1, CELLS_PER_BLOCK // depth)
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            tests, n = part.column("tests"), part.num_rows
+            sizes = tests.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            flat, out = tests.flatten(), []
+            for name, fill, kind in (("feature", 0, np.int64), ("low", -np.inf, float), ("high", np.inf, float), ("cover", 1.0, float)):
+                cells = np.full((n, depth), fill, kind)
+                cells[row, place] = flat.field(name).to_numpy(zero_copy_only=False)
+                out.append(pa.array([cells.tobytes()], pa.binary()))
+            out.append(pa.array([part.column("value").to_numpy().tobytes()], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, ["feature", "low", "high", "cover", "value"])
+
+
+def explainer(nodes: DataFrame, n_features: int, weights: dict[int, float], offset: float = 0.0) -> Explainer:
+    """Blocks of leaves of an ensemble of any size; the driver holds one at a time on their way to the broadcasts."""
+    spark = nodes.sparkSession
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    path = scratch(spark, "leaves")
+    leaf_paths(nodes, weights).write.parquet(path)
+    leaves = spark.read.parquet(path)
+    expected = F.col("value") * F.aggregate("tests", F.lit(1.0), lambda z, t: z * t["cover"])
+    base, depth = leaves.agg(F.sum(expected), F.max(F.size("tests"))).first()
+    depth = max(1, depth or 0)
+    packed = leaves.select("tests", "value").mapInArrow(
+        lambda it: _packed(it, depth), "feature binary, low binary, high binary, cover binary, value binary"
+    )
+    blocks = []
+    for r in packed.toLocalIterator():
+        shaped = [np.frombuffer(r[i], np.int64 if i == 0 else float).reshape(-1, depth) for i in range(4)]
+        blocks.append(spark.sparkContext.broadcast((*shaped, np.frombuffer(r[4]))))
+    return Explainer(blocks, n_features, (base or 0.0) + offset)
 
 
 def _shares(value: np.ndarray, cover: np.ndarray, passed: np.ndarray) -> np.ndarray:
@@ -122,11 +204,11 @@ def attributions(leaves: Leaves, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def model_nodes(spark: SparkSession, path: str) -> pd.DataFrame:
-    """Node rows of a saved MLlib ensemble or single tree stage (bounded by the model's size)."""
+def model_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """Node rows of a saved MLlib ensemble or single tree stage."""
     data = spark.read.parquet(f"{path}/data")
     data = data.select("treeID", "nodeData.*") if "treeID" in data.columns else data.withColumn("treeID", F.lit(0))
-    rows = data.select(
+    return data.select(
         "treeID",
         "id",
         "leftChild",
@@ -136,40 +218,30 @@ def model_nodes(spark: SparkSession, path: str) -> pd.DataFrame:
         F.col("split.featureIndex").alias("feature"),
         F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
     )
-    return rows.toPandas()
-
-
-def shipments(leaves: Leaves) -> list[tuple]:
-    """The leaf table in pieces of a bounded size; contributions of the pieces add up."""
-    n, depth = leaves.feature.shape
-    step = max(1, CELLS_PER_SHIPMENT // max(depth, 1))
-    whole = (leaves.feature, leaves.low, leaves.high, leaves.cover, leaves.value)
-    return [tuple(v[a : a + step] for v in whole) for a in range(0, n, step)]
 
 
-def explain(rows: DataFrame, leaves: Leaves, vector: str = "features", out: str = "contributions") -> DataFrame:
+def explain(rows: DataFrame, leaves: Explainer, features: tuple[str, ...], out: str = "contributions") -> DataFrame:
     """Add an array column with one contribution per feature and the constant base value.
 
-    A model of any size is shipped in pieces, and a worker holds one piece at a time. Attributions
-    cost far more than moving a row, so rows are dealt out to as many tasks as the session shuffles into.
+    A worker holds one block of leaves at a time. Attributions cost far more than moving a row, so rows
+    are dealt out to as many tasks as the session shuffles into.
     """
     spark = rows.sparkSession
     # The code travels with the job; executors need numpy and pandas only.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    shipped = [spark.sparkContext.broadcast(piece) for piece in shipments(leaves)]
-    n_features, single = leaves.n_features, len(shipped) == 1
+    shipped, n_features, single = leaves.blocks, leaves.n_features, len(leaves.blocks) == 1
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    flat = rows.repartition(tasks).withColumn("_x", vector_to_array(vector)).drop(vector)
+    flat = rows.repartition(tasks).withColumn("_x", F.array(*[F.col(c).cast("double") for c in features]))
     schema = flat.drop("_x").schema.add(out, T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.stack(batch.pop("_x").to_numpy()) if len(batch) else np.empty((0, n_features))
             total = np.zeros((len(x), n_features))
-            for piece in shipped:
-                total += attributions(Leaves(*piece.value, n_features), x)
+            for block in shipped:
+                total += attributions(Leaves(*block.value, n_features), x)
                 if not single:
-                    del piece._value  # read again from the worker's file when needed
+                    del block._value  # read again from the worker's file when needed
             batch[out] = list(total)
             yield batch
 

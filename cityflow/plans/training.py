@@ -1,21 +1,23 @@
-"""Model training, tuning, comparison and artifacts with MLlib."""
+"""Model training, tuning, comparison and artifacts."""
 
 from __future__ import annotations
 
 import math
 import random
+import threading
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cityflow.operators import metrics
 from cityflow.operators.baseline import baseline_predictions
+from cityflow.operators.boosting import Binned, Boosted, Settings, binned, boost
 from cityflow.plans.registry import MODEL_FEATURES
 
 SEED = 42
@@ -29,34 +31,32 @@ PRESETS = {
     "full": {
         "random_forest": dict(numTrees=300, maxDepth=12, minInstancesPerNode=5),
         "random_forest_deep": dict(numTrees=300, maxDepth=14, minInstancesPerNode=3),
-        "boosted_a": dict(maxIter=600, maxDepth=7, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8"),
-        "boosted_b": dict(maxIter=500, maxDepth=8, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8"),
+        "boosted_a": dict(rounds=600, depth=7, rate=0.05, rows=0.8, columns=0.8, penalty=1.0),
+        "boosted_b": dict(rounds=500, depth=8, rate=0.05, rows=0.8, columns=0.8, leaves=63, least=20),
     },
     "small": {
         "random_forest": dict(numTrees=10, maxDepth=5, minInstancesPerNode=5),
         "random_forest_deep": dict(numTrees=10, maxDepth=6, minInstancesPerNode=3),
-        "boosted_a": dict(maxIter=8, maxDepth=4, stepSize=0.2, subsamplingRate=0.8, featureSubsetStrategy="0.8"),
-        "boosted_b": dict(maxIter=8, maxDepth=5, stepSize=0.2, subsamplingRate=0.8, featureSubsetStrategy="0.8"),
+        "boosted_a": dict(rounds=8, depth=4, rate=0.2, rows=0.8, columns=0.8, penalty=1.0),
+        "boosted_b": dict(rounds=8, depth=5, rate=0.2, rows=0.8, columns=0.8, leaves=20, least=20),
     },
 }
 # Trials of the search, and rounds without a better validation error after which boosting stops (fixed values).
-TRIALS = {"full": 50, "small": 4}
+TRIALS = 50
 PATIENCE = 30
 
 
 def preset_of(spark: SparkSession) -> str:
-    """The preset that the session asks for: full are the published settings, small the default."""
-    return spark.conf.get(PRESET_SETTING, "small")
+    """The preset that the session asks for: full are the published settings, the default."""
+    return spark.conf.get(PRESET_SETTING, "full")
 
 
 def estimator(name: str, preset: str = "full", **overrides):
-    """An unfitted regressor on `features` and `trip_count`."""
+    """An unfitted regressor of the library on `features` and `trip_count`."""
     common = dict(featuresCol="features", labelCol="trip_count", predictionCol="prediction")
     if name == "linear":
         return LinearRegression(**{**common, "featuresCol": "scaled", **overrides})
-    settings = {**PRESETS[preset][name], **overrides}
-    kind = RandomForestRegressor if name.startswith("random_forest") else GBTRegressor
-    return kind(**common, seed=SEED, **settings)
+    return RandomForestRegressor(**common, seed=SEED, **{**PRESETS[preset][name], **overrides})
 
 
 def assembler() -> VectorAssembler:
@@ -70,43 +70,43 @@ def pipeline(name: str, preset: str = "full", **overrides) -> Pipeline:
     return Pipeline(stages=[*stages, estimator(name, preset, **overrides)])
 
 
-def fit(name: str, train: DataFrame, preset: str = "full", **overrides) -> PipelineModel:
-    return pipeline(name, preset, **overrides).fit(train)
+def is_boosted(name: str) -> bool:
+    return name.startswith("boosted") or name in ("early_stopping", "tuned")
 
 
-def patient_rounds(errors: list[float], patience: int = PATIENCE) -> int:
-    """Rounds to keep: up to the best error seen before it stayed the best for `patience` rounds."""
-    best = 0
-    for i, error in enumerate(errors):
-        if error < errors[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
+def settings(name: str, preset: str = "full", **overrides) -> Settings:
+    return Settings(**{"seed": SEED, **PRESETS[preset][name], **overrides})
 
 
-def validation_errors(model: PipelineModel, validation: DataFrame) -> list[float]:
-    """Mean squared error on the validation part after each boosting round."""
-    rows = model.stages[0].transform(validation)
-    return model.stages[-1].evaluateEachIteration(rows, "squared")
+def fit(name: str, train: DataFrame, preset: str = "full", **overrides) -> PipelineModel | Boosted:
+    """A model fitted on all the rows."""
+    if not is_boosted(name):
+        return pipeline(name, preset, **overrides).fit(train)
+    data = binned(train, MODEL_FEATURES, "trip_count")
+    try:
+        return boost(data, settings(name, preset, **overrides))
+    finally:
+        data.unpersist()
+
+
+def with_validation(labelled: DataFrame, features: tuple[str, ...] = MODEL_FEATURES) -> Binned:
+    """The `fit` and `validation` rows of a table with a `split`, binned; edges come from the fit rows."""
+    rows = labelled.filter(F.col("split").isin("fit", "validation"))
+    return binned(rows, features, "trip_count", F.col("split") == "validation")
 
 
 def fit_early_stopping(
     labelled: DataFrame, name: str = "boosted_a", preset: str = "full", patience: int = PATIENCE, **overrides
-) -> PipelineModel:
-    """Boosting on the `fit` part of `split`, cut back to the rounds that patience on the `validation` part keeps.
-
-    Rounds build on each other, so the first ones of a seeded fit are the fit of so many rounds.
-    """
-    fitting, validation = (labelled.filter(F.col("split") == part) for part in ("fit", "validation"))
-    whole = fit(name, fitting, preset, **overrides)
-    kept = patient_rounds(validation_errors(whole, validation), patience)
-    if kept == whole.stages[-1].getNumTrees:
-        return whole
-    return fit(name, fitting, preset, **{**overrides, "maxIter": kept})
+) -> Boosted:
+    """Boosting on the `fit` part of `split` until patience on the `validation` part runs out."""
+    data = with_validation(labelled)
+    try:
+        return boost(data, settings(name, preset, patience=patience, **overrides))
+    finally:
+        data.unpersist()
 
 
-def predictions(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def predictions(model: PipelineModel | Boosted, rows: DataFrame) -> DataFrame:
     """Non-negative predictions next to the input columns."""
     scored = model.transform(rows)
     return scored.withColumn("prediction", F.greatest(F.lit(0.0), "prediction")).withColumn(
@@ -118,12 +118,14 @@ def predictions(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 # name -> (low, high, scale); the search space (fixed values).
 SPACE = {
-    "maxIter": (200, 1000, "int"),
-    "maxDepth": (3, 10, "int"),
-    "stepSize": (0.01, 0.3, "log"),
-    "subsamplingRate": (0.6, 1.0, "linear"),
-    "featureSubsetStrategy": (0.6, 1.0, "text"),
-    "minInstancesPerNode": (1, 10, "int"),
+    "rounds": (200, 1000, "int"),
+    "depth": (3, 10, "int"),
+    "rate": (0.01, 0.3, "log"),
+    "rows": (0.6, 1.0, "linear"),
+    "columns": (0.6, 1.0, "linear"),
+    "least": (1, 10, "int"),
+    "alpha": (1e-8, 10.0, "log"),
+    "penalty": (1e-8, 10.0, "log"),
 }
 
 
@@ -134,42 +136,52 @@ def candidates(trials: int, space: dict = SPACE, seed: int = SEED) -> list[dict]
     def draw(low, high, scale):
         if scale == "int":
             return rng.randint(low, high)
-        if scale == "log":
-            return round(math.exp(rng.uniform(math.log(low), math.log(high))), 6)
-        value = round(rng.uniform(low, high), 6)
-        return str(value) if scale == "text" else value
+        return math.exp(rng.uniform(math.log(low), math.log(high))) if scale == "log" else rng.uniform(low, high)
 
     return [{k: draw(*limits) for k, limits in space.items()} for _ in range(trials)]
 
 
-def tune(
-    labelled: DataFrame, trials: int, space: dict = SPACE, name: str = "boosted_a", parallel: int = 4
-) -> list[tuple[float, dict]]:
-    """(validation rmse, settings) of every trial, best first; the rounds are those that patience keeps.
+@dataclass(frozen=True)
+class Trial:
+    """Drawn settings, their error on the validation part, the rounds that were kept and those that were run."""
+
+    rmse: float
+    drawn: dict
+    kept: int
+    run: int
 
-    Trials are independent Spark jobs; a few run side by side. They are scored
-    on the temporal validation part, never on shuffled folds.
+
+def tune(
+    labelled: DataFrame,
+    trials: int = TRIALS,
+    space: dict = SPACE,
+    patience: int = PATIENCE,
+    parallel: int = 8,
+    features: tuple[str, ...] = MODEL_FEATURES,
+) -> tuple[list[Trial], Boosted]:
+    """All trials, best first, and the best one's model.
+
+    The rows are binned and cached once. Each trial boosts until patience on the temporal validation part runs out,
+    never on shuffled folds; a few trials run side by side, as their jobs leave cores free on small tables.
     """
-    train = labelled.filter(F.col("split") == "fit").persist()
-    validation = labelled.filter(F.col("split") == "validation").persist()
-    try:
-        def trial(settings: dict) -> tuple[float, dict]:
-            errors = validation_errors(fit(name, train, **settings), validation)
-            kept = patient_rounds(errors)
-            return math.sqrt(errors[kept - 1]), {**settings, "maxIter": kept}
+    data, lock = with_validation(labelled, features), threading.Lock()
+    best: list[tuple[float, int, Boosted]] = []
+
+    def trial(number: int, drawn: dict) -> tuple[int, Trial]:
+        model = boost(data, Settings(**drawn, seed=SEED, patience=patience))
+        done = Trial(min(model.errors), drawn, model.rounds, len(model.errors))
+        with lock:  # only the best model is kept
+            best.append((done.rmse, number, model))
+            best.sort(key=lambda b: b[:2])
+            del best[1:]
+        return number, done
 
+    try:
         with ThreadPoolExecutor(parallel) as pool:
-            done = list(pool.map(trial, candidates(trials, space)))
+            done = list(pool.map(trial, range(trials), candidates(trials, space)))
     finally:
-        train.unpersist()
-        validation.unpersist()
-    return sorted(done, key=lambda r: r[0])
-
-
-def fit_tuned(labelled: DataFrame, trials: int, name: str = "boosted_a", space: dict = SPACE) -> PipelineModel:
-    """The model fitted with the settings of the best trial."""
-    best = tune(labelled, trials, space, name)[0][1]
-    return fit(name, labelled.filter(F.col("split") == "fit"), **best)
+        data.unpersist()
+    return [t for _, t in sorted(done, key=lambda d: (d[1].rmse, d[0]))], best[0][2]
 
 
 # ---- runs -------------------------------------------------------------------
@@ -181,7 +193,16 @@ class Run:
     params: dict
     metrics: dict
     seconds: float
-    fitted: PipelineModel = field(repr=False)
+    fitted: PipelineModel | Boosted | None = field(repr=False)
+
+
+def measured(name: str, model: PipelineModel | Boosted, seconds: float, test: DataFrame) -> Run:
+    """A fitted model as a run: its settings, its errors on the test part, and how long the fit took."""
+    if isinstance(model, Boosted):
+        params = model.params
+    else:
+        params = {p.name: v for p, v in model.stages[-1].extractParamMap().items()}
+    return Run(name, params, metrics.regression_metrics(predictions(model, test)).first().asDict(), round(seconds, 1), model)
 
 
 def train_all(
@@ -202,10 +223,7 @@ def train_all(
                 model = fit_early_stopping(train, name, preset)
             else:
                 model = fit(name, train.filter(F.col("split") == "fit"), preset)
-            seconds = time.monotonic() - started
-            measured = metrics.regression_metrics(predictions(model, test)).first().asDict()
-            params = {p.name: v for p, v in model.stages[-1].extractParamMap().items()}
-            runs.append(Run(name, params, measured, round(seconds, 1), model))
+            runs.append(measured(name, model, time.monotonic() - started, test))
     finally:
         train.unpersist()
         test.unpersist()
@@ -251,20 +269,25 @@ ARTIFACT = "model STRING, version STRING, inputs ARRAY<STRING>, scores MAP<STRIN
 
 def save_artifact(spark: SparkSession, path: str, best: Run, runs: list[Run]) -> None:
     """The fitted pipeline, a one-row table that describes it, and the runs it was chosen from."""
-    best.fitted.write().overwrite().save(f"{path}/model")
+    if isinstance(best.fitted, Boosted):
+        best.fitted.save(spark, f"{path}/model")
+    else:
+        best.fitted.write().overwrite().save(f"{path}/model")
     scores = {k: float(v) for k, v in best.metrics.items()}
     row = spark.createDataFrame([(best.model, VERSION, list(MODEL_FEATURES), scores)], ARTIFACT)
     row.coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
     run_log(spark, runs).coalesce(1).write.mode("overwrite").parquet(f"{path}/runs")
 
 
-def load_artifact(spark: SparkSession, path: str) -> tuple[PipelineModel, Row]:
-    """The fitted pipeline and its description."""
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/about").first()
+def load_artifact(spark: SparkSession, path: str) -> tuple[PipelineModel | Boosted, Row]:
+    """The fitted model and its description."""
+    about = spark.read.parquet(f"{path}/about").first()
+    model = Boosted.load(spark, f"{path}/model") if is_boosted(about.model) else PipelineModel.load(f"{path}/model")
+    return model, about
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel, top: int = 15) -> DataFrame:
-    values = model.stages[-1].featureImportances.toArray()
+def feature_importance(spark: SparkSession, model: PipelineModel | Boosted, top: int = 15) -> DataFrame:
+    values = model.importance if isinstance(model, Boosted) else model.stages[-1].featureImportances.toArray()
     return (
         spark.createDataFrame(
             [(n, float(v)) for n, v in zip(MODEL_FEATURES, values)], "feature STRING, importance DOUBLE"

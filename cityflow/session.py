@@ -58,3 +58,15 @@ def scratch(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="cityflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/cityflow-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """RDD checkpoints go to the shared folder, wherever the cluster has not set a place of its own."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch(spark, "checkpoints"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -684,8 +684,8 @@ ORACLES: dict[str, str] = {
             "random_forest", "random_forest_deep", "boosted_a", "boosted_b", "linear_regression", "early_stopping", "tuned_model",
         )
     },
-    "search_facts": "SELECT CAST(i AS INTEGER) AS place, TRUE AS all_drawn, TRUE AS in_order FROM range(4) t(i)",
-    "run_facts": """SELECT unnest(['historical_average', 'linear', 'random_forest', 'random_forest_deep', 'boosted_a', 'boosted_b']) AS model,
+    "search_facts": "SELECT CAST(i AS INTEGER) AS place, TRUE AS all_drawn, TRUE AS in_order, TRUE AS patient FROM range(50) t(i)",
+    "run_facts": """SELECT unnest(['historical_average', 'linear', 'random_forest', 'random_forest_deep', 'boosted_a', 'boosted_b', 'early_stopping']) AS model,
         TRUE AS measured, TRUE AS timed, FALSE AS baseline_best, CAST(1 AS BIGINT) AS n_best""",
     "importance_facts": "SELECT unnest(['feature_importance', 'global_importance']) AS report, CAST(15 AS BIGINT) AS n_rows, CAST(15 AS BIGINT) AS n_features",
     "forecast_rows": over(

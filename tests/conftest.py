@@ -21,6 +21,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "4g",
+            "cityflow.models.preset": "small",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

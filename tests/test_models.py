@@ -149,7 +149,7 @@ def test_training_end_to_end(spark, trained, tmp_path):
 def test_candidates_are_seeded_and_in_range():
     drawn = training.candidates(20)
     assert drawn == training.candidates(20) and len(drawn) == 20
-    assert all(200 <= c["maxIter"] <= 1000 and 0.01 <= c["stepSize"] <= 0.3 for c in drawn)
+    assert all(200 <= c["rounds"] <= 1000 and 0.01 <= c["rate"] <= 0.3 and 1e-8 <= c["alpha"] <= 10 for c in drawn)
 
 
 def brute_force(nodes: pd.DataFrame, weight: dict, x: np.ndarray, n: int) -> np.ndarray:
@@ -180,6 +180,10 @@ def brute_force(nodes: pd.DataFrame, weight: dict, x: np.ndarray, n: int) -> np.
     return phi
 
 
+def all_attributions(leaves, x):
+    return sum(tree_shap.attributions(piece, x) for piece in leaves.pieces())
+
+
 @pytest.mark.parametrize("name", ["random_forest", "boosted_a"])
 def test_attributions_add_up(spark, trained, tmp_path, name):
     runs, test = trained
@@ -190,18 +194,18 @@ def test_attributions_add_up(spark, trained, tmp_path, name):
         assert sum(r.contributions) + r.base_value == pytest.approx(r.raw_prediction, rel=1e-9)
 
 
-@pytest.mark.parametrize("name,small", [("random_forest", {"numTrees": 3}), ("boosted_a", {"maxIter": 3})])
+@pytest.mark.parametrize("name,small", [("random_forest", {"numTrees": 3, "maxDepth": 3}), ("boosted_a", {"rounds": 3, "depth": 3})])
 def test_attributions_equal_brute_force(spark, matrix, tmp_path, name, small):
-    model = training.fit(name, matrix, "small", maxDepth=3, **small)
+    model = training.fit(name, matrix, "small", **small)
     path = str(tmp_path / "nodes")
     leaves = scoring.load_leaves(spark, model, path)
-    nodes = tree_shap.model_nodes(spark, path)
-    stage = model.stages[-1]
-    weight = {i: 1 / 3 if name == "random_forest" else w for i, w in enumerate(stage.treeWeights)}
+    forest = name == "random_forest"
+    nodes = (tree_shap.model_nodes(spark, path) if forest else spark.read.parquet(path)).toPandas()
+    weight = dict.fromkeys(range(3), 1 / 3 if forest else 1.0)
     for r in matrix.limit(5).collect():
         x = np.array([float(r[c]) for c in MODEL_FEATURES])
         want = brute_force(nodes, weight, x, 24)
-        assert tree_shap.attributions(leaves, x[None, :])[0] == pytest.approx(want, abs=1e-9)
+        assert all_attributions(leaves, x[None, :])[0] == pytest.approx(want, abs=1e-9)
 
 
 @pytest.mark.parametrize("depth", [3, 9])
@@ -211,18 +215,22 @@ def test_digits_do_not_depend_on_batches_or_pieces(spark, trained, tmp_path, mon
     model = training.fit("random_forest", train, "small", maxDepth=depth, numTrees=4)
     leaves = scoring.load_leaves(spark, model, str(tmp_path / "nodes"))
     x = np.random.default_rng(0).normal(size=(300, len(MODEL_FEATURES))) * 20
-    whole = tree_shap.attributions(leaves, x)
-    assert (np.concatenate([tree_shap.attributions(leaves, x[i : i + 1]) for i in range(300)]) == whole).all()
-    monkeypatch.setattr(tree_shap, "CELLS_PER_SHIPMENT", 20)
-    assert len(tree_shap.shipments(leaves)) > 1
+    whole = all_attributions(leaves, x)
+    assert (np.concatenate([all_attributions(leaves, x[i : i + 1]) for i in range(300)]) == whole).all()
+    monkeypatch.setattr(tree_shap, "CELLS_PER_BLOCK", 20)
+    leaves = scoring.load_leaves(spark, model, str(tmp_path / "nodes"))
+    assert len(leaves.blocks) > 1 and all_attributions(leaves, x) == pytest.approx(whole, abs=1e-9)
     rows = scoring.explained(test.limit(50), model, leaves).select("contributions", "base_value", "raw_prediction").collect()
     assert all(sum(r.contributions) + r.base_value == pytest.approx(r.raw_prediction, abs=1e-6) for r in rows)
 
 
-def test_patience():
-    assert training.patient_rounds([5, 4, 3, 3.5, 3.4], patience=2) == 3
-    assert training.patient_rounds([5, 4, 4.5, 4.4, 1], patience=2) == 2
-    assert training.patient_rounds([5, 4, 3]) == 3
+def test_a_deep_forest_is_explained(spark, matrix, tmp_path):
+    model = training.fit("random_forest_deep", matrix, "full", numTrees=20)
+    assert max(t.depth for t in model.stages[-1].trees) > 8
+    leaves = scoring.load_leaves(spark, model, str(tmp_path / "nodes"))
+    rows = scoring.explained(matrix.limit(30), model, leaves).collect()
+    assert all(sum(r.contributions) + r.base_value == pytest.approx(r.raw_prediction, rel=1e-9) for r in rows)
+    leaves.release()
 
 
 def test_reports_on_attributions(spark, trained, tmp_path):
