@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cityflow.llm import chunks, simple8b
@@ -79,7 +79,7 @@ def _frames(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> I
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Encode whole texts (null: empty), append the end id, and write files of ids in doc_id order.
 
-    Files follow each other in the order of their names. Documents are dealt by ranges of
+    Files follow each other in the order of the numbers in their names. Documents are dealt by ranges of
     (doc_id, hash of the text), so that a repeated id can be split too; a null id comes first,
     equal ids are ordered by text, repeated rows are kept, other columns are ignored. The files
     are written and committed by Spark's own writer, to any store that Spark can write to.
@@ -133,6 +133,11 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
     )
 
 
+def file_number(name: str = "file") -> Column:
+    """The number that Spark's writer gives a part: its name as text puts part-100000 before part-99999."""
+    return F.regexp_extract(name, r"^part-(\d+)", 1).cast("long")
+
+
 def token_file_rows(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write the files and read them back: (doc_id, start, n_tokens, ids_crc32) of every document.
 
@@ -142,7 +147,7 @@ def token_file_rows(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFra
     write_token_files(docs, path, tokenizer, end_id)
     rows = settle(read_token_files(spark, path, digest=True), "token-rows")
     sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(file_number()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("file", before.alias("_before"))
     return rows.join(starts, "file").select(
         "doc_id", (F.col("at") + F.col("_before")).alias("start"), "n_tokens", F.col("value").alias("ids_crc32")

@@ -127,3 +127,9 @@ def test_neighbours_share_a_window():
     for key, *_, sequence, _ in packer.rows:
         first[sequence].add(key % 2)
     assert first[0] == {0} and {1} in first.values()
+
+
+def test_token_files_follow_the_numbers_of_parts(spark):
+    names = [f"part-{n:05d}-x.txt" for n in (99999, 100000, 7, 123456)]
+    rows = spark.createDataFrame([(n,) for n in names], "file string").orderBy(binids.file_number()).collect()
+    assert [r.file for r in rows] == [names[2], names[0], names[1], names[3]]
