@@ -26,9 +26,15 @@ SAMPLE, HOT, SPREAD = 4096, 64, 512
 
 
 def line_id(line: str) -> int:
+    """Stands for a line among candidates, whose texts are compared before they are linked."""
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - 2**63
 
 
+def line_key(line: str) -> bytes:
+    """128 bits by which lines count as equal: wide enough for all lines of a corpus of any size."""
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+
+
 def segments(n: int, edits: int) -> list[tuple[int, int]]:
     """(begin, size) of edits + 1 nearly equal segments of a line of n code points; the last ones are the longer."""
     parts = edits + 1
@@ -230,12 +236,13 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int, shortest: int) -> Ite
         most = [allowed(min(len(p[0]), len(p[1])), edits, shortest) for p in pairs]
         kinds = [(e, [p for p, m in zip(pairs, most) if m == e]) for e in set(most)]
         near = [(some, within([p[0] for p in some], [p[1] for p in some], e)) for e, some in kinds]
-        found = np.array([p[2:] for some, good in near for p, ok in zip(some, good) if ok], np.int64).reshape(-1, 2)
-        ids, place = np.unique(found, return_inverse=True)
-        place = place.reshape(-1, 2)
-        root = _roots(len(ids), iter([(place[:, 0], place[:, 1])]))
-        linked = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[root[linked]])], ["a", "b"])
+        number: dict[str, int] = {}
+        found = [[number.setdefault(x, len(number)) for x in p[:2]] for some, good in near for p, ok in zip(some, good) if ok]
+        place = np.array(found, np.int64).reshape(-1, 2)
+        root = _roots(len(number), iter([(place[:, 0], place[:, 1])]))
+        linked, texts = np.flatnonzero(root != np.arange(len(number))), list(number)
+        sides = [pa.array([line_key(texts[i]) for i in side], pa.binary()) for side in (linked, root[linked])]
+        return pa.RecordBatch.from_arrays(sides, ["a", "b"])
 
     def unit() -> Iterator[pa.RecordBatch]:
         for pair in _unit_pairs(held, edits, shortest):
@@ -287,7 +294,7 @@ def shared_entries(rows: DataFrame, edits: int, shortest: int, short: bool = Fal
 
 
 def line_links(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, short: bool = False) -> DataFrame:
-    """Links (a, b) between ids of different lines at most ``edits`` edits apart, enough to connect all of them.
+    """Links (a, b) between keys of different lines at most ``edits`` edits apart, enough to connect all of them.
 
     Each distinct line gives the keys of its segments and probes. Keys that different lines share, one of them
     with its own segment, are candidates; their texts are fetched and verified unit by unit. A key that very
@@ -302,7 +309,16 @@ def line_links(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, sh
     units = units.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "own", "line")
     units = units.join(text, "line").select("key", "low", "high", "block", "own", "line", "text")
     dealt = units.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(lambda it: _verify(it, edits, shortest), "a long, b long")
+    return dealt.mapInArrow(lambda it: _verify(it, edits, shortest), "a binary, b binary")
+
+
+def line_classes(links: DataFrame) -> DataFrame:
+    """(line, component) of all lines that links (a, b) between line keys connect; lines are numbered for that."""
+    names = links.select(F.explode(F.array("a", "b")).alias("line")).distinct()
+    names = settle(names.withColumn("node", F.monotonically_increasing_id()), "line-names")
+    ends = [names.select(F.col("line").alias(c), F.col("node").alias(f"{c}_node")) for c in ("a", "b")]
+    edges = links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return components(edges, "line-classes").join(names, "node").select("line", "component")
 
 
 def candidate_texts(rows: DataFrame, shared: DataFrame, shortest: int, short: bool = False) -> DataFrame:
@@ -325,9 +341,9 @@ def _places(batches: Iterator[pa.RecordBatch], shortest: int, short: bool) -> It
     for batch in batches:
         rows = []
         for key, mark, text in zip(*(c.to_pylist() for c in batch.columns)):
-            rows += [(key, mark, at, line_id(x)) for at, x in enumerate(text.split("\n")) if _compared(x, shortest, short)]
+            rows += [(key, mark, at, line_key(x)) for at, x in enumerate(text.split("\n")) if _compared(x, shortest, short)]
         if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "mark", "at", "line"])
 
 
@@ -338,13 +354,14 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST
     stays wherever it stands first, all others go. Null ids come first.
     """
     links = settle(line_links(docs, edits, shortest, short), "line-links")
-    classes = components(links, "line-classes")
+    classes = line_classes(links)
     marked = texts(docs).where("text is not null").select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    places = marked.mapInArrow(lambda it: _places(it, shortest, short), "doc_id long, mark long, at int, line long")
+    places = marked.mapInArrow(lambda it: _places(it, shortest, short), "doc_id long, mark long, at int, line binary")
     places = settle(places, "line-places")
     own = F.struct("doc_id", "mark", "at")
     lines = places.groupBy("line").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
-    lines = lines.join(classes.withColumnRenamed("node", "line"), "line", "left").withColumn("class", F.coalesce("component", "line"))
+    kind = F.coalesce(F.col("component").cast("string"), F.hex("line"))  # a number, or 32 digits
+    lines = lines.join(classes, "line", "left").withColumn("class", kind)
     firsts = lines.groupBy("class").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first <> last or first is null")
     verdicts = settle(lines.join(firsts, "class").select("line", "first"), "line-verdicts")
     gone = places.join(verdicts, "line").where(~own.eqNullSafe(F.col("first")))

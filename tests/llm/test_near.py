@@ -255,3 +255,12 @@ def test_short_lines(spark):
     assert {r.doc_id: r.gone for r in lines.drop_repeats(docs, short=True).collect()} == want
     got = {r.doc_id: r.dropped for r in lines.line_digests(docs).collect()}
     assert got == {k: ",".join(map(str, g)) for k, g in want.items()}
+
+
+def test_lines_of_equal_short_ids_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(lines, "line_id", lambda line: 5)  # as if all ids met
+    texts = ["one line that is long enough for all edits", "quite another line with nothing in common"]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:1])), "doc_id long, text string")
+    places = docs.selectExpr("doc_id", "1L as mark", "text").toArrow().to_batches()
+    keys = [k for b in lines._places(iter(places), 20, True) for k in b.column("line").to_pylist()]
+    assert keys[0] == keys[2] != keys[1] and len(keys[0]) == 16
