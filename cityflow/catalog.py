@@ -17,6 +17,7 @@ from cityflow.functions import weather as wx
 from cityflow.operators import baseline, drift, fill, lags, metrics, ordered, sampling, split
 from cityflow.operators.boosting import Boosted
 from cityflow.plans import analytics, features, mart, monitoring, requests, scoring, training
+from cityflow.plans.registry import MODEL_FEATURES
 from cityflow.session import pin, scratch
 from cityflow.sources import bindings as b
 from cityflow.sources import civic, economic, quality, sinks, trips, weather
@@ -31,6 +32,8 @@ ZONE, START, END = 5, "2024-01-03", "2024-01-20"
 REFERENCE, CURRENT = ("2024-01-01", "2024-01-16"), ("2024-01-16", "2024-01-31")
 REFRESH_FROM = "2024-01-20"
 COUNTS = ("hour_bucket", "zone_id", "trip_count")
+INDICATORS_FROM = "1995-01-01"
+MISSING = ("humidity_pct", "demand_lag_168h")
 
 
 def stored_mart(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,8 +178,8 @@ def events_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return civic.combine([first, second])
 
 
-def civic_events_csv(spark: SparkSession, sf: str) -> DataFrame:
-    """Event lines written as CSV text and read back with defaults for empty fields."""
+def _events_file(spark: SparkSession, sf: str) -> str:
+    """The landed list of events, with empty fields."""
     events = b.civic_events_fanout(spark, sf)
     path = scratch(spark, "events-csv")
     events.select(
@@ -187,9 +190,64 @@ def civic_events_csv(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("is_major"), F.col("est_attendance")).alias("est_attendance"),
         F.when(F.col("is_major"), F.lit("true")).alias("is_major"),
     ).write.option("header", True).csv(path)
+    return path
+
+
+def civic_events_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Event lines written as CSV text and read back with defaults for empty fields."""
+    return civic.read_csv(spark, _events_file(spark, sf))
+
+
+def events_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """The list of a second place, as the first one holds no file."""
+    path = civic.first_existing(spark, [scratch(spark, "events-absent"), _events_file(spark, sf)])
     return civic.read_csv(spark, path)
 
 
+def events_with_curated(spark: SparkSession, sf: str) -> DataFrame:
+    """The built-in lists and the landed one."""
+    return civic.build_events(spark, _events_file(spark, sf))
+
+
+def appended_trips(spark: SparkSession, sf: str) -> DataFrame:
+    """Trips by zone and payment of a table to which two loads were appended."""
+    rows, path = b.trips(spark, sf), scratch(spark, "appended")
+    for part in (0, 1):
+        sinks.append(rows.where(F.col("trip_id") % 2 == part), path)
+    return spark.read.parquet(path).groupBy("pickup_zone", "payment_type").agg(F.count("*").alias("n_trips"))
+
+
+def replaced_events(spark: SparkSession, sf: str) -> DataFrame:
+    """What a table holds after a second list has replaced the first."""
+    path = scratch(spark, "replaced")
+    sinks.replace(b.civic_events_fanout(spark, sf), path)
+    sinks.replace(b.civic_events(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+def reloaded_events(spark: SparkSession, sf: str) -> DataFrame:
+    """A table emptied and loaded again, its numbers starting over."""
+    path = scratch(spark, "reloaded")
+    for rows in (b.civic_events(spark, sf), b.civic_events_fanout(spark, sf)):
+        sinks.reload(rows, path, "event_id", ["event_date", "event_name"])
+    return spark.read.parquet(path)
+
+
+def ordered_mart(spark: SparkSession, sf: str) -> DataFrame:
+    """All mart counts in order, each with the hour of the row before it."""
+    path = scratch(spark, "ordered-mart")
+    sinks.write_mart(stored_mart(spark, sf), path)
+    rows = sinks.read_ordered(spark, path).select(*COUNTS)
+    return rows.withColumn("previous_hour", F.lag("hour_bucket").over(W.partitionBy("zone_id").orderBy("hour_bucket")))
+
+
+def recent_indicators(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored indicators from a month on; the bound reaches the scan."""
+    path = scratch(spark, "indicators")
+    sinks.replace(b.monthly_series(spark, sf), path)
+    return sinks.read_from(spark, path, "month_start", INDICATORS_FROM).drop("cpi")
+
+
 def malformed_events(spark: SparkSession, sf: str) -> DataFrame:
     """Values of an event file that are no numbers and no flags."""
     path = scratch(spark, "events-malformed")
@@ -298,7 +356,7 @@ def _dropoffs(spark: SparkSession, sf: str) -> DataFrame:
 def dropoff_fare_median(spark: SparkSession, sf: str) -> DataFrame:
     """Median fare of raw trips by drop-off zone; trips without a zone are a group of their own."""
     folded = _dropoffs(spark, sf).groupBy("dropoff_zone", "fare_amount").agg(F.count("*").alias("n"))
-    found = ordered.exact_quantiles(folded, ["dropoff_zone"], "fare_amount", "n", {"median": 0.5})
+    found = ordered.exact_quantiles(settle(folded, "fares"), ["dropoff_zone"], "fare_amount", "n", {"median": 0.5})
     return found.select("dropoff_zone", F.round("median", 4).alias("median_fare"))
 
 
@@ -377,6 +435,17 @@ def features_train(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(features.features_train(stored_mart(spark, sf)))
 
 
+def request_rows_monday(spark: SparkSession, sf: str) -> DataFrame:
+    """Request rows with weekdays counted from Monday = 0."""
+    accepted = requests.validate_requests(prediction_requests(spark, sf)).filter("accepted")
+    return requests.request_rows(accepted, monday_first=True)
+
+
+def aligned_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Serving rows that miss two columns, in training order."""
+    return features.align_to(features_serve(spark, sf).drop(*MISSING), MODEL_FEATURES)
+
+
 def features_serve(spark: SparkSession, sf: str) -> DataFrame:
     accepted = requests.validate_requests(prediction_requests(spark, sf)).filter("accepted")
     return rounded(features.features_serve(requests.request_rows(accepted), keep=("request_id",)))
@@ -815,7 +884,14 @@ QUERIES: dict[str, Query] = {
     "upsert_new_rows": upsert_new_rows,
     "events_dedup": shown(events_dedup),
     "civic_events_csv": shown(civic_events_csv),
+    "events_fallback": shown(events_fallback),
+    "events_with_curated": shown(events_with_curated),
     "malformed_events": malformed_events,
+    "appended_trips": appended_trips,
+    "replaced_events": shown(replaced_events),
+    "reloaded_events": shown(reloaded_events),
+    "ordered_mart": ordered_mart,
+    "recent_indicators": shown(recent_indicators),
     "clean_trips_loader": clean_trips(trips.clean_loader),
     "clean_trips_strict": clean_trips(trips.clean_strict),
     "month_file_counts": month_file_counts,
@@ -873,6 +949,8 @@ QUERIES: dict[str, Query] = {
     "feature_nulls": feature_nulls,
     "validate_requests": validate_requests,
     "request_rows": request_rows,
+    "request_rows_monday": request_rows_monday,
+    "aligned_features": aligned_features,
     "safe_numbers": safe_numbers,
     "temporal_split": temporal_split,
     "fallback_split": fallback_split,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cityflow.operators.lags import overall_mean
 from cityflow.operators.ordered import exact_quantiles
+from cityflow.sources.store import settle
 
 KEYS = ["zone_id", "hour_of_day", "day_of_week"]
 
@@ -47,7 +48,7 @@ def residual_bands(validation: DataFrame, low: float = 0.1, high: float = 0.9) -
         .groupBy("zone_id", "residual")
         .agg(F.count("*").alias("n"))
     )
-    return exact_quantiles(folded, ["zone_id"], "residual", "n", {"q_low": low, "q_high": high})
+    return exact_quantiles(settle(folded, "residuals"), ["zone_id"], "residual", "n", {"q_low": low, "q_high": high})
 
 
 def interval_calibrated(predictions: DataFrame, bands: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ smaller child of a split is summed up; its sibling is the rest of the parent. Gr
 the trees do not depend on how rows are dealt out or in which order sums arrive.
 
 The first job of a round also measures the rounds so far on the validation rows, so boosting stops as soon as
-patience runs out, without a fit of all rounds. Cached blocks are an RDD: a job of a level takes some
-milliseconds there, and a fit takes thousands of them.
+patience runs out, without a fit of all rounds. Cached blocks are an RDD, since a fit takes thousands of short jobs. Rows
+that fit one task are boosted inside it.
 """
 
 from __future__ import annotations
@@ -245,7 +245,7 @@ def _sums(blocks: Iterator, tree: Trees, steps: int, slot: np.ndarray, slots: in
     total, error = None, 0.0
     for key, codes, label, fit, margin in blocks:
         if total is None:
-            total = np.zeros((slots, codes.shape[1], bins, 2), np.int64)
+            total = np.zeros((2, codes.shape[1], slots * bins), np.int64)
         if measure:
             error += float(((label - margin)[~fit] ** 2).sum())
         used = fit if share >= 1 else fit & (np.random.default_rng([seed, number, *key]).random(len(fit)) < share)
@@ -256,20 +256,79 @@ def _sums(blocks: Iterator, tree: Trees, steps: int, slot: np.ndarray, slots: in
         base = at[some].astype(np.int64) * bins
         for f in range(codes.shape[1]):
             place = base + own[:, f]
-            total[:, f, :, 0] += np.bincount(place, gradient, slots * bins).astype(np.int64).reshape(slots, bins)
-            total[:, f, :, 1] += np.bincount(place, minlength=slots * bins).reshape(slots, bins)
+            total[0, f] += np.bincount(place, gradient, slots * bins).astype(np.int64)
+            total[1, f] += np.bincount(place, minlength=slots * bins)
     if total is not None:
-        yield total, error
+        yield np.ascontiguousarray(total.reshape(2, -1, slots, bins).transpose(2, 1, 3, 0)), error
 
 
 def _added(a: tuple, b: tuple) -> tuple:
     return a[0] + b[0], a[1] + b[1]
 
 
-def _histogram(state: RDD, *args) -> tuple[np.ndarray, float]:
-    parts = state.mapPartitions(lambda it: _sums(it, *args))
-    n = state.getNumPartitions()
-    return parts.treeReduce(_added, max(1, math.ceil(math.log(n, FAN_IN)))) if n > 1 else parts.collect()[0]
+def _advance(tree: Trees, steps: int) -> Callable:
+    """Blocks with what one more tree predicts."""
+    return lambda b: (*b[:4], b[4] + tree.value[tree.leaf(b[1], steps)])
+
+
+class Held:
+    """Blocks of one task, in the task."""
+
+    def __init__(self, blocks: list[tuple], base: float):
+        self.blocks = [(*b, np.full(len(b[2]), base)) for b in blocks]
+
+    def histogram(self, *args) -> tuple[np.ndarray, float]:
+        return next(_sums(iter(self.blocks), *args))
+
+    def advance(self, tree: Trees, steps: int) -> None:
+        self.blocks = list(map(_advance(tree, steps), self.blocks))
+
+    def close(self) -> None:
+        self.blocks = []
+
+
+class Spread:
+    """Blocks of many tasks, cached with what the rounds so far predict; seen from the driver.
+
+    The lineage is cut by a checkpoint every few rounds; blocks and files that nothing needs any more are dropped.
+    """
+
+    def __init__(self, spark: SparkSession, blocks: RDD, base: float):
+        self.spark, self.before, self.files, self.rounds = spark, None, [], 0
+        self.state = self._cached(blocks.map(lambda b: (*b, np.full(len(b[2]), base)), True))
+        checkpoints(spark)
+
+    @staticmethod
+    def _cached(blocks: RDD) -> RDD:
+        return blocks.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def histogram(self, *args) -> tuple[np.ndarray, float]:
+        parts = self.state.mapPartitions(lambda it: _sums(it, *args))
+        found = parts.treeReduce(_added, max(1, math.ceil(math.log(self.state.getNumPartitions(), FAN_IN))))
+        if self.before:  # the blocks stand now without those of the round before
+            self.before.unpersist()
+            self.before = None
+        written = self.state.getCheckpointFile()
+        if written and written not in self.files:
+            self._remove()
+            self.files = [written]
+        return found
+
+    def advance(self, tree: Trees, steps: int) -> None:
+        self.before, self.state = self.state, self._cached(self.state.map(_advance(tree, steps), True))
+        self.rounds += 1
+        if self.rounds % CUT_AFTER == 0:
+            self.state.checkpoint()
+
+    def _remove(self) -> None:
+        for file in self.files:
+            remove(self.spark, file)
+
+    def close(self) -> None:
+        for blocks in (self.before, self.state):
+            if blocks:
+                blocks.unpersist()
+        self._remove()
 
 
 def _soft(gradient: np.ndarray, alpha: float) -> np.ndarray:
@@ -299,7 +358,7 @@ def _stump() -> Trees:
     return Trees(leaf, leaf.copy(), place, place.copy(), np.zeros(1), np.zeros(1), np.zeros(1))
 
 
-def _grown(state: RDD, s: Settings, number: int, bins: int, features: int, measure: bool) -> tuple[Trees, float]:
+def _grown(rows: Held | Spread, s: Settings, number: int, bins: int, features: int, measure: bool) -> tuple[Trees, float]:
     """One tree, level by level, and the validation error of the rounds before it.
 
     If leaves are bounded, a level's splits of highest gain go first while the bound lasts.
@@ -308,7 +367,7 @@ def _grown(state: RDD, s: Settings, number: int, bins: int, features: int, measu
     columns = np.sort(rng.permutation(features)[: max(1, math.ceil(s.columns * features))])
     tree = _stump()
     draw = (s.rows, s.seed, number)
-    root, error = _histogram(state, tree, 0, np.zeros(1, np.int32), 1, bins, draw, measure)
+    root, error = rows.histogram(tree, 0, np.zeros(1, np.int32), 1, bins, draw, measure)
     open_nodes, sums = np.zeros(1, np.int32), root
     leaves = 1
     for level in range(s.depth + 1):
@@ -346,56 +405,51 @@ def _grown(state: RDD, s: Settings, number: int, bins: int, features: int, measu
         right_small = 2 * below > own[:, 0, :, 1].sum(1)
         slot = np.full(len(tree.feature), -1, np.int32)
         slot[left + right_small] = np.arange(len(chosen))
-        small, _ = _histogram(state, tree, level + 1, slot, len(chosen), bins, draw, False)
+        small, _ = rows.histogram(tree, level + 1, slot, len(chosen), bins, draw, False)
         rest = own - small
         swap = right_small[:, None, None, None]
         sums = np.stack([np.where(swap, rest, small), np.where(swap, small, rest)], 1).reshape(-1, *small.shape[1:])
     return tree, error
 
 
-def boost(data: Binned, settings: Settings) -> Boosted:
-    """Fit round by round; with patience, up to the last round that was better on the validation rows than all rounds
-    before it, which is known once so many rounds have brought no gain. ``errors`` lists the validation error (rmse)
-    after each round that was fitted."""
-    s, spark = settings, data.spark
-    if s.patience is not None and not data.validation:
-        raise ValueError("patience needs validation rows")
-    bins, features, measure = max(len(e) for e in data.edges) + 1, len(data.features), s.patience is not None
-    base, trees, errors, best = data.mean, [], [], 0
-    cached = lambda blocks: blocks.persist(StorageLevel.MEMORY_AND_DISK)
-    state = cached(data.blocks.map(lambda b: (*b, np.full(len(b[2]), base)), True))
-    before, files = None, []
-    checkpoints(spark)
+def _rounds(rows: Held | Spread, s: Settings, bins: int, features: int, validation: int) -> tuple[list[Trees], list[float]]:
+    """The trees that are kept, and the validation error after each round that was run."""
+    trees, errors, best, measure = [], [], 0, s.patience is not None
     while True:
         if len(trees) < s.rounds:
-            tree, error = _grown(state, s, len(trees), bins, features, measure)
+            tree, error = _grown(rows, s, len(trees), bins, features, measure)
         elif measure:
-            _, error = _histogram(state, _stump(), 0, np.full(1, -1), 1, bins, (1.0, 0, 0), True)
-        if before:  # these blocks stand now without those of the round before
-            before.unpersist()
-        if state.getCheckpointFile() not in [None, *files[-1:]]:
-            files.append(state.getCheckpointFile())
-            for file in files[:-1]:
-                remove(spark, file)
-            files = files[-1:]
+            _, error = rows.histogram(_stump(), 0, np.full(1, -1), 1, bins, (1.0, 0, 0), True)
         if measure and trees:
-            errors.append(math.sqrt(error / data.validation))
+            errors.append(math.sqrt(error / validation))
             best = len(errors) if errors[-1] < min(errors[:-1], default=math.inf) else best
         if len(trees) == s.rounds or measure and len(errors) - best >= s.patience:
-            break
+            return trees[:best] if measure else trees, errors
         trees.append(tree)
-        before, state = state, cached(state.map(_advance(tree, s.depth), True))
-        if len(trees) % CUT_AFTER == 0:
-            state.checkpoint()
-    state.unpersist()
-    for file in files:
-        remove(spark, file)
-    return _ensemble(data, s, base, trees[:best] if measure else trees, errors)
+        rows.advance(tree, s.depth)
 
 
-def _advance(tree: Trees, steps: int) -> Callable:
-    """Blocks with what one more tree predicts."""
-    return lambda b: (*b[:4], b[4] + tree.value[tree.leaf(b[1], steps)])
+def boost(data: Binned, settings: Settings) -> Boosted:
+    """Fit round by round; with patience, up to the last round that was better on the validation rows than all rounds
+    before it, which is known once so many rounds have brought no gain. ``errors`` lists the validation error (rmse)
+    after each round that was fitted.
+
+    Rows of one task are boosted inside that task, and several fits of them side by side; otherwise each level
+    is a job over all tasks. Both give the same trees.
+    """
+    s = settings
+    if s.patience is not None and not data.validation:
+        raise ValueError("patience needs validation rows")
+    base, shape = data.mean, (max(len(e) for e in data.edges) + 1, len(data.features), data.validation)
+    if data.blocks.getNumPartitions() == 1:
+        [(trees, errors)] = data.blocks.mapPartitions(lambda it: [_rounds(Held(list(it), base), s, *shape)]).collect()
+    else:
+        rows = Spread(data.spark, data.blocks, base)
+        try:
+            trees, errors = _rounds(rows, s, *shape)
+        finally:
+            rows.close()
+    return _ensemble(data, s, base, trees, errors)
 
 
 def _ensemble(data: Binned, s: Settings, base: float, trees: list[Trees], errors: list[float]) -> Boosted:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cityflow.operators.ordered import exact_quantiles, running_counts
+from cityflow.sources.store import settle
 
 PERIODS = ("reference", "current")
 BINS = 10
@@ -39,7 +40,7 @@ def numeric_values(labelled: DataFrame, features: tuple[str, ...]) -> DataFrame:
             )
         ).alias("x"),
     )
-    counts = long.groupBy("period", "x.feature", "x.value").agg(F.count("*").alias("n"))
+    counts = settle(long.groupBy("period", "x.feature", "x.value").agg(F.count("*").alias("n")), "drift-counts")
     known = counts.filter(F.col("value").isNotNull())
     medians = exact_quantiles(known, ["period", "feature"], "value", "n", {"median": 0.5})
     filled = (
@@ -63,7 +64,8 @@ def _psi(p: Column, q: Column) -> Column:
 
 def drift_numeric(labelled: DataFrame, features: tuple[str, ...], threshold: float = 0.1) -> DataFrame:
     """Kolmogorov-Smirnov distance, Wasserstein distance, and PSI on reference deciles."""
-    ran = running_counts(numeric_values(labelled, features), ["feature"], "value", ["reference", "current"])
+    values = settle(numeric_values(labelled, features), "drift-values")
+    ran = running_counts(values, ["feature"], "value", ["reference", "current"])
     share = lambda c: F.try_divide(F.col(c), F.col(f"{c[:-5]}_total"))
     gap = F.abs(share("reference_upto") - share("current_upto"))
     before = F.col("reference_upto") - F.col("reference")

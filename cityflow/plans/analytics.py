@@ -16,6 +16,7 @@ from cityflow.functions import calendar as cal
 from cityflow.functions import numbers as num
 from cityflow.functions import weather as wx
 from cityflow.operators.ordered import exact_quantiles
+from cityflow.sources.store import settle
 
 PICKUP = "pickup_dt"
 
@@ -81,7 +82,7 @@ def weather_impact(
     folds = (F.count("trip_id").alias("n"), F.count("*").alias("rows"), *num.sums(*measures))
     value = F.col(median_of).alias("value")
     hourly = trips.withColumn("hour_bucket", _hour())
-    per_value = hourly.join(classes, "hour_bucket").groupBy("weather_category", value).agg(*folds)
+    per_value = settle(hourly.join(classes, "hour_bucket").groupBy("weather_category", value).agg(*folds), "class-values")
     known = per_value.filter(F.col("value").isNotNull())
     medians = exact_quantiles(known, ["weather_category"], "value", "rows", {"median": 0.5})
     totals = per_value.groupBy("weather_category").agg(F.sum("n").alias("total_trips"), *num.resums(*measures))

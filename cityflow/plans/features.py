@@ -17,6 +17,7 @@ from cityflow.operators.lags import demand_history, overall_mean
 from cityflow.operators.ordered import exact_quantiles
 from cityflow.plans.mart import ECONOMIC_COLUMNS
 from cityflow.plans.registry import MODEL_FEATURES
+from cityflow.sources.store import settle
 
 WEATHER_NUMBERS = ("temperature_f", "feels_like_f", "precipitation_mm", "windspeed_mph", "humidity_pct")
 RUSH_HOURS = (7, 8, 9, 16, 17, 18, 19)
@@ -36,7 +37,7 @@ def weather_medians(mart: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"))
         .filter(F.col("value").isNotNull())
     )
-    medians = exact_quantiles(folded, ["name"], "value", "n", {"median": 0.5})
+    medians = exact_quantiles(settle(folded, "weather-values"), ["name"], "value", "n", {"median": 0.5})
     return medians.agg(
         F.struct(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in WEATHER_NUMBERS]).alias("m")
     )

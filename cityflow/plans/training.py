@@ -56,7 +56,8 @@ def estimator(name: str, preset: str = "full", **overrides):
     common = dict(featuresCol="features", labelCol="trip_count", predictionCol="prediction")
     if name == "linear":
         return LinearRegression(**{**common, "featuresCol": "scaled", **overrides})
-    return RandomForestRegressor(**common, seed=SEED, **{**PRESETS[preset][name], **overrides})
+    # The memory bounds how many nodes share a pass over the rows.
+    return RandomForestRegressor(**common, seed=SEED, maxMemoryInMB=1024, **{**PRESETS[preset][name], **overrides})
 
 
 def assembler() -> VectorAssembler:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,26 @@ def replace(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
+def reload(rows: DataFrame, path: str, identity: str, order: list[str]) -> None:
+    """Empty the table and load it again; rows are numbered from 1 in the given order.
+
+    For tables of the size of a dimension: one task numbers all rows.
+    """
+    numbered = rows.withColumn(identity, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    replace(numbered.select(identity, *rows.columns), path)
+
+
+def read_from(spark: SparkSession, path: str, column: str, first: str) -> DataFrame:
+    """Rows of a stored table from a value of a column on; the bound has the column's type and reaches the scan."""
+    rows = spark.read.parquet(path)
+    return rows.filter(F.col(column) >= F.lit(first).cast(rows.schema[column].dataType))
+
+
+def read_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """A stored mart in the order of hours and zones."""
+    return read_mart(spark, path).orderBy("hour_bucket", "zone_id")
+
+
 def absent_rows(new: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
     """Rows of `new` whose key is not in `existing`, one per key.
 

@@ -407,6 +407,41 @@ ORACLES: dict[str, str] = {
         """SELECT event_date, event_name, event_type, borough, CASE WHEN is_major THEN est_attendance ELSE 0 END AS est_attendance,
         is_major FROM civic_fanout""",
     ),
+    "events_fallback": over(
+        "civic_fanout",
+        """SELECT event_date, event_name, event_type, borough, CASE WHEN is_major THEN est_attendance ELSE 0 END AS est_attendance,
+        is_major FROM civic_fanout""",
+    ),
+    "events_with_curated": over(
+        "civic_fanout",
+        """SELECT event_date, event_name, event_type, borough, CASE WHEN is_major THEN est_attendance ELSE 0 END AS est_attendance,
+        is_major FROM civic_fanout UNION ALL
+        SELECT CAST(d AS DATE), n, t, b, CAST(a AS INTEGER), m FROM (VALUES
+        ('2024-01-01', 'New Year''s Day', 'holiday', 'Manhattan', 500000, TRUE),
+        ('2024-03-17', 'St. Patrick''s Day Parade', 'parade', 'Manhattan', 150000, TRUE),
+        ('2024-05-27', 'Memorial Day', 'holiday', 'All', 0, FALSE),
+        ('2024-06-29', 'NYC Pride Parade', 'parade', 'Manhattan', 100000, TRUE),
+        ('2024-07-04', 'Independence Day', 'holiday', 'All', 500000, TRUE),
+        ('2024-11-04', 'NYC Marathon', 'sports', 'All', 55000, TRUE),
+        ('2024-11-28', 'Macy''s Thanksgiving Parade', 'parade', 'Manhattan', 350000, TRUE),
+        ('2024-12-31', 'New Year''s Eve', 'holiday', 'Manhattan', 1000000, TRUE),
+        ('2024-01-10', 'Knicks vs Lakers', 'sports', 'Manhattan', 19500, FALSE),
+        ('2024-02-07', 'Knicks vs Celtics', 'sports', 'Manhattan', 19500, FALSE),
+        ('2024-05-15', 'Knicks Playoffs Game 1', 'sports', 'Manhattan', 19500, TRUE)) AS v(d, n, t, b, a, m)""",
+    ),
+    "appended_trips": over(
+        "trips", "SELECT pickup_zone, payment_type, count(*) AS n_trips FROM trips GROUP BY ALL"
+    ),
+    "replaced_events": over("civic_events", "SELECT * FROM civic_events"),
+    "reloaded_events": over(
+        "civic_fanout", "SELECT row_number() OVER (ORDER BY event_date, event_name) AS event_id, * FROM civic_fanout"
+    ),
+    "ordered_mart": over(
+        "counts",
+        """SELECT hour_bucket, zone_id, trip_count,
+        lag(hour_bucket) OVER (PARTITION BY zone_id ORDER BY hour_bucket) AS previous_hour FROM counts""",
+    ),
+    "recent_indicators": over("monthly_series", "SELECT * FROM monthly_series WHERE month_start >= DATE '1995-01-01'"),
     "clean_trips_loader": over(
         "raw_trips",
         f"""SELECT trip_id, pickup_dt, dropoff_dt, pickup_zone,
@@ -739,6 +774,9 @@ ORACLES: dict[str, str] = {
     ),
     "validate_requests": over("checked", "SELECT *, errors = '' AS accepted FROM checked"),
     "request_rows": over("request_rows", "SELECT * FROM request_rows"),
+    "request_rows_monday": over(
+        "request_rows", "SELECT * REPLACE (CAST((dayofweek(request_dt) + 6) % 7 AS INTEGER) AS day_of_week) FROM request_rows"
+    ),
     "safe_numbers": f"""SELECT event_id, CASE WHEN event_id % 10 < 4 THEN 0 ELSE {R('value / 7', 4)} END AS shown FROM events""",
     "temporal_split": over(
         "train test",
@@ -809,6 +847,11 @@ ORACLES: dict[str, str] = {
     ),
 }
 
+ORACLES["aligned_features"] = (
+    "SELECT * REPLACE (CAST(0 AS DOUBLE) AS humidity_pct, CAST(0 AS DOUBLE) AS demand_lag_168h) "
+    f"FROM ({ORACLES['features_serve']})"
+)
+
 
 # Dates are shown as midnight timestamps and optional counts as doubles.
 SHOWN = {
@@ -820,6 +863,8 @@ SHOWN = {
     "economic_from_json": {"month_start": "TIMESTAMP"},
     "events_dedup": {"event_date": "TIMESTAMP"},
     "civic_events_csv": {"event_date": "TIMESTAMP"},
+    **{k: {"event_date": "TIMESTAMP"} for k in ("events_fallback", "events_with_curated", "replaced_events", "reloaded_events")},
+    "recent_indicators": {"month_start": "TIMESTAMP"},
     "event_deviation": {"trip_date": "TIMESTAMP"},
     "event_before_after": {"event_date": "TIMESTAMP", "trips_day_before": "DOUBLE", "trips_day_after": "DOUBLE"},
     "event_before_after_calendar": {
