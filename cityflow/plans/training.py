@@ -247,9 +247,16 @@ def run_log(spark: SparkSession, runs: list[Run]) -> DataFrame:
     )
 
 
-def append_runs(spark: SparkSession, runs: list[Run], path: str) -> None:
-    """Add the runs to the table at the path."""
-    run_log(spark, runs).coalesce(1).write.mode("append").parquet(path)
+def append_runs(spark: SparkSession, runs: list[Run], path: str, run_id: str) -> None:
+    """Add the runs to the table at the path, below a folder of the run id: a repeated append replaces its own rows."""
+    rows = run_log(spark, runs).withColumn("run_id", F.lit(run_id)).coalesce(1)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All runs of the table, with the run id they were appended under."""
+    kinds = run_log(spark, []).schema.add("run_id", "string")
+    return spark.read.schema(kinds).parquet(path)
 
 
 def baseline_run(train: DataFrame, test: DataFrame) -> Run:

@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cityflow.sources.civic import first_existing
+
 
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
@@ -36,21 +38,58 @@ def read_ordered(spark: SparkSession, path: str) -> DataFrame:
     return read_mart(spark, path).orderBy("hour_bucket", "zone_id")
 
 
+def distinct_keys(new: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key, the least of several, folded map-side."""
+    rest = [c for c in new.columns if c not in key]
+    if not rest:
+        return new.distinct()
+    picked = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("r"))
+    return picked.select(*[F.col(c) if c in key else F.col(f"r.{c}").alias(c) for c in new.columns])
+
+
 def absent_rows(new: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of `new` whose key is not in `existing`, one per key.
+    """Rows of `new` whose key is not in `existing`, one per key."""
+    return distinct_keys(new, key).join(existing.select(*key), key, "left_anti").select(*new.columns)
+
+
+#: Folder column of a table kept by calendar units of its first key column.
+KEY_UNIT = "key_unit"
 
-    Of several new rows with a key the least one is kept, folded map-side.
-    """
-    rest = [c for c in new.columns if c not in key]
-    picked = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("r")) if rest else new.distinct()
-    unseen = picked.join(existing.select(*key), key, "left_anti")
-    return unseen.select(*[F.col(c) if c in key else F.col(f"r.{c}").alias(c) for c in new.columns])
 
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(KEY_UNIT)
 
-def upsert_new_rows(new: DataFrame, path: str, key: list[str]) -> None:
-    """Append the rows whose key is not stored yet; stored rows never change."""
+
+def stored_near(new: DataFrame, path: str, key: list[str], unit: str | None = None) -> DataFrame:
+    """The stored rows that can share a key with `new`: those between the bounds of its first key column, which come
+    from one small aggregate. Row groups outside are passed over by their statistics, and folders outside are not listed
+    as input if the table is kept by calendar units."""
+    stored = new.sparkSession.read.parquet(path)
+    low, high = new.agg(F.min(key[0]), F.max(key[0])).first()
+    kind = stored.schema[key[0]].dataType
+    near = stored.filter(F.col(key[0]).between(F.lit(low).cast(kind), F.lit(high).cast(kind)) | F.col(key[0]).isNull())
+    if unit:
+        first, last = (F.to_date(F.date_trunc(unit, F.lit(v).cast(kind))) for v in (low, high))
+        near = near.filter(F.col(KEY_UNIT).between(first, last) | F.col(KEY_UNIT).isNull())
+    return near
+
+
+def upsert_new_rows(new: DataFrame, path: str, key: list[str], unit: str | None = None) -> None:
+    """Append the rows whose key is not stored yet; stored rows never change.
+
+    With ``unit`` the table is kept in one folder for each calendar unit of the first key column, a timestamp, and
+    only folders that the new rows can touch are read. A table that is not there yet is made.
+    """
     spark = new.sparkSession
-    append(absent_rows(new, spark.read.parquet(path), key), path)
+    if first_existing(spark, [path]):
+        new = absent_rows(new, stored_near(new, path, key, unit), key)
+    else:
+        new = distinct_keys(new, key)
+    if unit:
+        dated = new.withColumn(KEY_UNIT, F.to_date(F.date_trunc(unit, key[0])))
+        dated.write.mode("append").partitionBy(KEY_UNIT).parquet(path)
+    else:
+        append(new, path)
 
 
 def write_mart(mart: DataFrame, path: str, unit: str = "MM", mode: str = "static") -> None:

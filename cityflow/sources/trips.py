@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import json
+import sys
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
 from cityflow.functions.numbers import clip
@@ -39,12 +46,43 @@ FILE_NAME = "yellow_tripdata_{month}.parquet"
 VALID_ZONES = (1, 263)
 VALID_FARE = (0, 500)
 VALID_DISTANCE = (0, 100)
+#: Footers that a task reads.
+PATHS_PER_TASK = 256
 
 
 def month_paths(folder: str, months: tuple[str, ...]) -> list[str]:
     return [f"{folder.rstrip('/')}/{FILE_NAME.format(month=m)}" for m in months]
 
 
+def _footer(path: str) -> str | None:
+    """The Spark schema (JSON) in the footer of a Parquet file, or of the first file of a folder; nothing where the
+    file system is none that Arrow can open."""
+    try:
+        store, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if path.startswith("/") else path)
+        if store.get_file_info(name).type == fs.FileType.Directory:
+            inside = store.get_file_info(fs.FileSelector(name, recursive=True))
+            files = sorted(f.path for f in inside if f.is_file and not f.base_name.startswith(("_", ".")))
+            name = files[0]
+        return from_arrow_schema(pq.read_schema(name, filesystem=store), prefer_timestamp_ntz=True).json()
+    except (pa.ArrowException, OSError, IndexError, ValueError):
+        return None
+
+
+def footer_schemas(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The schema of each path as JSON. Tasks read the footers, hundreds of paths each; only a path whose file system they
+    can't open is asked through the session, one by one."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_footer(p) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["path", "schema"])
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(-(-len(paths) // PATHS_PER_TASK))
+    found = {r.path: r.schema for r in listed.mapInArrow(read, "path string, schema string").collect()}
+    return {p: found[p] or spark.read.parquet(p).schema.json() for p in paths}
+
+
 def scan_months(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Monthly files, mapped columns only, with the name of the file each row came from.
 
@@ -52,8 +90,8 @@ def scan_months(spark: SparkSession, paths: list[str]) -> DataFrame:
     which is cast before the union, so the plan grows with the number of schemas and not of files.
     """
     by_schema: dict[str, list[str]] = {}
-    for path in paths:
-        by_schema.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
+    for path, schema in footer_schemas(spark, paths).items():
+        by_schema.setdefault(schema, []).append(path)
 
     def scan(schema: str, group: list[str]) -> DataFrame:
         raw = spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*group)

@@ -397,6 +397,11 @@ ORACLES: dict[str, str] = {
         "weather_hourly",
         "SELECT * EXCLUDE (is_raining, is_snowing) FROM weather_hourly WHERE hour(obs_dt) % 3 <> 0",
     ),
+    "upserted_table": over(
+        "weather_hourly",
+        """SELECT * EXCLUDE (is_raining, is_snowing) REPLACE (
+        CASE WHEN day(obs_dt) > 12 THEN temperature_f + 1 ELSE temperature_f END AS temperature_f) FROM weather_hourly""",
+    ),
     "events_dedup": over(
         "civic_fanout",
         """SELECT event_date, event_name, event_type, borough, est_attendance, is_major FROM civic_fanout

@@ -1,7 +1,9 @@
+import json
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cityflow import schemas
 from cityflow.sources import civic, economic, quality, sinks, trips, weather
@@ -149,6 +151,45 @@ def test_upsert_keeps_stored_rows(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "old"), (2, "old"), (3, "a")]
 
 
+def test_upsert_reads_only_the_units_it_can_touch(spark, tmp_path):
+    path, schema = f"{tmp_path}/t", "at TIMESTAMP_NTZ, v STRING"
+    hours = lambda day, v: [(datetime(2024, 1, day, h), v) for h in range(24)]
+    for day in range(1, 11):
+        sinks.upsert_new_rows(spark.createDataFrame(hours(day, "old"), schema), path, ["at"], unit="DD")
+    new = spark.createDataFrame(hours(4, "new") + hours(5, "new")[:3] + [(datetime(2024, 1, 5, 12, 30), "half")], schema)
+    near = sinks.stored_near(new, path, ["at"], unit="DD")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+    assert near.select(F.input_file_name().alias("f")).distinct().count() <= 2
+    sinks.upsert_new_rows(new, path, ["at"], unit="DD")
+    rows = sinks.read_keyed(spark, path)
+    assert rows.columns == ["at", "v"] and rows.count() == 241
+    assert {r.v: r["count"] for r in rows.groupBy("v").count().collect()} == {"old": 240, "half": 1}
+    sinks.upsert_new_rows(new.limit(0), path, ["at"], unit="DD")
+    assert sinks.read_keyed(spark, path).count() == 241
+
+
+def test_footers_are_read_by_tasks(spark, tmp_path):
+    kinds = ("int", "bigint", "double")
+    paths = []
+    for i in range(9):
+        paths.append(str(tmp_path / f"yellow_tripdata_{i}.parquet"))
+        row = spark.range(i + 1).select(F.col("id").cast(kinds[i % 3]).alias("PULocationID"), F.lit(1.5).alias("fare_amount"))
+        row = row.withColumn("tpep_pickup_datetime", F.lit("2024-01-01").cast("timestamp_ntz"))
+        row.coalesce(1).write.parquet(paths[-1])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("footers", "one job for all")
+    found = trips.footer_schemas(spark, paths)
+    jobs = tracker.getJobIdsForGroup("footers")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 2 and len(set(found.values())) == 3
+    for p in paths:
+        assert StructType.fromJson(json.loads(found[p])).simpleString() == spark.read.parquet(p).schema.simpleString()
+    rows = trips.scan_months(spark, paths)
+    assert rows.count() == 45 and dict(rows.dtypes)["pickup_zone"] == "bigint"
+    assert trips._footer("nowhere://x/y.parquet") is None and trips._footer(str(tmp_path / "none")) is None
+
+
 def test_table_listing(spark):
     spark.range(1).createOrReplaceTempView("listed_view")
     names = [r.table_name for r in quality.table_listing(spark).collect()]

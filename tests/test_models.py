@@ -146,6 +146,15 @@ def test_training_end_to_end(spark, trained, tmp_path):
     assert min(again) >= 0
 
 
+def test_a_repeated_append_adds_nothing(spark, trained, tmp_path):
+    runs, _ = trained
+    path = str(tmp_path / "runs")
+    for some, run_id in ((runs[:1], "first"), (runs[1:], "second"), (runs[1:], "second"), (runs[:1], "third")):
+        training.append_runs(spark, some, path, run_id)
+    rows = [(r.run_id, r.model) for r in training.read_runs(spark, path).collect()]
+    assert sorted(rows) == sorted([("first", runs[0].model), ("third", runs[0].model), *[("second", r.model) for r in runs[1:]]])
+
+
 def test_candidates_are_seeded_and_in_range():
     drawn = training.candidates(20)
     assert drawn == training.candidates(20) and len(drawn) == 20

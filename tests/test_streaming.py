@@ -80,3 +80,19 @@ def test_untouched_months_are_not_rewritten(spark, raw, tmp_path):
     refresh.refresh_touched(spark, trips, table, 1, mart.hourly_counts)
     assert all(p.exists() and p.stat().st_mtime_ns == t for p, t in files.items())
     assert sinks.read_mart(spark, table).agg(F.sum("trip_count")).first()[0] == cleaned.count()
+
+
+def test_a_batch_reads_its_own_months_only(spark, raw, tmp_path):
+    trips = str(tmp_path / "trips")
+    cleaned = clean_loader(raw)
+    january = F.col("pickup_dt") < F.lit("2024-02-01").cast("timestamp_ntz")
+    refresh.append_batch(cleaned.filter(january), 0, trips)
+    refresh.append_batch(cleaned.filter(~january), 1, trips)
+    assert refresh.touched_months(spark, trips, 0) == [date(2024, 1, 1)]
+    months = refresh.touched_months(spark, trips, 1)
+    assert date(2024, 1, 1) not in months
+    read = refresh.counts_of(spark, trips, [*months, date(1999, 1, 1)])
+    assert not [f for f in read.inputFiles() if "2024-01-01" in f]
+    assert read.agg(F.sum("trip_count")).first()[0] == cleaned.filter(~january).count()
+    assert refresh._months_before(date(2024, 3, 1), 8) == [date(2024, 2, 1)]
+    assert refresh._months_before(date(2024, 3, 1), 40) == [date(2024, 1, 1), date(2024, 2, 1)]
