@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,27 +39,35 @@ CUES = (
     r"(?i)(?:tel|phone|call|fax|mobile|cell)\W*$",
 )
 
-# Each feature is a small number, so that the table of all their combinations is bounded.
-FEATURES = {"kind": 4, "digits": 6, "groups": 5, "longest": 5, "marks": 16, "luhn": 2, "cue": 3, "before": 3, "after": 3}
-#: Rows that the fit can be given at most: combinations, label and fold.
-MOST_ROWS = 4 * math.prod(FEATURES.values())
+# Each feature is a small number, so that the table of all their combinations is bounded. None of them tells a rewritten
+# base match from what the generators find; styles are digits and signs, spelled out, eight groups, other groups.
+FEATURES = {"kind": 4, "digits": 6, "groups": 5, "longest": 5, "marks": 16, "luhn": 2, "cue": 3, "before": 3, "after": 3, "style": 4}
+#: Rows that the fit can be given at most: combinations, label, fold, and whether the span was rewritten.
+MOST_ROWS = 8 * math.prod(FEATURES.values())
 ROUNDS, DEPTH, RATE, RIDGE = 30, 3, 0.3, 1.0
-#: A kind's threshold is the lowest score at which so many of the fold kept for calibration are true.
+#: A kind's threshold is the lowest score at which so many of the rewritten matches and negatives kept for calibration
+#: are matches.
 PRECISION = 0.98
 
 
-def _running(lengths: Column) -> Column:
-    """Sums of all elements before each one, and of all: one element more. Blocks keep it near linear."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """The expression of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, add: Callable[[Column, Column], Column] = lambda a, b: a + b, first: int = 0) -> Column:
+    """Sums (or what ``add`` makes) of all elements before each one, and of all: one element more. Blocks keep it near
+    linear."""
     step = 256
 
     def plain(xs: Column) -> Column:
-        zero = F.array(F.lit(0).cast("long"))
-        return F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        zero = F.array(F.lit(first).cast("long"))
+        return F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x))))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / step).cast("int")), lambda b: F.slice(lengths, b * step + 1, step))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / step).cast("int")), lambda b: F.slice(values, b * step + 1, step))
     inner = F.transform(blocks, plain)
     bases = plain(F.transform(inner, lambda x: F.element_at(x, -1)))
-    shift = lambda xs, b: F.transform(F.slice(xs, 1, F.size(xs) - 1), lambda x: x + b)
+    shift = lambda xs, b: F.transform(F.slice(xs, 1, F.size(xs) - 1), lambda x: add(b, x))
     shifted = F.zip_with(inner, F.slice(bases, 1, F.size(blocks)), shift)
     return F.concat(F.flatten(shifted), F.array(F.element_at(bases, -1)))
 
@@ -144,37 +153,84 @@ def _features(kind: int, s: Column) -> Column:
         F.when(s["left"].rlike(CUES[kind]), 1).when(s["left"].rlike(f"(?i)(?:{other})"), 2).otherwise(0).alias("cue"),
         edge(F.right(s["left"], F.lit(1))).alias("before"),
         edge(s["right"]).alias("after"),
-    )
+        F.when(F.size(F.split(value, ":")) == 8, 2).when(value.contains(":"), 3)
+        .when(F.lit(kind == 0) & value.rlike(r"\x20(?:at|dot)\x20|[(\[](?:at|dot)[)\]]"), 1).otherwise(0).alias("style"),
+    )
 
 
 def _span(s: Column, kind: Column) -> Column:
     return F.struct(s["start"].alias("start"), kind.alias("kind"), s["end"].alias("end"))
 
 
-def _valid(kind: int) -> Column:
-    """The base matches of a kind that meet its condition."""
-    matches = F.filter(f"b{kind}", lambda s: holds(KINDS[kind], s["value"]))
-    return F.transform(matches, lambda s: _span(s, F.lit(kind)))
+def _rewritten(kind: str, value: Column) -> Column:
+    """A base match as the base pattern doesn't find it: spelled out, in hexadecimal groups, with other separators, without
+    its sign."""
+    if kind == "email":
+        return F.replace(F.replace(value, F.lit("@"), F.lit(" at ")), F.lit("."), F.lit(" dot "))
+    if kind == "ip":
+        return F.regexp_replace(F.md5(value), "([0-9a-f]{4})(?=[0-9a-f])", "$1:")
+    if kind == "card":
+        plain = F.regexp_replace(value, r"([0-9]{4})(?=[0-9])", "$1.")
+        return F.when(value.rlike("[ -]"), F.regexp_replace(value, "[ -]", ".")).otherwise(plain)
+    return F.ltrim(value, F.lit("+"))
 
 
 def _proposed(kind: int) -> Column:
-    return F.transform(F.array_distinct(F.concat(f"b{kind}", f"w{kind}")), lambda s: _features(kind, s))
+    """What base pattern and generator of a kind propose, a span once: structs of features, label and two flags.
 
+    The label is 1 for valid base matches and for what these would be if they were rewritten (``made``; those are only
+    learned from), 0 for what fails the condition of its kind, and for generated spans of the common style that no word of
+    their kind comes before. Other generated spans have none.
+    """
+    name, every = KINDS[kind], "struct<start:bigint,end:bigint,source:int,s:struct<start:bigint,end:bigint,value:string,left:string,right:string>>"
+    tagged = lambda source, c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(source).alias("source"), s.alias("s")))
+    ordered = F.array_sort(F.concat(tagged(0, F.col(f"b{kind}")), tagged(1, F.col(f"w{kind}"))).cast(f"array<{every}>"))
 
-def candidates(docs: DataFrame, *kept: str) -> DataFrame:
-    """(doc_id, base, found) and kept columns: valid base spans (start, kind, end), and all candidates with features and label.
+    def once(xs: Column) -> Column:
+        """Generated spans that a base match has too stand right behind it."""
+        def fresh(x: Column, i: Column) -> Column:
+            before = F.get(xs, i - 1)
+            same = (before["start"] == x["start"]) & (before["end"] == x["end"])
+            return (x["source"] == 0) | ~F.coalesce(same, F.lit(False))
 
-    Candidates are what base patterns and generators propose, valid or not; their label says
-    whether the same span of the same kind is a valid base match.
-    """
+        return F.filter(xs, fresh)
+
+    fields = ("start", "end", "value", "left", "right")
+
+    def with_rewritten(x: Column) -> Column:
+        """A proposed span, and behind it what it would be if it were rewritten, if it is a valid base match."""
+        changed = F.struct(*[(_rewritten(name, x["s"][f]) if f == "value" else x["s"][f]).alias(f) for f in fields])
+        one = lambda s, base, made: F.struct(s.alias("s"), x["source"].alias("source"), base.alias("base"), F.lit(made).alias("made"))
+        valid = F.coalesce((x["source"] == 0) & holds(name, x["s"]["value"]), F.lit(False))
+        own = lambda v: F.when(v, F.array(one(x["s"], v, False), one(changed, ~v, True))).otherwise(F.array(one(x["s"], v, False)))
+        return _let(valid, own)
+
+    def judged(x: Column) -> Column:
+        s, c = x["s"], _features(kind, x["s"])
+
+        def label(c: Column) -> Column:
+            wrong = c["luhn"] == 0 if name == "card" else ~holds(name, s["value"]) if name == "ip" else F.lit(False)
+            sure = F.when(c["style"] == 3, 0).when(c["style"] > 0, F.lit(None)).when(wrong | (c["cue"] != 1), 0)
+            found = F.when(x["base"] | x["made"], 1).when(x["source"] == 0, 0).otherwise(sure)
+            return F.struct(c.alias("c"), found.cast("int").alias("label"), x["base"].alias("base"), x["made"].alias("made"))
+
+        return _let(c, label)
+
+    def all_of(xs: Column) -> Column:
+        return F.transform(F.flatten(F.transform(xs, with_rewritten)), judged)
+
+    return _let(_let(ordered, once), all_of)
+
+
+def candidates(docs: DataFrame, *kept: str) -> DataFrame:
+    """(doc_id, base, found) and kept columns: valid base spans (start, kind, end), and all candidates (see ``_proposed``)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(*kept, F.col("doc_id").cast("long").alias("_id"), text.alias("_text"))
     found = [spans(F.col("_text"), p[k]).alias(f"{name}{i}") for name, p in (("b", BASE), ("w", WIDE)) for i, k in enumerate(KINDS)]
     rows = rows.select(*kept, F.col("_id").alias("doc_id"), *found)
-    rows = rows.withColumn("base", F.sort_array(F.concat(*[_valid(i) for i in range(len(KINDS))])))
-    rows = rows.select(*kept, "doc_id", "base", F.concat(*[_proposed(i) for i in range(len(KINDS))]).alias("found"))
-    label = lambda c: F.array_contains("base", _span(c, c["kind"]))
-    return rows.withColumn("found", F.transform("found", lambda c: F.struct(c.alias("c"), label(c).alias("label"))))
+    rows = rows.select(*kept, "doc_id", F.concat(*[_proposed(i) for i in range(len(KINDS))]).alias("found"))
+    base = F.transform(F.filter("found", lambda x: x["base"]), lambda x: _span(x["c"], x["c"]["kind"]))
+    return rows.withColumn("base", F.sort_array(base))
 
 
 @dataclass
@@ -205,19 +261,20 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int) -> tuple[np.n
 
 
 def fit(found: DataFrame) -> Model:
-    """Boosted trees from the counts of all candidates by features and label.
+    """Boosted trees from the counts of all labelled candidates by features and label.
 
     Spark counts equal candidates first, so the driver sees at most MOST_ROWS rows however many
-    documents there are. A fifth of the documents, chosen by a hash of doc_id, only calibrates.
-    Without candidates nothing is ever added.
+    documents there are. A fifth of the documents, chosen by a hash of doc_id, only calibrates, by rewritten matches
+    and negatives. Without these nothing is ever added.
     """
     fold = (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("fold")
-    rows = found.select(fold, F.inline("found")).select("fold", "label", "c.*")
-    table = rows.groupBy(*FEATURES, "label", "fold").agg(F.count("*").alias("n")).orderBy(*FEATURES, "label", "fold").collect()
+    rows = found.select(fold, F.inline("found")).where("label is not null").select("fold", "label", "made", "c.*")
+    keys = (*FEATURES, "label", "made", "fold")
+    table = rows.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(*keys).collect()
     if not table:
         return Model("0.0D", [math.inf] * len(KINDS))
     x = np.array([[r[f] for f in FEATURES] for r in table])
-    y, w, kept = (np.array([r[c] for r in table], float) for c in ("label", "n", "fold"))
+    y, w, kept, made = (np.array([r[c] for r in table], float) for c in ("label", "n", "fold", "made"))
     train, raw, trees = w * (1 - kept), np.zeros(len(x)), []
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-raw))
@@ -226,7 +283,7 @@ def fit(found: DataFrame) -> Model:
         trees.append(sql)
     thresholds = []
     for kind in range(len(KINDS)):
-        own = (x[:, 0] == kind) & (kept == 1)
+        own = (x[:, 0] == kind) & (kept == 1) & ((made == 1) | (y == 0))
         levels = [s for s in np.unique(raw[own]) if (w * y)[own & (raw >= s)].sum() >= PRECISION * w[own & (raw >= s)].sum()]
         thresholds.append(max(0.0, float(min(levels)) - 1e-4) if levels else math.inf)
     return Model(" + ".join(trees), thresholds)
@@ -236,19 +293,38 @@ def find(docs: DataFrame, *kept: str) -> DataFrame:
     """(doc_id, base, spans) of every row: sorted arrays of (start, kind, end), kind counting in KINDS; kept columns stay beside them.
 
     Generators with high recall propose overlapping spans, valid base matches among them; boosted
-    trees score them by format and context; a kind's spans at or above its calibrated threshold
-    are taken unless they overlap a base span. Base spans always stay. Whole texts are read;
+    trees, learned from base matches in rewritten forms against real negatives, score them by format and context; a
+    kind's spans at or above its calibrated threshold are taken unless they overlap a base span or fail the condition
+    of their kind (a card's check digit, an address's octets). Base spans always stay. Whole texts are read;
     null texts are empty; repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
     rows = settle(candidates(docs, *kept), "personal-candidates")
     model = fit(rows)
     bars = "array(" + ",".join(f"{'double(\"inf\")' if math.isinf(t) else f'{t:.6f}D'}" for t in model.thresholds) + ")"
-    taken = F.expr(f"filter(found, x -> {model.score} >= get({bars}, x.c.kind))")
-    clear = F.filter(taken, lambda x: ~F.exists("base", lambda b: (b["start"] < x["c"]["end"]) & (x["c"]["start"] < b["end"])))
-    more = F.transform(clear, lambda x: _span(x["c"], x["c"]["kind"]))
+    fails = "(x.c.kind = 2 and x.c.luhn = 0) or (x.c.kind = 1 and coalesce(x.label, 1) = 0)"
+    taken = F.expr(f"filter(found, x -> not x.base and not x.made and not ({fails}) and {model.score} >= get({bars}, x.c.kind))")
+    more = F.transform(_clear(taken, F.col("base")), lambda x: _span(x["c"], x["c"]["kind"]))
     return rows.select(*kept, "doc_id", "base", F.sort_array(F.array_distinct(F.concat("base", more))).alias("spans"))
 
 
+def _clear(taken: Column, base: Column) -> Column:
+    """The taken candidates that overlap no base span: of the base spans that begin before a candidate ends, none may reach
+    beyond its start. All begins and ends are sorted once, so texts of many spans take no longer than sorting."""
+    none = F.filter(taken, lambda x: F.lit(False))
+    event = lambda pos, kind, reach, x: F.struct(pos.alias("pos"), F.lit(kind).alias("kind"), reach.cast("long").alias("reach"), x.alias("x"))
+    begins = F.transform(base, lambda b: event(b["start"], 1, b["end"], F.get(none, F.lit(0))))
+    ends = F.transform(taken, lambda x: event(x["c"]["end"], 0, F.lit(-1), x))
+
+    def left(events: Column) -> Column:
+        def with_reach(reach: Column) -> Column:
+            good = F.filter(events, lambda e, i: (e["kind"] == 0) & (F.get(reach, i) <= e["x"]["c"]["start"]))
+            return F.transform(good, lambda e: e["x"])
+
+        return _let(_running(F.transform(events, lambda e: e["reach"]), F.greatest, -1), with_reach)
+
+    return F.when(F.size(taken) > 0, _let(F.array_sort(F.concat(begins, ends)), left)).otherwise(none)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each span in ``text`` replaced by its kind in brackets; overlapping spans count as the first of them.
 

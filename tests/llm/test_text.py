@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -159,6 +160,62 @@ def test_boosted_trees_add_spans_of_the_same_shape(spark):
     assert all(found[i] == [] for i in range(0, 400, 2))
 
 
+def test_rewritten_data_is_found(spark):
+    """Common rewritten forms beside base matches and look-alikes; recall and precision of what is added."""
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("23456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8)))
+
+    def card(sep):
+        body = "4" + digits(14)
+        total = sum(int(d) if i % 2 else (2 * int(d) - 9 * (int(d) > 4)) for i, d in enumerate(body))
+        number = body + str(-total % 10)
+        return sep.join(number[i : i + 4] for i in range(0, 16, 4))
+
+    base = (
+        lambda: f"write to {word()}@{word()}.org now",
+        lambda: f"pay by card {card(' ')} today",
+        lambda: f"please call +1 ({digits(3)}) 555-{digits(4)} now",
+        lambda: f"the host 10.{rng.randrange(256)}.3.{rng.randrange(256)} is up",
+    )
+    wrong = (
+        lambda: f"order {digits(9)} of {digits(7)} parts",
+        lambda: f"pay by card {(c := card('.'))[:-1]}{(int(c[-1]) + 1) % 10} no",
+        lambda: f"version {digits(3)}.{digits(3)}.{digits(3)}.{digits(3)} of it",
+        lambda: f"the clock 12:34:56:78:{rng.randrange(10, 99)} was",
+    )
+    hidden = (
+        lambda: ("email", f"{word()} at {word()} dot org", "write to {} now"),
+        lambda: ("email", f"{word()} (at) {word()} (dot) com", "mail {} now"),
+        lambda: ("card", card("."), "pay by card {} today"),
+        lambda: ("phone", f"1 ({digits(3)}) 555-{digits(4)}", "please call {} now"),
+        lambda: ("ip", ":".join(f"{rng.randrange(4096, 65536):x}" for _ in range(8)), "the host {} is up"),
+    )
+    texts, planted = [], []
+    for i in range(600):
+        texts.append(base[i % 4]())
+        texts.append(wrong[i % 4]())
+        if i % 4 == 0:
+            kind, value, around = hidden[i // 4 % 5]()
+            at = around.index("{")
+            planted.append((len(texts), at, personal.KINDS.index(kind), at + len(value)))
+            texts.append(around.format(value))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = personal.find(frame).collect()
+    added = {(r.doc_id, *s) for r in rows for s in r.spans if s not in r.base}
+    right = added & set(planted)
+    assert len(right) >= 0.9 * len(planted) and len(right) >= 0.95 * len(added), (len(right), len(planted), len(added), [(texts[i], k) for i, a, k, b in sorted(added - set(planted))][:6])
+    assert all(len(r.base) == (r.doc_id in {i for i, t in enumerate(texts) if brute.personal(t)}) for r in rows)
+
+
+def test_many_spans_of_a_text_take_no_square(spark):
+    text = "1.2.3.4 " * 20_000 + "call 212 555 0199"
+    frame = spark.createDataFrame([(1, text), (2, "call +1 212 555 0199")], "doc_id long, text string")
+    started = time.monotonic()
+    rows = {r.doc_id: r for r in personal.find(frame).collect()}
+    assert len(rows[1].base) == 20_000 and time.monotonic() - started < 120
+
+
 def test_redaction(spark, empty):
     texts = ["mail a@b.org now", None, "", "10.1.2.3 and 10.1.2.3", "no data", "😀 a@b.org"]
     frame = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, spans int")
