@@ -26,6 +26,8 @@ class Tile:
     """
 
     def __init__(self, vectors: np.ndarray):
+        # by a power of two, which changes no digit, so that no square is too large or too small for a double
+        vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1])
         self.full = vectors
         self.length = np.sqrt((vectors * vectors).sum(1))
         unit = vectors / np.abs(vectors).max(1, keepdims=True)

@@ -167,6 +167,15 @@ def test_vector_tiles_lose_nothing(spark, monkeypatch):
     assert Counter(map(tuple, vectors.near_vectors(frame).collect())) == want
 
 
+def test_vectors_of_any_size_link(spark):
+    size = (1.0, 1e200, 1e-200, 1e308, 5e-324)
+    rows = [(2 * i + j, v, i) for i, s in enumerate(size) for j, v in enumerate(([s, s], [min(1.1 * s, 1.7e308), s]))]
+    rows += [(20, [1e200, 1e200], 9), (21, [1e-200, 1.05e-200], 9), (22, [1e200, -1e200], 9)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(frame).collect()}
+    assert got == {**{i: (1, i - i % 2) for i in range(10)}, 20: (1, 20), 21: (1, 20), 22: (0, 22)}
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(5)
     a, b = (vectors.Tile(rng.normal(size=(80, 32)) * 10.0 ** rng.integers(-5, 5, (80, 1))) for _ in range(2))
