@@ -748,6 +748,40 @@ def _runs(spark: SparkSession, sf: str) -> list:
     return _once(spark, sf, "runs", build)
 
 
+def _predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored test predictions of the baseline and of every fitted model, one row per model and test row."""
+
+    def build() -> str:
+        _, test = _stored(spark, sf)
+        path, keys = scratch(spark, "predictions"), ("hour_bucket", "zone_id", "actual", "prediction")
+        days = split.temporal_split(day_mart(spark, sf).select(*COUNTS, "hour_of_day", "day_of_week"))
+        plain = [days.filter(f"split = '{p}'").drop("split") for p in ("train", "test")]
+        training.store_predictions(baseline.baseline_predictions(*plain).select(*keys), path, "historical_average", "first")
+        for name in RUNS:
+            found = training.predictions(_model(spark, sf, name), test).select(*keys)
+            training.store_predictions(found, path, name, "first")
+        return path
+
+    return spark.read.parquet(_once(spark, sf, "predictions", build))
+
+
+def stored_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """All models by their stored predictions: sums of each month are kept, and add up to the metrics of the run table."""
+    month = F.date_trunc("month", "hour_bucket").alias("month")
+    sums = settle(metrics.error_sums(_predictions(spark, sf).withColumn("month", month), ("model", "month")), "error-sums")
+    return metrics.metrics_of_sums(sums, ("model",)).orderBy("rmse", "model")
+
+
+def stored_comparison_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every model has a prediction for each test row; metrics from stored sums are those of the run table; the baseline's
+    values are those that SQL finds."""
+    logged = run_log(spark, sf).select("model", *[F.col(m).alias(f"run_{m}") for m in metrics.METRICS])
+    close = [F.abs(F.col(m) - F.col(f"run_{m}")) <= 1e-4 * (1 + F.abs(F.col(m))) for m in metrics.METRICS]
+    shown_of = lambda m: F.round(F.when(F.col("model") == "historical_average", F.col(m)), 4).alias(m)
+    both = stored_comparison(spark, sf).join(logged, "model")
+    return both.select("model", "n", reduce(lambda a, b: a & b, close).alias("agrees"), *[shown_of(m) for m in ("rmse", "mae")])
+
+
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
     """Train, measure, append the runs to the stored log (one load twice), keep the best model as an artifact and load it again."""
     runs, path = _runs(spark, sf), scratch(spark, "artifact")
@@ -1006,6 +1040,8 @@ QUERIES: dict[str, Query] = {
             ("tuned_model", "tuned"),
         )
     },
+    "stored_comparison": stored_comparison,
+    "stored_comparison_facts": stored_comparison_facts,
     "search_facts": search_facts,
     "run_facts": run_facts,
     "importance_facts": importance_facts,

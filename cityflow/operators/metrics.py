@@ -30,6 +30,31 @@ def regression_metrics(rows: DataFrame, by: tuple[str, ...] = (), digits: int =
     )
 
 
+def error_sums(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """What the metrics are made of, per group: sums that can be added up over groups, batches or days."""
+    y, p = F.col("actual").cast("double"), F.col("prediction")
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count(F.when(y != 0, 1)).alias("n_nonzero"), F.sum(y).alias("y"), F.sum(y * y).alias("yy"),
+        F.sum((y - p) * (y - p)).alias("squared"), F.sum(F.abs(y - p)).alias("absolute"),
+        F.sum(F.when(y != 0, F.abs((y - p) / F.nullif(y, F.lit(0.0))))).alias("shares"),
+    )
+
+
+def metrics_of_sums(sums: DataFrame, by: tuple[str, ...], digits: int = 6) -> DataFrame:
+    """The metrics of ``regression_metrics`` and the number of rows, from error sums of any grouping finer than ``by``."""
+    parts = ("n", "n_nonzero", "y", "yy", "squared", "absolute", "shares")
+    whole = sums.groupBy(*by).agg(*[F.sum(c).alias(c) for c in parts])
+    spread = F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+    r2 = F.when(spread > 0, 1 - F.col("squared") / spread).when(F.col("squared") == 0, 1.0).otherwise(0.0)
+    return whole.select(
+        *by, "n",
+        F.round(F.sqrt(F.col("squared") / F.col("n")), digits).alias("rmse"),
+        F.round(F.col("absolute") / F.col("n"), digits).alias("mae"),
+        F.coalesce(F.round(F.try_divide("shares", "n_nonzero") * 100, digits), F.lit(float("nan"))).alias("mape"),
+        F.round(r2, digits).alias("r2"),
+    )
+
+
 def model_comparison(rows: DataFrame) -> DataFrame:
     """One line per `model`, rounded for reading, best rmse first."""
     return (

@@ -259,6 +259,12 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(kinds).parquet(path)
 
 
+def store_predictions(rows: DataFrame, path: str, model: str, run_id: str) -> None:
+    """Keep a run's predictions (keys, actual, prediction) below a folder of the model and run; a retry replaces them."""
+    named = rows.withColumns({"model": F.lit(model), "run_id": F.lit(run_id)})
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "run_id").parquet(path)
+
+
 def baseline_run(train: DataFrame, test: DataFrame) -> Run:
     """The historical average as a run of its own, timed like the models."""
     started = time.monotonic()

@@ -727,6 +727,16 @@ ORACLES: dict[str, str] = {
     "search_facts": "SELECT CAST(i AS INTEGER) AS place, TRUE AS all_drawn, TRUE AS in_order, TRUE AS patient FROM range(50) t(i)",
     "run_facts": """SELECT unnest(['historical_average', 'linear', 'random_forest', 'random_forest_deep', 'boosted_a', 'boosted_b', 'early_stopping']) AS model,
         TRUE AS measured, TRUE AS timed, FALSE AS baseline_best, CAST(1 AS BIGINT) AS n_best""",
+    "stored_comparison_facts": over(
+        "baseline",
+        f"""SELECT model, (SELECT count(*) FROM baseline) AS n, TRUE AS agrees,
+        CASE WHEN model = 'historical_average' THEN
+            (SELECT {R('sqrt(avg((trip_count - prediction) * (trip_count - prediction)))', 4)} FROM baseline) END AS rmse,
+        CASE WHEN model = 'historical_average' THEN
+            (SELECT {R('avg(abs(trip_count - prediction))', 4)} FROM baseline) END AS mae
+        FROM (SELECT unnest(['historical_average', 'linear', 'random_forest', 'random_forest_deep', 'boosted_a', 'boosted_b',
+        'early_stopping']) AS model)""",
+    ),
     "importance_facts": "SELECT unnest(['feature_importance', 'global_importance']) AS report, CAST(15 AS BIGINT) AS n_rows, CAST(15 AS BIGINT) AS n_features",
     "forecast_rows": over(
         "test",

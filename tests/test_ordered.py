@@ -87,6 +87,22 @@ def test_every_nth(spark, spacing):
     assert got == keys[::6]
 
 
+def test_rows_read_in_order_are_not_moved(spark, tmp_path):
+    keys = sorted(random.Random(5).sample(range(10**6), 5000))
+    for i in range(4):  # later files are longer, and named against the order
+        part = keys[i * i * 312 : (i + 1) ** 2 * 312 if i < 3 else None]
+        spark.createDataFrame([(k, k % 5) for k in part], "id BIGINT, v INT").coalesce(1).write.parquet(f"{tmp_path}/t/f={9 - i}")
+    rows = spark.read.parquet(f"{tmp_path}/t").where("v <> 2")
+    got = sampling.every_nth(rows, "id", 7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan and "Window" not in plan
+    assert sorted(r.id for r in got.collect()) == [k for k in keys if k % 5 != 2][::7]
+    shuffled = rows.repartition(3)
+    assert sampling.placed_as_read(shuffled, "id", "p") is None
+    mixed = spark.createDataFrame([(k,) for k in (3, 1, 2)], "id BIGINT").coalesce(1)
+    assert sampling.placed_as_read(mixed, "id", "p") is None
+
+
 def test_every_row_counts_those_without_a_key_first(spark):
     rows = spark.createDataFrame([(None,), (4,), (2,)], "id BIGINT")
     assert sampling.every_nth(rows, "id", 1).count() == 3
