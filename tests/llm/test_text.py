@@ -119,6 +119,18 @@ def test_repeats(spark, rows, empty, monkeypatch, surroundings):
         assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_repeat_digests_carry_the_text_that_is_left(spark):
+    passage = "é" + "".join(random.Random(2).choice("abcdé ") for _ in range(420))
+    texts = ["a" + passage + "Ü", "x" + passage[1:] + "y", "clean ünd short", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id: (bytes(r.kept), r.n_removed) for r in suffixes.remove_repeats(docs).collect()}
+    for r in suffixes.repeat_digests(docs).collect():
+        left, removed = kept[r.doc_id]
+        assert r.kept_sha256 == hashlib.sha256(left).hexdigest() and r.text == left.decode(errors="replace")
+        assert (r.text == (texts[r.doc_id] or "")) == (removed == 0)
+    assert kept[0][1] > 400 and kept[2][1] == kept[3][1] == 0
+
+
 def test_blocks_of_a_long_text(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 100, 6000).astype(np.uint8)
