@@ -814,12 +814,16 @@ def forecast_vs_actual(spark: SparkSession, sf: str) -> DataFrame:
     return training.predictions(_model(spark, sf, "boosted_a"), zone).select("hour_bucket", "actual", "prediction")
 
 
+# The model that answers requests: boosting with patience, as published.
+SERVED = "early_stopping"
+
+
 def batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.score_requests(
         prediction_requests(spark, sf),
         b.zones(spark, sf),
-        _model(spark, sf, "boosted_a"),
-        _leaves(spark, sf, "boosted_a"),
+        _model(spark, sf, SERVED),
+        _leaves(spark, sf, SERVED),
         training.VERSION,
     )
 
