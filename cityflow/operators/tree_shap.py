@@ -205,7 +205,11 @@ def attributions(leaves: Leaves, x: np.ndarray) -> np.ndarray:
 
 
 def model_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """Node rows of a saved MLlib ensemble or single tree stage."""
+    """Node rows of a written node table, or of a saved MLlib ensemble or single tree stage."""
+    names = ("treeID", "id", "leftChild", "rightChild", "prediction", "cover", "feature", "threshold")
+    written = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    if set(names) <= set(written.columns):
+        return written.select(*names)
     data = spark.read.parquet(f"{path}/data")
     data = data.select("treeID", "nodeData.*") if "treeID" in data.columns else data.withColumn("treeID", F.lit(0))
     return data.select(

@@ -2,31 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityflow.functions.numbers import safe_float
 from cityflow.operators.baseline import prediction_interval, served_trips
 from cityflow.operators.boosting import Boosted
+from cityflow.operators.forest import Forest
 from cityflow.operators.tree_shap import Explainer, explain, explainer, model_nodes
 from cityflow.plans.features import align_to, features_serve
 from cityflow.plans.registry import MODEL_FEATURES
 from cityflow.plans.requests import request_rows, validate_requests
 
 
-def load_leaves(spark: SparkSession, model: PipelineModel | Boosted, path: str) -> Explainer:
+def load_leaves(spark: SparkSession, model: Boosted | Forest, path: str) -> Explainer:
     """The leaves of a fitted ensemble, whose node table is saved once below `path`."""
     if isinstance(model, Boosted):
         model.nodes(spark).write.mode("overwrite").parquet(path)
         weights = dict.fromkeys(range(model.rounds), 1.0)
         return explainer(spark.read.parquet(path), len(MODEL_FEATURES), weights, model.base)
-    stage = model.stages[-1]
-    stage.write().overwrite().save(path)
-    # A forest averages its trees, boosting adds them up with their weights.
-    each = 1.0 / stage.getNumTrees if type(stage).__name__.startswith("RandomForest") else None
-    weights = {i: each if each else w for i, w in enumerate(stage.treeWeights)}
-    return explainer(model_nodes(spark, path), len(MODEL_FEATURES), weights)
+    # A forest averages its trees.
+    model.nodes().write.mode("overwrite").parquet(path)
+    each = 1.0 / model.settings.numTrees
+    return explainer(model_nodes(spark, path), len(MODEL_FEATURES), dict.fromkeys(range(model.settings.numTrees), each))
 
 
 def contribution_structs(values: Column) -> Column:
@@ -64,7 +62,7 @@ def top_factors(values: Column, n: int) -> Column:
     )
 
 
-def explained(matrix: DataFrame, model: PipelineModel | Boosted, leaves: Explainer) -> DataFrame:
+def explained(matrix: DataFrame, model: Boosted | Forest, leaves: Explainer) -> DataFrame:
     """Raw predictions and one contribution per feature for rows of the feature matrix."""
     scored = model.transform(align_to(matrix, MODEL_FEATURES)).withColumnRenamed("prediction", "raw_prediction")
     return explain(scored.drop("features"), leaves, MODEL_FEATURES)
@@ -73,7 +71,7 @@ def explained(matrix: DataFrame, model: PipelineModel | Boosted, leaves: Explain
 def score_requests(
     requests: DataFrame,
     zones: DataFrame,
-    model: PipelineModel | Boosted,
+    model: Boosted | Forest,
     leaves: Explainer,
     version: str,
     top_n: int = 5,
