@@ -10,8 +10,8 @@ value function, the Shapley value of feature j is
 because the Shapley weight |S|! (d - 1 - |S|)! / d! is the integral of
 t^|S| (1 - t)^(d - 1 - |S|). The integrand has degree d - 1, so Gauss-Legendre
 with ceil(d / 2) nodes is exact. Paths are built by joins over the node table, level by
-level, and packed into blocks of leaves. Rows stay in their partitions; what travels
-are the blocks, whose number depends on the model and not on the data.
+level, and packed into blocks of leaves. The one block of a small model is broadcast, and rows
+stay in their partitions. The blocks of a larger model stay a table: chunks of rows meet them in tasks.
 """
 
 from __future__ import annotations
@@ -23,14 +23,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cityflow.operators.crossed import crossed
 from cityflow.session import remove, scratch
 
-CELLS_PER_BLOCK = 1_000_000  # leaves x path length of one broadcast; 32 bytes each
+CELLS_PER_BLOCK = 100_000  # leaves x path length of one block; 32 bytes each
 CELLS_PER_LEAF_BLOCK = 30_000
 CELLS_PER_CHUNK = 1_000_000
 LOOKUP_DEPTH = 6
@@ -51,19 +52,39 @@ class Leaves:
 
 @dataclass
 class Explainer:
-    """The leaves of an ensemble in broadcast blocks, and the expected prediction when no feature is known."""
+    """The leaves of an ensemble in blocks, and the expected prediction when no feature is known.
 
-    blocks: list[Broadcast]
+    A single block is broadcast; of several, ``blocks`` holds the numbers, and ``table`` the blocks.
+    """
+
+    blocks: list
     n_features: int
     base: float
+    depth: int = 1
+    table: DataFrame | None = None
+    files: tuple[str, ...] = ()
 
     def pieces(self) -> Iterator[Leaves]:
-        for block in self.blocks:
-            yield Leaves(*block.value, self.n_features)
+        if self.table is None:
+            found = (block.value for block in self.blocks)
+        else:
+            found = (_shaped(r, self.depth) for r in self.table.toLocalIterator())
+        for block in found:
+            yield Leaves(*block, self.n_features)
 
     def release(self) -> None:
-        for block in self.blocks:
-            block.destroy()
+        if self.table is None:
+            for block in self.blocks:
+                block.destroy()
+        else:
+            for file in self.files:
+                remove(self.table.sparkSession, file)
+
+
+def _shaped(row: tuple, depth: int) -> tuple:
+    """The arrays of a block from a row of the packed table, whose first column numbers it."""
+    cells = [np.frombuffer(row[i], np.int64 if i == 1 else float).reshape(-1, depth) for i in range(1, 5)]
+    return (*cells, np.frombuffer(row[5]))
 
 
 def leaf_paths(nodes: DataFrame, weights: dict[int, float]) -> DataFrame:
@@ -142,23 +163,37 @@ def _packed(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
 
 
 def explainer(nodes: DataFrame, n_features: int, weights: dict[int, float], offset: float = 0.0) -> Explainer:
-    """Blocks of leaves of an ensemble of any size; the driver holds one at a time on their way to the broadcasts."""
+    """Blocks of leaves of an ensemble of any size; only one that is a single block passes through the driver."""
     spark = nodes.sparkSession
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    path = scratch(spark, "leaves")
+    path, blocks = scratch(spark, "leaves"), scratch(spark, "leaf-blocks")
     leaf_paths(nodes, weights).write.parquet(path)
     leaves = spark.read.parquet(path)
     expected = F.col("value") * F.aggregate("tests", F.lit(1.0), lambda z, t: z * t["cover"])
-    base, depth = leaves.agg(F.sum(expected), F.max(F.size("tests"))).first()
-    depth = max(1, depth or 0)
-    packed = leaves.select("tests", "value").mapInArrow(
+    base, depth, n = leaves.agg(F.sum(expected), F.max(F.size("tests")), F.count("*")).first()
+    depth, base = max(1, depth or 0), (base or 0.0) + offset
+    rows = leaves.select("tests", "value")
+    if (n or 0) * depth <= CELLS_PER_BLOCK:
+        rows = rows.coalesce(1)
+    packed = rows.mapInArrow(
         lambda it: _packed(it, depth), "feature binary, low binary, high binary, cover binary, value binary"
     )
-    blocks = []
-    for r in packed.toLocalIterator():
-        shaped = [np.frombuffer(r[i], np.int64 if i == 0 else float).reshape(-1, depth) for i in range(4)]
-        blocks.append(spark.sparkContext.broadcast((*shaped, np.frombuffer(r[4]))))
-    return Explainer(blocks, n_features, (base or 0.0) + offset)
+    packed.select(F.monotonically_increasing_id().alias("block"), "*").write.parquet(blocks)
+    table = spark.read.parquet(blocks)
+    numbers = [r.block for r in table.select("block").orderBy("block").collect()]
+    if len(numbers) > 1:
+        # So many to a file that tasks can share them.
+        spread = scratch(spark, "leaf-blocks")
+        table.repartition(min(len(numbers), _tasks(spark)), "block").sortWithinPartitions("block").write.parquet(spread)
+        remove(spark, blocks)
+        remove(spark, path)
+        return Explainer(numbers, n_features, base, depth, spark.read.parquet(spread), (spread,))
+    sent = [spark.sparkContext.broadcast(_shaped(r, depth)) for r in table.collect()]
+    return Explainer(sent, n_features, base, depth)
+
+
+def _tasks(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _shares(value: np.ndarray, cover: np.ndarray, passed: np.ndarray) -> np.ndarray:
@@ -227,16 +262,22 @@ def model_nodes(spark: SparkSession, path: str) -> DataFrame:
 def explain(rows: DataFrame, leaves: Explainer, features: tuple[str, ...], out: str = "contributions") -> DataFrame:
     """Add an array column with one contribution per feature and the constant base value.
 
-    A worker holds one block of leaves at a time. Attributions cost far more than moving a row, so rows
-    are dealt out to as many tasks as the session shuffles into.
+    Attributions cost far more than moving a row, so rows are dealt out to as many tasks as the session shuffles into.
     """
     spark = rows.sparkSession
     # The code travels with the job; executors need numpy and pandas only.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    shipped, n_features, single = leaves.blocks, leaves.n_features, len(leaves.blocks) == 1
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    flat = rows.repartition(tasks).withColumn("_x", F.array(*[F.col(c).cast("double") for c in features]))
-    schema = flat.drop("_x").schema.add(out, T.ArrayType(T.DoubleType()))
+    shipped, n_features, depth = leaves.blocks, leaves.n_features, leaves.depth
+    dealt, kind = rows.repartition(_tasks(spark)), T.ArrayType(T.DoubleType())
+    if leaves.table is not None:
+        part = lambda block, x: attributions(Leaves(*_shaped(block, depth), n_features), x)
+
+        def shape(total: np.ndarray, n: int) -> pa.Array:
+            return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * n_features, pa.array(total.ravel()))
+
+        return crossed(dealt, features, leaves.table, part, shape, out, kind).withColumn("base_value", F.lit(leaves.base))
+    flat = dealt.withColumn("_x", F.array(*[F.col(c).cast("double") for c in features]))
+    schema = flat.drop("_x").schema.add(out, kind)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -244,8 +285,6 @@ def explain(rows: DataFrame, leaves: Explainer, features: tuple[str, ...], out:
             total = np.zeros((len(x), n_features))
             for block in shipped:
                 total += attributions(Leaves(*block.value, n_features), x)
-                if not single:
-                    del block._value  # read again from the worker's file when needed
             batch[out] = list(total)
             yield batch
 

@@ -1,11 +1,14 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityflow.operators import forest
+from cityflow.operators import forest, tree_shap
 from cityflow.operators.boosting import binned
 from cityflow.operators.forest import Forest, Settings, fit_forest
+from cityflow.plans import scoring
+from cityflow.plans.registry import MODEL_FEATURES
 
 NAMES = ("a", "b", "c", "d")
 
@@ -60,3 +63,19 @@ def test_odd_rows(spark, tmp_path):
     assert model.transform(rows.limit(0)).count() == 0
     model.save(str(tmp_path / "m"))
     assert trees_of(Forest.load(spark, str(tmp_path / "m"))) == trees_of(model)
+
+
+def test_large_models_are_explained_without_the_driver(spark, monkeypatch, tmp_path):
+    table = rows_of(spark, 600, MODEL_FEATURES)
+    model = fit_forest(binned(table, MODEL_FEATURES, "y", bins=32), Settings(numTrees=6, maxDepth=8, minInstancesPerNode=3))
+    whole = scoring.load_leaves(spark, model, str(tmp_path / "a"))
+    want = {r.y: r.contributions for r in scoring.explained(table.limit(50), model, whole).collect()}
+    monkeypatch.setattr(tree_shap, "CELLS_PER_BLOCK", 500)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    leaves = scoring.load_leaves(spark, model, str(tmp_path / "b"))
+    assert len(whole.blocks) == 1 and len(leaves.blocks) > 3
+    rows = scoring.explained(table.limit(50), model, leaves).collect()
+    assert len(rows) == 50
+    for r in rows:
+        assert r.contributions == pytest.approx(want[r.y], abs=1e-9)
+        assert sum(r.contributions) + r.base_value == pytest.approx(r.raw_prediction, abs=1e-9)
