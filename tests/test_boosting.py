@@ -132,3 +132,30 @@ def test_published_settings_are_the_default(spark):
     assert [full[k]["numTrees"] for k in ("random_forest", "random_forest_deep")] == [300, 300]
     assert [full[k]["rounds"] for k in ("boosted_a", "boosted_b")] == [600, 500]
     assert (training.TRIALS, training.PATIENCE) == (50, 30)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e5])
+def test_boosting_in_a_task_walks_each_level_once(monkeypatch, scale):
+    """Trees are those of plain sums over blocks; no row starts again at the root."""
+    rng = np.random.default_rng(5)
+    codes, fit = rng.integers(0, 20, (3000, 4)).astype(np.uint8), rng.random(3000) < 0.8
+    label = scale * (codes[:, 0] + rng.normal(size=3000))
+    blocks = [((0, i), codes[i : i + 1000], label[i : i + 1000], fit[i : i + 1000]) for i in range(0, 3000, 1000)]
+    settings, base = Settings(rounds=6, depth=5, rows=0.7, columns=0.7, alpha=0.5, leaves=20, patience=3), float(label[fit].mean())
+
+    class Plain:
+        def __init__(self):
+            self.blocks = [(*b, np.full(len(b[2]), base)) for b in blocks]
+
+        def histogram(self, *args):
+            return next(boosting._sums(iter(self.blocks), *args))
+
+        def advance(self, tree, steps):
+            self.blocks = list(map(boosting._advance(tree, steps), self.blocks))
+
+    want, errors = boosting._rounds(Plain(), settings, 20, 4, int((~fit).sum()))
+    monkeypatch.setattr(boosting.Trees, "leaf", None)
+    found, same = boosting._rounds(boosting.Held(blocks, base), settings, 20, 4, int((~fit).sum()))
+    assert same == errors and len(found) == len(want) > 1
+    for a, b in zip(found, want):
+        assert all((getattr(a, k) == getattr(b, k)).all() for k in ("feature", "bin", "left", "right", "value", "cover", "gain"))
