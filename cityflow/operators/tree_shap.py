@@ -32,9 +32,9 @@ from cityflow.operators.crossed import crossed
 from cityflow.session import remove, scratch
 
 CELLS_PER_BLOCK = 100_000  # leaves x path length of one block; 32 bytes each
-CELLS_PER_LEAF_BLOCK = 30_000
-CELLS_PER_CHUNK = 1_000_000
-LOOKUP_DEPTH = 6
+CELLS_PER_LEAF_BLOCK = 500  # leaves x path length worked on at once: what they look up stays in the processor's cache
+CELLS_PER_CHUNK = 200_000
+LOOKUP_DEPTH = 8
 LEVELS_PER_TABLE = 4  # joins between two written tables of paths
 
 

@@ -79,3 +79,24 @@ def test_large_models_are_explained_without_the_driver(spark, monkeypatch, tmp_p
     for r in rows:
         assert r.contributions == pytest.approx(want[r.y], abs=1e-9)
         assert sum(r.contributions) + r.base_value == pytest.approx(r.raw_prediction, abs=1e-9)
+
+
+def test_shares_of_paths_of_eight_features_are_looked_up(monkeypatch):
+    """What is worked out depends on the leaves, not on the number of rows."""
+    rng, cells, shares = np.random.default_rng(3), [], tree_shap._shares
+    feature = np.stack([rng.choice(24, 8, replace=False) for _ in range(90)])
+    low = np.where(rng.random(feature.shape) < 0.5, -np.inf, -0.5)
+    leaves = tree_shap.Leaves(feature, low, np.where(np.isinf(low), 0.5, np.inf), rng.uniform(0.2, 0.9, feature.shape), rng.normal(size=90), 24)
+    x = rng.normal(size=(3000, 24))
+    passed = (x[:, feature] > leaves.low) & (x[:, feature] <= leaves.high)
+    want = np.zeros((3000, 24))
+    for i in range(90):
+        want[:, feature[i]] += shares(leaves.value[i], leaves.cover[i], passed[:, i])
+
+    def counted(value, cover, passed):
+        cells.append(np.broadcast_shapes(cover.shape, passed.shape))
+        return shares(value, cover, passed)
+
+    monkeypatch.setattr(tree_shap, "_shares", counted)
+    assert tree_shap.attributions(leaves, x) == pytest.approx(want, abs=1e-9)
+    assert sum(np.prod(c) for c in cells) == 90 * 256 * 8
