@@ -1,6 +1,8 @@
 import itertools
 import math
+import threading
 from datetime import datetime, timedelta
+from unittest.mock import MagicMock
 
 import numpy as np
 import pandas as pd
@@ -8,6 +10,7 @@ import pytest
 from martrows import mart_row
 from pyspark.sql import functions as F
 
+from cityflow import catalog
 from cityflow.operators import baseline, drift, metrics, split, tree_shap
 from cityflow.plans import features, requests, scoring, training
 from cityflow.plans.registry import MODEL_FEATURES
@@ -146,6 +149,24 @@ def test_training_end_to_end(spark, trained, tmp_path):
     assert min(again) >= 0
 
 
+def test_fits_run_side_by_side(monkeypatch):
+    """Each fit waits here until others are under way; the runs come in the order of the run table."""
+    meeting = threading.Barrier(2)
+
+    def timed(spark, sf, name):
+        meeting.wait(20)
+        return name, 0.0
+
+    monkeypatch.setattr(catalog, "_once", lambda spark, sf, name, build: build())
+    monkeypatch.setattr(catalog, "_stored", lambda spark, sf: (None, None))
+    monkeypatch.setattr(catalog, "_timed", timed)
+    for module, name in ((catalog, "day_mart"), (split, "temporal_split")):
+        monkeypatch.setattr(module, name, MagicMock())
+    monkeypatch.setattr(training, "baseline_run", lambda *parts: "historical_average")
+    monkeypatch.setattr(training, "measured", lambda name, *rest: name)
+    assert catalog._runs(None, "") == ["historical_average", *catalog.RUNS]
+
+
 def test_a_repeated_append_adds_nothing(spark, trained, tmp_path):
     runs, _ = trained
     path = str(tmp_path / "runs")
