@@ -159,3 +159,24 @@ def test_boosting_in_a_task_walks_each_level_once(monkeypatch, scale):
     assert same == errors and len(found) == len(want) > 1
     for a, b in zip(found, want):
         assert all((getattr(a, k) == getattr(b, k)).all() for k in ("feature", "bin", "left", "right", "value", "cover", "gain"))
+
+
+def test_a_histogram_has_no_room_for_bins_that_a_feature_lacks():
+    """Trees do not depend on it; sums are as wide as the bins of the drawn features together."""
+    rng = np.random.default_rng(6)
+    widths = [2, 120, 7, 30]
+    codes, fit = np.stack([rng.integers(0, w, 2000) for w in widths], 1).astype(np.uint8), np.ones(2000, bool)
+    label = codes[:, 1] / 10 + 3.0 * codes[:, 0] + rng.normal(size=2000)
+    settings, seen = Settings(rounds=4, depth=4, columns=0.5), []
+
+    class Watched(boosting.Held):
+        def histogram(self, *args):
+            found = super().histogram(*args)
+            seen.append((found[0].shape[-1], sum(widths[c] for c in args[6])))
+            return found
+
+    found, _ = boosting._rounds(Watched([((0, 0), codes, label, fit)], label.mean()), settings, widths, 4, 0)
+    assert seen and all(a == b for a, b in seen)
+    want, _ = boosting._rounds(boosting.Held([((0, 0), codes, label, fit)], label.mean()), settings, 120, 4, 0)
+    for a, b in zip(found, want):
+        assert all((getattr(a, k) == getattr(b, k)).all() for k in ("feature", "bin", "left", "right", "value", "cover", "gain"))
