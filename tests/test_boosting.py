@@ -180,3 +180,10 @@ def test_a_histogram_has_no_room_for_bins_that_a_feature_lacks():
     want, _ = boosting._rounds(boosting.Held([((0, 0), codes, label, fit)], label.mean()), settings, 120, 4, 0)
     for a, b in zip(found, want):
         assert all((getattr(a, k) == getattr(b, k)).all() for k in ("feature", "bin", "left", "right", "value", "cover", "gain"))
+
+
+def test_a_task_holds_bin_numbers_as_bytes():
+    """A row of the boosting task costs one byte for each feature, not eight."""
+    codes, label = np.random.default_rng(8).integers(0, 120, (500, 3)).astype(np.uint8), np.ones(500)
+    held = boosting.Held([((0, 0), codes, label, label > 0)], 0.0)
+    assert sum(v.nbytes for v in vars(held).values() if isinstance(v, np.ndarray) and v.ndim == 2) == codes.size
