@@ -100,6 +100,18 @@ def test_factors_equal_a_scan():
             assert min(following[i], depth) == min(max((shared(i, j) for j in range(i + 1, n)), default=0), depth)
 
 
+def test_only_suffixes_still_alike_are_sorted_again(monkeypatch):
+    text = np.random.default_rng(3).integers(1, 250, 20_000).astype(np.uint16)
+    text[15_000:15_600] = text[2_000:2_600]
+    sizes, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda key: sizes.append(len(key)) or argsort(key))
+    previous, following = suffixes.factors(text, 400)
+    assert len(sizes) > 2 and sum(sizes) < 35_000
+    assert (np.flatnonzero(previous >= 400) == np.arange(15_000, 15_201)).all()
+    assert (np.flatnonzero(following >= 400) == np.arange(2_000, 2_201)).all()
+    assert previous[15_300] == following[2_300] == 300
+
+
 @pytest.mark.parametrize("surroundings", [1500, 2])
 def test_repeats(spark, rows, empty, monkeypatch, surroundings):
     monkeypatch.setattr(suffixes, "SURROUNDINGS", surroundings)
