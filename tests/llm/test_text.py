@@ -143,6 +143,18 @@ def test_repeat_digests_carry_the_text_that_is_left(spark):
     assert kept[0][1] > 400 and kept[2][1] == kept[3][1] == 0
 
 
+def test_repeat_digests_say_which_texts_hold_repeats(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(9)) for _ in range(n))
+    long, short = words(60), "in to a be or of " * 9  # 60 and 54 words; the second is under 400 bytes
+    texts = [words(30) + long + words(9), words(5) + long, words(40), words(20) + short, words(25) + short, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in suffixes.repeat_digests(docs).collect()}
+    assert [got[i].repeated for i in range(6)] == [True, True, False, False, False, False]
+    assert all(r.repeated == (r.n_removed > 0) for r in got.values())
+    assert [got[i].n_bytes for i in range(6)] == [len((t or "").encode()) for t in texts]
+
+
 def test_blocks_of_a_long_text(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 100, 6000).astype(np.uint8)
